@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, piece_bpe, sharding, simhash, url_rules
+from . import mixing, pairwise_quality, piece_bpe, sharding, simhash, url_rules
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -29,6 +29,13 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pairwise_quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = pairwise_quality.score(docs, model, drop_text=True)
+    return scored.select("doc_id", pairwise_quality.held_out().alias("held_out"), "score", (F.col("score") >= pairwise_quality.CUT).cast("int").alias("predicted"))
+
+
 def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
     import public_tokenizers
 
@@ -52,4 +59,4 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_url_rules, op7_vector_packing, op8_simhash, op9_systematic_mix)}
+QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op4_url_rules, op7_vector_packing, op8_simhash, op9_systematic_mix)}
