@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, pairwise_quality, piece_bpe, sharding, simhash, url_rules
+from . import minhash, mixing, pairwise_quality, piece_bpe, sharding, simhash, url_rules
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -59,4 +59,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op4_url_rules, op7_vector_packing, op8_simhash, op9_systematic_mix)}
+def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op4_url_rules, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash)}
