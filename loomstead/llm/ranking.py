@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Rows that one sorted run should hold at most, on average.
-RUN_ROWS = 50_000
+RUN_ROWS = 10_000
 
 
 def positions(df: DataFrame, group: str, order: list[str], salt: str, rows: int, run_rows: int = RUN_ROWS, coarse: str | None = None) -> DataFrame:
