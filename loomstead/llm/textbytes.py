@@ -142,3 +142,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = starts - (np.cumsum(lengths) - lengths)
     return np.repeat(shift, lengths) + np.arange(total)
+
+
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every run of equal neighbours."""
+    if not len(keys):
+        return []
+    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return list(zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True))
