@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, mixing, pairwise_quality, piece_bpe, sharding, simhash, substring_dedup, url_rules
+from . import minhash, mixing, pairwise_quality, piece_bpe, sharding, simhash, substring_dedup, url_rules, vector_neardup
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -20,6 +20,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neardup.link_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op6_columnwise_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -67,4 +71,4 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op4_url_rules, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash)}
+QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op4_url_rules, op5_collision_counting, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash)}
