@@ -15,6 +15,7 @@ table gives an empty table; the next document of a single row is that row itself
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .textbytes import Texts, lowered, shingle_hashes, span_hashes, text_chunks, words
+from .textbytes import CHUNK_BYTES, Texts, lowered, shingle_hashes, span_hashes, text_chunks, words
 
 BITS = 64
 #: Rows of one ordered run when documents are put in order.
@@ -121,16 +122,45 @@ def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], id_col: str =
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's fingerprint beside that of its edited text and of the next document."""
-    docs = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias(text_col))
-    marked = add_fingerprint(docs, text_col, "fp")
-    paired = with_next(marked, docs.select(id_col), [text_col, "fp"], id_col, text_col)
-    n = F.length(text_col)
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substr(F.col(text_col), F.lit(1), n - cut), F.substr(F.col(f"next.{text_col}"), F.lit(1), cut))
-    ready = paired.select(id_col, n.cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), edited.alias("edited"))
-    ready = ready.withColumn("edited_sha256", F.sha2("edited", 256))
-    return add_fingerprint(ready, "edited", "edited_fp", drop_text=True)
+    """Every document's fingerprint beside that of its edited text and of the next document.
+
+    Texts travel once, compressed one by one, to where their neighbours are.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in text_chunks(batch.column(1)):
+                raw = t.data.tobytes()
+                packed = [pa.compress(raw[x:y], "zstd", asbytes=True) for x, y in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, len(t)), pa.array(packed, pa.binary()), pa.array(np.diff(t.offsets)), pa.array(fingerprints(t).view(np.int64))], [id_col, "packed", "size", "fp"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = lambda packed, size: pa.decompress(packed, size, "zstd", asbytes=True).decode() if size else ""
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[1:]]
+            lo = held = 0
+            edited, n_chars = [], []
+            for k, (packed, size, _, next_packed, next_size, _) in enumerate(zip(*columns, strict=True)):
+                text, after = open_(packed, size), open_(next_packed, next_size)
+                cut = len(text) // 4
+                n_chars.append(len(text))
+                edited.append((text[: len(text) - cut] + after[:cut]).encode())
+                held += len(edited[-1])
+                if held < CHUNK_BYTES and k + 1 < batch.num_rows:
+                    continue
+                found = [fingerprints(t) for t in text_chunks(pa.array(edited, pa.binary()))]
+                part = batch.slice(lo, len(edited))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n_chars, pa.int64()), part.column(3), part.column(6), pa.array([hashlib.sha256(e).hexdigest() for e in edited]), pa.array(np.concatenate(found).view(np.int64))],
+                    [id_col, "n_chars", "fp", "next_fp", "edited_sha256", "edited_fp"],
+                )
+                lo, held, edited, n_chars = k + 1, 0, [], []
+
+    marked = docs.select(id_col, text_col).mapInArrow(first, f"`{id_col}` {kind}, packed binary, size bigint, fp bigint")
+    paired = with_next(marked, docs.select(id_col), ["packed", "size", "fp"], id_col, "packed")
+    flat = paired.select(id_col, "packed", "size", "fp", "next.packed", "next.size", F.col("next.fp").alias("next_fp")).toDF(id_col, "packed", "size", "fp", "np", "ns", "next_fp")
+    return flat.mapInArrow(second, f"`{id_col}` {kind}, n_chars bigint, fp bigint, next_fp bigint, edited_sha256 string, edited_fp bigint")
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
