@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textbytes import column_bytes, mix, ragged, runs, span_hashes
 
@@ -61,6 +62,7 @@ class Block:
         plain = np.asarray(ids.fill_null(_LAST)).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         order = np.lexsort((span_hashes(data, offsets[:-1], offsets[1:]), plain))
         sizes = np.diff(offsets)[order]
+        self.order = order
         self.ids, self.null_ids = plain[order], self.null_ids[order]
         self.data = data[ragged(offsets[:-1][order], sizes)]
         self.offsets = np.r_[0, np.cumsum(sizes)]
@@ -384,7 +386,7 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "ranges": pa.array([r for _, r in out], pa.binary())})
 
 
-def _assemble(kind: pa.DataType, with_text: bool):
+def _assemble(kind: pa.DataType, with_text: bool, carry: tuple[str, ...] = ()):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left)
         change = np.zeros(len(block.data) + 1, np.int32)
@@ -410,22 +412,37 @@ def _assemble(kind: pa.DataType, with_text: bool):
         }
         if with_text:
             columns["kept"] = pa.array(texts, pa.binary())
+        for name in carry:
+            columns[name] = left.column(name).take(pa.array(block.order))
         return pa.table(columns)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every row."""
+def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary], carried columns) for every row."""
     total = docs.select(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
     kind = docs.schema["doc_id"].dataType
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = docs.select("doc_id", "text", *carry, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     anchors = dealt.groupBy("block").applyInArrow(_find_anchors(blocks), "part int, block int, hashes binary, twice binary")
     shared = anchors.groupBy("part").applyInArrow(_shared_anchors, "block int, hashes binary")
     sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_segments(blocks), _SENT)
     ranges = sent.groupBy("part").applyInArrow(_judge, "block int, ranges binary")
-    from pyspark.sql.pandas.types import to_arrow_type
+    fields = ["doc_id " + kind.simpleString(), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"]
+    fields += ["kept binary"] * with_text + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return dealt.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_assemble(to_arrow_type(kind), with_text, carry), ", ".join(fields))
 
-    schema = f"doc_id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return dealt.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_assemble(to_arrow_type(kind), with_text), schema)
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the removed bytes cut out of ``text`` (and ``n_chars``, if present, brought up to date).
+
+    A character of which only some bytes are removed goes as a whole.
+    """
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = remove_repeats(docs, True, carry).withColumn("text", F.expr("try_validate_utf8(cast(kept as string))"))
+    broken = F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\ufffd", "")
+    cut = cut.withColumn("text", F.coalesce("text", broken))
+    if "n_chars" in carry:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
