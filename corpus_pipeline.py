@@ -1,25 +1,51 @@
-"""The corpus pipeline: five stages, each a whole-table pass of one operator."""
+"""The corpus pipeline: five stages over ``documents``, each a whole-table pass of one operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomstead.llm import mixing
+from loomstead.llm import minhash, mixing, pairwise_quality, piece_bpe, substring_dedup
+from loomstead.llm.queries import piece_model
 from loomstead.llm.staging import Stage
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise classifier accepts; it learns from the labels of this input."""
+    model = pairwise_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return pairwise_quality.score(docs, model).where(F.col("score") >= pairwise_quality.CUT).drop("score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has."""
+    return substring_dedup.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emit(mixing.mix(docs), COLUMNS)
+    """Documents as often as the mix draws them."""
+    return mixing.emit(mixing.mix(docs), docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every drawn document, and digests of them and of the text they decode to."""
+    done = piece_bpe.encode_decode(docs, piece_model())
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
-STAGES = [("mix_sources", mix_sources)]
-#: The classifier, the Pitman-Yor free stages and the tokenizer are not SQL-expressible.
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix_sources", mix_sources), ("tokens", tokens)]
+#: The classifier, near-duplicates and tokenizer are not SQL-expressible; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each result is a written table in the shared folder and is read again."""
     stage = Stage(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, apply in STAGES:
