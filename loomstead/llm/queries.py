@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, mixing, pairwise_quality, piece_bpe, sharding, simhash, substring_dedup, url_rules, vector_neardup
+from . import minhash, mixing, pairwise_quality, piece_bpe, pitman_yor, sharding, simhash, substring_dedup, url_rules, vector_neardup
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -71,4 +75,4 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op4_url_rules, op5_collision_counting, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash)}
+QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op3_pitman_yor, op4_url_rules, op5_collision_counting, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Stage:
         out._stage_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files of plans that are no longer referenced."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing still to be computed reads."""
         path = getattr(df, "_stage_path", None)
