@@ -14,6 +14,8 @@ cut is small:
    every segment, from the last to the first, reading the transform once in sequence
    for ranks and writing it once in sequence to a new external file. Common prefixes
    are kept as a file of bits beside it: whether neighbours agree in ``LENGTH`` bytes.
+   Segments whose anchor has neither its left nor its right half-surroundings in common with
+   another segment share no window and stay out of the transform.
 4. Runs of neighbours that agree are the equal strings of the part; a window is
    removed if its run has a segment of a smaller doc_id. Removed ranges return to the
    texts and overlap is resolved there.
@@ -68,9 +70,9 @@ class Block:
         self.offsets = np.r_[0, np.cumsum(sizes)]
         self.sizes = sizes
 
-    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, number of windows, row and anchor hash of every segment."""
-        starts, counts, rows, anchors = [], [], [], []
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, number of windows, row, anchor hash and place of the anchor of every segment."""
+        starts, counts, rows, anchors, spots = [], [], [], [], []
         lo, n = 0, len(self.ids)
         span = LENGTH - ANCHOR + 1
         pieces: list[tuple[int, int]] = []
@@ -111,18 +113,20 @@ class Block:
             starts.append(at[first] + a)
             counts.append(np.diff(np.r_[first, len(at)]))
             rows.append(row[first])
-            anchors.append(h[(low[first] & _POS).astype(np.int64)])
+            anchor = (low[first] & _POS).astype(np.int64)
+            anchors.append(h[anchor])
+            spots.append(anchor - at[first])
         if not starts:
             none = np.zeros(0, np.int64)
-            return none, none, none, np.zeros(0, np.uint64)
-        return np.concatenate(starts), np.concatenate(counts), np.concatenate(rows), np.concatenate(anchors)
+            return none, none, none, np.zeros(0, np.uint64), none
+        return tuple(np.concatenate(x) for x in (starts, counts, rows, anchors, spots))
 
 
 def _find_anchors(parts: int):
     def run(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
         block = Block(table)
-        _, _, rows, anchors = block.segments()
+        _, _, rows, anchors, _ = block.segments()
         # Once for each row and anchor; an anchor of two rows of the block is known to be shared.
         order = np.lexsort((rows, anchors))
         rows, anchors = rows[order], anchors[order]
@@ -161,26 +165,26 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([blocks[i] for i in keep], pa.int32()), "hashes": pa.array([found[i] for i in keep], pa.binary())})
 
 
-_SENT = "part int, block int, bytes binary, sizes binary, ids binary, rows binary, n_places binary, places binary"
+_SENT = "part int, block int, bytes binary, sizes binary, spots binary, ids binary, rows binary, n_places binary, places binary"
 
 
 def _cut_segments(parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["part", "block", "bytes", "sizes", "ids", "rows", "n_places", "places"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        names = ["part", "block", "bytes", "sizes", "spots", "ids", "rows", "n_places", "places"]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         out: list[list] = [[] for _ in names]
         if left.num_rows and right.num_rows:
             number = left.column("block")[0].as_py()
             shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]))
             block = Block(left)
-            starts, counts, rows, anchors = block.segments()
+            starts, counts, rows, anchors, spots = block.segments()
             at = np.minimum(np.searchsorted(shared, anchors), len(shared) - 1)
             good = shared[at] == anchors
-            starts, counts, rows, anchors = starts[good], counts[good], rows[good], anchors[good]
+            starts, counts, rows, anchors, spots = starts[good], counts[good], rows[good], anchors[good], spots[good]
             sizes = counts + LENGTH - 1
             same = span_hashes(block.data, starts, starts + sizes)
             order = np.lexsort((starts, same))  # rows ascend with starts, and ids with rows
-            starts, sizes, rows, anchors, same = starts[order], sizes[order], rows[order], anchors[order], same[order]
+            starts, sizes, rows, anchors, spots, same = starts[order], sizes[order], rows[order], anchors[order], spots[order], same[order]
             first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
             group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(same)]))
             ids = block.ids[rows]
@@ -188,7 +192,7 @@ def _cut_segments(parts: int):
             inside = starts - block.offsets[rows]
             if later.any():  # an earlier document of this block has the same segment
                 done = np.stack([rows[later], inside[later], sizes[later]]).astype(np.int32)
-                for k, v in enumerate([-1 - number, number, b"", b"", b"", b"", b"", np.ascontiguousarray(done.T).tobytes()]):
+                for k, v in enumerate([-1 - number, number, b"", b"", b"", b"", b"", b"", np.ascontiguousarray(done.T).tobytes()]):
                     out[k].append(v)
             # The earliest document's places, one segment each row of it.
             own = np.flatnonzero(~later)
@@ -201,7 +205,7 @@ def _cut_segments(parts: int):
                 s = deal[a:b]
                 chosen = seg[s]
                 where = own[ragged(lead[s], n_places[s])]
-                row = [int(part[s[0]]), number, block.data[ragged(starts[chosen], sizes[chosen])].tobytes(), sizes[chosen].astype(np.uint8).tobytes(), ids[chosen].astype(np.int64).tobytes(), rows[chosen].astype(np.int32).tobytes(), n_places[s].astype(np.int32).tobytes(), inside[where].astype(np.int32).tobytes()]
+                row = [int(part[s[0]]), number, block.data[ragged(starts[chosen], sizes[chosen])].tobytes(), sizes[chosen].astype(np.uint8).tobytes(), spots[chosen].astype(np.uint8).tobytes(), ids[chosen].astype(np.int64).tobytes(), rows[chosen].astype(np.int32).tobytes(), n_places[s].astype(np.int32).tobytes(), inside[where].astype(np.int32).tobytes()]
                 for k, v in enumerate(row):
                     out[k].append(v)
         return pa.table({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
@@ -210,19 +214,25 @@ def _cut_segments(parts: int):
 
 
 class ColumnwiseTransform:
-    """The collection's transform in an external file, one symbol of each segment a round."""
+    """The collection's transform in an external file, one symbol of each segment a round.
 
-    CHUNK = 1 << 20
+    Symbols are codes below ``width``; 0 ends a segment.
+    """
+
+    CHUNK = 1 << 18
     RUN = 128
 
-    def __init__(self, folder: str, n: int):
-        self.folder, self.n, self.size, self.round = folder, n, 0, 0
+    def __init__(self, folder: str, n: int, width: int):
+        self.folder, self.n, self.width, self.round = folder, n, width, 0
         self.path = os.path.join(folder, "bwt-0")
+        runs_ = self.CHUNK // self.RUN
+        self.base = np.repeat(np.arange(runs_, dtype=np.int64), self.RUN)
+        self.index = np.empty(self.CHUNK, np.int64)
+        self.ahead = (np.arange(self.RUN)[None, :] < np.arange(self.RUN)[:, None]).view(np.uint64)
 
     def start(self, symbols: np.ndarray) -> np.ndarray:
         """The last symbols, in the order of the segments; returns their places."""
-        symbols.astype(np.uint8).tofile(self.path)
-        self.size = len(symbols)
+        symbols.tofile(self.path)
         return np.arange(self.n)
 
     def _chunks(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -234,28 +244,32 @@ class ColumnwiseTransform:
 
     def ranks(self, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Place after insertion of symbol + suffix, for suffixes at ascending ``places``; one pass."""
-        before = np.zeros(256, np.int64)
+        before = np.zeros(self.width, np.int64)
         out = np.empty(len(places), np.int64)
         for at, chunk in self._chunks():
-            a, b = np.searchsorted(places, [at, at + len(chunk)])
-            n_runs = len(chunk) // self.RUN + 1
-            table = np.bincount((np.arange(len(chunk)) // self.RUN) * 256 + chunk, minlength=n_runs * 256).reshape(n_runs, 256)
-            upto = np.cumsum(table, axis=0)
+            size = len(chunk)
+            n_runs = -(-size // self.RUN)
+            index = self.index[:size]
+            np.multiply(chunk, np.int64(n_runs), out=index, dtype=np.int64)
+            index += self.base[:size]
+            upto = np.cumsum(np.bincount(index, minlength=n_runs * self.width).reshape(self.width, n_runs), axis=1)
+            a, b = np.searchsorted(places, [at, at + size])
             if b > a:
                 local, c = places[a:b] - at, symbols[a:b]
-                run = local // self.RUN
-                seen = np.where(run > 0, upto[run - 1, c], 0)
-                padded = np.zeros(n_runs * self.RUN, np.uint8)
-                padded[: len(chunk)] = chunk
-                line = padded.reshape(n_runs, self.RUN)
-                for x in range(0, b - a, 1 << 16):
-                    y = min(x + (1 << 16), b - a)
-                    inside = (line[run[x:y]] == c[x:y, None]) & (np.arange(self.RUN) < (local[x:y] % self.RUN)[:, None])
-                    seen[x:y] += inside.sum(1)
-                out[a:b] = before[c] + seen
-            before += upto[-1]
+                run, rest = local // self.RUN, local % self.RUN
+                seen = before[c] + np.where(run > 0, upto[c, run - 1], 0)
+                if size < n_runs * self.RUN:
+                    chunk = np.r_[chunk, np.zeros(n_runs * self.RUN - size, np.uint8)]
+                line = chunk.reshape(n_runs, self.RUN)
+                for x in range(0, b - a, 1 << 13):
+                    y = min(x + (1 << 13), b - a)
+                    same = (line[run[x:y]] == c[x:y, None]).view(np.uint64)
+                    same &= self.ahead[rest[x:y]]
+                    seen[x:y] += (same.sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+                out[a:b] = seen
+            before += upto[:, -1]
         below = np.cumsum(before) - before
-        return self.n + below[symbols] - before[0] * (symbols > 0) + out
+        return self.n + below[symbols] - before[0] + out
 
     def insert(self, places: np.ndarray, symbols: np.ndarray) -> None:
         """Write the next file: ``symbols`` at the ascending ``places`` of the new order; one pass."""
@@ -266,40 +280,40 @@ class ColumnwiseTransform:
             for _, chunk in self._chunks():
                 # New symbols that stand before or among the old ones of this chunk.
                 upto = done + int(np.searchsorted(older[done:], gone + len(chunk), "left"))
-                size = len(chunk) + upto - done
-                merged = np.empty(size, np.uint8)
-                old = np.ones(size, bool)
+                merged = np.empty(len(chunk) + upto - done, np.uint8)
+                old = np.ones(len(merged), bool)
                 spots = places[done:upto] - (gone + done)
                 old[spots] = False
-                merged[spots] = symbols[done:upto]
                 merged[old] = chunk
+                merged[spots] = symbols[done:upto]
                 merged.tofile(file)
                 gone, done = gone + len(chunk), upto
-            symbols[done:].astype(np.uint8).tofile(file)
-        self.path, self.size = fresh, self.size + len(places)
+            symbols[done:].tofile(file)
+        self.path = fresh
 
 
 def equal_windows(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, window, class): windows of one class are equal, for distinct segments laid end to end.
 
-    Symbols are bytes plus one, the end of a segment is 0 (bytes 255 do not occur in UTF-8).
+    Symbols are the bytes that occur, numbered from 1; 0 ends a segment.
     """
     n = len(sizes)
     offsets = np.cumsum(sizes) - sizes
+    present = np.bincount(data, minlength=256) > 0
+    code = (np.cumsum(present) * present).astype(np.uint8)[data]
     with tempfile.TemporaryDirectory() as folder:
-        bwt = ColumnwiseTransform(folder, n)
+        bwt = ColumnwiseTransform(folder, n, int(present.sum()) + 1)
         seg = np.arange(n)
-        symbols = data[offsets + sizes - 1] + 1
+        symbols = code[offsets + sizes - 1]
         places = bwt.start(symbols)
         depth = 0
-        history: list[tuple[np.ndarray, np.ndarray]] = []
         while len(seg):
             depth += 1
             places = bwt.ranks(places, symbols)
             order = np.argsort(places, kind="stable")
             seg, places = seg[order], places[order]
             left = sizes[seg] - depth
-            symbols = np.where(left > 0, data[np.maximum(offsets[seg] + left - 1, 0)] + 1, 0).astype(np.uint8)
+            symbols = np.where(left > 0, code[np.maximum(offsets[seg] + left - 1, 0)], 0).astype(np.uint8)
             bwt.insert(places, symbols)
             alive = left > 0
             seg, places, symbols = seg[alive], places[alive], symbols[alive]
@@ -343,6 +357,22 @@ def equal_windows(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return place_seg, place_win, np.cumsum(~agree) - 1
 
 
+def _may_match(data: np.ndarray, sizes: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Segments that can share a window with another distinct one.
+
+    A window is its anchor and LENGTH - ANCHOR bytes around it, half of them at least on one side,
+    so a shared window means an equal anchor with an equal half on the left or on the right.
+    """
+    half = (LENGTH - ANCHOR) // 2
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), bool)
+    for a, b in ((spots - half, spots + ANCHOR), (spots, spots + ANCHOR + half)):
+        whole = np.flatnonzero((a >= 0) & (b <= sizes))
+        _, which, times = np.unique(span_hashes(data, (starts + a)[whole], (starts + b)[whole]), return_inverse=True, return_counts=True)
+        out[whole[times[which] > 1]] = True
+    return out
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """One part: removed ranges (row, start, size) for each block."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
@@ -360,13 +390,17 @@ def _judge(table: pa.Table) -> pa.Table:
         np.minimum.at(least, which, ids)
         d_sizes = sizes[first]
         d_data = data[ragged(offsets[first], d_sizes)]
-        seg, win, klass = equal_windows(d_data, d_sizes)
-        best = np.full(int(klass.max()) + 1 if len(klass) else 0, _LAST)
-        np.minimum.at(best, klass, least[seg])
         counts = d_sizes - LENGTH + 1
         base = np.cumsum(counts) - counts
-        earliest = np.empty(int(counts.sum()), np.int64)
-        earliest[base[seg] + win] = best[klass]
+        earliest = np.repeat(least, counts)  # equal segments are one; the rest is found among distinct ones
+        some = np.flatnonzero(_may_match(d_data, d_sizes, join("spots", np.uint8).astype(np.int64)[first]))
+        if len(some):
+            ends = np.cumsum(d_sizes)
+            seg, win, klass = equal_windows(d_data[ragged(ends[some] - d_sizes[some], d_sizes[some])], d_sizes[some])
+            seg = some[seg]
+            best = np.full(int(klass.max()) + 1, _LAST)
+            np.minimum.at(best, klass, least[seg])
+            earliest[base[seg] + win] = best[klass]
         # Every sent segment against its own doc_id, windows end to end, then runs of removed ones.
         n_win = counts[which]
         owner = np.repeat(np.arange(len(which)), n_win)
