@@ -9,14 +9,15 @@ Bands of ``ROWS`` coordinates are buckets. What is wanted are components, so a b
 of m members need not be expanded into m * m pairs:
 
 1. every member is verified against its bucket's smallest id (a star);
-2. in buckets that still hold several components, each member outside the largest one
-   proposes its most similar members of other components by signature, a window of
-   ranks at a time, windows growing fourfold, until the windows have covered the bucket.
+2. buckets of three or more that still hold several components are joined to clusters by
+   the members they share; a cluster's full sets come together once, and every member
+   outside its largest component is compared with all members of other components
+   whose signatures agree in ``MATCH`` coordinates.
 
-Every pair of a bucket whose signatures agree in ``MATCH`` coordinates is therefore
-verified or already connected; no bucket is capped. Verification compares full sets.
-A pair at similarity 0.8 is missed with a probability of about 3e-5. Large unresolved
-buckets are cut into blocks, and pairs of blocks are separate groups.
+Every pair of a bucket with such signatures is therefore verified or already
+connected; no bucket is capped. Verification compares full sets. A pair at similarity
+0.8 is missed with a probability of about 3e-5. Large clusters are cut into blocks,
+and pairs of blocks are separate groups; groups return spanning links, not pairs.
 
 Defined results: null, empty and white-space texts have an empty set and link with
 nothing; texts with fewer words than a shingle are one shingle; rows sharing a doc_id
@@ -29,20 +30,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
 from .staging import Stage
-from .textbytes import Texts, lowered, mix, shingle_hashes, span_hashes, text_chunks, words
+from .textbytes import Texts, lowered, mix, ragged, runs, shingle_hashes, span_hashes, text_chunks, words
 
 ROWS, BANDS = 4, 24
 COORDINATES = ROWS * BANDS
 #: Least number of equal coordinates of a pair that is verified (0.8 gives 76.8 on average).
 MATCH = 61
-WINDOW = 4
-BLOCK = 2048
+BLOCK = 4096
+#: Clusters up to this size share groups of about as many rows.
+GROUP_ROWS = 512
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -136,28 +138,51 @@ def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b").distinct()
 
 
-def _propose(lo: int, hi: int, kind: str):
-    """Within one group of bucket members: ranks lo to hi of each member outside the largest component."""
+def _connect(percent: int, kind: pa.DataType):
+    """Spanning links (a, b) between components within clusters, from full sets."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rep").drop_duplicates("rep")
-        rep, comp, side = g["rep"].to_numpy(), g["comp"].to_numpy(), g["side"].to_numpy()
-        rows = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), COORDINATES)
-        names, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    def links(rep, comp, side, sketch, items, sizes) -> tuple[np.ndarray, np.ndarray]:
+        names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        label = inverse.copy()
+        bounds = np.r_[0, np.cumsum(sizes)]
         crossing = side.max() > 0
         a, b = [], []
-        for i in np.flatnonzero(inverse != np.argmax(sizes)):
-            same = (rows == rows[i]).sum(1)
-            same[i] = -1
+        for i in np.flatnonzero(inverse != np.argmax(counts)):
+            near = (sketch == sketch[i]).sum(1) >= MATCH
+            near &= (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
             if crossing:
-                same[side == side[i]] = -1
-            near = np.flatnonzero(same >= MATCH)
-            near = near[np.lexsort((near, -same[near]))][lo:hi]
-            near = near[comp[near] != comp[i]]
-            a.append(np.full(len(near), rep[i]))
-            b.append(rep[near])
-        a, b = (np.concatenate(x) if x else np.zeros(0, rep.dtype) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                near &= side != side[i]
+            near = np.flatnonzero(near)
+            for lo in range(0, len(near), 256):
+                part = near[lo : lo + 256]
+                part = part[label[part] != label[i]]
+                if not len(part):
+                    continue
+                own = items[bounds[i] : bounds[i + 1]]
+                other = items[ragged(bounds[part], sizes[part])]
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                hit = np.add.reduceat((own[at] == other).astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+                for j in part[100 * hit >= percent * (sizes[part] + sizes[i] - hit)]:
+                    if label[j] != label[i]:
+                        a.append(rep[i])
+                        b.append(rep[j])
+                        label[label == label[j]] = label[i]
+        return a, b
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")]).combine_chunks()
+        cols = {c: table.column(c).to_numpy() for c in ("cluster", "i", "j", "rep", "comp", "side")}
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        lists = table.column("items").combine_chunks() if isinstance(table.column("items"), pa.ChunkedArray) else table.column("items")
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.r_[0, np.cumsum(sizes)]
+        _, place = np.unique(np.stack([cols["cluster"], cols["i"], cols["j"]]), axis=1, return_inverse=True)
+        a, b = [], []
+        for lo, hi in runs(place.ravel()):
+            u, v = links(cols["rep"][lo:hi], cols["comp"][lo:hi], cols["side"][lo:hi], sketch[lo:hi], flat[bounds[lo] : bounds[hi]], sizes[lo:hi])
+            a += u
+            b += v
+        return pa.table({"a": pa.array(a, pa.int64()).cast(kind), "b": pa.array(b, pa.int64()).cast(kind)})
 
     return run
 
@@ -175,32 +200,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     items = stage.cut(_set_table(docs, wanted, width, id_col, text_col))
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = stage.cut(_verified(star, items, percent))
-    sketches = classes.select("rep", "sketch")
-    lo, step, parts = 0, WINDOW, [links]
     comps = stage.cut(connected_components(links, stage))
-    while True:
-        at = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        open_ = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("key", "m")
-        live = stage.cut(at.join(open_, "key"))
-        most = live.agg(F.max("m")).first()[0]
-        if most is None or lo >= most:
-            break
-        # A bucket of many blocks becomes one group for each pair of blocks.
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        split = live.withColumn("k", own).withColumn("other", F.explode_outer(F.sequence(F.lit(0), blocks - 1)))
+    at = members.where("m > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "leader", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    live = stage.cut(at.join(mixed, "key", "left_semi").select("leader", "rep", "comp").distinct())
+    if not live.isEmpty():
+        near = stage.cut(connected_components(live.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")), stage))
+        placed = near.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(live.select("rep", "comp").distinct(), "rep")
+        sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        split = placed.join(sizes, "cluster").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
         split = split.withColumn("i", F.least("k", "other")).withColumn("j", F.greatest("k", "other")).withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("k") == F.col("i"), 1).otherwise(2))
-        fed = split.select("key", "i", "j", "side", "rep", "comp").join(sketches, "rep")
-        proposed = fed.groupBy("key", "i", "j").applyInPandas(_propose(lo, lo + step, kind), f"a {kind}, b {kind}").distinct()
-        found = stage.cut(_verified(proposed, items, percent))
-        if not found.isEmpty():
-            parts.append(found)
-            every = parts[0]
-            for p in parts[1:]:
-                every = every.union(p)
-            comps = stage.cut(connected_components(every, stage))
-        stage.drop(live)
-        lo, step = lo + step, step * 4
+        groups = max(1, near.count() // GROUP_ROWS)
+        split = split.withColumn("g", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.xxhash64("cluster", "i", "j")))
+        fed = split.select("g", "cluster", "i", "j", "side", "rep", "comp").join(classes.select("rep", "sketch"), "rep").join(items.withColumnRenamed("id", "rep"), "rep")
+        found = stage.cut(fed.groupBy("g").applyInArrow(_connect(percent, to_arrow_type(docs.schema[id_col].dataType)), f"a {kind}, b {kind}"))
+        stage.release()
+        comps = stage.cut(connected_components(links.union(found), stage))
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = sigs.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("c", F.coalesce("c", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
