@@ -1 +1,244 @@
-"""To come."""
+"""Hard negatives, drift, twins, preference pairs and executed trajectories.
+
+Orders are positives (their gold tool is a part), parts are the tool pool, lines are calls.
+Choices are counter draws, so every row is made on its own and SQL can check it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.text import draw
+from ..operators import environments as env
+from ..operators.similarity import small
+from . import query, table
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered pool (k, tool, required): one row a part."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("tool"), "p_brand", "p_type", F.col("p_size").alias("size"))
+
+
+def _positives(spark: SparkSession, d: str) -> DataFrame:
+    """(ord, k): each order with the number of its gold tool, that of its first line."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ord")).agg(F.min(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("f")).select("ord", F.col("f.l_partkey").alias("k"), F.col("f.l_quantity").alias("quantity"))
+
+
+_POS = "g AS (SELECT l_orderkey AS ord, arg_min(l_partkey, (l_linenumber, l_partkey, l_quantity)) AS k, arg_min(l_quantity, (l_linenumber, l_partkey, l_quantity)) AS quantity FROM lineitem GROUP BY 1), n AS (SELECT count(*) AS n FROM part)"
+
+
+def _u(*parts: str) -> str:
+    return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::BIGINT"
+
+
+@query(f"WITH {_POS} SELECT ord, g.k AS removed, list_sort([(g.k + 1 + ({_u(chr(39) + 'no_tool' + chr(39), 'ord', 'i')} % (n - 1))) % n FOR i IN [0, 1, 2]])::BIGINT[] AS offered, 'refuse' AS answer FROM g, n".replace("[(g.k", "list_transform([0, 1, 2], lambda i: (g.k").replace(" FOR i IN [0, 1, 2]])", "))"))
+def hammer_no_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query stays, three tools other than the gold one are offered, the answer is a refusal."""
+    n = table(spark, sf_dir, "part").count()
+    offered = F.array(*[(F.col("k") + 1 + draw("no_tool", F.col("ord"), i) % (n - 1)) % n for i in range(3)])
+    return _positives(spark, sf_dir).select("ord", F.col("k").alias("removed"), F.array_sort(offered).alias("offered"), F.lit("refuse").alias("answer"))
+
+
+_HEDGES = ("I might be wrong, but ", "Not sure if you can, ", "If possible, ")
+
+
+@query("SELECT doc_id, (['I might be wrong, but ', 'Not sure if you can, ', 'If possible, '])[('0x' || substr(md5('hedge|' || doc_id), 1, 8))::BIGINT % 3 + 1] || lower(substr(text, 1, 1)) || substr(text, 2, 60) AS query, 'call' AS answer FROM documents WHERE lang = 'en'")
+def over_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hedge before the query, its first letter lower-cased; the gold call stays."""
+    hedge = F.element_at(F.array(*map(F.lit, _HEDGES)), (draw("hedge", F.col("doc_id")) % 3 + 1).cast("int"))
+    made = F.concat(hedge, F.lower(F.substring("text", 1, 1)), F.substring("text", 2, 60))
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", made.alias("query"), F.lit("call").alias("answer"))
+
+
+@query("SELECT p_partkey AS tool, (['size', 'brand', 'type'])[('0x' || substr(md5('drop|' || p_partkey), 1, 8))::BIGINT % 3 + 1] AS dropped, list_filter(['size', 'brand', 'type'], lambda x: x <> (['size', 'brand', 'type'])[('0x' || substr(md5('drop|' || p_partkey), 1, 8))::BIGINT % 3 + 1]) AS given, 'clarify' AS answer FROM part")
+def missing_arg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One required argument is left out; the answer asks for it."""
+    names = F.array(*map(F.lit, ("size", "brand", "type")))
+    gone = F.element_at(names, (draw("drop", F.col("p_partkey")) % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tool"), gone.alias("dropped"), F.array_remove(names, gone).alias("given"), F.lit("clarify").alias("answer"))
+
+
+@query(
+    "WITH r AS (SELECT p_type, p_partkey, p_name, lead(p_partkey) OVER w AS other, lead(p_name) OVER w AS other_name FROM part WINDOW w AS (PARTITION BY p_type, p_brand ORDER BY p_partkey)) "
+    "SELECT p_partkey AS tool, other, split_part(p_type, ' ', 1) AS topic, 'clarify' AS answer FROM r WHERE other IS NOT NULL AND p_name <> other_name"
+)
+def ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tools of one topic; the request fits both, so the answer asks."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("p_type", "p_brand").orderBy("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_name", F.lead("p_partkey").over(w).alias("other"), F.lead("p_name").over(w).alias("other_name"))
+    return rows.where("other IS NOT NULL AND p_name <> other_name").select(F.col("p_partkey").alias("tool"), "other", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("topic"), F.lit("clarify").alias("answer"))
+
+
+@query(f"WITH {_POS}, m AS (SELECT max(ord) AS top FROM g) SELECT a.ord, b.ord AS partner, a.k AS first_tool, b.k AS second_tool FROM g a JOIN g b ON b.ord = a.ord + 1 WHERE a.k <> b.k AND a.ord % 2 = 1")
+def partial_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two single-call positives with distinct tools become one request with two calls."""
+    a = _positives(spark, sf_dir).select("ord", "k")
+    b = a.select((F.col("ord") - 1).alias("ord"), F.col("ord").alias("partner"), F.col("k").alias("k2"))
+    return a.where("ord % 2 = 1").join(b, "ord").where("k <> k2").select("ord", "partner", F.col("k").alias("first_tool"), F.col("k2").alias("second_tool"))
+
+
+@query("SELECT p_partkey AS tool, ['brand', 'type', 'size_v2'] AS props, CASE WHEN p_size % 2 = 0 THEN 'call' ELSE 'clarify' END AS answer FROM part")
+def schema_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A renamed property moves to the end of the order; calls use the new name."""
+    props, old = F.array(*map(F.lit, ("size", "brand", "type"))), "size"
+    renamed = F.concat(F.filter(props, lambda p: p != old), F.array(F.lit(f"{old}_v2")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tool"), renamed.alias("props"), F.when(F.col("p_size") % 2 == 0, "call").otherwise("clarify").alias("answer"))
+
+
+@query("SELECT p_partkey AS tool, 'add_required' AS kind, ['size', 'brand', 'type', 'region_code'] AS required, 'clarify' AS answer FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'retype_enum', ['size', 'brand', 'type'], 'clarify' FROM part WHERE p_partkey % 2 = 1")
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new required property, or a property retyped to an enum: both need a question back."""
+    part = table(spark, sf_dir, "part")
+    names = F.array(*map(F.lit, ("size", "brand", "type")))
+    more = F.when(F.col("p_partkey") % 2 == 0, F.concat(names, F.array(F.lit("region_code")))).otherwise(names)
+    return part.select(F.col("p_partkey").alias("tool"), F.when(F.col("p_partkey") % 2 == 0, "add_required").otherwise("retype_enum").alias("kind"), more.alias("required"), F.lit("clarify").alias("answer"))
+
+
+@query("SELECT l_orderkey AS ord, list('func_' || (l_linenumber - 1) ORDER BY l_linenumber, p_name) AS names, list('arg_0,arg_1' ORDER BY l_linenumber) AS arguments, list(p_name ORDER BY l_linenumber, p_name) AS described FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def masked_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool and argument names replaced by positions; descriptions stay."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(small(_pool(spark, sf_dir).select(F.col("k").alias("l_partkey"), "tool")), "l_partkey")
+    tools = lines.groupBy(F.col("l_orderkey").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "tool"))).alias("t"))
+    masked = F.transform("t", lambda x: F.concat(F.lit("func_"), (x["l_linenumber"] - 1).cast("string")))
+    arguments = F.transform("t", lambda _: F.array_join(F.transform(F.array(F.lit("item"), F.lit("quantity")), lambda _, j: F.concat(F.lit("arg_"), j.cast("string"))), ","))
+    return tools.select("ord", masked.alias("names"), arguments.alias("arguments"), F.transform("t", lambda x: x["tool"]).alias("described"))
+
+
+@query(
+    "WITH s AS (SELECT p_partkey, p_name, p_type, ('0x' || substr(md5('fmt|' || p_partkey), 1, 8))::BIGINT % 3 AS skip FROM part), f(k, fmt) AS (VALUES (0, 'python'), (1, 'xml'), (2, 'compact')) "
+    "SELECT p_partkey AS tool, 'fmt-' || p_partkey AS pair_id, fmt AS doc_format, CASE fmt WHEN 'python' THEN 'def ' || p_name || '(size: integer): ' || p_type WHEN 'xml' THEN '<tool name=\"' || p_name || '\"><param name=\"size\" type=\"integer\"/></tool>' ELSE p_name || '(size:integer)' END AS doc FROM s, f WHERE f.k <> s.skip"
+)
+def format_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three renderings of a tool, with one pair id and one gold answer."""
+    part = table(spark, sf_dir, "part").withColumn("skip", draw("fmt", F.col("p_partkey")) % 3)
+    forms = F.array(
+        F.struct(F.lit(0).alias("k"), F.lit("python").alias("fmt"), F.concat(F.lit("def "), "p_name", F.lit("(size: integer): "), "p_type").alias("doc")),
+        F.struct(F.lit(1).alias("k"), F.lit("xml").alias("fmt"), F.concat(F.lit('<tool name="'), "p_name", F.lit('"><param name="size" type="integer"/></tool>')).alias("doc")),
+        F.struct(F.lit(2).alias("k"), F.lit("compact").alias("fmt"), F.concat("p_name", F.lit("(size:integer)")).alias("doc")),
+    )
+    rows = part.withColumn("f", F.explode_outer(F.filter(forms, lambda x: x["k"] != F.col("skip"))))
+    return rows.select(F.col("p_partkey").alias("tool"), F.concat(F.lit("fmt-"), F.col("p_partkey").cast("string")).alias("pair_id"), F.col("f.fmt").alias("doc_format"), F.col("f.doc").alias("doc"))
+
+
+_ASK = {"en": "Look up {}", "hi": "{} खोजें", "es": "Busca {}", "fr": "Cherche {}", "de": "Suche {}"}
+
+
+@query(
+    "WITH a(lang, pre, post) AS (VALUES ('en', 'Look up ', ''), ('hi', '', ' खोजें'), ('es', 'Busca ', ''), ('fr', 'Cherche ', ''), ('de', 'Suche ', '')) "
+    "SELECT p_partkey AS pair_id, lang, pre || p_name || post AS query, CASE WHEN p_partkey % 4 < 2 THEN 'call' WHEN p_partkey % 4 = 2 THEN 'refuse' ELSE 'clarify' END AS answer FROM part, a"
+)
+def multilingual_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five languages of one request share a pair id and the gold answer; calls, refusals and questions are 2 : 1 : 1."""
+    k = F.col("p_partkey") % 4
+    asked = F.array(*[F.struct(F.lit(lang).alias("lang"), F.concat(F.lit(t.split("{}")[0]), "p_name", F.lit(t.split("{}")[1])).alias("query")) for lang, t in _ASK.items()])
+    rows = table(spark, sf_dir, "part").withColumn("a", F.explode_outer(asked))
+    return rows.select(F.col("p_partkey").alias("pair_id"), "a.lang", "a.query", F.when(k < 2, "call").when(k == 2, "refuse").otherwise("clarify").alias("answer"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, CASE WHEN n <= 4 THEN 'miss_param' WHEN n <= 6 THEN 'miss_func' ELSE 'long_context' END AS mt_kind, CASE WHEN n <= 4 THEN 'clarify' ELSE 'call' END AS answer, (n - 1)::BIGINT AS history FROM t WHERE i = n"""
+)
+def multi_turn_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-turn slices: a missing value asks, a late tool and a long context call."""
+    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("n") <= 4, "miss_param").when(F.col("n") <= 6, "miss_func").otherwise("long_context")
+    return n.select("conv_id", kind.alias("mt_kind"), F.when(F.col("n") <= 4, "clarify").otherwise("call").alias("answer"), (F.col("n") - 1).alias("history"))
+
+
+_CAND = f"""
+{_POS}, c AS (SELECT ord, k, quantity, unnest(['swap_tool', 'drop_required', 'change_value', 'same', 'refuse']) AS mode FROM g),
+h AS (SELECT ord, mode, CASE mode WHEN 'swap_tool' THEN '{{"item":' || ((k + 1) % n) || ',"quantity":' || quantity::INT || '}}' WHEN 'drop_required' THEN '{{"item":' || k || '}}' WHEN 'change_value' THEN '{{"item":' || k || ',"quantity":' || (quantity::INT + 1) || '}}'
+  WHEN 'refuse' THEN NULL ELSE '{{"item":' || k || ',"quantity":' || quantity::INT || '}}' END AS rejected, CASE mode WHEN 'swap_tool' THEN 11 WHEN 'drop_required' THEN 1 WHEN 'change_value' THEN 1 WHEN 'same' THEN 0 ELSE 12 END AS hardness FROM c, n),
+w AS (SELECT *, mode <> 'same' AS wrong FROM h)
+"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected candidates of each positive: another tool, a missing value, another value, the gold itself, a refusal."""
+    n = table(spark, d, "part").count()
+    item, qty = F.col("k"), F.col("quantity").cast("int")
+    args = lambda i, q=None: F.concat(F.lit('{"item":'), i.cast("string"), *([F.lit(',"quantity":'), q.cast("string")] if q is not None else []), F.lit("}"))
+    gold = args(item, qty)
+    made = [("swap_tool", args((F.col("k") + 1) % n, qty)), ("drop_required", args(item)), ("change_value", args(item, qty + 1)), ("same", gold), ("refuse", F.lit(None).cast("string"))]
+    rows = _positives(spark, d).withColumn("c", F.explode_outer(F.array(*[F.struct(F.lit(m).alias("mode"), a.alias("rejected")) for m, a in made])))
+    rows = rows.select("ord", "c.mode", "c.rejected", gold.alias("gold"))
+    value = lambda col, key: F.get_json_object(col, f"$.{key}")
+    other_tool = ~value("rejected", "item").eqNullSafe(value("gold", "item"))
+    distance = F.when(other_tool, 10).otherwise(0) + sum(F.when(value("rejected", k).eqNullSafe(value("gold", k)), 0).otherwise(1) for k in ("item", "quantity"))
+    # Provably wrong: abstains where a call is due, another tool, a missing required value, another value.
+    wrong = F.col("rejected").isNull() | (F.col("rejected") != F.col("gold"))
+    return rows.select("ord", "mode", "rejected", distance.cast("int").alias("hardness"), wrong.alias("wrong"))
+
+
+@query(f"WITH {_CAND} SELECT ord, mode, hardness, wrong FROM w")
+def poison_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which candidates are provably wrong."""
+    return _candidates(spark, sf_dir).select("ord", "mode", "hardness", "wrong")
+
+
+@query(f"WITH {_CAND} SELECT ord, rejected, hardness FROM w WHERE wrong QUALIFY row_number() OVER (PARTITION BY ord ORDER BY hardness, rejected NULLS LAST) = 1")
+def hardest_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wrong candidate nearest to gold; ties by its canonical JSON."""
+    best = F.min(F.struct("hardness", F.coalesce("rejected", F.lit("~")).alias("r")))
+    return _candidates(spark, sf_dir).where("wrong").groupBy("ord").agg(best.alias("b")).select("ord", F.nullif(F.col("b.r"), F.lit("~")).alias("rejected"), F.col("b.hardness").alias("hardness"))
+
+
+@query(f"WITH {_CAND}, b AS (SELECT ord, rejected FROM w WHERE wrong QUALIFY row_number() OVER (PARTITION BY ord ORDER BY hardness, rejected NULLS LAST) = 1), s AS (SELECT ord, rejected AS chosen FROM w WHERE mode = 'same') SELECT 'Order ' || ord AS prompt, chosen, coalesce(rejected, 'refuse') AS rejected FROM b JOIN s USING (ord) WHERE chosen <> coalesce(rejected, 'refuse')")
+def pref_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference rows; chosen and rejected always differ."""
+    rows = _candidates(spark, sf_dir)
+    best = rows.groupBy("ord").agg(F.min(F.when(F.col("wrong"), F.struct("hardness", F.coalesce("rejected", F.lit("~")).alias("r")))).alias("b"), F.max(F.when(F.col("mode") == "same", F.col("rejected"))).alias("chosen"))
+    rejected = F.when(F.col("b.r") == "~", "refuse").otherwise(F.col("b.r"))
+    return best.select(F.concat(F.lit("Order "), F.col("ord").cast("string")).alias("prompt"), "chosen", rejected.alias("rejected")).where("chosen <> rejected")
+
+
+_CALLS = "SELECT user_id, list(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 WHEN 'signup' THEN 0 ELSE 9 END ORDER BY ts, event_id) AS c FROM events GROUP BY user_id"
+
+
+@query(
+    f"""WITH u AS ({_CALLS}), f AS (SELECT user_id, list_reduce(list_prepend({{'q': 0, 'out': false, 'n': 0, 'c': 0}}, list_transform(c, lambda x: {{'q': 0, 'out': false, 'n': 0, 'c': x}})),
+lambda s, x: {{'q': CASE WHEN s.out THEN s.q WHEN x.c = 1 THEN s.q + 1 WHEN x.c = -1 AND s.q > 0 THEN s.q - 1 ELSE s.q END, 'out': s.out OR (x.c = 0 AND s.q > 0),
+ 'n': s.n + CASE WHEN NOT s.out AND (x.c = 1 OR (x.c = -1 AND s.q > 0) OR (x.c = 0 AND s.q > 0)) THEN 1 ELSE 0 END, 'c': 0}}) AS s FROM u)
+SELECT user_id, s.q::BIGINT AS quantity, s.out AS checked_out, s.n::INT AS applied FROM f"""
+)
+def cart_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final cart of each user: purchases add, errors remove, sign-ups check out; failed calls change nothing."""
+    name = F.when(F.col("event_type") == "purchase", "add_item").when(F.col("event_type") == "error", "remove_item").when(F.col("event_type") == "signup", "checkout").otherwise("browse")
+    call = F.struct("ts", "event_id", name.alias("name"), F.lit("apple").alias("item"), F.lit(1).cast("bigint").alias("quantity"))
+    calls = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
+    state = calls.select("user_id", env.cart(F.col("calls")).alias("s"))
+    total = F.aggregate("s.items", F.lit(0).cast("bigint"), lambda acc, x: acc + x["quantity"])
+    return state.select("user_id", total.alias("quantity"), F.col("s.checked_out").alias("checked_out"), F.col("s.applied").alias("applied"))
+
+
+def _trajectories(spark: SparkSession, d: str) -> DataFrame:
+    """A planned cart trajectory for each order: two to four adds, then a checkout; kinds by a draw."""
+    steps = 2 + draw("steps", F.col("ord")) % 3
+    add = lambda i: F.struct(F.lit("add_item").alias("name"), F.element_at(F.array(*map(F.lit, env.FRUITS)), (draw("fruit", F.col("ord"), i) % 5 + 1).cast("int")).alias("item"), (draw("qty", F.col("ord"), i) % 4 + 1).alias("quantity"))
+    out = F.struct(F.lit("checkout").alias("name"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("bigint").alias("quantity"))
+    adds = F.slice(F.array(*[add(i) for i in range(4)]), F.lit(1), steps.cast("int"))
+    kind = draw("kind", F.col("ord")) % 100
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"))
+    return rows.select("ord", F.when(kind < 35, "recovery").when(kind < 65, "fault").otherwise("clean").alias("kind"), F.concat(adds, F.array(out)).alias("calls"))
+
+
+@query()
+def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a step: the state before it, the gold call, and whether a fault repeats it."""
+    rows = _trajectories(spark, sf_dir).withColumn("i", F.explode_outer(F.sequence(F.lit(1), F.size("calls"))))
+    before = env.cart(F.slice("calls", F.lit(1), F.col("i") - 1))
+    state = rows.withColumn("s", before)
+    return state.select("ord", "kind", "i", env.describe_cart(F.col("s")).alias("state"), F.element_at("calls", F.col("i"))["name"].alias("call"), ((F.col("kind") == "fault") & (F.col("i") == 1)).alias("repeated"))
+
+
+@query()
+def rollout_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An oracle policy and an always-abstaining one over all trajectories: the first succeeds, the second never."""
+    rows = _trajectories(spark, sf_dir).withColumn("gold", env.cart(F.col("calls")))
+    none = F.filter("calls", lambda c: c["name"] == "never")
+    done = rows.withColumn("oracle", env.cart(F.col("calls"))).withColumn("abstain", env.cart(none))
+    same = lambda a: ((F.col(f"{a}.items") == F.col("gold.items")) & (F.col(f"{a}.checked_out") == F.col("gold.checked_out"))).cast("double")
+    return done.groupBy("kind").agg(F.count("*").alias("n"), F.avg(same("oracle")).alias("oracle"), F.avg(same("abstain")).alias("abstain"))
