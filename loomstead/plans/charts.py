@@ -1 +1,171 @@
-"""To come."""
+"""Chart questions over revenue by nation and month, specs, localisation and the scorer."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import charts
+from ..operators.similarity import small
+from . import query, table
+
+_L = """
+l AS (SELECT n.n_name AS chart, month(o.o_orderdate) - 1 AS pos, strftime(o.o_orderdate, '%m') AS category, round(sum(l.l_extendedprice), 1) AS value
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY ALL),
+a AS (SELECT chart, max(value) AS hi, min(value) AS lo, sum(value) AS total, avg(value) AS mean, count(*) AS n, regr_slope(value, pos) AS slope, corr(pos, value) AS r FROM l GROUP BY chart),
+c AS (SELECT l.chart, count(*) FILTER (WHERE value = hi) AS n_hi, count(*) FILTER (WHERE value = lo) AS n_lo, count(*) FILTER (WHERE value > mean) AS above, arg_max(category, value) AS top, arg_min(category, value) AS bottom FROM l JOIN a USING (chart) GROUP BY l.chart),
+f AS (SELECT a.*, c.above, CASE WHEN n_hi = 1 THEN top END AS top, CASE WHEN n_lo = 1 THEN bottom END AS bottom, CASE WHEN hi > lo THEN slope * (n - 1) / (hi - lo) ELSE 0 END AS change FROM a JOIN c USING (chart))
+"""
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    """(chart, pos, category, value): monthly revenue of each nation; small tables join by broadcast when they are."""
+    cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    who = cust.join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), "n_nationkey").select("o_custkey", "n_name")  # nations: 25 rows
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.month("o_orderdate").alias("m"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice")
+    rows = lines.join(orders, "l_orderkey").join(small(who), "o_custkey")
+    return rows.groupBy(F.col("n_name").alias("chart"), (F.col("m") - 1).alias("pos"), F.lpad(F.col("m").cast("string"), 2, "0").alias("category")).agg(F.round(F.sum("l_extendedprice"), 1).alias("value"))
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return charts.facts(_long(spark, d))
+
+
+@query(f"WITH {_L} SELECT chart, category, value FROM l")
+def chart_value_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(spark, sf_dir).select("chart", "category", "value")
+
+
+@query(f"WITH {_L} SELECT chart, top, hi AS value FROM f")
+def chart_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest category; null on a tie."""
+    return _facts(spark, sf_dir).select("chart", "top", F.col("hi").alias("value"))
+
+
+@query(f"WITH {_L} SELECT chart, bottom, lo AS value FROM f")
+def chart_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("chart", "bottom", F.col("lo").alias("value"))
+
+
+@query(f"WITH {_L} SELECT x.chart, CASE WHEN x.value > y.value THEN 'Yes' ELSE 'No' END AS answer FROM l x JOIN l y ON x.chart = y.chart AND x.pos = 0 AND y.pos = 6")
+def chart_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether January is above July."""
+    at = lambda p: F.max(F.when(F.col("pos") == p, F.col("value")))
+    both = _long(spark, sf_dir).groupBy("chart").agg(at(0).alias("x"), at(6).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return both.select("chart", F.when(F.col("x") > F.col("y"), "Yes").otherwise("No").alias("answer"))
+
+
+@query(f"WITH {_L} SELECT chart, round(hi - lo, 1) AS difference FROM f")
+def chart_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("chart", F.round("difference", 1).alias("difference"))
+
+
+@query(f"WITH {_L} SELECT chart, round(total, 1) AS total FROM f")
+def chart_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("chart", F.round("total", 1).alias("total"))
+
+
+@query(f"WITH {_L} SELECT chart, round(mean, 3) AS mean FROM f")
+def chart_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("chart", F.round("mean", 3).alias("mean"))
+
+
+@query(f"WITH {_L} SELECT chart, above::BIGINT AS above, n::BIGINT AS n FROM f")
+def chart_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories above the mean."""
+    return _facts(spark, sf_dir).select("chart", "above", "n")
+
+
+@query(f"WITH {_L} SELECT chart, CASE WHEN abs(change) <= 0.10 THEN 'none' WHEN change > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM f")
+def chart_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("chart", "trend")
+
+
+@query(f"WITH {_L} SELECT chart, round(100 * hi / total, 1) AS top_percent FROM f")
+def chart_proportion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("chart", F.round(100 * F.col("top_share"), 1).alias("top_percent"))
+
+
+@query(f"WITH {_L} SELECT chart, CASE WHEN abs(r) < 0.3 THEN 'none' WHEN r > 0 THEN 'positive' ELSE 'negative' END AS correlation FROM f")
+def chart_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("chart", "correlation")
+
+
+@query(f"WITH {_L}, h AS (SELECT chart, sum(value) FILTER (WHERE pos < 6) AS x, sum(value) FILTER (WHERE pos >= 6) AS y FROM l GROUP BY chart) SELECT chart, CASE WHEN x > y THEN 'first half' ELSE 'second half' END AS larger, round(abs(x - y), 1) AS by FROM h")
+def chart_compare_then_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = lambda c: F.sum(F.when(c, F.col("value")))
+    h = _long(spark, sf_dir).groupBy("chart").agg(half(F.col("pos") < 6).alias("x"), half(F.col("pos") >= 6).alias("y"))
+    return h.select("chart", F.when(F.col("x") > F.col("y"), "first half").otherwise("second half").alias("larger"), F.round(F.abs(F.col("x") - F.col("y")), 1).alias("by"))
+
+
+@query(f"WITH {_L} SELECT chart, CASE WHEN total = floor(total) THEN floor(total)::BIGINT::VARCHAR ELSE regexp_replace(printf('%.4f', total), '\\.?0+$', '') END AS answer FROM (SELECT chart, round(total, 1) AS total FROM f)")
+def chart_answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals as answer text."""
+    return _facts(spark, sf_dir).select("chart", charts.answer_text(F.round("total", 1)).alias("answer"))
+
+
+@query("SELECT r_name AS chart, n_name AS category, n_nationkey::BIGINT AS value FROM nation JOIN region ON r_regionkey = n_regionkey")
+def vega_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spec as JSON text is built per region, parsed again, and its values are read back."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    values = F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("category"), F.col("n_nationkey").cast("bigint").alias("value"))))
+    spec = nation.groupBy("r_name").agg(values.alias("v")).select("r_name", F.to_json(F.struct(F.lit("bar").alias("mark"), F.struct(F.col("v").alias("values")).alias("data"))).alias("spec"))
+    back = spec.select("r_name", F.explode_outer(F.from_json("spec", "mark string, data struct<values: array<struct<category:string,value:bigint>>>")["data"]["values"]).alias("x"))
+    return back.select(F.col("r_name").alias("chart"), "x.category", "x.value")
+
+
+_TR = {"AFRICA": "अफ़्रीका", "AMERICA": "अमेरिका", "ASIA": "एशिया", "EUROPE": "यूरोप"}
+
+
+@query("WITH t(en, hi) AS (VALUES ('AFRICA', 'अफ़्रीका'), ('AMERICA', 'अमेरिका'), ('ASIA', 'एशिया'), ('EUROPE', 'यूरोप')), g(lang) AS (VALUES ('en'), ('hi')) SELECT r_regionkey::BIGINT AS pair_id, lang, CASE lang WHEN 'hi' THEN coalesce(hi, r_name) ELSE r_name END AS label FROM region LEFT JOIN t ON en = r_name, g")
+def localized_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An English chart label and its translation share a pair id; a missing translation falls back to English."""
+    words = spark.createDataFrame(list(_TR.items()), "r_name string, hi string")
+    rows = table(spark, sf_dir, "region").join(F.broadcast(words), "r_name", "left").withColumn("lang", F.explode_outer(F.array(F.lit("en"), F.lit("hi"))))
+    return rows.select(F.col("r_regionkey").cast("bigint").alias("pair_id"), "lang", F.when(F.col("lang") == "hi", F.coalesce("hi", "r_name")).otherwise(F.col("r_name")).alias("label"))
+
+
+_SAID = """
+s AS (SELECT o_orderkey, o_totalprice AS gold, o_orderkey % 5 AS k, CASE o_orderkey % 5 WHEN 0 THEN printf('%.2f', o_totalprice) WHEN 1 THEN printf('%.2f', o_totalprice * 1.04) WHEN 2 THEN printf('%.2f', o_totalprice * 1.07) WHEN 3 THEN printf('%.1fK', o_totalprice / 1000) ELSE 'unknown' END AS said FROM orders),
+v AS (SELECT *, try_cast(regexp_replace(said, 'K$', '') AS DOUBLE) * CASE WHEN ends_with(said, 'K') THEN 1000 ELSE 1 END AS got FROM s)
+"""
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    k, x = F.col("o_orderkey") % 5, F.col("o_totalprice")
+    text = F.when(k == 0, F.format_string("%.2f", x)).when(k == 1, F.format_string("%.2f", x * 1.04)).when(k == 2, F.format_string("%.2f", x * 1.07)).when(k == 3, F.format_string("%.1fK", x / 1000)).otherwise("unknown")
+    rows = table(spark, d, "orders").select("o_orderkey", x.alias("gold"), k.alias("k"), text.alias("said"))
+    scale = F.when(F.endswith("said", F.lit("K")), 1000).otherwise(1)
+    return rows.withColumn("got", F.regexp_replace("said", "K$", "").try_cast("double") * scale)
+
+
+@query(f"WITH {_SAID} SELECT o_orderkey, coalesce(abs(got - gold) <= 0.05 * abs(gold), false) AS correct FROM v")
+def relaxed_match_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric answers within 5 percent; the ASCII part of the scorer as expressions."""
+    no = F.lit(False)
+    return _said(spark, sf_dir).select("o_orderkey", charts.numbers_match(F.col("gold"), no, F.col("got"), no).alias("correct"))
+
+
+@query(f"WITH {_SAID} SELECT o_orderkey, coalesce(abs(got - gold) <= 0.05 * abs(gold), false) AS correct FROM v")
+def relaxed_match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full scorer, as an Arrow function, on the same answers."""
+    rows = _said(spark, sf_dir)
+    return rows.select("o_orderkey", charts.relaxed(F.col("gold").cast("string"), "said", F.lit("")).alias("correct"))
+
+
+@query(
+    f"""WITH {_SAID}, r AS (SELECT CASE WHEN k IN (0, 1) THEN 'reasoning' ELSE 'descriptive' END AS kind, k, coalesce(abs(got - gold) <= 0.05 * abs(gold), false) AS ok, got IS NULL AS failed FROM v)
+SELECT kind, k, count(*)::BIGINT AS n, round(avg(ok::INT), 6) AS accuracy, round(avg(failed::INT), 6) AS parse_failure FROM r GROUP BY GROUPING SETS ((), (kind), (k))"""
+)
+def chart_eval_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    no = F.lit(False)
+    rows = _said(spark, sf_dir).select(F.when(F.col("k").isin(0, 1), "reasoning").otherwise("descriptive").alias("kind"), "k", charts.numbers_match(F.col("gold"), no, F.col("got"), no).alias("ok"), F.col("got").isNull().alias("failed"))
+    return rows.groupingSets([[], ["kind"], ["k"]], "kind", "k").agg(F.count("*").alias("n"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("accuracy"), F.round(F.avg(F.col("failed").cast("int")), 6).alias("parse_failure"))
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(regexp_replace(lower(substr(text, 1, 80)), '[ \\t\\r\\n]+', ' ', 'g')), n_chars::VARCHAR")
+def chart_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First row of each (normalised question, answer text)."""
+    from ..functions.text import collapsed
+
+    return table(spark, sf_dir, "documents").groupBy(collapsed(F.substring("text", 1, 80)).alias("q"), F.col("n_chars").cast("string").alias("a")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
