@@ -21,8 +21,8 @@ and pairs of blocks are separate groups; groups return spanning links, not pairs
 
 Defined results: null, empty and white-space texts have an empty set and link with
 nothing; texts with fewer words than a shingle are one shingle; rows sharing a doc_id
-count as one document that has the links of each of its texts; extra columns are
-ignored; an empty table gives an empty table.
+count as one document that has the links of each of its texts; a null doc_id links with
+nothing (component null, kept); extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
-from .staging import Stage
+from .staging import Stage, fresh
 from .textbytes import Texts, lowered, mix, ragged, runs, shingle_hashes, span_hashes, text_chunks, words
 
 ROWS, BANDS = 4, 24
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     stage = Stage(docs.sparkSession, "minhash")
     kind = docs.schema[id_col].dataType.simpleString()
     sigs = stage.cut(describe(docs, width, id_col, text_col))
-    classes = stage.cut(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL"))
+    classes = stage.cut(sigs.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     entries = classes.select("rep", F.explode_outer("bands").alias("key"))
     leaders = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1")
     members = stage.cut(entries.join(leaders, "key").distinct())
@@ -218,13 +218,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         comps = stage.cut(connected_components(links.union(found), stage))
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = sigs.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("c", F.coalesce("c", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("c")).alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component; rows with an empty set all stay."""
+    """``docs`` with one row of each component; rows with an empty set or a null id all stay."""
     kept = near_duplicates(docs, width, percent, id_col, text_col).where("kept AND n_shingles > 0").select(id_col).distinct()
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     first = docs.where(has_words).join(kept, id_col, "left_semi")
-    first = first.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where("_n = 1").drop("_n")
-    return first.unionByName(docs.where(~has_words))
+    turn = fresh(docs.columns, "turn")
+    first = first.withColumn(turn, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where(F.col(turn) == 1).drop(turn)
+    return first.unionByName(docs.where(~has_words | F.col(id_col).isNull()))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranking import positions
+from .staging import Masked
 
 #: Weights in turn for sources in code-point order.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,7 +97,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     return joined.withColumn("copies", taken(offset)).drop("position", "_each", "draw")
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: every document as often as it was drawn."""
-    repeated = mixed.where("copies > 0").withColumn("_i", F.explode_outer(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*columns)
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it was drawn, with the columns it has."""
+    plain = Masked(docs, ("doc_id", "text", "source"))
+    drawn = mix(plain.df, **options).where("copies > 0")
+    return plain.back(drawn.withColumn("_i", F.explode_outer(F.sequence(F.lit(1).cast("long"), F.col("copies")))))

@@ -8,7 +8,7 @@ blocks is keyed by those blocks, so two fingerprints within ``radius`` bits shar
 key in at least one table.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint
-0; equal texts have equal fingerprints; ties of a vote give bit 0; rows that share a
+0; equal texts have equal fingerprints; ties of a vote give bit 0; null ids come last; rows that share a
 doc_id are ordered by a hash of their text; extra columns are ignored; an empty
 table gives an empty table; the next document of a single row is that row itself.
 """
@@ -88,9 +88,9 @@ def _run_of(id_col: str, cuts: list[int]) -> Column:
     parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     top = F.array(*[F.lit(p[0]).cast("long") for p in parts[1:]]) if len(parts) > 1 else F.array().cast("array<bigint>")
     value = F.col(id_col).cast("long")
-    which = F.size(F.filter(top, lambda c: c <= value))
+    which = F.size(F.filter(top, lambda c: c <= F.coalesce(value, F.lit(2**63 - 1))))
     inner = F.array(*[F.array(*[F.lit(c).cast("long") for c in p]) for p in parts])
-    return F.coalesce(which * step + F.size(F.filter(F.element_at(inner, which + 1), lambda c: c <= value)), F.lit(0)).cast("int")
+    return F.coalesce(which * step + F.size(F.filter(F.element_at(inner, which + 1), lambda c: c <= F.coalesce(value, F.lit(2**63 - 1)))), F.lit(0)).cast("int")
 
 
 def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +117,7 @@ def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], id_col: str =
     table = spark.createDataFrame([(i, r) for i, r in before.items()], f"_head {docs.schema[id_col].dataType.simpleString()}, _to int")
     extra = docs.join(F.broadcast(table), F.col(id_col).eqNullSafe(F.col("_head"))).drop("_head").withColumnRenamed("_to", "_run").withColumn("_extra", F.lit(1))
     every = runs.unionByName(extra)
-    order = Window.partitionBy("_run").orderBy("_extra", id_col, F.xxhash64(text_col))
+    order = Window.partitionBy("_run").orderBy("_extra", F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
     return every.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("_extra = 0").drop("_run", "_extra")
 
 

@@ -26,6 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as make it a new column name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+class Masked:
+    """A table whose columns other than ``own`` have neutral names for a while, so none can clash."""
+
+    def __init__(self, df: DataFrame, own: tuple[str, ...]):
+        self.names = df.columns
+        self.inner = [c if c in own else f"_in_{i}" for i, c in enumerate(df.columns)]
+        self.df = df.toDF(*self.inner)
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.inner).toDF(*self.names)
+
+
 class Stage:
     """Tables written under one operator run; superseded ones can be dropped early."""
 
