@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .staging import Masked
 from .textbytes import column_bytes, mix, ragged, runs, span_hashes
 
 LENGTH = 50
@@ -122,6 +123,26 @@ class Block:
         return tuple(np.concatenate(x) for x in (starts, counts, rows, anchors, spots))
 
 
+def part_of(anchors: np.ndarray, parts: int) -> np.ndarray:
+    """Parts by the low bits of an anchor's hash; its key within a part is the high 40 bits."""
+    return ((anchors & np.uint64((1 << 24) - 1)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+
+
+def key_bytes(anchors: np.ndarray) -> bytes:
+    """Ascending 40-bit keys as compressed byte planes."""
+    keys = anchors >> np.uint64(24)
+    planes = keys.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+    return len(keys).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def keys_of(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], n * 5, "zstd", asbytes=True), np.uint8).reshape(5, n)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :5] = planes.T
+    return wide.view(np.uint64)[:, 0]
+
+
 def _find_anchors(parts: int):
     def run(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
@@ -135,14 +156,14 @@ def _find_anchors(parts: int):
         last = np.r_[first[1:], len(anchors)] - 1
         twice = rows[first] != rows[last] if len(first) else np.zeros(0, bool)
         anchors = anchors[first]
-        part = (anchors >> np.uint64(32)) % np.uint64(parts) if len(anchors) else anchors
+        part = part_of(anchors, parts)
         out: dict[str, list] = {"part": [], "block": [], "hashes": [], "twice": []}
         order = np.argsort(part, kind="stable")
         part, anchors, twice = part[order], anchors[order], twice[order]
         for a, b in runs(part):
             out["part"].append(int(part[a]))
             out["block"].append(number)
-            out["hashes"].append(anchors[a:b].tobytes())
+            out["hashes"].append(key_bytes(anchors[a:b]))
             out["twice"].append(np.packbits(twice[a:b]).tobytes())
         return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "hashes": pa.array(out["hashes"], pa.binary()), "twice": pa.array(out["twice"], pa.binary())})
 
@@ -152,7 +173,7 @@ def _find_anchors(parts: int):
 def _shared_anchors(table: pa.Table) -> pa.Table:
     """For one part of the anchors: to each block those of its anchors that another row also has."""
     blocks = table.column("block").to_pylist()
-    each = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    each = [keys_of(x) for x in table.column("hashes").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(h)].astype(bool) for x, h in zip(table.column("twice").to_pylist(), each, strict=True)]
     every = np.sort(np.concatenate(each))
     several = every[:-1][every[1:] == every[:-1]]
@@ -160,7 +181,7 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     found = []
     for h in each:
         at = np.minimum(np.searchsorted(several, h), max(len(several) - 1, 0))
-        found.append(h[several[at] == h].tobytes() if len(several) else b"")
+        found.append(h[several[at] == h].view(np.uint64).tobytes() if len(several) else b"")
     keep = [i for i, f in enumerate(found) if f]
     return pa.table({"block": pa.array([blocks[i] for i in keep], pa.int32()), "hashes": pa.array([found[i] for i in keep], pa.binary())})
 
@@ -178,8 +199,10 @@ def _cut_segments(parts: int):
             shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]))
             block = Block(left)
             starts, counts, rows, anchors, spots = block.segments()
-            at = np.minimum(np.searchsorted(shared, anchors), len(shared) - 1)
-            good = shared[at] == anchors
+            # Keys of different parts can be equal; keeping a few segments too many changes nothing.
+            key = anchors >> np.uint64(24)
+            at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
+            good = shared[at] == key
             starts, counts, rows, anchors, spots = starts[good], counts[good], rows[good], anchors[good], spots[good]
             sizes = counts + LENGTH - 1
             same = span_hashes(block.data, starts, starts + sizes)
@@ -199,7 +222,7 @@ def _cut_segments(parts: int):
             lead = np.flatnonzero(np.r_[True, (group[own][1:] != group[own][:-1]) | (rows[own][1:] != rows[own][:-1])]) if len(own) else own
             n_places = np.diff(np.r_[lead, len(own)])
             seg = own[lead]
-            part = ((anchors[seg] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            part = part_of(anchors[seg], parts)
             deal = np.argsort(part, kind="stable")
             for a, b in runs(part[deal]):
                 s = deal[a:b]
@@ -473,10 +496,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character of which only some bytes are removed goes as a whole.
     """
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = remove_repeats(docs, True, carry).withColumn("text", F.expr("try_validate_utf8(cast(kept as string))"))
+    plain = Masked(docs, ("doc_id", "text", "n_chars"))
+    carry = tuple(c for c in plain.df.columns if c not in ("doc_id", "text"))
+    cut = remove_repeats(plain.df, True, carry).withColumn("text", F.expr("try_validate_utf8(cast(kept as string))"))
     broken = F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\ufffd", "")
     cut = cut.withColumn("text", F.coalesce("text", broken))
     if "n_chars" in carry:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return plain.back(cut)
