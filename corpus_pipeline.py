@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomstead.llm import minhash, mixing, pairwise_quality, piece_bpe, substring_dedup
 from loomstead.llm.queries import piece_model
-from loomstead.llm.staging import Stage
+from loomstead.llm.staging import Stage, fresh
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise classifier accepts; it learns from the labels of this input."""
     model = pairwise_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return pairwise_quality.score(docs, model).where(F.col("score") >= pairwise_quality.CUT).drop("score")
+    name = fresh(docs.columns, "score")
+    return pairwise_quality.score(docs, model, name=name).where(F.col(name) >= pairwise_quality.CUT).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    return mixing.sample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
