@@ -69,7 +69,7 @@ def loosen(raw: bytes, kind: type, n: int) -> np.ndarray:
 def alone_table(d: float, top: int = _EXACT) -> np.ndarray:
     """[c, t]: probability that a random customer of c at t tables sits alone."""
     log = np.full((top + 1, top + 2), -np.inf)
-    log[1, 1] = 0.0
+    log[0, 0] = log[1, 1] = 0.0
     for c in range(2, top + 1):
         t = np.arange(1, c + 1)
         log[c, 1 : c + 1] = np.logaddexp(log[c - 1, 0:c], log[c - 1, 1 : c + 1] + np.log(np.maximum(c - 1 - d * t, 1e-300)))
