@@ -56,4 +56,4 @@ def points(delta: Column) -> Column:
 
 def cell(value: Column) -> Column:
     """A leaderboard cell: a number to three places, or the mark of a missing one."""
-    return F.coalesce(F.format_string("%.3f", value), F.lit("__PENDING__"))
+    return F.when(value.isNull(), "__PENDING__").otherwise(F.format_string("%.3f", value))

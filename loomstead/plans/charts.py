@@ -9,7 +9,7 @@ from ..operators.similarity import small
 from . import query, table
 
 _L = """
-l AS (SELECT n.n_name AS chart, month(o.o_orderdate) - 1 AS pos, strftime(o.o_orderdate, '%m') AS category, round(sum(l.l_extendedprice), 1) AS value
+l AS (SELECT n.n_name AS chart, month(o.o_orderdate) - 1 AS pos, strftime(o.o_orderdate, '%m') AS category, round(sum(l.l_extendedprice::DECIMAL(18,2)), 1)::DOUBLE AS value
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY ALL),
 a AS (SELECT chart, max(value) AS hi, min(value) AS lo, sum(value) AS total, avg(value) AS mean, count(*) AS n, regr_slope(value, pos) AS slope, corr(pos, value) AS r FROM l GROUP BY chart),
 c AS (SELECT l.chart, count(*) FILTER (WHERE value = hi) AS n_hi, count(*) FILTER (WHERE value = lo) AS n_lo, count(*) FILTER (WHERE value > mean) AS above, arg_max(category, value) AS top, arg_min(category, value) AS bottom FROM l JOIN a USING (chart) GROUP BY l.chart),
@@ -18,13 +18,16 @@ f AS (SELECT a.*, c.above, CASE WHEN n_hi = 1 THEN top END AS top, CASE WHEN n_l
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
-    """(chart, pos, category, value): monthly revenue of each nation; small tables join by broadcast when they are."""
+    """(chart, pos, category, value): monthly revenue of each nation, summed exactly on a grid of cents.
+
+    Small tables join by broadcast when they are.
+    """
     cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     who = cust.join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), "n_nationkey").select("o_custkey", "n_name")  # nations: 25 rows
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.month("o_orderdate").alias("m"))
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice")
     rows = lines.join(orders, "l_orderkey").join(small(who), "o_custkey")
-    return rows.groupBy(F.col("n_name").alias("chart"), (F.col("m") - 1).alias("pos"), F.lpad(F.col("m").cast("string"), 2, "0").alias("category")).agg(F.round(F.sum("l_extendedprice"), 1).alias("value"))
+    return rows.groupBy(F.col("n_name").alias("chart"), (F.col("m") - 1).alias("pos"), F.lpad(F.col("m").cast("string"), 2, "0").alias("category")).agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 1).cast("double").alias("value"))
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
