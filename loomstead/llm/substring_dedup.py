@@ -12,8 +12,9 @@ cut is small:
 3. Segments are dealt by anchor. Each part is a collection of distinct segments whose
    Burrows-Wheeler transform is built column by column: a round inserts one symbol of
    every segment, from the last to the first, reading the transform once in sequence
-   for ranks and writing it once in sequence to a new external file. Common prefixes
-   are kept as a file of bits beside it: whether neighbours agree in ``LENGTH`` bytes.
+   for ranks and writing it once in sequence to a new external file. A walk over the
+   finished transform places every suffix, and common prefixes of neighbours are taken
+   from the bytes as bits: whether they agree in ``LENGTH`` bytes.
    Segments whose anchor has neither its left nor its right half-surroundings in common with
    another segment share no window and stay out of the transform.
 4. Runs of neighbours that agree are the equal strings of the part; a window is
