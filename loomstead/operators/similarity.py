@@ -20,9 +20,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions (a single small file); large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shingle_table(df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
     """(id, n, shingle): one row for each distinct shingle, with the size of the set."""
-    cut = df.select(F.col(id_col).alias("id"), shingles(tokens(F.col(text_col)), k).alias("s"))
+    cut = spread(df).select(F.col(id_col).alias("id"), shingles(tokens(F.col(text_col)), k).alias("s"))
     return exploded(cut.withColumn("n", F.size("s")), "s", "shingle")
 
 
@@ -72,6 +78,7 @@ def near_pairs(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
 
     Candidates meet in a MinHash band; sets are compared exactly afterwards.
     """
+    docs = spread(docs)
     sets = docs.select("id", "grp", shingles(tokens(F.col("text")), k).alias("s"))
     keys = band_keys(docs, k=k).join(docs.select("id", "grp"), "id")
     met = keys.withColumnRenamed("id", "i").join(keys.withColumnRenamed("id", "j"), ["grp", "band"]).where("i < j").select("grp", "i", "j").distinct()
