@@ -28,8 +28,8 @@ from .staging import Masked
 
 #: Weights in turn for sources in code-point order.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: More sources than this cannot be planned on the driver.
-MAX_SOURCES = 200_000
+#: More pairs of source and size class than this cannot be planned on the driver.
+MAX_CLASSES = 500_000
 #: Random offsets tried for each source; the one whose words come nearest the target is used.
 DRAWS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,21 +60,22 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """All documents with size, source_size, target and copies (how often the mix takes each)."""
     sized = with_sizes(docs)
-    per = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
-    found = per.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    targets = word_targets([r["s"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(r["source"], int(r["s"]), t) for r, t in zip(found, targets, strict=True)], "plan_source string, source_size long, target double")
-    rows = sum(r["n"] for r in found)
     # Size class: the four leading bits and the magnitude, so sizes within a class differ by an eighth at most.
     bits = F.length(F.bin("size"))
     down = F.greatest(bits - 4, F.lit(0))
-    sized = sized.withColumn("_class", bits * 16 + F.floor(F.col("size") / F.pow(F.lit(2.0), down)).cast("long"))
-    sized = sized.withColumn("_tie", F.xxhash64("text"))
-    ranked = positions(sized, "source", ["size", "doc_id", "_tie"], "doc_id", rows, coarse="_class").drop("_class", "_tie")
+    sized = sized.withColumn("_class", bits * 16 + F.floor(F.col("size") / F.pow(F.lit(2.0), down)).cast("long")).withColumn("_tie", F.xxhash64("text"))
+    per = sized.groupBy("source", "_class").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+    classes = per.limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} sources and size classes")
+    words_of: dict = {}
+    for r in classes:
+        words_of[r["source"]] = words_of.get(r["source"], 0) + int(r["s"])
+    found = sorted(words_of, key=lambda name: (name is None, (name or "").encode()))
+    targets = word_targets([words_of[name] for name in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
+    spark = docs.sparkSession
+    plan = spark.createDataFrame([(name, words_of[name], t) for name, t in zip(found, targets, strict=True)], "plan_source string, source_size long, target double")
+    ranked = positions(sized, "source", ["size", "doc_id", "_tie"], "doc_id", [(r["source"], r["_class"], r["n"]) for r in classes], coarse="_class").drop("_class", "_tie")
     joined = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("_each", each)

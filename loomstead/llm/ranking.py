@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Rows that one sorted run should hold at most, on average.
-RUN_ROWS = 10_000
+RUN_ROWS = 1000
 
 
-def positions(df: DataFrame, group: str, order: list[str], salt: str, rows: int, run_rows: int = RUN_ROWS, coarse: str | None = None) -> DataFrame:
+def positions(df: DataFrame, group: str, order: list[str], salt: str, sizes: list[tuple], run_rows: int = RUN_ROWS, coarse: str | None = None) -> DataFrame:
     """Adds ``position``: 0, 1, ... within ``group``, by (coarse, salted run, order).
 
     A group is cut into runs by ``coarse`` and a hash of ``salt``; runs are counted
     (partial aggregation, one row a run), their offsets are running sums over those
-    counts, and only rows of one run are sorted together. The number of runs follows
-    ``rows``, so a group with a third of all rows is spread over many tasks.
-    Nulls form a group of their own.
+    counts, and only rows of one run are sorted together. ``sizes`` holds (group, coarse,
+    rows), a bounded list; the number of runs follows the rows, so a group with a third of
+    all rows is spread over many tasks. Nulls form a group of their own.
     """
-    runs = max(1, -(-rows // run_rows))
-    cut = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(salt).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(runs))
-    df = df.withColumn("_run", cut.cast("int")).withColumn("_coarse", F.col(coarse).cast("long") if coarse else F.lit(0).cast("long"))
+    df = df.withColumn("_coarse", F.col(coarse).cast("long") if coarse else F.lit(0).cast("long"))
+    plan = df.sparkSession.createDataFrame([(g, int(c or 0), max(1, -(-n // run_rows))) for g, c, n in sizes], f"_pg {df.schema[group].dataType.simpleString()}, _pc long, _runs int")
+    df = df.join(F.broadcast(plan), F.col(group).eqNullSafe(F.col("_pg")) & (F.col("_coarse") == F.col("_pc")), "left").drop("_pg", "_pc")
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col(salt).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    df = df.withColumn("_run", F.pmod(number, F.coalesce("_runs", F.lit(1))).cast("int")).drop("_runs")
     keys = [F.col(group), F.col("_coarse"), F.col("_run")]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_coarse", "_run").rowsBetween(Window.unboundedPreceding, -1)

@@ -74,5 +74,5 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     placed = pack(np.array([[r["size"], r["tokens"], r["rows"]] for r in items], float), shards)
     plan = spark.createDataFrame([(r["item"], int(s)) for r, s in zip(items, placed, strict=True)], "item string, shard int")
     out = named.join(F.broadcast(plan), "item").select("doc_id", "size", "text_crc32", "shard", "digest")
-    out = positions(out, "shard", ["doc_id", "digest"], "doc_id", total["rows"])
+    out = positions(out, "shard", ["doc_id", "digest"], "doc_id", [(int(s), 0, sum(r["rows"] for r, p in zip(items, placed, strict=True) if p == s)) for s in range(shards)])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
