@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, stage: Stage, left: str = "a", right:
     the longest path. Rounds are cut by written tables, superseded ones deleted.
     """
     now = stage.cut(
-        edges.select(F.greatest(left, right).alias("v"), F.least(left, right).alias("u")).where("v <> u").distinct()
+        edges.select(F.greatest(left, right).alias("v"), F.least(left, right).alias("u")).where("v <> u").distinct(),
+        narrow=True,
     )
     before = None
     while True:
@@ -25,7 +26,7 @@ def connected_components(edges: DataFrame, stage: Stage, left: str = "a", right:
         large = large.where("v <> u").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.explode_outer(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        new = stage.cut(small.select("e.v", "e.u").where("v <> u").distinct())
+        new = stage.cut(small.select("e.v", "e.u").where("v <> u").distinct(), narrow=True)
         print_of = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         stage.drop(now)
         now = new

@@ -195,17 +195,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = stage.cut(sigs.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     entries = classes.select("rep", F.explode_outer("bands").alias("key"))
     leaders = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    members = stage.cut(entries.join(leaders, "key").distinct())
+    members = stage.cut(entries.join(leaders, "key").distinct(), narrow=True)
     wanted = classes.select("rep", "d1", "d2").join(members.select("rep").distinct(), "rep", "left_semi")
     items = stage.cut(_set_table(docs, wanted, width, id_col, text_col))
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stage.cut(_verified(star, items, percent))
-    comps = stage.cut(connected_components(links, stage))
+    links = stage.cut(_verified(star, items, percent), narrow=True)
+    comps = connected_components(links, stage)
     at = members.where("m > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "leader", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    live = stage.cut(at.join(mixed, "key", "left_semi").select("leader", "rep", "comp").distinct())
+    live = stage.cut(at.join(mixed, "key", "left_semi").select("leader", "rep", "comp").distinct(), narrow=True)
     if not live.isEmpty():
-        near = stage.cut(connected_components(live.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")), stage))
+        near = connected_components(live.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")), stage)
         placed = near.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(live.select("rep", "comp").distinct(), "rep")
         sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         split = placed.join(sizes, "cluster").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         fed = split.select("g", "cluster", "i", "j", "side", "rep", "comp").join(classes.select("rep", "sketch"), "rep").join(items.withColumnRenamed("id", "rep"), "rep")
         found = stage.cut(fed.groupBy("g").applyInArrow(_connect(percent, to_arrow_type(docs.schema[id_col].dataType)), f"a {kind}, b {kind}"))
         stage.release()
-        comps = stage.cut(connected_components(links.union(found), stage))
+        comps = connected_components(links.union(found), stage)
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = sigs.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("c", F.coalesce("c", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("c")).alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))

@@ -54,8 +54,14 @@ class Stage:
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and read it back: one computation, no lineage behind it."""
+    def cut(self, df: DataFrame, narrow: bool = False) -> DataFrame:
+        """Write ``df`` once and read it back: one computation, no lineage behind it.
+
+        ``narrow``: ids and links only; written in at most four files a core, because every
+        small file costs more than its rows.
+        """
+        if narrow:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.root}/{self.count}"
         self.count += 1
         df.write.parquet(path)
