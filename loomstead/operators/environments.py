@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: What the environments accept.
-FRUITS = ("apple", "banana", "orange", "grape", "mango")
-TITLES = ("standup", "review", "demo", "planning")
-DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday")
+FRUITS = ("apples", "bananas", "oranges", "grapes", "mangoes")
+DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
+TITLES = ("Standup", "Review", "1:1", "Planning", "Demo")
 
 
 def _ok(state: Column, ok: Column, reason: Column, **fields: Column) -> Column:

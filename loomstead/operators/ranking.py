@@ -8,7 +8,7 @@ from ..functions.text import exploded
 from .similarity import small
 
 #: Words that carry no topic.
-STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "for")
+STOP_WORDS = ("the", "a", "an", "to", "for", "of", "in", "on", "and", "or", "with", "get", "set", "by", "from", "is", "it", "you", "me", "my")
 
 
 def terms(text: Column) -> Column:

@@ -7,6 +7,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import draw
 
 
+#: What each category weighs in an overall score; ``live`` is never measured offline.
+CATEGORY_WEIGHTS = {"agentic": 0.40, "multi_turn": 0.30, "simple": 0.0333, "multiple": 0.0333, "parallel": 0.0334, "irrelevance": 0.05, "clarify": 0.05, "live": 0.10}
+
+
+def weighted(accuracies: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS) -> DataFrame:
+    """One row (weighted): accuracies (category, accuracy) by weight, renormalised over those present; null if none is."""
+    table = accuracies.sparkSession.createDataFrame(list(weights.items()), "category string, weight double")
+    both = accuracies.join(F.broadcast(table), "category")  # a fixed short table
+    return both.agg((F.sum(F.col("weight") * F.col("accuracy")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("weighted"))
+
+
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of b against c discordant pairs; 1 without any. Summed in log space."""
     n, low = b + c, F.least(b, c)

@@ -88,9 +88,8 @@ SELECT round(sum(w * a) / nullif(sum(w), 0), 6) AS weighted FROM a JOIN w USING
 )
 def bfcl_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy by fixed weights, renormalised over the categories present; null if none is."""
-    acc = _rows(spark, sf_dir).groupBy("lang").agg(F.avg(F.col("correct").cast("double")).alias("a"))
-    weights = spark.createDataFrame([("en", 0.4), ("fr", 0.3), ("de", 0.2), ("xx", 0.1)], "lang string, w double")
-    return acc.join(F.broadcast(weights), "lang").agg(F.round(F.sum(F.col("w") * F.col("a")) / F.nullif(F.sum("w"), F.lit(0.0)), 6).alias("weighted"))
+    acc = _rows(spark, sf_dir).groupBy(F.col("lang").alias("category")).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    return stats.weighted(acc, {"en": 0.4, "fr": 0.3, "de": 0.2, "xx": 0.1}).select(F.round("weighted", 6).alias("weighted"))
 
 
 @query(f"WITH {_P}, f AS (SELECT source, avg(correct::INT) AS a FROM v GROUP BY source) SELECT round(CASE WHEN count(*) >= 2 THEN max(a) - min(a) END, 6) AS format_delta, count(*)::BIGINT AS formats FROM f")

@@ -207,7 +207,7 @@ SELECT user_id, s.q::BIGINT AS quantity, s.out AS checked_out, s.n::INT AS appli
 def cart_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final cart of each user: purchases add, errors remove, sign-ups check out; failed calls change nothing."""
     name = F.when(F.col("event_type") == "purchase", "add_item").when(F.col("event_type") == "error", "remove_item").when(F.col("event_type") == "signup", "checkout").otherwise("browse")
-    call = F.struct("ts", "event_id", name.alias("name"), F.lit("apple").alias("item"), F.lit(1).cast("bigint").alias("quantity"))
+    call = F.struct("ts", "event_id", name.alias("name"), F.lit("apples").alias("item"), F.lit(1).cast("bigint").alias("quantity"))
     calls = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
     state = calls.select("user_id", env.cart(F.col("calls")).alias("s"))
     total = F.aggregate("s.items", F.lit(0).cast("bigint"), lambda acc, x: acc + x["quantity"])

@@ -94,13 +94,13 @@ def test_relaxed_match(gold, got, kind, ok):
 
 def test_cart_and_calendar(spark):
     call = "array<struct<name:string,item:string,quantity:bigint>>"
-    runs = [[("add_item", "apple", 2), ("remove_item", "apple", 3), ("remove_item", "apple", 2), ("checkout", None, None)], [("add_item", "mango", 1), ("checkout", None, None), ("add_item", "apple", 1)]]
+    runs = [[("add_item", "apples", 2), ("remove_item", "apples", 3), ("remove_item", "apples", 2), ("checkout", None, None)], [("add_item", "mangoes", 1), ("checkout", None, None), ("add_item", "apples", 1)]]
     got = spark.createDataFrame([(r,) for r in runs], f"c {call}").select(environments.cart(F.col("c")).alias("s")).collect()
     assert [r.s.reasons for r in got] == [["ok", "removing more than present", "ok", "cannot check out empty cart"], ["ok", "ok", "cart already checked out"]]
     assert got[0].s["items"] == [] and got[1].s.checked_out and got[1].s.applied == 2
-    days = [[("create_event", "demo", "monday"), ("create_event", "demo", "friday"), ("move_event", "demo", "friday"), ("cancel_event", "review", None)]]
+    days = [[("create_event", "Demo", "Monday"), ("create_event", "Demo", "Friday"), ("move_event", "Demo", "Friday"), ("cancel_event", "Review", None)]]
     got = spark.createDataFrame([(r,) for r in days], "c array<struct<name:string,title:string,day:string>>").select(environments.calendar(F.col("c")).alias("s")).withColumn("d", environments.describe_calendar(F.col("s"))).first()
-    assert got.s.reasons == ["ok", "event already exists", "ok", "no such event"] and got.d == "calendar: demo on friday"
+    assert got.s.reasons == ["ok", "event already exists", "ok", "no such event"] and got.d == "calendar: Demo on Friday"
 
 
 def test_statistics(spark):

@@ -41,7 +41,7 @@ def test_rollouts(spark):
 
 def test_any_order(spark):
     call = "array<struct<name:string,item:string,quantity:bigint>>"
-    rows = [([("add_item", "apple", 1), ("add_item", "mango", 2)],), ([("add_item", "apple", 1), ("remove_item", "apple", 1)],)]
+    rows = [([("add_item", "apples", 1), ("add_item", "mangoes", 2)],), ([("add_item", "apples", 1), ("remove_item", "apples", 1)],)]
     got = spark.createDataFrame(rows, f"c {call}").select(injectable.any_order(F.col("c"), environments.cart, ["items", "checked_out"], 2)).collect()
     assert [r[0] for r in got] == [True, False]
 
