@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
         if existing.isDefined():
             return existing.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomstead-")
         spark.sparkContext.setCheckpointDir(named)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
