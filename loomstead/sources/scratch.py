@@ -13,7 +13,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:  # a local session: one machine
+        if not named:  # only a local session has one machine
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             named = "file://" + tempfile.mkdtemp(prefix="loomstead-")
         self.root, self.spark, self.count = f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}", spark, 0
 
