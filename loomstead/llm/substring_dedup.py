@@ -47,7 +47,8 @@ from .textbytes import column_bytes, mix, ragged, runs, span_hashes
 
 LENGTH = 50
 ANCHOR = 20
-BLOCK_BYTES = 8 << 20
+#: Text in one block; a task needs about 40 bytes of memory for each.
+BLOCK_BYTES = 4 << 20
 LEAST_BLOCKS = 64
 PIECE = 1 << 19
 _POS = np.uint64((1 << 24) - 1)
