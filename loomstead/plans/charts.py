@@ -168,7 +168,8 @@ def chart_eval_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(regexp_replace(lower(substr(text, 1, 80)), '[ \\t\\r\\n]+', ' ', 'g')), n_chars::VARCHAR")
 def chart_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First row of each (normalised question, answer text)."""
+    """First row of each (normalised question, answer text); the whole text is hashed before it is shuffled."""
     from ..functions.text import collapsed
 
-    return table(spark, sf_dir, "documents").groupBy(collapsed(F.substring("text", 1, 80)).alias("q"), F.col("n_chars").cast("string").alias("a")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    key = F.sha2(collapsed(F.col("text")), 256)
+    return table(spark, sf_dir, "documents").groupBy(key.alias("q"), F.col("n_chars").cast("string").alias("a")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
