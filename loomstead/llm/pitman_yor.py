@@ -44,8 +44,6 @@ BURN_IN, SAMPLES = 3, 3
 FOLDS = 10
 BLOCK_BYTES = 8 << 20
 HOT = 256
-#: Customers of one (context, word) that move in one sweep; more would not change t much.
-MOVES = 64
 _EXACT = 128
 _END, _START = np.uint64(0xE7D5C3B1A9978563), np.uint64(0x1F2E3D4C5B6A7988)
 
@@ -94,19 +92,32 @@ class Seating:
         self.t = np.clip(np.rint(1 + weight * np.log((weight + self.c) / (weight + 1))), 1, self.c).astype(np.int64)
 
     def sweep(self, tables_here: np.ndarray, parent: np.ndarray) -> None:
-        """Move up to MOVES customers of each pair; ``tables_here``: of the pair's restaurant."""
-        live = np.flatnonzero(self.c > 1)
-        for k in range(MOVES):
-            live = live[self.c[live] > max(k, 1)]
-            if not len(live):
-                break
-            c, t = self.c[live], self.t[live]
-            small = c <= _EXACT
-            lone = np.where(small, self.alone[np.minimum(c, _EXACT), np.minimum(t, _EXACT)], np.minimum(1, self.d * (t - 1) / c))
-            left = t - (self.rng.random(len(live)) < lone)
-            fresh = (self.theta + self.d * (tables_here[live] - t + left)) * parent[live]
-            old = c - 1 - self.d * left
-            self.t[live] = left + (self.rng.random(len(live)) < fresh / (fresh + old))
+        """Move as many customers of each pair as it has; ``tables_here``: of the pair's restaurant.
+
+        Most moves leave the table count as it was. How many pass until one doesn't is geometric
+        while the count stands still, so only moves that change it are drawn.
+        """
+        at = np.flatnonzero(self.c > 1)
+        c, t, left = self.c[at], self.t[at], self.c[at].astype(float)
+        other, above = (tables_here - self.t)[at], parent[at]
+        while len(at):
+            lone = np.where(c <= _EXACT, self.alone[np.minimum(c, _EXACT), np.minimum(t, _EXACT)], self.d * (t - 1) / c)
+            lone = np.where(t < c, lone, 1.0)
+            up = (1 - lone) * self._fresh(c, t, other + t, above)
+            down = lone * (1 - self._fresh(c, t - 1, other + t - 1, above))
+            change = np.minimum(up + down, 1.0)
+            with np.errstate(divide="ignore"):
+                left -= 1 + np.floor(np.log1p(-self.rng.random(len(at))) / np.log1p(-np.maximum(change, 1e-300)))
+            t = np.where(left < 0, t, np.where(self.rng.random(len(at)) * change < up, t + 1, t - 1))
+            done = left < 1
+            if done.any():
+                self.t[at[done]] = t[done]
+                at, c, t, left, other, above = (x[~done] for x in (at, c, t, left, other, above))
+
+    def _fresh(self, c: np.ndarray, t: np.ndarray, tables_here: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Chance that the one customer who is up opens a table, where the others sit at ``t``."""
+        fresh = (self.theta + self.d * tables_here) * parent
+        return fresh / (fresh + np.maximum(c - 1 - self.d * t, 0))
 
 
 def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
