@@ -46,8 +46,8 @@ _HEDGES = ("I might be wrong, but ", "Not sure if you can, ", "If possible, ")
 def over_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hedge before the query, its first letter lower-cased; the gold call stays."""
     hedge = F.element_at(F.array(*map(F.lit, _HEDGES)), (draw("hedge", F.col("doc_id")) % 3 + 1).cast("int"))
-    made = F.concat(hedge, F.lower(F.substring("text", 1, 1)), F.substring("text", 2, 60))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", made.alias("query"), F.lit("call").alias("answer"))
+    made = F.concat(hedge, F.lower(F.substring("text", 1, 1)), F.substr("text", F.lit(2)))
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", made.alias("query"), F.lit("call").alias("answer"))
 
 
 @query("SELECT p_partkey AS tool, (['size', 'brand', 'type'])[('0x' || substr(md5('drop|' || p_partkey), 1, 8))::BIGINT % 3 + 1] AS dropped, list_filter(['size', 'brand', 'type'], lambda x: x <> (['size', 'brand', 'type'])[('0x' || substr(md5('drop|' || p_partkey), 1, 8))::BIGINT % 3 + 1]) AS given, 'clarify' AS answer FROM part")

@@ -21,3 +21,13 @@ def test_chart_exact_dedup_reads_whole_texts(spark, written):
     texts = [opening + "one", opening + "TWO", opening + "two", opening + "three"]
     sf = written("documents", [(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     assert sorted(r.doc_id for r in plans.QUERIES["chart_exact_dedup"](spark, sf).collect()) == [0, 1, 3]
+
+
+def test_over_refusal_keeps_whole_requests_of_all_languages(spark, written):
+    long = "Compare the two offers " * 10
+    sf = written("documents", [(1, long, "en"), (2, "Été" + long, "fr"), (3, "X", "es"), (4, "", "en"), (5, None, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in plans.QUERIES["over_refusal"](spark, sf).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert got[1].query.endswith(", c" + long[1:]) or got[1].query.endswith("but c" + long[1:])
+    assert got[2].query.endswith("été" + long) and got[3].query.endswith(" x")
+    assert {r.answer for r in got.values()} == {"call"}
