@@ -73,9 +73,8 @@ SELECT doc_id, CASE WHEN instr(lower(t), '<think>') = 0 THEN t WHEN instr(substr
 )
 def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer part of outputs with no, closed, open and repeated reasoning blocks."""
-    head = F.substring("text", 1, 40)
-    k = F.col("doc_id") % 4
-    made = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("<think>why</think>"), head)).when(k == 2, F.concat(F.lit("<THINK>open "), head)).otherwise(F.concat(F.lit("x<think>a</think>b</think>"), head))
+    text, k = F.col("text"), F.col("doc_id") % 4
+    made = F.when(k == 0, text).when(k == 1, F.concat(F.lit("<think>why</think>"), text)).when(k == 2, F.concat(F.lit("<THINK>open "), text)).otherwise(F.concat(F.lit("x<think>a</think>b</think>"), text))
     return table(spark, sf_dir, "documents").select("doc_id", without_thinking(made).alias("answer"))
 
 

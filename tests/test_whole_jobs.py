@@ -31,3 +31,11 @@ def test_over_refusal_keeps_whole_requests_of_all_languages(spark, written):
     assert got[1].query.endswith(", c" + long[1:]) or got[1].query.endswith("but c" + long[1:])
     assert got[2].query.endswith("été" + long) and got[3].query.endswith(" x")
     assert {r.answer for r in got.values()} == {"call"}
+
+
+def test_strip_think_passes_whole_texts(spark, written):
+    long = "A long answer with <b>tags</b> and </think> further on. " * 5
+    sf = written("documents", [(i, long, "en") for i in range(4)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.answer for r in plans.QUERIES["strip_think"](spark, sf).collect()}
+    assert got[0] == got[1] == long and got[3] == "b</think>" + long
+    assert got[2] == long[long.index("</think>") + len("</think>") :]
