@@ -89,9 +89,16 @@ def artifact_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest, count(*)::BIGINT AS n FROM documents WHERE doc_id < 0 OR lang = 'es'")
 def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of a set of rows that doesn't depend on their order (the Spanish slice)."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'es'")
-    return docs.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ""), 256).alias("digest"), F.count("*").alias("n"))
+    """Digest of all rows that doesn't depend on their order.
+
+    Distinct row digests with their counts are sorted in buckets of the digest's first four digits, and
+    the digests of the buckets, 65,537 at most, are digested in turn. A null text has an empty row digest.
+    """
+    rows = table(spark, sf_dir, "documents").groupBy(F.coalesce(F.sha2("text", 256), F.lit("")).alias("h")).agg(F.count("*").alias("n"))
+    counted = F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("n").cast("string"), F.lit(";"))))
+    buckets = rows.groupBy(F.substring("h", 1, 4).alias("bucket")).agg(F.sha2(F.array_join(counted, ""), 256).alias("d"), F.sum("n").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda b: b["d"])
+    return buckets.agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query("SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents ORDER BY turn, lang, source, doc_id LIMIT 100")

@@ -1,5 +1,8 @@
 """Queries over whole texts and all rows, on small tables that the registered SQL does not tell apart."""
 
+import hashlib
+from collections import Counter
+
 import pytest
 
 from loomstead import plans
@@ -39,3 +42,22 @@ def test_strip_think_passes_whole_texts(spark, written):
     got = {r.doc_id: r.answer for r in plans.QUERIES["strip_think"](spark, sf).collect()}
     assert got[0] == got[1] == long and got[3] == "b</think>" + long
     assert got[2] == long[long.index("</think>") + len("</think>") :]
+
+
+def test_dataset_digest_is_of_all_rows(spark, written, tmp_path):
+    schema, rows = "doc_id long, text string, lang string", [(i, f"text {i}", ("es", "en", "fr")[i % 3]) for i in range(60)]
+
+    def digest(name, rows):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return plans.QUERIES["dataset_digest"](spark, f"{tmp_path}/{name}").first()
+
+    rows.append((60, "text 1", "en"))
+    sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    buckets = {}
+    for h, n in Counter(sha([text]) for _, text, _ in rows).items():
+        buckets.setdefault(h[:4], []).append(f"{h}:{n};")
+    whole = digest("whole", rows)
+    assert whole == digest("turned", rows[::-1]) == (sha(sha(sorted(buckets[b])) for b in sorted(buckets)), 61)
+    assert digest("changed", [*rows[:1], (1, "text 1.", "en"), *rows[2:]]).digest != whole.digest
+    assert digest("lost", rows[:-1]).digest != whole.digest
+    assert digest("null", [*rows, (61, None, "en")]).digest != whole.digest
