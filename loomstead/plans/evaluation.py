@@ -157,10 +157,13 @@ def robustness_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(x.lang, y.lang) AS condition, round(b, 6) AS base, round(f, 6) AS ft, round(f - b, 6) AS delta FROM x FULL OUTER JOIN y ON x.lang = y.lang"""
 )
 def conditions_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of the two systems' conditions; a missing side is null."""
+    """Union of the two systems' conditions, each over all its rows; a missing side is null."""
     rows = _rows(spark, sf_dir)
-    x = rows.where("doc_id % 2 = 0").groupBy("lang").agg(F.avg("base").alias("b"))
-    y = rows.where("doc_id % 2 = 1 AND lang <> 'es'").groupBy("lang").agg(F.avg("ft").alias("f"))
+    return _outer(rows.select("lang", "base"), rows.select("lang", "ft"))
+
+
+def _outer(base: DataFrame, ft: DataFrame) -> DataFrame:
+    x, y = base.groupBy("lang").agg(F.avg("base").alias("b")), ft.groupBy("lang").agg(F.avg("ft").alias("f"))
     return x.join(y, "lang", "full_outer").select(F.col("lang").alias("condition"), F.round("b", 6).alias("base"), F.round("f", 6).alias("ft"), F.round(F.col("f") - F.col("b"), 6).alias("delta"))
 
 
