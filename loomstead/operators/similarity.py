@@ -13,6 +13,8 @@ from ..sources.scratch import Scratch
 BROADCAST_ROWS = 200_000
 #: Vectors of one dense block.
 BLOCK = 1024
+#: Tables of rounds that are read side by side; then they are written as one.
+GONE_TABLES = 32
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -117,26 +119,34 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("grp", "p", "q").applyInArrow(run, f"grp {kinds['grp']}, i {kinds['id']}, j {kinds['id']}, cosine double")
 
 
-def keep_first(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def keep_first(nodes: DataFrame, edges: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
     """(id, kept): a node goes if an earlier node that stays is similar to it.
 
     Rounds over the edge table: a node whose earlier neighbours have all gone stays, one with
     an earlier neighbour that stays goes. Each round decides at least the first
-    undecided node of every component; tables of a round are written out.
+    undecided node of every component; tables of a round are written out. Once no more than ``few``
+    edges are undecided (a long chain of links decides two nodes a round), the driver walks them in order.
     """
-    scratch, gone = Scratch(nodes.sparkSession), None
+    scratch, gone, rounds = Scratch(nodes.sparkSession), None, 0
     undecided = scratch.cut(edges.select("i", "j").distinct())
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    while undecided.limit(few + 1).count() > few:
         later = undecided.select(F.col("j").alias("id")).distinct()
         stay = undecided.select(F.col("i").alias("id")).distinct().join(later, "id", "left_anti")
         out = undecided.join(stay.withColumnRenamed("id", "i"), "i", "left_semi").select(F.col("j").alias("id")).distinct()
         out = scratch.cut(out)
         gone = out if gone is None else gone.union(out)
+        rounds += 1
+        gone = gone if rounds % GONE_TABLES else scratch.cut(gone.coalesce(nodes.sparkSession.sparkContext.defaultParallelism))
         rest = undecided.join(stay.withColumnRenamed("id", "i"), "i", "left_anti")
         rest = rest.join(out.withColumnRenamed("id", "i"), "i", "left_anti").join(out.withColumnRenamed("id", "j"), "j", "left_anti")
         undecided = scratch.cut(rest.select("i", "j"))
+    last: set = set()
+    for i, j in undecided.orderBy("j").collect():  # at most ``few`` rows; an edge's first node is decided before it
+        if i not in last:
+            last.add(j)
+    if last:
+        rest = nodes.sparkSession.createDataFrame([(j,) for j in last], f"id {edges.schema['j'].dataType.simpleString()}")
+        gone = rest if gone is None else gone.union(rest)
     if gone is None:
         return nodes.select("id", F.lit(True).alias("kept"))
     return nodes.select("id").join(gone.withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("kept"))
