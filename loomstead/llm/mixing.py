@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     targets = word_targets([words_of[name] for name in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(name, words_of[name], t) for name, t in zip(found, targets, strict=True)], "plan_source string, source_size long, target double")
-    ranked = positions(sized, "source", ["size", "doc_id", "_tie"], "doc_id", [(r["source"], r["_class"], r["n"]) for r in classes], coarse="_class").drop("_class", "_tie")
+    ranked = positions(sized, "source", ["size", "doc_id", "_tie"], None, [(r["source"], r["_class"], r["n"]) for r in classes], coarse="_class").drop("_class", "_tie")
     joined = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("_each", each)
