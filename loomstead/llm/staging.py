@@ -6,7 +6,10 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: A key is hot with over 1 / HOT_KEYS of the rows, and MIN_HOT of them.
+HOT_KEYS, MIN_HOT = 2000, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +39,22 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``left`` with the one row of ``right`` of its keys; ``count`` is how many rows of ``left`` have them.
+
+    ``total`` is the number of those rows. Keys with over 1 / ``HOT_KEYS`` of them (so fewer than ``HOT_KEYS`` keys)
+    are joined where the rows are, so a key with a third of all rows never meets in one task. ``left`` is read
+    twice and ``right`` is a written table. Rows whose keys are null or unknown are dropped.
+    """
+    least = max(MIN_HOT, total // HOT_KEYS)
+    hot = right.where(F.col(count) > least).drop(count)
+    if hot.isEmpty():
+        return left.join(right.drop(count), keys)
+    there = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.where(F.col(count) <= least).drop(count), keys)
+    return there.unionByName(rest)
+
+
 class Masked:
     """A table whose columns other than ``own`` have neutral names for a while, so none can clash."""
 
