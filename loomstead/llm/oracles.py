@@ -47,19 +47,14 @@ WITH sized AS (
 ), ranked AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
-         (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) - 1)::DOUBLE AS pos
+         row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) - 1 AS r, count(*) OVER (PARTITION BY s.source) AS n,
+         ('0x' || substr(md5('17|' || coalesce('s' || s.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), draws AS (
-  SELECT source, draw, ('0x' || substr(md5('17|' || draw || '|' || coalesce('s' || source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
-  FROM src, range(16) r(draw)
-), tried AS (
-  SELECT r.source, d.draw, d.u, abs(sum((floor((pos + 1) * e + u) - floor(pos * e + u))::BIGINT * size) - any_value(target)) AS miss
-  FROM ranked r JOIN draws d ON r.source IS NOT DISTINCT FROM d.source GROUP BY ALL
-), best AS (
-  SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, draw) = 1
+), placed AS (
+  SELECT *, (CASE WHEN r % 2 = 0 THEN r // 2 ELSE n - 1 - r // 2 END)::DOUBLE AS pos FROM ranked
 )
 SELECT doc_id, size, source_size, target, (floor((pos + 1) * e + u) - floor(pos * e + u))::BIGINT * size AS taken
-FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
+FROM placed
 """
 
 ORACLES = {"op4_url_rules": OP4, "op9_systematic_mix": OP9}

@@ -2,69 +2,25 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Rows that one sorted run should hold at most, on average.
-RUN_ROWS = 1000
-#: Sampled rows for each bound between runs that are ranges.
-OVERSAMPLE = 8
-
-
-def positions(df: DataFrame, group: str, order: list[str], salt: str | None, sizes: list[tuple], run_rows: int | None = None, coarse: str | None = None) -> DataFrame:
-    """Adds ``position``: 0, 1, ... within ``group``, by (coarse, salted run, order), or by (coarse, order) without a salt.
-
-    A group is cut into runs by ``coarse`` and a hash of ``salt``, or by ranges of ``order``; runs are counted
-    (partial aggregation, one row a run), their offsets are running sums over those
-    counts, and only rows of one run are sorted together. ``sizes`` holds (group, coarse,
-    rows), a bounded list; the number of runs follows the rows, so a group with a third of
-    all rows is spread over many tasks. Nulls form a group of their own.
-    """
-    run_rows = run_rows or RUN_ROWS
-    df = df.withColumn("_coarse", F.col(coarse).cast("long") if coarse else F.lit(0).cast("long"))
-    if salt is None:
-        df = _ranges(df, group, order, [(g, int(c or 0)) for g, c, n in sizes if n > run_rows], run_rows)
-    else:
-        plan = df.sparkSession.createDataFrame([(g, int(c or 0), max(1, -(-n // run_rows))) for g, c, n in sizes], f"_pg {df.schema[group].dataType.simpleString()}, _pc long, _runs int")
-        df = df.join(F.broadcast(plan), F.col(group).eqNullSafe(F.col("_pg")) & (F.col("_coarse") == F.col("_pc")), "left").drop("_pg", "_pc")
-        number = F.conv(F.substring(F.md5(F.coalesce(F.col(salt).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-        df = df.withColumn("_run", F.pmod(number, F.coalesce("_runs", F.lit(1))).cast("int")).drop("_runs")
-    keys = [F.col(group), F.col("_coarse"), F.col("_run")]
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_coarse", "_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(group).alias("_g"), F.col("_coarse").alias("_c"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ranked = df.withColumn("_inside", inside)
-    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_coarse") == F.col("_c")) & (F.col("_run") == F.col("_r")), "left")
-    return joined.withColumn("position", F.col("_before") + F.col("_inside") - 1).drop("_run", "_coarse", "_inside", "_g", "_c", "_r", "_before")
+from .staging import Stage, fresh
 
 
-def _ranges(df: DataFrame, group: str, order: list[str], large: list[tuple], run_rows: int) -> DataFrame:
-    """Adds ``_run``: the range of ``order`` that a row of a ``large`` (group, coarse) falls into; 0 in others.
+def positions(df: DataFrame, group: str, order: list[str], stage: Stage) -> DataFrame:
+    """Adds ``position``: 0, 1, ... within ``group`` by ``order``; nulls are a group of their own.
 
-    Bounds are every few rows of a sample by hash, about one for ``run_rows`` rows, so where they lie changes
-    the balance of runs only. A row finds its range in two steps, among firsts of chunks and within one.
+    Rows are dealt by ranges of (group, order) and written with the number of their range, so a group with a
+    third of all rows lies in many ranges. Ranges are counted (partial aggregation, one row a group and range),
+    their offsets are running sums over those counts, and only rows of one range are sorted together. Ranges
+    of one group follow each other, so where they are cut doesn't change a position. ``df`` should be narrow
+    and cheap to read: its bounds are sampled from it.
     """
-    if not large:
-        return df.withColumn("_run", F.lit(0))
-    spark, kind = df.sparkSession, df.schema[group].dataType.simpleString()
-    met = F.col(group).eqNullSafe(F.col("_pg")) & (F.col("_coarse") == F.col("_pc"))
-    step = max(1, run_rows // OVERSAMPLE)
-    sample = df.where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).join(F.broadcast(spark.createDataFrame(large, f"_pg {kind}, _pc long")), met)
-    place = F.row_number().over(Window.partitionBy("_pg", "_pc").orderBy(*order))
-    every = sample.select("_pg", "_pc", *order).withColumn("_k", place).where(F.col("_k") % max(1, run_rows // step) == 0)
-    bounds: dict = {}
-    for r in every.select("_pg", "_pc", *order).distinct().orderBy("_pg", "_pc", *order).collect():  # one row for run_rows rows
-        bounds.setdefault((r[0], r[1]), []).append(tuple(r[2:]))
-    plan = []
-    for (g, c), found in bounds.items():
-        n = math.isqrt(len(found) - 1) + 1
-        chunks = [found[i : i + n] for i in range(0, len(found), n)]
-        plan.append((g, c, n, [x[0] for x in chunks], chunks))
-    key = "struct<" + ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in order) + ">"
-    df = df.join(F.broadcast(spark.createDataFrame(plan, f"_pg {kind}, _pc long, _n int, _firsts array<{key}>, _chunks array<array<{key}>>")), met, "left")
-    upto = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.struct(*order)))
-    df = df.withColumn("_chunk", F.when(F.col("_n").isNotNull(), upto(F.col("_firsts"))).otherwise(0))
-    inside = (F.col("_chunk") - 1) * F.col("_n") + upto(F.element_at("_chunks", F.col("_chunk")))
-    return df.withColumn("_run", F.when(F.col("_chunk") > 0, inside).otherwise(0)).drop("_pg", "_pc", "_n", "_firsts", "_chunks", "_chunk")
+    part, before, inside = (fresh(df.columns, name) for name in ("_range", "_before", "_inside"))
+    dealt = stage.cut(df.repartitionByRange(F.col(group), *[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(group, part).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(group).alias("_g"), F.col(part).alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before))
+    ranked = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(group, part).orderBy(*order)))
+    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col(part) == F.col("_r")))
+    return joined.withColumn("position", F.col(before) + F.col(inside) - 1).drop(part, before, inside, "_g", "_r")

@@ -1,4 +1,4 @@
-"""op9 draws what its SQL draws however many runs a size class is cut into."""
+"""op9 draws what its SQL draws however many ranges its order is cut into."""
 
 import os
 
@@ -7,15 +7,30 @@ import pytest
 
 from conftest import DATA
 from loomstead.llm import queries, ranking
+from loomstead.llm.staging import Stage
 
 SF = f"{DATA}/sf0.01"
 NAME = "op9_systematic_mix"
 
 
-@pytest.mark.parametrize("run_rows", [1, 3])
-def test_op9_order_is_the_same_in_runs(spark, monkeypatch, run_rows):
-    monkeypatch.setattr(ranking, "RUN_ROWS", run_rows)
-    monkeypatch.setattr(ranking, "OVERSAMPLE", 1)
+@pytest.fixture
+def cut(spark):
+    """Sets the number of ranges, and keeps small ones apart."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+
+    def to(n):
+        spark.conf.set(names[0], n)
+        spark.conf.set(names[1], "false")
+
+    yield to
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("ranges", [1, 40])
+def test_op9_order_is_the_same_in_ranges(spark, cut, ranges):
+    cut(ranges)
     con = duckdb.connect()
     for file in os.listdir(SF):
         con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
@@ -26,14 +41,15 @@ def test_op9_order_is_the_same_in_runs(spark, monkeypatch, run_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("salted", [False, True])
-def test_positions_follow_the_order_without_a_salt(spark, salted):
-    rows = [("a" if i % 3 else None, i * 37 % 10, None if i % 11 == 0 else i * 101 % 400) for i in range(400)]
-    df = spark.createDataFrame(rows, "g string, size long, id long")
-    sizes = [(r["g"], 0, r["count"]) for r in df.groupBy("g").count().collect()]
-    out = ranking.positions(df, "g", ["size", "id"], "id" if salted else None, sizes, run_rows=20).collect()
+@pytest.mark.parametrize("ranges", [1, 3, 25])
+def test_positions_follow_the_order(spark, cut, ranges):
+    cut(ranges)
+    rows = [("a" if i % 3 else None, i * 37 % 10, None if i % 11 == 0 else i * 101 % 400, 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, size long, id long, _range int")
+    out = ranking.positions(df, "g", ["size", "id"], Stage(spark, "test")).collect()
+    assert len(out) == len(rows) and {r._range for r in out} == {5}
     for g in ("a", None):
         mine = sorted((r for r in out if r.g == g), key=lambda r: r.position)
         assert [r.position for r in mine] == list(range(len(mine)))
         order = [(r.size, -1 if r.id is None else r.id) for r in mine]
-        assert (order == sorted(order)) is not salted
+        assert order == sorted(order)
