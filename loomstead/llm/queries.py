@@ -37,7 +37,7 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.draw(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -64,10 +64,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    found = simhash.near_fingerprints(simhash.edited_fingerprints(_table(spark, sf_dir, "documents")))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fp")).alias("fingerprint"), simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
-        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",
     )
 
 

@@ -5,7 +5,9 @@ it has one word). Each distinct term votes with weight ``16 (1 + ln tf)``, round
 or against each of 64 bits by its hash; the sign of the sum is the bit. The search
 permutes the fingerprint's blocks: a table for every choice of ``blocks - radius``
 blocks is keyed by those blocks, so two fingerprints within ``radius`` bits share a
-key in at least one table.
+key in at least one table. The number of blocks follows the number of fingerprints, so
+that keys tell them apart. Fingerprints are searched once each, whatever the number of
+documents that have them.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint
 0; equal texts have equal fingerprints; ties of a vote give bit 0; null ids come last; rows that share a
@@ -17,18 +19,22 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .textbytes import CHUNK_BYTES, Texts, lowered, shingle_hashes, span_hashes, text_chunks, words
+from .staging import Stage, spread_join
+from .textbytes import CHUNK_BYTES, Texts, lowered, mix, runs, shingle_hashes, span_hashes, text_chunks, words
 
 BITS = 64
 #: Rows of one ordered run when documents are put in order.
 RUN_ROWS = 2000
 FAN = 256
+#: Entries of tables that are searched together, about.
+DEAL_ROWS = 1 << 19
 
 
 def fingerprints(texts: Texts) -> np.ndarray:
@@ -163,6 +169,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return flat.mapInArrow(second, f"`{id_col}` {kind}, n_chars bigint, fp bigint, next_fp bigint, edited_sha256 string, edited_fp bigint")
 
 
+def key_blocks(n: int, radius: int) -> int:
+    """Blocks so that a table's key tells about as many values apart as there are fingerprints."""
+    blocks = radius + 1
+    while BITS * (blocks - radius) / blocks < math.log2(max(n, 2)) - 2 and blocks < 4 * radius + 4:
+        blocks += 1
+    return blocks
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """For every choice of ``blocks - radius`` blocks the bits they cover."""
     edge = [round(i * BITS / blocks) for i in range(blocks + 1)]
@@ -170,20 +184,86 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [sum(part[i] for i in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
 
 
-def within_radius(fps: DataFrame, radius: int = 3, blocks: int = 6, col: str = "fp") -> DataFrame:
-    """Pairs (a, b, distance) of distinct fingerprints, a < b as signed longs, at most ``radius`` bits apart.
+def _dealt(masks: np.ndarray, deals: int):
+    """Packed rows (deal, i, j, side, fps, copies): every fingerprint once a table, dealt by its key; hot keys are cut later."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            copies = batch.column(1).to_numpy()
+            for t, mask in enumerate(masks):
+                key = mix((fp & mask) ^ mix(np.full(len(fp), t + 1, np.uint64)))
+                deal = (key % np.uint64(deals)).astype(np.int64)
+                order = np.argsort(deal, kind="stable")
+                spans = runs(deal[order])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(deal[order[x]]) for x, _ in spans], pa.int64()), pa.array([t] * len(spans), pa.int32()), pa.array([fp[order[x:y]].tobytes() for x, y in spans], pa.binary()), pa.array([copies[order[x:y]].tobytes() for x, y in spans], pa.binary())],
+                    ["deal", "t", "fps", "copies"],
+                )
+
+    return run
+
+
+def _near(masks: np.ndarray, radius: int):
+    """(fp, near): copies of others within the radius, of the pairs that meet first in the table at hand."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        fps, copies = ([np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("fps", np.uint64), ("copies", np.int64)))
+        t = np.repeat(table.column("t").to_numpy(), [len(x) for x in fps])
+        fp, copies = np.concatenate(fps), np.concatenate(copies)
+        found_fp, found_n = [], []
+        for table_no in np.unique(t):
+            here = np.flatnonzero(t == table_no)
+            x, c, mask = fp[here], copies[here], masks[table_no]
+            order = np.lexsort((x, x & mask))
+            x, c, key = x[order], c[order], (x & mask)[order]
+            near = np.zeros(len(x), np.int64)
+            left = np.arange(len(x) - 1)  # those whose neighbour at the distance at hand still has their key
+            step = 1
+            while len(left):
+                left = left[key[left] == key[np.minimum(left + step, len(x) - 1)]]
+                left = left[left + step < len(x)]
+                diff = x[left] ^ x[left + step]
+                hit = np.bitwise_count(diff) <= radius
+                for earlier in masks[:table_no]:
+                    hit &= (diff & earlier) != 0
+                a = left[hit]
+                near[a] += c[a + step]
+                near[a + step] += c[a]
+                step += 1
+            some = np.flatnonzero(near)
+            found_fp.append(x[some])
+            found_n.append(near[some])
+        return pa.table({"fp": pa.array(np.concatenate(found_fp).view(np.int64)), "near": pa.array(np.concatenate(found_n))})
+
+    return run
+
+
+def within_radius(fps: DataFrame, radius: int = 3, col: str = "fp", count: str = "copies") -> DataFrame:
+    """(fp, near) of distinct fingerprints with others at most ``radius`` bits apart: how many copies those have.
+
+    ``fps`` has each fingerprint once, with its number of copies, as a written table. A table is a choice of
+    blocks; fingerprints that agree in all blocks of a choice meet there. A pair counts in the first table it
+    meets in, so pairs are never written. Null fingerprints are left out; an empty table gives an empty table.
+    """
+    n = fps.count()
+    masks = np.array(block_masks(radius, key_blocks(n, radius)), np.uint64)
+    deals = max(1, n * len(masks) // DEAL_ROWS)
+    sent = fps.where(F.col(col).isNotNull()).select(col, F.col(count).cast("long")).mapInArrow(_dealt(masks, deals), "deal bigint, t int, fps binary, copies binary")
+    found = sent.groupBy("deal").applyInArrow(_near(masks, radius), "fp bigint, near bigint")
+    return found.groupBy("fp").agg(F.sum("near").alias("near"))
+
+
+def near_fingerprints(found: DataFrame, radius: int = 3) -> DataFrame:
+    """``found`` with ``n_near``: other rows whose fingerprint ``fp`` is at most ``radius`` bits away.
 
-    The pairs are between class representatives: equal fingerprints are one row.
-    A pair is reported from the first table it meets in, so no distinct is needed.
+    ``found`` is written once and read again.
     """
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(m) for m in block_masks(radius, blocks)]
-    each = fps.select(F.col(col).alias("fp")).distinct().select("fp", F.explode_outer(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("e"))
-    side = each.select("fp", "e.t", "e.k")
-    a, b = side.withColumnRenamed("fp", "a"), side.withColumnRenamed("fp", "b")
-    both = a.join(b, ["t", "k"]).where("a < b")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    earlier = F.lit(len(masks))
-    for t in reversed(range(len(masks))):
-        earlier = F.when(diff.bitwiseAND(F.lit(masks[t])) == 0, F.lit(t)).otherwise(earlier)
-    return both.where((F.bit_count(diff) <= radius) & (earlier == F.col("t"))).select("a", "b", F.bit_count(diff).alias("distance"))
+    stage = Stage(found.sparkSession, "simhash")
+    found = stage.cut(found)
+    each = stage.cut(found.groupBy("fp").agg(F.count("*").alias("copies")), narrow=True)
+    near = within_radius(each, radius)
+    known = stage.cut(each.join(near, "fp", "left").select("fp", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_near")), narrow=True)
+    total = each.agg(F.sum("copies")).first()[0] or 0
+    return spread_join(found, known, ["fp"], "copies", total)
