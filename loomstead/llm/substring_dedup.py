@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .staging import Masked
-from .textbytes import column_bytes, mix, ragged, runs, span_hashes
+from .textbytes import column_bytes, equal_spans, mix, ragged, runs, span_hashes
 
 LENGTH = 50
 ANCHOR = 20
@@ -65,13 +65,16 @@ class Block:
         data, offsets = column_bytes(text)
         self.null_ids = np.asarray(ids.is_null()) if len(ids) else np.zeros(0, bool)
         plain = np.asarray(ids.fill_null(_LAST)).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        order = np.lexsort((span_hashes(data, offsets[:-1], offsets[1:]), plain))
-        sizes = np.diff(offsets)[order]
+        order = np.argsort(plain, kind="stable")
+        raw = memoryview(data)
+        for a, b in runs(plain[order]):
+            if b - a > 1:  # rows that share an id stand by their bytes
+                order[a:b] = sorted(order[a:b], key=lambda k: hashlib.sha256(raw[offsets[k] : offsets[k + 1]]).digest())
         self.order = order
         self.ids, self.null_ids = plain[order], self.null_ids[order]
-        self.data = data[ragged(offsets[:-1][order], sizes)]
-        self.offsets = np.r_[0, np.cumsum(sizes)]
-        self.sizes = sizes
+        self.sizes = np.diff(offsets)[order]
+        self.offsets = np.r_[0, np.cumsum(self.sizes)]
+        self.data = np.frombuffer(b"".join([raw[offsets[k] : offsets[k + 1]] for k in order]), np.uint8)
 
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, number of windows, row, anchor hash and place of the anchor of every segment."""
@@ -145,6 +148,21 @@ def keys_of(raw: bytes) -> np.ndarray:
     return wide.view(np.uint64)[:, 0]
 
 
+def alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each span, equal where all bytes are equal: hashes, each confirmed against the first span that has it."""
+    same = span_hashes(data, starts, starts + sizes)
+    order = np.argsort(same, kind="stable")
+    lead = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]]) if len(order) else order
+    first = order[np.repeat(lead, np.diff(np.r_[lead, len(order)]))]
+    other = np.flatnonzero(first != order)
+    one, two = first[other], order[other]
+    right = sizes[one] == sizes[two]
+    right[right] = equal_spans(data, starts[one[right]], starts[two[right]], sizes[one[right]])
+    if not right.all():  # two strings with one hash: number the strings themselves
+        return np.unique(np.array([data[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)], object), return_inverse=True)[1].astype(np.uint64)
+    return same
+
+
 def _find_anchors(parts: int):
     def run(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
@@ -207,7 +225,7 @@ def _cut_segments(parts: int):
             good = shared[at] == key
             starts, counts, rows, anchors, spots = starts[good], counts[good], rows[good], anchors[good], spots[good]
             sizes = counts + LENGTH - 1
-            same = span_hashes(block.data, starts, starts + sizes)
+            same = alike(block.data, starts, sizes)
             order = np.lexsort((starts, same))  # rows ascend with starts, and ids with rows
             starts, sizes, rows, anchors, spots, same = starts[order], sizes[order], rows[order], anchors[order], spots[order], same[order]
             first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
@@ -410,7 +428,7 @@ def _judge(table: pa.Table) -> pa.Table:
         rows, n_places, places = join("rows", np.int32), join("n_places", np.int32).astype(np.int64), join("places", np.int32)
         block = np.repeat([cols["block"][i] for i in use], [len(cols["sizes"][i]) for i in use])
         offsets = np.cumsum(sizes) - sizes
-        _, first, which = np.unique(span_hashes(data, offsets, offsets + sizes), return_index=True, return_inverse=True)
+        _, first, which = np.unique(alike(data, offsets, sizes), return_index=True, return_inverse=True)
         least = np.full(len(first), _LAST)
         np.minimum.at(least, which, ids)
         d_sizes = sizes[first]

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Bytes that are hashed or compared at a time.
+HASH_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -99,13 +101,39 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand; ``starts`` ascend.
+
+    Works on stretches of about ``HASH_BYTES`` (one span at least), so its memory doesn't grow with the data.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + HASH_BYTES, "right")))
+        base = int(starts[lo])
+        stretch = data[base : int(ends[lo:hi].max())]
+        begin, end = starts[lo:hi] - base, ends[lo:hi] - base
+        up, down = powers(len(stretch) + 1)
+        sums = np.zeros(len(stretch) + 1, np.uint64)
+        np.add(stretch, np.uint64(1), out=sums[1:], dtype=np.uint64)
+        sums[1:] *= up[: len(stretch)]
+        np.cumsum(sums, out=sums)
+        out[lo:hi] = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        lo = hi
+    return out
+
+
+def equal_spans(data: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans at ``one`` and ``two`` have the same bytes; sizes are above 0."""
+    out = np.zeros(len(one), bool)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(one):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HASH_BYTES, "right")))
+        n = sizes[lo:hi]
+        differ = data[ragged(one[lo:hi], n)] != data[ragged(two[lo:hi], n)]
+        out[lo:hi] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        lo = hi
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, width: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:

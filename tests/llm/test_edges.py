@@ -100,7 +100,11 @@ def test_mixing(odd, none):
     got = mixing.sample(odd)
     assert got.columns == odd.columns and mixing.sample(none).count() == 0
     assert all(r.size == 7 for r in got.collect())
-    assert mixing.mix(odd.select("doc_id", "text", "source")).where("size = 0").count() == 3
+    assert mixing.draw(odd).where("size = 0").count() == 3 and mixing.draw(odd).count() == len(TEXTS)
+    twins = odd.sparkSession.createDataFrame([(1, "a b c", "s", 1), (1, "a b c", "s", 2), (None, "a b c", "s", 3), (None, "a b c", "s", 4), (2, "d", None, 5), (3, "e", "t", 6)], "doc_id long, text string, source string, copies long")
+    got, drawn = mixing.sample(twins).collect(), mixing.draw(twins).collect()
+    assert sorted((str(r.doc_id), r.source or "") for r in got) == sorted((str(r.doc_id), r.source or "") for r in drawn for _ in range(r.copies))
+    assert {r.copies for r in got if r.source == "s"} == {1, 2, 3, 4}
 
 
 def test_near_duplicates(odd, none):

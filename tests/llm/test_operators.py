@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
+from loomstead.llm.staging import Stage
 from loomstead.llm import minhash, mixing, pairwise_quality, piece_bpe, pitman_yor, queries, sharding, simhash, substring_dedup, url_rules, vector_neardup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,6 +125,7 @@ def vectors_by_hand(rows, cosine):
 
 def test_vectors_find_planted_links(spark, monkeypatch):
     monkeypatch.setattr(vector_neardup, "BLOCK", 40)
+    monkeypatch.setattr(vector_neardup, "CELL", 30)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((12, 64))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + rng.standard_normal(64) * (0.15 if i % 3 else 0.3)]) for i in range(360)]
@@ -183,6 +185,36 @@ def test_sharding_balance_and_slots(spark, tables):
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 8 for r in rows.itertuples() if r.doc_id in texts)
 
 
+def packed_by_hand(vectors, shards):
+    totals = [max(1, sum(v[d] for v in vectors)) for d in range(3)]
+    unit = [[v[d] / totals[d] * shards for d in range(3)] for v in vectors]
+    free, placed = [[1.0] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(unit)), key=lambda k: (-max(unit[k]), -sum(unit[k]), k)):
+        able = [s for s in range(shards) if free[s][0] + sharding.SLACK >= unit[i][0]] or list(range(shards))
+        placed[i] = max(able, key=lambda s: (round(sum(f * u for f, u in zip(free[s], unit[i], strict=True)), 12), -s))
+        free[placed[i]] = [f - u for f, u in zip(free[placed[i]], unit[i], strict=True)]
+    return [placed[i] for i in range(len(unit))], free
+
+
+def test_packing_by_hand():
+    rng = np.random.default_rng(4)
+    vectors = np.column_stack([rng.integers(1, 1000, 300), rng.integers(1, 200, 300), rng.integers(1, 9, 300)]).astype(float)
+    placed, free = packed_by_hand(vectors.tolist(), 7)
+    assert sharding.pack(vectors, 7).tolist() == placed
+    assert max(abs(f[0]) for f in free) < 0.02
+
+
+def test_groups_that_fit_stay_whole(spark):
+    # One group of half a shard, one of three shards.
+    rows = [(i, f"text {i} of its own") for i in range(2400)] + [(5000 + i, "half a shard, group") for i in range(70)] + [(9000 + i, "three shards of one text") for i in range(420)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 20).toPandas()
+    text = dict(rows)
+    where = got.groupby(got["doc_id"].map(text))["shard"].nunique()
+    assert where["half a shard, group"] == 1 and where["three shards of one text"] >= 3 and (where.drop("three shards of one text") == 1).all()
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() / size.min() < 1.1
+
+
 def test_simhash_edits(spark, tables, monkeypatch):
     docs, texts = documents(spark, tables)
     monkeypatch.setattr(simhash, "RUN_ROWS", 31)
@@ -197,30 +229,43 @@ def test_simhash_edits(spark, tables, monkeypatch):
     assert np.mean([far(r.fp, r.edited_fp) < far(r.fp, r.next_fp) for r in got.values()]) > 0.95
 
 
-def test_hamming_search_is_complete(spark):
+def test_hamming_search_is_complete(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = base + [b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(1, 6))) for b in base]
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {(r.a, r.b): r.distance for r in simhash.within_radius(spark.createDataFrame([(v,) for v in signed], "fp long"), 3, 6).collect()}
-    want = {(min(a, b), max(a, b)): d for a in signed for b in signed if a < b and (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 3}
-    assert got == want
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3
+    copies = {v: 1 + k % 3 for k, v in enumerate(dict.fromkeys(signed))}
+    want = {a: n for a in copies if (n := sum(c for b, c in copies.items() if b != a and near(a, b)))}
+    for blocks in (4, 5, 6):
+        monkeypatch.setattr(simhash, "key_blocks", lambda n, radius, blocks=blocks: blocks)
+        assert {r.fp: r.near for r in simhash.within_radius(spark.createDataFrame(list(copies.items()), "fp long, copies long"), 3).collect()} == want
+    rows = [v for v, c in copies.items() for _ in range(c)]
+    found = simhash.near_fingerprints(spark.createDataFrame(list(enumerate(rows)), "id long, fp long")).collect()
+    assert len(found) == len(rows) and all(r.n_near == want.get(r.fp, 0) + copies[r.fp] - 1 for r in found)
+    assert simhash.near_fingerprints(spark.createDataFrame([], "id long, fp long")).count() == 0
+
+
+def test_key_blocks():
+    assert simhash.key_blocks(10, 3) == 4 and 64 * (simhash.key_blocks(10**9, 3) - 3) / simhash.key_blocks(10**9, 3) >= 27
 
 
 def test_mixing_targets(spark, tables):
-    rows = mixing.mix(tables("documents", "sf0.01")).toPandas()
+    rows = mixing.draw(tables("documents", "sf0.01")).toPandas()
     assert (rows["copies"] <= 2).all() and (rows["copies"] >= 0).all()
     taken = (rows["copies"] * rows["size"]).groupby(rows["source"]).sum()
     target = rows.groupby("source")["target"].first()
     longest = rows.groupby("source")["size"].max()
     assert (abs(taken - target) <= longest).all() and abs(taken.sum() / target.sum() - 1) < 0.02
-    again = mixing.mix(tables("documents", "sf0.01").repartition(3)).toPandas()
+    again = mixing.draw(tables("documents", "sf0.01").repartition(3)).toPandas()
     assert dict(zip(rows["doc_id"], rows["copies"], strict=True)) == dict(zip(again["doc_id"], again["copies"], strict=True))
 
 
-def test_water_filling():
-    targets = mixing.word_targets([100, 100, 800], [5, 2, 1], 1.5, 2.0)
-    assert targets == [200, 200, 1100] and mixing.word_targets([0, 0], [5, 2], 1.5, 2.0) == [0, 0]
+@pytest.mark.parametrize(("sizes", "share", "want"), [([100, 100, 800], 1.5, [200, 200, 1100]), ([0, 0], 1.5, [0, 0]), ([10, 10, 10, 1000], 1.5, [20, 20, 20, 1485]), ([10, 20], 3.0, [20, 40]), ([1000, 10], 0.5, [485, 20])])
+def test_water_filling(spark, sizes, share, want):
+    table = spark.createDataFrame([(f"s{i}", n, 1) for i, n in enumerate(sizes)], "source string, source_size long, rows long")
+    got = {r.source: r.target for r in mixing.targets(table, Stage(spark, "test"), (5.0, 2.0, 1.0), share, 2.0).collect()}
+    assert [got[f"s{i}"] for i in range(len(sizes))] == pytest.approx(want)
 
 
 def near_by_hand(rows, width, percent):

@@ -32,7 +32,7 @@ def test_stages(spark, tables):
             same = sum(hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][3] for r in now)
             assert len(now) == len(before) and same >= 0.98 * len(now) and all(r.n_chars == len(r.text) for r in now)
         elif name == "mix_sources":
-            copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+            copies = {r.doc_id: r.copies for r in mixing.draw(docs).collect()}
             assert sorted(r.doc_id for r in now) == sorted(i for i, c in copies.items() for _ in range(c))
         else:
             import sentencepiece
