@@ -80,16 +80,43 @@ def test_envelope(spark):
     assert got == [{"action": "call", "calls": [{"name": "f", "arguments": {"a": 1}}]}, {"action": "refuse", "message": 'no "x"'}]
 
 
+SAME, OTHER = True, False
+
+
 @pytest.mark.parametrize(
-    ("gold", "got", "kind", "ok"),
+    ("gold", "answers"),
     [
-        (100, "104", "", True), (100, "110", "", False), (1200000, "1.2M", "", True), (120000, "1,20,000", "", True), (350000000, "350 MW", "", False), (3, "3-4", "", False), ("10-20", "10 to 20", "", True),
-        (42, "42, 43", "", False), (1, "Yes", "", False), (True, "Yes", "", True), (1.0, "100%", "", False), (0, "0", "", True), (0, "0.04", "", False), (20.0, "20%", "", False), (23.4, "23.4%", "proportion", True),
-        ("increasing", "it is rising", "trend", True), ("increasing", "decreasing", "trend", False), (42, "४२", "", True), ([10, 90], [90, 10], "", True), ([10, 90], [50, 50], "", False), ([10, 90], [10], "", False),
+        (2500, {"2,500": SAME, "$2.6K": SAME, "2.7k": OTHER, "2 500": SAME, "2.5 thousand": SAME, "(2500)": OTHER, "2500 km": OTHER, "2000-3000": OTHER, "2500; 2600": OTHER, "2500, 17": OTHER, "": OTHER, "None": OTHER}),
+        (-7.5, {"(7.5)": SAME, "-7,5": SAME, "\u22127.5": SAME, "7.5": OTHER, "(7.5": OTHER}), (1234567.0, {"1.234.567": SAME, "12,34,567": SAME, "1.234.567,00": SAME, "1,234,567.": OTHER, "1.2M": SAME}),
+        (0, {"0.0": SAME, "0.01": OTHER, "No": OTHER}), (0.25, {"25%": SAME, "26%": SAME, "0.25%": OTHER, "\u0966.\u0968\u096b": SAME}), (30, {"30%": OTHER, "31": SAME}),
+        ("7-9", {"9 to 7": SAME, "7..9": SAME, "7 \u2013 9.2": SAME, "7": OTHER, "7 to 12": OTHER, "$7-$9": OTHER}), (True, {"YES!": SAME, "true": SAME, "no": OTHER, "1": OTHER, "maybe": OTHER}), ("no", {"False.": SAME, "y": OTHER}),
+        ("North  Wing", {"north wing.": SAME, '"North Wing"': SAME, "south wing": OTHER}), ("None", {"None": SAME}),
     ],
 )
-def test_relaxed_match(gold, got, kind, ok):
-    assert charts.relaxed_match(gold, got, kind) == ok
+def test_scalar_answers(gold, answers):
+    assert {a: charts.relaxed_match(gold, a) for a in answers} == answers
+    assert not charts.relaxed_match(gold, None)
+
+
+def test_answers_of_other_kinds():
+    trend = lambda gold, got: charts.relaxed_match(gold, got, "trend")
+    assert trend("falling", "a downward slope") and trend("\u0935\u0943\u0926\u094d\u0927\u093f", "it grew") and not trend("falling", "rising") and not trend("purple", "purple") and not trend(None, None)
+    assert charts.relaxed_match("12.5%", "12.5", "proportion") is False and charts.relaxed_match(12.5, "12.6%", "proportion")
+    assert charts.relaxed_match(["oak", 3, "elm"], "Elm; oak, 3") and not charts.relaxed_match(["oak", "elm"], "oak") and not charts.relaxed_match(["oak", "oak"], "oak, elm")
+    # 100 fits 96 and 104, 108 only 104: the first that fits would be taken away.
+    assert charts.relaxed_match([100, 108], ["104", "96"])
+    assert charts.relaxed_match(list(range(10, 90, 10)), list(range(80, 0, -10)))
+
+
+def test_strict_answers():
+    cases = {(True, " yes"): True, (4.0, "4"): True, (1.25, "1.2500"): False, (("a", 2.5), "A, 2.5"): True, ("x", None): False}
+    assert {k: charts.strict_match(*k) for k in cases} == cases
+
+
+def test_verdict_columns(spark):
+    rows = [(json.dumps([1, "b"]), "b, 1", "", True, False, True), ("0.5", "50 %", "", True, False, True), ('"up"', "rising", "trend", True, False, True), ("3", " ", "", False, False, False), ("3", None, None, False, False, False)]
+    df = spark.createDataFrame([r[:3] for r in rows], "g string, a string, k string")
+    assert [tuple(r.v) for r in df.select(charts.verdicts("g", "a", "k").alias("v")).collect()] == [r[3:] for r in rows]
 
 
 def test_cart_and_calendar(spark):
