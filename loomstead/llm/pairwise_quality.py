@@ -7,11 +7,12 @@ training strengths is the threshold: the share of rows marked 0. Strengths becom
 scores by a logistic curve that is ``CUT`` at the threshold.
 
 Fitting uses at most ``MAX_LABELLED`` labelled rows, chosen by a hash of doc_id, and
-``PAIRS_EACH`` opponents for each row marked 0, on the driver; scoring runs over all
-rows on the executors. Only the text enters a score.
+``PAIRS_EACH`` opponents of the other mark for each of them, on the driver; scoring runs
+over all rows on the executors. Only the text enters a score.
 
 Defined results: null and empty texts have the same features and get a score like any
-other; a null doc_id is held out; labels that are null or of unknown documents are ignored; with labels of one
+other; a null doc_id is held out; of rows that share a labelled doc_id one, chosen by a hash of
+its text, is learned from; labels that are null or of unknown documents are ignored; with labels of one
 kind only, or none, all scores are 0.5; equal texts have equal scores, equal rows each
 their row; extra columns are ignored.
 """
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from .textbytes import Texts, lowered, mix, span_hashes, text_chunks, words
 
 MAX_LABELLED = 20_000
-PAIRS_EACH = 50
+PAIRS_EACH = 10
+#: Pairs whose differences are in memory at a time.
+PAIR_CHUNK = 1 << 15
 CUT = 0.3
 FOLDS = 5
 
@@ -111,17 +114,22 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, l2: float = 1e-3) -> Model:
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
-    losers = np.repeat(bad, PAIRS_EACH)
-    diff = z[rng.choice(good, len(losers))] - z[losers]
+    losers = np.r_[np.repeat(bad, PAIRS_EACH), rng.choice(bad, len(good) * PAIRS_EACH)]
+    winners = np.r_[rng.choice(good, len(bad) * PAIRS_EACH), np.repeat(good, PAIRS_EACH)]
+    chunks = [slice(lo, lo + PAIR_CHUNK) for lo in range(0, len(winners), PAIR_CHUNK)]
     w = np.zeros(d)
 
     def loss(v: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(diff @ v)).mean() + l2 / 2 * v @ v)
+        s = z @ v
+        return float(np.logaddexp(0, s[losers] - s[winners]).mean() + l2 / 2 * v @ v)
 
     for _ in range(30):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -60, 60)))
-        gradient = -(diff.T @ p) / len(diff) + l2 * w
-        hessian = (diff.T * (p * (1 - p))) @ diff / len(diff) + l2 * np.eye(d)
+        gradient, hessian = l2 * w, l2 * np.eye(d)
+        for chunk in chunks:
+            diff = z[winners[chunk]] - z[losers[chunk]]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -60, 60)))
+            gradient = gradient - diff.T @ p / len(winners)
+            hessian += (diff.T * (p * (1 - p))) @ diff / len(winners)
         step, t = np.linalg.solve(hessian, gradient), 1.0
         while loss(w - t * step) > loss(w) and t > 1e-4:
             t /= 2
@@ -148,11 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for t in text_chunks(batch.column(place)):
                 x = features(t)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, len(t)), batch.column(2).slice(t.lo, len(t)), pa.array(list(x))], [id_col, "quality", "x"])
+                key = pa.array(span_hashes(t.data, t.offsets[:-1], t.offsets[1:]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, len(t)), batch.column(2).slice(t.lo, len(t)), key, pa.array(list(x), pa.list_(pa.float64()))], [id_col, "quality", "k", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(run, f"`{id_col}` {kind}, quality {labels.schema['quality'].dataType.simpleString()}, x array<double>").collect()
-    got.sort(key=lambda r: (r[id_col], r["quality"], r["x"]))
+    found = rows.mapInArrow(run, f"`{id_col}` {kind}, quality {labels.schema['quality'].dataType.simpleString()}, k bigint, x array<double>")
+    got = found.groupBy(id_col, "quality").agg(F.min_by("x", "k").alias("x")).collect()  # bounded by MAX_LABELLED
+    got.sort(key=lambda r: (r[id_col], r["quality"]))
     x = np.array([r["x"] for r in got]) if got else np.zeros((0, 1))
     return fit(x, np.array([r["quality"] for r in got]))
 
