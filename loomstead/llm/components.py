@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, stage: Stage, left: str = "a", right:
     before = None
     while True:
         sides = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        least = sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # A written table, so that a hub's edges can be split over tasks in the join.
+        least = stage.cut(sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), narrow=True)
         large = sides.where("v > u").join(least, "u").select(F.col("v"), F.col("m").alias("u"))
         large = large.where("v <> u").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
@@ -29,6 +30,7 @@ def connected_components(edges: DataFrame, stage: Stage, left: str = "a", right:
         new = stage.cut(small.select("e.v", "e.u").where("v <> u").distinct(), narrow=True)
         print_of = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         stage.drop(now)
+        stage.drop(least)
         now = new
         if before == tuple(print_of):
             break

@@ -16,8 +16,10 @@ of m members need not be expanded into m * m pairs:
 
 Every pair of a bucket with such signatures is therefore verified or already
 connected; no bucket is capped. Verification compares full sets. A pair at similarity
-0.8 is missed with a probability of about 3e-5. Large clusters are cut into blocks,
-and pairs of blocks are separate groups; groups return spanning links, not pairs.
+0.8 is missed with a probability of about 3e-5. Large clusters are cut into blocks by rows
+and by shingles, so a task's memory is bounded for long texts too, and pairs of blocks are
+separate groups; groups return spanning links, not pairs. A band key or a set that a large
+share of the documents has is joined where the rows are.
 
 Defined results: null, empty and white-space texts have an empty set and link with
 nothing; texts with fewer words than a shingle are one shingle; rows sharing a doc_id
@@ -35,16 +37,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
-from .staging import Stage, fresh
+from .staging import Stage, fresh, spread_join
 from .textbytes import Texts, lowered, mix, ragged, runs, shingle_hashes, span_hashes, text_chunks, words
 
 ROWS, BANDS = 4, 24
 COORDINATES = ROWS * BANDS
 #: Least number of equal coordinates of a pair that is verified (0.8 gives 76.8 on average).
 MATCH = 61
-BLOCK = 4096
-#: Clusters up to this size share groups of about as many rows.
-GROUP_ROWS = 512
+#: Rows and shingles of one block of a cluster, about.
+BLOCK, BLOCK_ITEMS = 4096, 1 << 21
+#: Clusters of one block share groups of about so many shingles.
+GROUP_ITEMS = 1 << 20
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -192,10 +195,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     stage = Stage(docs.sparkSession, "minhash")
     kind = docs.schema[id_col].dataType.simpleString()
     sigs = stage.cut(describe(docs, width, id_col, text_col))
-    classes = stage.cut(sigs.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = stage.cut(sigs.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     entries = classes.select("rep", F.explode_outer("bands").alias("key"))
-    leaders = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    members = stage.cut(entries.join(leaders, "key").distinct(), narrow=True)
+    leaders = stage.cut(entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1").select("key", "leader", "m", F.col("m").alias("times")), narrow=True)
+    met = leaders.agg(F.sum("m")).first()[0] or 0
+    members = stage.cut(spread_join(entries, leaders, ["key"], "times", met).distinct(), narrow=True)
     wanted = classes.select("rep", "d1", "d2").join(members.select("rep").distinct(), "rep", "left_semi")
     items = stage.cut(_set_table(docs, wanted, width, id_col, text_col))
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -207,18 +211,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if not live.isEmpty():
         near = connected_components(live.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")), stage)
         placed = near.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(live.select("rep", "comp").distinct(), "rep")
-        sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = stage.cut(placed.join(classes.select("rep", "n"), "rep"), narrow=True)
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
+        sizes = placed.groupBy("cluster").agg(blocks.alias("blocks"))
         split = placed.join(sizes, "cluster").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
         split = split.withColumn("i", F.least("k", "other")).withColumn("j", F.greatest("k", "other")).withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("k") == F.col("i"), 1).otherwise(2))
-        groups = max(1, near.count() // GROUP_ROWS)
+        groups = max(1, placed.agg(F.sum("n")).first()[0] // GROUP_ITEMS)
         split = split.withColumn("g", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.xxhash64("cluster", "i", "j")))
         fed = split.select("g", "cluster", "i", "j", "side", "rep", "comp").join(classes.select("rep", "sketch"), "rep").join(items.withColumnRenamed("id", "rep"), "rep")
         found = stage.cut(fed.groupBy("g").applyInArrow(_connect(percent, to_arrow_type(docs.schema[id_col].dataType)), f"a {kind}, b {kind}"))
         stage.release()
-        comps = connected_components(links.union(found), stage)
-    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
-    out = sigs.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("c", F.coalesce("c", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("c")).alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
+        comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found), stage)
+    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", "copies", F.coalesce("component", "rep").alias("c"))
+    live = F.expr("n > 0 AND id IS NOT NULL")
+    narrow = sigs.select("id", "n", "d1", "d2")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    joined = spread_join(narrow.where(live), stage.cut(of_class, narrow=True), ["n", "d1", "d2"], "copies", total)
+    out = joined.select("id", "n", "c").unionByName(narrow.where(~live).select("id", "n", F.col("id").alias("c")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
