@@ -42,7 +42,7 @@ def _lowered(host: Column) -> Column:
 
 def _suffixes(host: Column, most: int) -> Column:
     """The last 1, 2, ... labels of a host, ``most`` at most."""
-    return F.transform(F.sequence(F.lit(1), F.least(F.size(F.split(host, r"\.")), F.lit(most))), lambda k: F.substring_index(host, ".", -k))
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(F.split(host, r"\.")), F.lit(most))), lambda k: F.call_function("substring_index", host, F.lit("."), -k))
 
 
 def _slashes(path: Column) -> Column:
@@ -51,7 +51,7 @@ def _slashes(path: Column) -> Column:
 
 def _prefixes(path: Column, most: int) -> Column:
     """The empty prefix, and those that end with the first, second, ... slash, ``most`` at most."""
-    upto = F.transform(F.sequence(F.lit(0), F.least(_slashes(path), F.lit(most))), lambda k: F.when(k > 0, F.concat(F.substring_index(path, "/", k), F.lit("/"))).otherwise(F.lit("")))
+    upto = F.transform(F.sequence(F.lit(0), F.least(_slashes(path), F.lit(most))), lambda k: F.when(k > 0, F.concat(F.call_function("substring_index", path, F.lit("/"), k), F.lit("/"))).otherwise(F.lit("")))
     return upto
 
 

@@ -62,6 +62,10 @@ def test_urls(spark):
     got = sorted(((r.page_id or 0, r.host, r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect()), key=str)
     assert got == sorted([(1, "a.net", "a.net/b", "block"), (1, "a.net", "a.net/b", "block"), (2, "", None, "allow"), (0, "", None, "allow")], key=str)
     assert {r.verdict for r in url_rules.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    long = spark.createDataFrame([(1, "http://" + "s." * 3000 + "a.net/b/" + "c/" * 50_000)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_rules.judge_urls(long, rules).collect()] == [("a.net/b", "block")]
+    accented = spark.createDataFrame([("\u00c4.net", "/", "block")], "host string, path string, action string")
+    assert [r.verdict for r in url_rules.judge_urls(spark.createDataFrame([(1, "http://\u00c4.NET/")], "page_id long, url string"), accented).collect()] == ["block"]
     assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
 
 
