@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import draw
+from .ordering import ordered
 
 
 def group_split(keys: DataFrame, key: str, ratios: tuple[float, float] = (0.8, 0.1), seed: str = "split") -> DataFrame:
@@ -66,22 +67,20 @@ def real_value(value: Column) -> Column:
     return value.isNotNull() & ~F.lower(F.trim(value)).isin(*PLACEHOLDERS)
 
 
-def top_fraction(df: DataFrame, frac: float, order: list[Column]) -> DataFrame:
-    """The first max(1, floor(n * frac)) rows by ``order``; everything for frac >= 1."""
+def top_fraction(df: DataFrame, frac: float, score: str, key: str) -> DataFrame:
+    """The first max(1, floor(n * frac)) rows by descending ``score``, then ``key``; everything for frac >= 1."""
     if frac >= 1:
         return df
-    return df.orderBy(*order).limit(max(1, int(df.count() * frac)))
+    placed = ordered(df.withColumn("_down", -F.col(score)), [], ["_down", key], "_place")
+    return placed.where(F.col("_place") < max(1, int(df.count() * frac))).drop("_down", "_place")
 
 
 def nested_subsets(df: DataFrame, key: str, fracs: tuple[float, ...], seed: str = "ablation") -> DataFrame:
     """Rows with the fractions whose subset they are in; smaller subsets are part of larger ones."""
     n = df.count()
-    ranked = df.withColumn("_d", draw(seed, F.col(key)))
-    out = None
-    for f in sorted(fracs):
-        part = ranked.orderBy("_d", key).limit(max(1, int(n * f))).select(key, F.lit(float(f)).alias("fraction"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    placed = ordered(df.select(key).withColumn("_d", draw(seed, F.col(key))), [], ["_d", key], "_place")
+    inside = F.filter(F.array(*[F.struct(F.lit(float(f)).alias("f"), F.lit(max(1, int(n * f))).alias("n")) for f in sorted(fracs)]), lambda x: F.col("_place") < x["n"])
+    return placed.withColumn("_x", F.explode_outer(inside)).where("_x IS NOT NULL").select(key, F.col("_x.f").alias("fraction"))
 
 
 def round_robin(df: DataFrame, buckets: list[str], order: list[str], n: int) -> DataFrame:

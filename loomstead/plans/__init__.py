@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import charts, conversations, curation, evaluation, generation, mixing, retrieval  # noqa: E402,F401
+from . import charts, conversations, curation, evaluation, examples, generation, mixing, retrieval  # noqa: E402,F401

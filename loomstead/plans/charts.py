@@ -166,7 +166,7 @@ def chart_eval_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupingSets([[], ["kind"], ["k"]], "kind", "k").agg(F.count("*").alias("n"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("accuracy"), F.round(F.avg(F.col("failed").cast("int")), 6).alias("parse_failure"))
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(regexp_replace(lower(substr(text, 1, 80)), '[ \\t\\r\\n]+', ' ', 'g')), n_chars::VARCHAR")
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')), n_chars::VARCHAR")
 def chart_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row of each (normalised question, answer text); the whole text is hashed before it is shuffled."""
     from ..functions.text import collapsed

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens, without_thinking
+from ..operators.ordering import ordered
 from ..operators import shaping, similarity
 from . import query, table
 
@@ -67,7 +68,7 @@ def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '<think>why</think>' || substr(text, 1, 40) WHEN 2 THEN '<THINK>open ' || substr(text, 1, 40) ELSE 'x<think>a</think>b</think>' || substr(text, 1, 40) END AS t FROM documents)
+    """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '<think>why</think>' || text WHEN 2 THEN '<THINK>open ' || text ELSE 'x<think>a</think>b</think>' || text END AS t FROM documents)
 SELECT doc_id, CASE WHEN instr(lower(t), '<think>') = 0 THEN t WHEN instr(substr(lower(t), instr(lower(t), '<think>')), '</think>') = 0 THEN NULL
   ELSE substr(t, instr(lower(t), '<think>') + instr(substr(lower(t), instr(lower(t), '<think>')), '</think>') + 7) END AS answer FROM t"""
 )
@@ -109,12 +110,9 @@ def difficulty_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DIFF} SELECT ord, difficulty, row_number() OVER (ORDER BY difficulty, ord) AS place FROM b")
 def curriculum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stable order from easy to hard: ranks within a difficulty plus the rows of easier ones."""
-    d = _difficulty(spark, sf_dir).select("ord", "difficulty")
-    sizes = d.groupBy("difficulty").agg(F.count("*").alias("n"))
-    starts = sizes.select("difficulty", F.coalesce(F.sum("n").over(Window.orderBy("difficulty").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("difficulty").orderBy("ord"))
-    return d.withColumn("k", inside).join(F.broadcast(starts), "difficulty").select("ord", "difficulty", (F.col("start") + F.col("k")).alias("place"))
+    """Stable order from easy to hard."""
+    d = ordered(_difficulty(spark, sf_dir).select("ord", "difficulty"), [], ["difficulty", "ord"], "place")
+    return d.select("ord", "difficulty", (F.col("place") + 1).alias("place"))
 
 
 _QUALITY = """
@@ -130,7 +128,7 @@ s AS (SELECT doc_id, CASE WHEN ok THEN least(0.35::DOUBLE + CASE WHEN nw BETWEEN
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     """Documents as queries, each with one tool whose text it may share words with."""
     tools = table(spark, d, "part").select("p_type").distinct()
-    numbered = tools.select(F.row_number().over(Window.orderBy("p_type")).alias("k"), F.array_distinct(tokens(F.concat("p_type", F.lit(" the of and to")))).alias("tw"))
+    numbered = ordered(tools, [], ["p_type"], "k").select((F.col("k") + 1).alias("k"), F.array_distinct(tokens(F.concat("p_type", F.lit(" the of and to")))).alias("tw"))
     n = numbered.count()
     docs = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w"), "source", "lang").withColumn("k", F.col("doc_id") % n + 1)
     both = docs.join(similarity.small(numbered), "k")
@@ -147,7 +145,7 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_QUALITY} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT (SELECT greatest(1, floor(count(*) * 0.3))::BIGINT FROM s)")
 def quality_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _quality(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
-    return shaping.top_fraction(scored, 0.3, [F.desc("score"), F.col("doc_id")])
+    return shaping.top_fraction(scored, 0.3, "score", "doc_id")
 
 
 @query(

@@ -153,7 +153,7 @@ def robustness_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_P}, x AS (SELECT lang, avg(base) AS b FROM p WHERE doc_id % 2 = 0 GROUP BY lang), y AS (SELECT lang, avg(ft) AS f FROM p WHERE doc_id % 2 = 1 AND lang <> 'es' GROUP BY lang)
+    f"""WITH {_P}, x AS (SELECT lang, avg(base) AS b FROM p GROUP BY lang), y AS (SELECT lang, avg(ft) AS f FROM p GROUP BY lang)
 SELECT coalesce(x.lang, y.lang) AS condition, round(b, 6) AS base, round(f, 6) AS ft, round(f - b, 6) AS delta FROM x FULL OUTER JOIN y ON x.lang = y.lang"""
 )
 def conditions_outer(spark: SparkSession, sf_dir: str) -> DataFrame:

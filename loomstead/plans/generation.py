@@ -42,7 +42,7 @@ def hammer_no_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEDGES = ("I might be wrong, but ", "Not sure if you can, ", "If possible, ")
 
 
-@query("SELECT doc_id, (['I might be wrong, but ', 'Not sure if you can, ', 'If possible, '])[('0x' || substr(md5('hedge|' || doc_id), 1, 8))::BIGINT % 3 + 1] || lower(substr(text, 1, 1)) || substr(text, 2, 60) AS query, 'call' AS answer FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, (['I might be wrong, but ', 'Not sure if you can, ', 'If possible, '])[('0x' || substr(md5('hedge|' || doc_id), 1, 8))::BIGINT % 3 + 1] || lower(substr(text, 1, 1)) || substr(text, 2) AS query, 'call' AS answer FROM documents WHERE text <> ''")
 def over_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hedge before the query, its first letter lower-cased; the gold call stays."""
     hedge = F.element_at(F.array(*map(F.lit, _HEDGES)), (draw("hedge", F.col("doc_id")) % 3 + 1).cast("int"))

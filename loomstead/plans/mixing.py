@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import draw
 from ..operators import shaping, similarity
+from ..operators.ordering import ordered
 from . import query, table
 
 
@@ -87,7 +88,11 @@ def artifact_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest, count(*)::BIGINT AS n FROM documents WHERE doc_id < 0 OR lang = 'es'")
+@query(
+    """WITH r AS (SELECT coalesce(sha256(text), '') AS h, count(*) AS n FROM documents GROUP BY 1),
+b AS (SELECT substr(h, 1, 4) AS bucket, sha256(string_agg(h || ':' || n || ';', '' ORDER BY h || ':' || n || ';')) AS d, sum(n) AS n FROM r GROUP BY 1)
+SELECT sha256(string_agg(d, '' ORDER BY bucket)) AS digest, sum(n)::BIGINT AS n FROM b"""
+)
 def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all rows that doesn't depend on their order.
 
@@ -110,8 +115,8 @@ def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, 'BFCL_v4_' || event_type || '_' || (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) AS export_id FROM events")
 def bfcl_export_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export ids numbered from 0 within a category, in input order."""
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("BFCL_v4_"), "event_type", F.lit("_"), number.cast("string")).alias("export_id"))
+    numbered = ordered(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_type"], ["event_id"], "number")
+    return numbered.select("event_id", F.concat(F.lit("BFCL_v4_"), "event_type", F.lit("_"), F.col("number").cast("string")).alias("export_id"))
 
 
 @query(
@@ -134,16 +139,14 @@ def weighted_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id, 1 AS part, lang AS hn_kind FROM documents WHERE lang = 'fr'), b AS (SELECT doc_id, 2 AS part, NULL AS hn_kind FROM documents WHERE lang = 'de')
+    """WITH a AS (SELECT doc_id, 1 AS part, NULL AS hn_kind FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, 2 AS part, lang AS hn_kind FROM documents WHERE lang <> 'en' OR lang IS NULL)
 SELECT doc_id, hn_kind, row_number() OVER (ORDER BY part, doc_id) - 1 AS ord FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 )
 def slice_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag union of slices with different columns; positions start anew, slice after slice."""
+    """Bag union of slices with different columns (positives, and hard negatives with their kind); positions start anew, slice after slice."""
     docs = table(spark, sf_dir, "documents")
-    a = docs.where("lang = 'fr'").select("doc_id", F.lit(1).alias("part"), F.col("lang").alias("hn_kind"))
-    b = docs.where("lang = 'de'").select("doc_id", F.lit(2).alias("part"))
-    every = a.unionByName(b, allowMissingColumns=True)
-    sizes = every.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
-    return every.withColumn("k", inside).join(F.broadcast(starts), "part").select("doc_id", "hn_kind", (F.col("start") + F.col("k") - 1).alias("ord"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    positives = docs.where(english).select("doc_id", F.lit(1).alias("part"))
+    negatives = docs.where(~english).select("doc_id", F.lit(2).alias("part"), F.col("lang").alias("hn_kind"))
+    every = positives.unionByName(negatives, allowMissingColumns=True)
+    return ordered(every, [], ["part", "doc_id"], "ord").select("doc_id", "hn_kind", "ord")

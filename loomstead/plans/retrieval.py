@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ranking
+from ..operators.ordering import ordered
 from . import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in ranking.STOP_WORDS)
@@ -23,8 +24,8 @@ def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, d, "part")
     tools = part.select(F.concat_ws(" ", "p_name", "p_type").alias("text")).distinct()
     queries = part.select(F.concat_ws(" ", "p_brand", "p_type").alias("text")).distinct()
-    number = F.row_number().over(Window.orderBy("text"))  # a pool of distinct names, small
-    return tools.withColumn("tool", number), queries.withColumn("query", number)
+    number = lambda df, name: ordered(df, [], ["text"], name).withColumn(name, (F.col(name) + 1).cast("int"))
+    return number(tools, "tool"), number(queries, "query")
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
