@@ -69,24 +69,58 @@ def _minhash(hashes_of: int, rows: int):
     return run
 
 
-def band_keys(docs: DataFrame, hashes: int = 128, rows: int = 4, k: int = 3) -> DataFrame:
-    """(id, band): MinHash bands of each text's shingle set."""
-    cut = docs.select("id", F.transform(shingles(tokens(F.col("text")), k), lambda s: F.xxhash64(s)).alias("h"))
-    return exploded(cut.mapInArrow(_minhash(hashes, rows), f"id {docs.schema['id'].dataType.simpleString()}, bands array<bigint>"), "bands", "band")
+def shingle_sets(docs: DataFrame, k: int = 3) -> DataFrame:
+    """(id, n, d1, d2, h) beside the other columns of ``docs`` (id, text, ...): size, digests and sorted hashes of each text's shingle set."""
+    others = [c for c in docs.columns if c != "text"]
+    hashed = spread(docs).select(*others, F.array_sort(F.transform(shingles(tokens(F.col("text")), k), lambda s: F.xxhash64(s))).alias("h"))
+    return hashed.withColumn("n", F.size("h")).withColumn("d1", F.xxhash64("h")).withColumn("d2", F.hash("h"))
+
+
+def band_keys(sets: DataFrame, hashes: int = 128, rows: int = 4) -> DataFrame:
+    """(id, band): MinHash bands of sets (id, h)."""
+    return exploded(sets.select("id", "h").mapInArrow(_minhash(hashes, rows), f"id {sets.schema['id'].dataType.simpleString()}, bands array<bigint>"), "bands", "band")
+
+
+def near_classes(docs: DataFrame, threshold: float, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of ``docs`` (id, grp, text), both written.
+
+    Rows of one group with equal sets are a class, named by its least id; members are (grp, rep, id). Pairs
+    (grp, i, j, jaccard) are of class names i < j with Jaccard similarity at the threshold or above. Candidates
+    meet in a MinHash band of their group, so copies meet once; sets are compared exactly afterwards.
+    """
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.cut(shingle_sets(docs.select("id", "grp", "text"), k).where("n > 0"))
+    classes = scratch.cut(sets.groupBy("grp", "n", "d1", "d2").agg(F.min("id").alias("id"), F.first("h").alias("h")))
+    names = classes.select("grp", "n", "d1", "d2", F.col("id").alias("rep"))
+    same = F.col("s.grp").eqNullSafe(F.col("c.grp")) & (F.col("s.n") == F.col("c.n")) & (F.col("s.d1") == F.col("c.d1")) & (F.col("s.d2") == F.col("c.d2"))
+    members = scratch.cut(sets.select("id", "grp", "n", "d1", "d2").alias("s").join(names.alias("c"), same).select("s.grp", "rep", "s.id"))
+    keys = band_keys(classes.select(F.struct("grp", "id").alias("id"), "h")).select("id.grp", "id.id", "band")
+    met = keys.alias("a").join(keys.alias("b"), (F.col("a.band") == F.col("b.band")) & F.col("a.grp").eqNullSafe(F.col("b.grp")) & (F.col("a.id") < F.col("b.id")))
+    met = met.select(F.col("a.grp").alias("grp"), F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in ("i", "j"))
+    able = met.join(one, "i").join(two.select("j", "nj"), "j").where(F.least("ni", "nj") >= threshold * F.greatest("ni", "nj")).join(two.select("j", "hj"), "j")
+    common = F.size(F.array_intersect("hi", "hj"))
+    scored = able.withColumn("jaccard", common / (F.col("ni") + F.col("nj") - common)).where(F.col("jaccard") >= threshold)
+    return members, scratch.cut(scored.select("grp", "i", "j", "jaccard"))
 
 
 def near_pairs(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
-    """(grp, i, j, jaccard): pairs i < j of one group with Jaccard similarity at the threshold or above.
+    """(grp, i, j, jaccard): all pairs i < j of rows of one group at the threshold or above, copies included."""
+    members, pairs = near_classes(docs, threshold, k)
+    one, two = members.select(F.col("rep").alias("i"), F.col("id").alias("a")), members.select(F.col("rep").alias("j"), F.col("id").alias("b"))
+    apart = pairs.join(one, "i").join(two, "j").select("grp", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "jaccard")
+    m = members.select(F.col("grp"), "rep", F.col("id").alias("i"))
+    equal = m.join(members.select("rep", F.col("id").alias("j")), "rep").where("i < j").select("grp", "i", "j", F.lit(1.0).alias("jaccard"))
+    return apart.unionByName(equal)
+
+
+def near_links(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
+    """(i, j): links from which keep-first decides as from all pairs: those between classes, and from a class's first row to its others.
 
-    Candidates meet in a MinHash band; sets are compared exactly afterwards.
+    A row similar to one of a class is similar to all of it, so the rows after the first always go.
     """
-    docs = spread(docs)
-    sets = docs.select("id", "grp", shingles(tokens(F.col("text")), k).alias("s"))
-    keys = band_keys(docs, k=k).join(docs.select("id", "grp"), "id")
-    met = keys.withColumnRenamed("id", "i").join(keys.withColumnRenamed("id", "j"), ["grp", "band"]).where("i < j").select("grp", "i", "j").distinct()
-    both = met.join(sets.select(F.col("id").alias("i"), F.col("s").alias("a")), "i").join(sets.select(F.col("id").alias("j"), F.col("s").alias("b")), "j")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("jaccard", common / (F.size("a") + F.size("b") - common)).where(F.col("jaccard") >= threshold).select("grp", "i", "j", "jaccard")
+    members, pairs = near_classes(docs, threshold, k)
+    return pairs.select("i", "j").unionByName(members.where("rep <> id").select(F.col("rep").alias("i"), F.col("id").alias("j")))
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:

@@ -19,15 +19,16 @@ def weighted(accuracies: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c discordant pairs; 1 without any. Summed in log space."""
-    n, low = b + c, F.least(b, c)
-    log_choose = lambda i: F.expr("0D") + _log_factorial(n) - _log_factorial(i) - _log_factorial(n - i)
-    terms = F.aggregate(F.sequence(F.lit(0).cast("long"), low), F.lit(0.0), lambda acc, i: acc + F.exp(log_choose(i) - n * F.log(F.lit(2.0))))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * terms))
-
+    """Exact two-sided p of b against c discordant pairs; 1 without any.
 
-def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), F.lit(0.0), lambda acc, i: acc + F.log(i))
+    One pass over the smaller count: each binomial term follows from the one before, as a logarithm.
+    """
+    n, low = (b + c).cast("double"), F.least(b, c).cast("long")
+    none = -n * F.log(F.lit(2.0))
+    step = lambda acc, i: F.struct((acc["t"] + F.log((n - i + 1) / i)).alias("t"), (acc["s"] + F.exp(acc["t"] + F.log((n - i + 1) / i))).alias("s"))
+    some = F.when(low > 0, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>"))
+    terms = F.aggregate(some, F.struct(none.alias("t"), F.exp(none).alias("s")), step)["s"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * terms))
 
 
 def pass_hat_k(n: Column, c: Column, k: int) -> Column:

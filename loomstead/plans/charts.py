@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import charts
+from ..operators import chart_maker, charts
 from ..operators.similarity import small
 from . import query, table
 
@@ -173,3 +173,65 @@ def chart_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = F.sha2(collapsed(F.col("text")), 256)
     return table(spark, sf_dir, "documents").groupBy(key.alias("q"), F.col("n_chars").cast("string").alias("a")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+_TYPES = "[" + ", ".join(f"'{t}'" for t in chart_maker.KINDS) + "]"
+_FITS = ", ".join(f"('{t}', '{k}')" for t, ks in chart_maker.KINDS.items() for k in ks)
+_TEXT = "CASE WHEN {x} = floor({x}) THEN floor({x})::BIGINT::VARCHAR ELSE regexp_replace(printf('%.4f', {x}), '\\.?0+$', '') END"
+
+
+def _text(x: str) -> str:
+    return _TEXT.format(x=f"round({x}, 1)")
+
+
+_QA = f"""
+z AS (SELECT chart, arg_min(category, pos) AS c0, arg_min(value, pos) AS v0, arg_max(category, pos) AS c1, arg_max(value, pos) AS v1, arg_min(category, md5('cat|' || chart || '|' || category)) AS xc, arg_min(value, md5('cat|' || chart || '|' || category)) AS xv FROM l GROUP BY chart),
+j AS (SELECT f.*, z.* EXCLUDE (chart) FROM f JOIN z USING (chart)),
+q AS (SELECT chart, 'value_lookup' AS kind, 'What is the value of ' || xc || '?' AS question, {_text('xv')} AS answer FROM j
+UNION ALL SELECT chart, 'max', 'Which category is the highest?', top FROM j UNION ALL SELECT chart, 'min', 'Which category is the lowest?', bottom FROM j
+UNION ALL SELECT chart, 'compare', 'Is ' || c0 || ' above ' || c1 || '?', CASE WHEN v0 > v1 THEN 'Yes' ELSE 'No' END FROM j UNION ALL SELECT chart, 'sum', 'What do all add up to?', {_text('total')} FROM j
+UNION ALL SELECT chart, 'count', 'How many are above the mean?', above::VARCHAR FROM j UNION ALL SELECT chart, 'difference', 'How far apart are ' || c0 || ' and ' || c1 || '?', {_text('abs(v0 - v1)')} FROM j
+UNION ALL SELECT chart, 'mean', 'What is the mean?', {_text('mean')} FROM j UNION ALL SELECT chart, 'compare_then_compute', 'By how much does the highest exceed the lowest?', {_text('(hi - lo)')} FROM j
+UNION ALL SELECT chart, 'trend', 'Is it increasing or decreasing?', CASE WHEN abs(change) <= 0.10 THEN NULL WHEN change > 0 THEN 'increasing' ELSE 'decreasing' END FROM j
+UNION ALL SELECT chart, 'proportion', 'What share has the largest part?', {_text('100 * (hi / total)')} || '%' FROM j
+UNION ALL SELECT chart, 'correlation', 'Is the correlation positive or negative?', CASE WHEN abs(r) < 0.3 THEN NULL WHEN r > 0 THEN 'positive' ELSE 'negative' END FROM j)
+"""
+
+
+@query(
+    f"""WITH {_L}, {_QA}, t AS (SELECT *, ({_TYPES})[('0x' || substr(md5('type|' || chart), 1, 8))::BIGINT % {len(chart_maker.KINDS)} + 1] AS type FROM q WHERE answer IS NOT NULL)
+SELECT chart, type, kind, question, answer FROM t WHERE (type, kind) IN (VALUES {_FITS}) QUALIFY row_number() OVER (PARTITION BY chart ORDER BY ('0x' || substr(md5('ask|' || chart || '|' || kind), 1, 8))::BIGINT, kind) <= 2"""
+)
+def chart_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two questions a chart at most, of the kinds that suit its drawn type."""
+    return chart_maker.questions(_long(spark, sf_dir))
+
+
+@query(f"WITH {_L}, {_QA} SELECT chart, kind, question, answer FROM q WHERE kind IN ('value_lookup', 'max', 'min', 'compare', 'compare_then_compute') AND answer IS NOT NULL")
+def vega_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five kinds of questions, answered from the JSON text of specifications alone."""
+    return chart_maker.spec_questions(chart_maker.specs(_long(spark, sf_dir)))
+
+
+_KINDS = """
+k AS (SELECT o_orderkey, o_orderkey % 10 AS k, o_orderpriority AS p, 10 + o_orderkey % 90 AS n FROM orders)
+SELECT o_orderkey, k IN (0, 2, 4, 6, 7, 8) AS correct, k = 8 AS strict, k <> 9 AS parsed_ok FROM k
+"""
+
+
+@query("WITH " + _KINDS.strip())
+def scorer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in any order, trends by direction, ranges, shares, yes and no, and texts: what counts, and what is the same text."""
+    k, n, p = F.col("o_orderkey") % 10, (10 + F.col("o_orderkey") % 90), F.col("o_orderpriority")
+    text = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    number = lambda c: c.cast("string")
+    gold = (
+        F.when(k.isin(0, 1), text('["', p, '", ', number(n), ', "west"]')).when(k == 2, '"increasing"').when(k == 3, '"decreasing"').when(k.isin(4, 5), text('"', number(n), "-", number(2 * n), '"'))
+        .when(k == 6, number(n)).when(k == 7, F.lit("true")).otherwise(text('"', p, '"'))
+    )
+    said = (
+        F.when(k == 0, text("West; ", number(n), ", ", F.lower(p))).when(k == 1, text("west, ", number(n))).when(k == 2, "it was rising until May").when(k == 3, "बढ़ता").when(k == 4, text(number(2 * n), " to ", number(n)))
+        .when(k == 5, text(number(n), " to ", number(3 * n))).when(k == 6, text(number(n), "%")).when(k == 7, "Yes.").when(k == 8, text(" ", F.lower(p))).otherwise("  ")
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", charts.verdicts(gold, said, F.when(k.isin(2, 3), "trend").when(k == 6, "proportion").otherwise("")).alias("v"))
+    return rows.select("o_orderkey", "v.correct", "v.strict", "v.parsed_ok")

@@ -102,11 +102,16 @@ def neardup_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).select(F.col("grp").alias("lang"), "i", "j", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+@query(
+    _NEAR
+    + """, s2 AS (SELECT lang, id, n, list_sort(list(g)) AS s FROM x GROUP BY lang, id, n), c2 AS (SELECT lang, s, min(id) AS rep, count(*) AS copies FROM s2 GROUP BY lang, s)
+SELECT rep AS doc_id, copies::BIGINT AS copies, (SELECT count(*) FROM p JOIN c2 o ON o.lang = p.lang AND o.rep = CASE WHEN p.i = c2.rep THEN p.j ELSE p.i END WHERE p.lang = c2.lang AND (p.i = c2.rep OR p.j = c2.rep))::BIGINT AS near_classes FROM c2"""
+)
 def neardup_minhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band sizes of the MinHash index: how many documents meet in each shared band."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return sim.band_keys(docs).groupBy("band").agg(F.count("*").alias("documents")).where("documents > 1").groupBy("documents").agg(F.count("*").alias("bands"))
+    """Classes of equal shingle sets, and how many others of the language each is near to: MinHash candidates, verified exactly."""
+    members, pairs = sim.near_classes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text"), NEAR)
+    ends = pairs.select(F.explode_outer(F.array("i", "j")).alias("rep")).groupBy("rep").agg(F.count("*").alias("near_classes"))
+    return members.groupBy("rep").agg(F.count("*").alias("copies")).join(ends, "rep", "left").select(F.col("rep").alias("doc_id"), "copies", F.coalesce("near_classes", F.lit(0)).alias("near_classes"))
 
 
 @query(
@@ -124,7 +129,8 @@ FROM documents d LEFT JOIN f ON f.lang = d.lang"""
 def minhash_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep-first near-duplicate removal within a language."""
     nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return sim.keep_first(nodes, _near(spark, sf_dir)).select(F.col("id").alias("doc_id"), "kept")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text")
+    return sim.keep_first(nodes, sim.near_links(docs, NEAR)).select(F.col("id").alias("doc_id"), "kept")
 
 
 _PAIRS = """

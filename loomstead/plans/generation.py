@@ -6,10 +6,12 @@ Choices are counter draws, so every row is made on its own and SQL can check it.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import draw
-from ..operators import environments as env
+from ..operators import environments as env, rollout
 from ..operators.similarity import small
 from . import query, table
 
@@ -186,7 +188,10 @@ def hardest_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).where("wrong").groupBy("ord").agg(best.alias("b")).select("ord", F.nullif(F.col("b.r"), F.lit("~")).alias("rejected"), F.col("b.hardness").alias("hardness"))
 
 
-@query(f"WITH {_CAND}, b AS (SELECT ord, rejected FROM w WHERE wrong QUALIFY row_number() OVER (PARTITION BY ord ORDER BY hardness, rejected NULLS LAST) = 1), s AS (SELECT ord, rejected AS chosen FROM w WHERE mode = 'same') SELECT 'Order ' || ord AS prompt, chosen, coalesce(rejected, 'refuse') AS rejected FROM b JOIN s USING (ord) WHERE chosen <> coalesce(rejected, 'refuse')")
+@query(
+    f"""WITH {_CAND}, b AS (SELECT ord, max(rejected) FILTER (WHERE mode = 'same') AS chosen, arg_min(coalesce(rejected, '~'), struct_pack(a := hardness, b := coalesce(rejected, '~'))) FILTER (WHERE wrong) AS r FROM w GROUP BY ord)
+SELECT 'Order ' || ord AS prompt, chosen, CASE r WHEN '~' THEN 'refuse' ELSE r END AS rejected FROM b WHERE chosen <> r"""
+)
 def pref_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference rows; chosen and rejected always differ."""
     rows = _candidates(spark, sf_dir)
@@ -225,7 +230,18 @@ def _trajectories(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ord", F.when(kind < 35, "recovery").when(kind < 65, "fault").otherwise("clean").alias("kind"), F.concat(adds, F.array(out)).alias("calls"))
 
 
-@query()
+_TRAJ = f"""
+t AS (SELECT o_orderkey AS ord, {_u("'kind'", "o_orderkey")} % 100 AS kd, 2 + {_u("'steps'", "o_orderkey")} % 3 AS n FROM orders),
+kinds AS (SELECT *, CASE WHEN kd < 35 THEN 'recovery' WHEN kd < 65 THEN 'fault' ELSE 'clean' END AS kind FROM t),
+a AS (SELECT ord, j, (['apples', 'bananas', 'oranges', 'grapes', 'mangoes'])[{_u("'fruit'", "ord", "j")} % 5 + 1] AS fruit, {_u("'qty'", "ord", "j")} % 4 + 1 AS q FROM t, range(4) r(j) WHERE j < n)
+"""
+
+
+@query(
+    f"""WITH {_TRAJ}, s AS (SELECT ord, kind, n, unnest(range(1, n + 2)) AS i FROM kinds), b AS (SELECT s.ord, s.i, a.fruit, sum(a.q)::BIGINT AS q, min(a.j) AS f FROM s JOIN a ON a.ord = s.ord AND a.j < s.i - 1 GROUP BY ALL),
+d AS (SELECT ord, i, 'cart: ' || string_agg(q || ' ' || fruit, ', ' ORDER BY f) AS state FROM b GROUP BY ALL)
+SELECT s.ord, kind, s.i::INT AS i, coalesce(state, 'the cart is empty') AS state, CASE WHEN s.i > n THEN 'checkout' ELSE 'add_item' END AS call, kind = 'fault' AND s.i = 1 AS repeated FROM s LEFT JOIN d ON d.ord = s.ord AND d.i = s.i"""
+)
 def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a step: the state before it, the gold call, and whether a fault repeats it."""
     rows = _trajectories(spark, sf_dir).withColumn("i", F.explode_outer(F.sequence(F.lit(1), F.size("calls"))))
@@ -234,11 +250,45 @@ def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("ord", "kind", "i", env.describe_cart(F.col("s")).alias("state"), F.element_at("calls", F.col("i"))["name"].alias("call"), ((F.col("kind") == "fault") & (F.col("i") == 1)).alias("repeated"))
 
 
-@query()
+def _steps(row: dict) -> list[dict]:
+    """Gold steps of a planned trajectory: a fault loses the first call once; a recovery ends with a request that can't be met."""
+    steps = []
+    for i, c in enumerate(row["calls"]):
+        call = {"name": c["name"], "arguments": {} if c["name"] == "checkout" else {"item": c["item"], "quantity": int(c["quantity"])}}
+        step = {"gold": {"action": "call", "calls": [call]}, "ord": row["id"], "i": i}
+        steps += [step | {"fault": True}, step] if row["kind"] == "fault" and not i else [step]
+    if row["kind"] == "recovery":
+        steps.append({"gold": {"action": "clarify", "message": "The cart is checked out."}, "ord": row["id"], "i": len(row["calls"])})
+    return steps
+
+
+def _care(step: dict) -> bool:
+    return int(hashlib.md5(f"care|{step['ord']}|{step['i']}".encode()).hexdigest()[:8], 16) % 5 > 0
+
+
+def _oracle(step: dict, history: list[dict], sample: int) -> dict:
+    return step["gold"]
+
+
+def _eager(step: dict, history: list[dict], sample: int) -> dict:
+    """Always calls, also where nothing can be done."""
+    return step["gold"] if step["gold"]["action"] == "call" else {"action": "call", "calls": [{"name": "add_item", "arguments": {"item": "apples", "quantity": 1}}]}
+
+
+def _careless(step: dict, history: list[dict], sample: int) -> dict:
+    """Refuses one step in five, by a draw; a second sample is right."""
+    return step["gold"] if sample or _care(step) else {"action": "refuse", "message": "no"}
+
+
+@query(
+    f"""WITH {_TRAJ}, s AS (SELECT ord, kind, n, unnest(range(0, n + CASE kind WHEN 'recovery' THEN 2 ELSE 1 END)) AS i FROM kinds),
+c AS (SELECT ord, kind, bool_and({_u("'care'", "ord", "i")} % 5 > 0) AS careful, sum(({_u("'care'", "ord", "i")} % 5 > 0)::INT * CASE WHEN kind = 'fault' AND i = 0 THEN 2 ELSE 1 END) AS matched, sum(CASE WHEN kind = 'fault' AND i = 0 THEN 2 ELSE 1 END) AS steps FROM s GROUP BY ALL)
+SELECT kind, policy, count(*)::BIGINT AS n, round(avg(ok::INT), 6) AS success, round(avg(m / steps::DOUBLE), 6) AS step_accuracy FROM (
+  SELECT kind, 'oracle' AS policy, true AS ok, steps AS m, steps FROM c UNION ALL SELECT kind, 'eager', kind <> 'recovery', steps - (kind = 'recovery')::INT, steps FROM c UNION ALL SELECT kind, 'careless', careful, matched, steps FROM c) GROUP BY ALL"""
+)
 def rollout_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An oracle policy and an always-abstaining one over all trajectories: the first succeeds, the second never."""
-    rows = _trajectories(spark, sf_dir).withColumn("gold", env.cart(F.col("calls")))
-    none = F.filter("calls", lambda c: c["name"] == "never")
-    done = rows.withColumn("oracle", env.cart(F.col("calls"))).withColumn("abstain", env.cart(none))
-    same = lambda a: ((F.col(f"{a}.items") == F.col("gold.items")) & (F.col(f"{a}.checked_out") == F.col("gold.checked_out"))).cast("double")
-    return done.groupBy("kind").agg(F.count("*").alias("n"), F.avg(same("oracle")).alias("oracle"), F.avg(same("abstain")).alias("abstain"))
+    """Three policies over all trajectories, played against the cart: one that knows, one that always calls, one that refuses at times."""
+    rows = _trajectories(spark, sf_dir).select(F.col("ord").alias("id"), "kind", F.lit("cart").alias("env"), "calls")
+    played = rollout.rollouts(rows, {"oracle": _oracle, "eager": _eager, "careless": _careless}, _steps)
+    both = played.join(rows.select("id", "kind"), "id")
+    return both.groupBy("kind", "policy").agg(F.count("*").alias("n"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success"), F.round(F.avg(F.col("matched") / F.col("steps")), 6).alias("step_accuracy"))

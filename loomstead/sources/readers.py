@@ -35,16 +35,40 @@ def call_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
+#: What stands before a dialogue that a request carries, and what opens a user's and an assistant's turn in it.
+DIALOGUE, ASKS, REPLIES = "Historical dialog data is as follows:", "Inquirer:", "Response assistant:"
+
+
+def dialogue(text: Column) -> tuple[Column, Column]:
+    """(history, query) of a request that carries its dialogue: the last user turn, and what was said before it.
+
+    Other requests, and those whose last user turn has under three characters, are queries as they are, without a history.
+    """
+    body = F.split_part(text, F.lit(DIALOGUE), F.lit(2))
+    lines = F.split(F.concat(F.lit("\n"), body), rf"\n\s*(?={ASKS}|{REPLIES})")
+    turn = lambda t: F.struct(F.when(F.startswith(t, F.lit(ASKS)), "user").otherwise("assistant").alias("role"), F.trim(F.regexp_replace(t, rf"^(?:{ASKS}|{REPLIES})", ""), F.lit(" \n\t\r")).alias("content"))
+    said = F.filter(F.transform(F.filter(lines, lambda t: F.startswith(t, F.lit(ASKS)) | F.startswith(t, F.lit(REPLIES))), turn), lambda t: t["content"] != "")
+    last = F.size(said) - F.array_position(F.reverse(F.transform(said, lambda t: t["role"])), "user") + 1
+    asked = F.try_element_at(said, last.cast("int"))
+    found = F.contains(text, F.lit(DIALOGUE)) & F.array_contains(F.transform(said, lambda t: t["role"]), "user") & (F.length(asked["content"]) >= 3)
+    before = F.slice(said, F.lit(1), F.greatest(last - 1, F.lit(0)).cast("int"))
+    return F.when(found & (F.size(before) > 0), before), F.when(found, asked["content"]).otherwise(F.trim(text))
+
+
 def dialog_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows with ``system`` (a tool list in prose) and ``conversations`` (from, value): first user turn, then first call string after it."""
+    """Rows with ``system`` (a tool list in prose) and ``conversations`` (from, value): first user turn, then first call string after it.
+
+    A user turn that carries a whole dialogue gives history and query.
+    """
     turns = F.col("conversations")
     roles = F.transform(turns, lambda t: F.lower(t["from"]))
     first = F.array_position(roles, "user").cast("int")
     after = F.slice(turns, F.greatest(first, F.lit(1)) + 1, F.size(turns))
     reply = F.element_at(F.filter(after, lambda t: F.lower(t["from"]) == "assistant"), 1)["value"]
-    rows = raw.where(first > 0).select(parsing.prose_tools(F.col("system")).alias("tools"), F.element_at(turns, first)["value"].alias("query"), parsing.call_string(reply).alias("calls"))
+    rows = raw.where(first > 0).select(parsing.prose_tools(F.col("system")).alias("tools"), F.element_at(turns, first)["value"].alias("said"), parsing.call_string(reply).alias("calls"))
     rows = rows.where((F.size("calls") > 0) & (F.col("tools") != "[]"))
-    rows = rows.select("tools", "query", F.struct(F.lit("tool_call").alias("type"), "calls", F.lit("").alias("content")).alias("answer"), F.lit(None).cast("array<struct<role:string,content:string>>").alias("history"))
+    history, asked = dialogue(F.col("said"))
+    rows = rows.select("tools", asked.alias("query"), F.struct(F.lit("tool_call").alias("type"), "calls", F.lit("").alias("content")).alias("answer"), history.cast("array<struct<role:string,content:string>>").alias("history"))
     return rows if limit is None else rows.limit(limit)
 
 

@@ -7,7 +7,9 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..operators.ordering import ordered
 
 
 def json_lines(df: DataFrame, path: str, order: str = "ord") -> None:
@@ -28,14 +30,21 @@ def question_turns(history: Column, query: Column) -> Column:
     return F.aggregate(every, none, step)
 
 
+def ground_truth(calls: Column) -> Column:
+    """Calls in the evaluator's layout as JSON text: each argument's value, of its own type, as a list of one."""
+    wrapped = lambda c: F.to_json(F.transform_values(F.from_json(c["arguments"], "map<string,variant>"), lambda _, v: F.array(v)))
+    name = lambda c: F.regexp_replace(F.to_json(F.array(c["name"])), r"^\[|\]$", "")
+    return F.concat(F.lit("["), F.array_join(F.transform(calls, lambda c: F.concat(F.lit("{"), name(c), F.lit(":"), wrapped(c), F.lit("}"))), ","), F.lit("]"))
+
+
 def bfcl(examples: DataFrame, path: str) -> None:
     """Prompt and answer files by category; ids count from 0 in input order within a category."""
-    number = F.row_number().over(Window.partitionBy("category").orderBy("ord")) - 1
-    rows = examples.withColumn("id", F.concat(F.lit("BFCL_v4_"), "category", F.lit("_"), number.cast("string")))
+    numbered = ordered(examples, ["category"], ["ord"], "_number")
+    rows = numbered.withColumn("id", F.concat(F.lit("BFCL_v4_"), "category", F.lit("_"), F.col("_number").cast("string")))
     prompts = rows.select("category", "id", question_turns(F.col("history"), F.col("query")).alias("question"), F.col("tools").alias("function"))
-    truth = F.transform("answer.calls", lambda c: F.map_from_arrays(F.array(c["name"]), F.array(F.transform_values(F.from_json(c["arguments"], "map<string,string>"), lambda _, v: F.array(v)))))
     prompts.write.partitionBy("category").mode("overwrite").json(f"{path}/prompt")
-    rows.select("category", "id", truth.alias("ground_truth")).write.partitionBy("category").mode("overwrite").json(f"{path}/answer")
+    line = F.concat(F.lit('{"id":"'), "id", F.lit('","ground_truth":'), ground_truth(F.col("answer.calls")), F.lit("}"))
+    rows.select("category", line.alias("value")).write.partitionBy("category").mode("overwrite").text(f"{path}/answer")
 
 
 def data_uri(image: Column) -> Column:
@@ -45,6 +54,21 @@ def data_uri(image: Column) -> Column:
     return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(image))
 
 
+def image_uri(image: Column) -> Column:
+    """Where an image is text: data URIs and web addresses as they are, anything else as a path."""
+    return F.when(F.startswith(image, F.lit("data:")) | image.rlike("^https?://"), image).otherwise(F.concat(F.lit("file://"), F.regexp_replace(image, "^file://", "")))
+
+
+def image_of(path: Column, data: Column, raw: Column) -> Column:
+    """The image of a row that may have a path, bytes beside a path, or bytes alone: the first that is there."""
+    return F.coalesce(image_uri(F.nullif(path, F.lit(""))), data_uri(data), data_uri(raw))
+
+
+def prompt_row(question: Column, answer: Column, image: Column) -> Column:
+    """Prompt, completion and image of a chart question as one JSON object, for table exports."""
+    return F.to_json(F.struct(question.alias("prompt"), answer.alias("completion"), image.alias("image")))
+
+
 def chat_row(image: Column, question: Column, answer: Column, system: str) -> Column:
     """System, user (image and text) and assistant messages as JSON."""
     text = lambda c: F.array(F.struct(F.lit("text").alias("type"), c.alias("text"), F.lit(None).cast("string").alias("image")))
