@@ -11,13 +11,12 @@ cut is small:
 2. Anchors that only one row of the corpus has are left out (nothing can match there).
 3. Segments are dealt by anchor. Each part is a collection of distinct segments whose
    Burrows-Wheeler transform is built column by column: a round inserts one symbol of
-   every segment, from the last to the first, reading the transform once in sequence
-   for ranks and writing it once in sequence to a new external file. A walk over the
-   finished transform places every suffix, and common prefixes of neighbours are taken
-   from the bytes as bits: whether they agree in ``LENGTH`` bytes.
+   every segment, from the last to the first, and updates the common prefixes of
+   neighbours; transform and prefixes are external files, read once in sequence and
+   written once in sequence in a round. A walk over the finished transform places every suffix.
    Segments whose anchor has neither its left nor its right half-surroundings in common with
    another segment share no window and stay out of the transform.
-4. Runs of neighbours that agree are the equal strings of the part; a window is
+4. Runs of neighbours with ``LENGTH`` bytes in common are the equal strings of the part; a window is
    removed if its run has a segment of a smaller doc_id. Removed ranges return to the
    texts and overlap is resolved there.
 
@@ -33,6 +32,7 @@ an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 from collections.abc import Iterator
@@ -256,122 +256,166 @@ def _cut_segments(parts: int):
     return run
 
 
+class LeastOf:
+    """Minima of runs of an array of bytes, from those of power-of-two widths."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The least of values[first] to values[last], both included."""
+        level = np.frexp(last - first + 1)[1] - 1
+        out = np.empty(len(first), np.uint8)
+        for k in np.unique(level).tolist():
+            while len(self.levels) <= k:
+                wide = 1 << (len(self.levels) - 1)
+                self.levels.append(np.minimum(self.levels[-1][:-wide], self.levels[-1][wide:]))
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] + 1 - (1 << k)])
+        return out
+
+
 class ColumnwiseTransform:
-    """The collection's transform in an external file, one symbol of each segment a round.
+    """The collection's transform and common prefixes in external files, one symbol of each segment a round.
 
-    Symbols are codes below ``width``; 0 ends a segment.
+    Symbols are codes below ``width``; 0 ends a segment. Entry k of the second file is the length that suffix k
+    has in common with the one before it. A round reads both files once in sequence for ranks and common prefixes,
+    and writes both once in sequence.
     """
 
     CHUNK = 1 << 18
-    RUN = 128
+    NONE = 255
 
     def __init__(self, folder: str, n: int, width: int):
         self.folder, self.n, self.width, self.round = folder, n, width, 0
-        self.path = os.path.join(folder, "bwt-0")
-        runs_ = self.CHUNK // self.RUN
-        self.base = np.repeat(np.arange(runs_, dtype=np.int64), self.RUN)
-        self.index = np.empty(self.CHUNK, np.int64)
-        self.ahead = (np.arange(self.RUN)[None, :] < np.arange(self.RUN)[:, None]).view(np.uint64)
+        self.paths = self._names()
+
+    def _names(self) -> tuple[str, str]:
+        return tuple(os.path.join(self.folder, f"{kind}-{self.round % 2}") for kind in ("bwt", "lcp"))
 
     def start(self, symbols: np.ndarray) -> np.ndarray:
         """The last symbols, in the order of the segments; returns their places."""
-        symbols.tofile(self.path)
+        symbols.tofile(self.paths[0])
+        np.zeros(self.n, np.uint8).tofile(self.paths[1])
         return np.arange(self.n)
 
-    def _chunks(self) -> Iterator[tuple[int, np.ndarray]]:
-        with open(self.path, "rb") as file:
+    def _chunks(self, paths: tuple[str, str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        with open(paths[0], "rb") as symbols, open(paths[1], "rb") as common:
             at = 0
-            while len(chunk := np.fromfile(file, np.uint8, self.CHUNK)):
-                yield at, chunk
+            while len(chunk := np.fromfile(symbols, np.uint8, self.CHUNK)):
+                yield at, chunk, np.fromfile(common, np.uint8, self.CHUNK)
                 at += len(chunk)
 
-    def ranks(self, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Place after insertion of symbol + suffix, for suffixes at ascending ``places``; one pass."""
-        before = np.zeros(self.width, np.int64)
-        out = np.empty(len(places), np.int64)
-        for at, chunk in self._chunks():
-            size = len(chunk)
-            n_runs = -(-size // self.RUN)
-            index = self.index[:size]
-            np.multiply(chunk, np.int64(n_runs), out=index, dtype=np.int64)
-            index += self.base[:size]
-            upto = np.cumsum(np.bincount(index, minlength=n_runs * self.width).reshape(self.width, n_runs), axis=1)
-            a, b = np.searchsorted(places, [at, at + size])
+    def extend(self, places: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For symbol + suffix, suffixes at ascending ``places``: its place once all are inserted, what it has in
+        common with the suffix before it, and with the one after it (-1 where that begins otherwise).
+
+        Suffixes that begin with a symbol stand in the order of that symbol's occurrences in the transform, and two
+        neighbours have one more in common than the least of the common prefixes between their occurrences.
+        """
+        width, end = self.width, self.NONE
+        before, known, since = np.zeros(width, np.int64), np.zeros(width, bool), np.full(width, end, np.uint8)
+        rank, own, after = np.empty(len(places), np.int64), np.zeros(len(places), np.int64), np.full(len(places), -1, np.int64)
+        waiting: dict[int, tuple[int, int]] = {}  # symbol: a suffix whose follower lies in a later chunk, and the least so far
+        for at, chunk, common in self._chunks(self.paths):
+            order = np.argsort(chunk, kind="stable")
+            counts = np.bincount(chunk, minlength=width)
+            first = np.cumsum(counts) - counts
+            inverse = np.empty(len(chunk), np.int64)
+            inverse[order] = np.arange(len(chunk))
+            least, upto = LeastOf(common), np.minimum.accumulate(common)
+            from_here = np.r_[np.minimum.accumulate(common[::-1])[::-1], np.uint8(end)]
+            for c, (i, low) in list(waiting.items()):
+                if counts[c]:
+                    after[i] = 1 + min(low, int(upto[order[first[c]]]))
+                    del waiting[c]
+                else:
+                    waiting[c] = (i, min(low, int(upto[-1])))
+            a, b = np.searchsorted(places, [at, at + len(chunk)])
             if b > a:
-                local, c = places[a:b] - at, symbols[a:b]
-                run, rest = local // self.RUN, local % self.RUN
-                seen = before[c] + np.where(run > 0, upto[c, run - 1], 0)
-                if size < n_runs * self.RUN:
-                    chunk = np.r_[chunk, np.zeros(n_runs * self.RUN - size, np.uint8)]
-                line = chunk.reshape(n_runs, self.RUN)
-                for x in range(0, b - a, 1 << 13):
-                    y = min(x + (1 << 13), b - a)
-                    same = (line[run[x:y]] == c[x:y, None]).view(np.uint64)
-                    same &= self.ahead[rest[x:y]]
-                    seen[x:y] += (same.sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
-                out[a:b] = seen
-            before += upto[:, -1]
+                here, c = places[a:b] - at, symbols[a:b]
+                k = inverse[here]
+                rank[a:b] = before[c] + k - first[c]
+                inside = np.flatnonzero(k > first[c])
+                own[a + inside] = 1 + least(order[k[inside] - 1] + 1, here[inside]).astype(np.int64)
+                earlier = np.flatnonzero((k == first[c]) & known[c])
+                own[a + earlier] = 1 + np.minimum(since[c[earlier]], upto[here[earlier]]).astype(np.int64)
+                last = k + 1 == first[c] + counts[c]
+                inside = np.flatnonzero(~last)
+                after[a + inside] = 1 + least(here[inside] + 1, order[k[inside] + 1]).astype(np.int64)
+                waiting |= {int(c[i]): (a + int(i), int(from_here[here[i] + 1])) for i in np.flatnonzero(last)}
+            some = counts > 0
+            since = np.minimum(since, upto[-1])
+            since[some] = from_here[order[first[some] + counts[some] - 1] + 1]
+            known |= some
+            before += counts
         below = np.cumsum(before) - before
-        return self.n + below[symbols] - before[0] + out
+        return self.n + below[symbols] - before[0] + rank, own, after
 
-    def insert(self, places: np.ndarray, symbols: np.ndarray) -> None:
-        """Write the next file: ``symbols`` at the ascending ``places`` of the new order; one pass."""
+    def insert(self, places: np.ndarray, symbols: np.ndarray, own: np.ndarray, after: np.ndarray) -> None:
+        """Write the next files: ``symbols`` and common prefixes at the ascending ``places`` of the new order."""
         self.round += 1
-        fresh = os.path.join(self.folder, f"bwt-{self.round % 2}")
-        done, gone, older = 0, 0, places - np.arange(len(places))
-        with open(fresh, "wb") as file:
-            for _, chunk in self._chunks():
-                # New symbols that stand before or among the old ones of this chunk.
-                upto = done + int(np.searchsorted(older[done:], gone + len(chunk), "left"))
-                merged = np.empty(len(chunk) + upto - done, np.uint8)
+        done, gone, older, next_ = 0, 0, places - np.arange(len(places)), -1
+        paths, self.paths, nothing = self.paths, self._names(), np.zeros(0, np.uint8)
+        with open(self.paths[0], "wb") as to, open(self.paths[1], "wb") as common_to:
+            for _, chunk, common in itertools.chain(self._chunks(paths), [(0, nothing, nothing)]):
+                # New symbols that stand before or among the old ones of this chunk; all that are left after the last.
+                upto = done + int(np.searchsorted(older[done:], gone + len(chunk), "left")) if len(chunk) else len(places)
+                merged, prefix = np.empty(len(chunk) + upto - done, np.uint8), np.empty(len(chunk) + upto - done, np.uint8)
                 old = np.ones(len(merged), bool)
                 spots = places[done:upto] - (gone + done)
                 old[spots] = False
-                merged[old] = chunk
-                merged[spots] = symbols[done:upto]
-                merged.tofile(file)
+                merged[old], prefix[old] = chunk, common
+                merged[spots], prefix[spots] = symbols[done:upto], own[done:upto]
+                if next_ >= 0 and len(prefix):
+                    prefix[0], next_ = next_, -1
+                follows = np.flatnonzero((after[done:upto] >= 0) & (spots + 1 < len(prefix)))
+                prefix[spots[follows] + 1] = after[done:upto][follows]
+                if upto > done and spots[-1] + 1 == len(prefix):
+                    next_ = int(after[upto - 1])
+                merged.tofile(to)
+                prefix.tofile(common_to)
                 gone, done = gone + len(chunk), upto
-            symbols[done:].tofile(file)
-        self.path = fresh
-
 
-def equal_windows(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, window, class): windows of one class are equal, for distinct segments laid end to end.
 
-    Symbols are the bytes that occur, numbered from 1; 0 ends a segment.
-    """
-    n = len(sizes)
+def transformed(data: np.ndarray, sizes: np.ndarray, folder: str) -> ColumnwiseTransform:
+    """The transform of segments laid end to end; symbols are the bytes that occur, numbered from 1."""
     offsets = np.cumsum(sizes) - sizes
     present = np.bincount(data, minlength=256) > 0
     code = (np.cumsum(present) * present).astype(np.uint8)[data]
+    bwt = ColumnwiseTransform(folder, len(sizes), int(present.sum()) + 1)
+    seg, symbols, depth = np.arange(len(sizes)), code[offsets + sizes - 1], 0
+    places = bwt.start(symbols)
+    while len(seg):
+        depth += 1
+        places, own, after = bwt.extend(places, symbols)
+        order = np.argsort(places, kind="stable")
+        seg, places, own, after = seg[order], places[order], own[order], after[order]
+        left = sizes[seg] - depth
+        symbols = np.where(left > 0, code[np.maximum(offsets[seg] + left - 1, 0)], 0).astype(np.uint8)
+        bwt.insert(places, symbols, own, after)
+        alive = left > 0
+        seg, places, symbols = seg[alive], places[alive], symbols[alive]
+    return bwt
+
+
+def equal_windows(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, window, class): windows of one class are equal, for distinct segments laid end to end."""
+    n = len(sizes)
     with tempfile.TemporaryDirectory() as folder:
-        bwt = ColumnwiseTransform(folder, n, int(present.sum()) + 1)
-        seg = np.arange(n)
-        symbols = code[offsets + sizes - 1]
-        places = bwt.start(symbols)
-        depth = 0
-        while len(seg):
-            depth += 1
-            places = bwt.ranks(places, symbols)
-            order = np.argsort(places, kind="stable")
-            seg, places = seg[order], places[order]
-            left = sizes[seg] - depth
-            symbols = np.where(left > 0, code[np.maximum(offsets[seg] + left - 1, 0)], 0).astype(np.uint8)
-            bwt.insert(places, symbols)
-            alive = left > 0
-            seg, places, symbols = seg[alive], places[alive], symbols[alive]
+        bwt = transformed(data, sizes, folder)
         # Walk the finished transform once more to learn every suffix's place.
-        final = np.fromfile(bwt.path, np.uint8)
+        final, common = (np.fromfile(path, np.uint8) for path in bwt.paths)
     order = np.argsort(final, kind="stable").astype(np.int32 if len(final) < 2**31 else np.int64)
     jump = np.empty(len(final), order.dtype)
     ends = int((final == 0).sum())
     jump[order] = np.arange(len(final)) - ends + n
     place_seg, place_win = [], []
-    where, seg = np.arange(n), np.arange(n)
+    where, seg = np.arange(n, dtype=order.dtype), np.arange(n, dtype=np.int32)
     spots = []
     for d in range(1, int(sizes.max()) + 1 if n else 0):
         where = jump[where]
-        window = sizes[seg] - d
+        window = (sizes[seg] - d).astype(np.int32)
         if d >= LENGTH:
             spots.append(where)
             place_seg.append(seg)
@@ -384,19 +428,8 @@ def equal_windows(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     spots, place_seg, place_win = (np.concatenate(x) for x in (spots, place_seg, place_win))
     order = np.argsort(spots)
     spots, place_seg, place_win = spots[order], place_seg[order], place_win[order]
-    # Common prefixes of neighbours: bits, by eight bytes at a time.
-    raw = np.zeros(len(data) + 8, np.uint8)
-    raw[: len(data)] = data
-    eight = np.ndarray((len(data),), np.uint64, raw.data, 0, (1,))
-    at = offsets[place_seg] + place_win
-    agree = np.zeros(len(at), bool)
-    if len(at):
-        agree[1:] = spots[1:] == spots[:-1] + 1
-        live = np.flatnonzero(agree)
-        for shift in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-            live = live[eight[at[live] + shift] == eight[at[live - 1] + shift]]
-        agree[:] = False
-        agree[live] = True
+    # Between windows that don't follow each other stands a shorter suffix, so they differ.
+    agree = np.r_[False, spots[1:] == spots[:-1] + 1] & (common[spots] >= LENGTH)
     return place_seg, place_win, np.cumsum(~agree) - 1
 
 

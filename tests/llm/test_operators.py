@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -173,6 +174,30 @@ def test_repeats(spark, tables, monkeypatch):
     assert got == repeats_by_hand(rows)
 
 
+@pytest.mark.parametrize("chunk", [1, 5, 64, 1 << 18])
+def test_transform_and_common_prefixes(monkeypatch, tmp_path, chunk):
+    monkeypatch.setattr(substring_dedup.ColumnwiseTransform, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    parts = ["".join(rng.choice("aab") for _ in range(rng.randrange(1, 14))).encode() for _ in range(12)] + [b"zzzz", b"a", b"abab" * 6]
+    parts = list(dict.fromkeys(parts))
+    bwt = substring_dedup.transformed(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), str(tmp_path))
+    codes = {b: i + 1 for i, b in enumerate(sorted(set(b"".join(parts))))}
+    every = sorted((p[k:], i, codes[p[k - 1]] if k else 0) for i, p in enumerate(parts) for k in range(len(p) + 1))
+    symbols, common = (np.fromfile(path, np.uint8).tolist() for path in bwt.paths)
+    assert symbols == [c for _, _, c in every]
+    assert common == [0] + [len(os.path.commonprefix([a, b])) for (a, _, _), (b, _, _) in zip(every, every[1:], strict=False)]
+
+
+def test_equal_spans_and_collisions(monkeypatch):
+    data = np.frombuffer(b"abcabcxbcabd", np.uint8)
+    starts, sizes = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 3])
+    want = substring_dedup.alike(data, starts, sizes)
+    assert want[0] == want[1] and len(set(want.tolist())) == 3
+    monkeypatch.setattr(substring_dedup, "span_hashes", lambda d, a, b: np.zeros(len(a), np.uint64))
+    got = substring_dedup.alike(data, starts, sizes)
+    assert got[0] == got[1] and len(set(got.tolist())) == 3
+
+
 def test_sharding_balance_and_slots(spark, tables):
     docs = tables("documents", "sf0.01").select("doc_id", "text")
     hot = spark.range(10_000, 10_600).selectExpr("id AS doc_id", "repeat('same text ', 20) AS text")
