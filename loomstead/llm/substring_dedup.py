@@ -51,6 +51,8 @@ ANCHOR = 20
 BLOCK_BYTES = 4 << 20
 LEAST_BLOCKS = 64
 PIECE = 1 << 19
+#: Bits of an anchor's hash that choose its part.
+PART_BITS = 24
 _POS = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -130,7 +132,7 @@ class Block:
 
 def part_of(anchors: np.ndarray, parts: int) -> np.ndarray:
     """Parts by the low bits of an anchor's hash; its key within a part is the high 40 bits."""
-    return ((anchors & np.uint64((1 << 24) - 1)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    return ((anchors & np.uint64((1 << PART_BITS) - 1)) * np.uint64(parts) >> np.uint64(PART_BITS)).astype(np.int64)
 
 
 def key_bytes(anchors: np.ndarray) -> bytes:
@@ -534,10 +536,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
     total = docs.select(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
     kind = docs.schema["doc_id"].dataType
-    dealt = docs.select("doc_id", "text", *carry, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    anchors = dealt.groupBy("block").applyInArrow(_find_anchors(blocks), "part int, block int, hashes binary, twice binary")
+    parts = min(blocks, 1 << PART_BITS)
+    # The length spreads rows that share an id, or have none.
+    dealt = docs.select("doc_id", "text", *carry, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"))
+    anchors = dealt.groupBy("block").applyInArrow(_find_anchors(parts), "part int, block int, hashes binary, twice binary")
     shared = anchors.groupBy("part").applyInArrow(_shared_anchors, "block int, hashes binary")
-    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_segments(blocks), _SENT)
+    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_segments(parts), _SENT)
     ranges = sent.groupBy("part").applyInArrow(_judge, "block int, ranges binary")
     fields = ["doc_id " + kind.simpleString(), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"]
     fields += ["kept binary"] * with_text + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
