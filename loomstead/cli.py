@@ -54,7 +54,7 @@ def evaluate(a: argparse.Namespace) -> int:
     by = [a.by] if a.by else []
     share = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
     table = rows.groupBy(*by).agg(F.count("*").alias("n"), share("v.correct").alias("accuracy"), share("v.hallucinated_call").alias("hallucination"), (1 - share("v.parsed_ok")).alias("parse_failure"))
-    print(report.markdown(table.orderBy(*by)))
+    print(report.markdown(table.orderBy(*by) if by else table))
     return 0
 
 
