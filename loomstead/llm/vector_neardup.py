@@ -11,9 +11,9 @@ vectors. So windows are opened within cells. A table draws ``lines`` further lin
 and a digit is the line on which a vector stands furthest out, with its side. Cells hold
 about ``CELL`` vectors at any n; how often a pair at the threshold shares a cell is
 computed, and so many tables are used that all are missed with probability ``MISS``. The
-vectors of a cell are sorted by their first projection, each query's window is a run of
-that order, and collisions on all lines are counted for the pairs of the run. A pair
-counts in the first table it shares. Cells above ``BLOCK`` vectors (clusters) are cut into
+vectors of a cell are sorted by their first projection; a query's window in that order is
+so wide that a pair at the threshold lies in it but for ``MISS``, and collisions on all
+lines are counted for the pairs of the window. A pair counts in the first table it shares. Cells above ``BLOCK`` vectors (clusters) are cut into
 blocks, and every pair of blocks is a group of its own: no cell is capped.
 
 What travels is a vector as 16-bit integers with a bound of its rounding error. Cosines
@@ -70,6 +70,14 @@ def least_count(cosine: float) -> int:
     return count
 
 
+def first_reach(cosine: float) -> int:
+    """Half-width of the window on the sorted line: a pair at ``cosine`` is further apart with probability MISS at most."""
+    reach = REACH
+    while cosine < 1 and math.erf((reach - 1) / STEP / math.sqrt(2 - 2 * cosine) / math.sqrt(2)) < 1 - MISS and reach < 2 * FAR:
+        reach += 1
+    return reach
+
+
 @functools.cache
 def meeting(lines: int, cosine: float, draws: int = 20_000) -> float:
     """How often both of a pair at ``cosine`` stand furthest out on the same side of one of ``lines`` lines."""
@@ -256,11 +264,11 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     label[:] = root[label]
 
 
-def windows(lines: np.ndarray, side: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def windows(lines: np.ndarray, side: np.ndarray, least: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs with at least ``least`` collisions, for blocks of queries in the order of the first line.
 
-    ``lines``: integer projections, sorted by the first. Within one set (``side`` 0) a query's
-    window runs to the right of it; between two, over the other.
+    ``lines``: integer projections, sorted by the first, on which a window has the half-width ``reach``. Within one
+    set (``side`` 0) a query's window runs to the right of it; between two, over the other.
     """
     crossing = bool(side.max(initial=0))
     asking, asked = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if crossing else (np.arange(len(side)),) * 2
@@ -269,8 +277,8 @@ def windows(lines: np.ndarray, side: np.ndarray, least: int) -> Iterator[tuple[n
     first, other = lines[asking, 0], lines[asked, 0]
     for lo in range(0, len(asking), QUERIES):
         hi = min(lo + QUERIES, len(asking))
-        begin = int(np.searchsorted(other, first[lo] - REACH, "left")) if crossing else lo
-        end = int(np.searchsorted(other, first[hi - 1] + REACH, "right"))
+        begin = int(np.searchsorted(other, first[lo] - reach, "left")) if crossing else lo
+        end = int(np.searchsorted(other, first[hi - 1] + reach, "right"))
         if end <= begin:
             continue
         hits = np.zeros((hi - lo, end - begin), np.uint8)
@@ -284,7 +292,7 @@ def windows(lines: np.ndarray, side: np.ndarray, least: int) -> Iterator[tuple[n
 
 
 def _count(cosine: float, kind: pa.DataType):
-    least = least_count(cosine)
+    least, reach = least_count(cosine), first_reach(cosine)
     names = ("id", "links", "other", "open")
 
     def cell(rep, copies, scale, error, keys, code, side, t) -> tuple[np.ndarray, np.ndarray, list, list]:
@@ -296,7 +304,7 @@ def _count(cosine: float, kind: pa.DataType):
         rep, copies, error, keys, side = rep[order], copies[order], error[order], keys[order], side[order]
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         open_a, open_b = [], []
-        for a, b in windows(lines, side, least):
+        for a, b in windows(lines, side, least, reach):
             for p in range(0, len(a), 1 << 16):
                 u, v = a[p : p + (1 << 16)], b[p : p + (1 << 16)]
                 if t:

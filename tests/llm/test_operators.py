@@ -139,6 +139,19 @@ def test_vectors_find_planted_links(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == comps and all(r.kept == (i == comps[i]) for i, r in got.items())
 
 
+def test_vectors_near_the_threshold_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vector_neardup, "CELL", 300)
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    c = rng.uniform(0.9501, 0.955, 1500)[:, None]
+    both = np.vstack([x, c * x + np.sqrt(1 - c**2) * z / np.linalg.norm(z, axis=1)[:, None]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = {r.vec_id for r in vector_neardup.link_vectors(df).where("n_links = 1").collect()}
+    assert len(found) >= 0.985 * 3000 and vector_neardup.plan(3000, 0.95)[0] > 1
+
+
 def repeats_by_hand(rows, length=50):
     first, out = {}, {}
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
