@@ -1,0 +1,196 @@
+"""Examples whose gold calls were executed: single calls, several calls in any order, trajectories step by step, and pairs.
+
+Every row is made from its id alone, so any task can make it and reruns agree.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import json
+import random
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from .environments import DAYS, FRUITS, TITLES
+from .rollout import WORLDS, World, intent, observed
+
+TRIES = 40
+#: Of trajectories, which share ends with a request that can't be met, and up to which share loses a call.
+RECOVERY, FAULT = 0.35, 0.65
+
+_EXAMPLE = "ex_id bigint, tools string, query string, answer struct<type:string,calls:array<struct<name:string,arguments:string>>,content:string>, history array<struct<role:string,content:string>>, meta map<string,string>"
+
+
+def _rng(*key: object) -> random.Random:
+    return random.Random(int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest(), 16))
+
+
+def random_call(world: World, rng: random.Random) -> dict:
+    """Any call of a world's tools with values that fit their schemas; the state may forbid it."""
+    if world.name == "cart":
+        name = rng.choice(("add_item", "add_item", "remove_item", "checkout"))
+        return {"name": name, "arguments": {} if name == "checkout" else {"item": rng.choice(FRUITS), "quantity": rng.randint(1, 4)}}
+    name = rng.choice(("create_event", "create_event", "cancel_event", "move_event"))
+    arguments = {"title": rng.choice(TITLES)} | ({} if name == "cancel_event" else {"day": rng.choice(DAYS)})
+    return {"name": name, "arguments": arguments}
+
+
+def valid_call(world: World, state: dict, rng: random.Random) -> dict | None:
+    """A call that works on a state and changes it; None if TRIES draws give none."""
+    for _ in range(TRIES):
+        call = random_call(world, rng)
+        after, ok, _ = world.apply(state, call)
+        if ok and after != state:
+            return call
+    return None
+
+
+def reached(world: World, rng: random.Random, steps: int) -> dict:
+    """A state that so many valid calls lead to; checkouts are left out, since nothing follows one."""
+    state = world.blank
+    for _ in range(steps):
+        call = valid_call(world, state, rng)
+        if call and call["name"] != "checkout":
+            state = world.apply(state, call)[0]
+    return state
+
+
+def impossible(world: World, state: dict, rng: random.Random) -> dict | None:
+    """A well-formed call that a state forbids."""
+    for _ in range(TRIES):
+        call = random_call(world, rng)
+        if not world.apply(state, call)[1]:
+            return call
+    return None
+
+
+def in_any_order(world: World, state: dict, calls: list[dict]) -> bool:
+    """Whether all orders of the calls work and lead to one state."""
+    ends = []
+    for order in itertools.permutations(calls):
+        now = state
+        for call in order:
+            now, ok, _ = world.apply(now, call)
+            if not ok:
+                return False
+        ends.append(now)
+    return all(e == ends[0] for e in ends)
+
+
+def _row(ex_id: int, world: World, query: str, calls: list[dict] | None, said: str = "", history: list[dict] | None = None, **meta: object) -> tuple:
+    answer = {"type": "tool_call" if calls else "clarify", "calls": [{"name": c["name"], "arguments": json.dumps(c["arguments"])} for c in calls or []], "content": said}
+    return ex_id, json.dumps(world.tools), query, answer, history, {"source": "env", "env": world.name, **{k: str(v) for k, v in meta.items()}}
+
+
+def single(ex_id: int, seed: int = 42) -> tuple | None:
+    """One executed call on a state that the request describes."""
+    rng = _rng(seed, "single", ex_id)
+    world = WORLDS[rng.choice(sorted(WORLDS))]
+    state = reached(world, rng, rng.randint(0, 3))
+    call = valid_call(world, state, rng)
+    if call is None:
+        return None
+    after = world.apply(state, call)[0]
+    return _row(ex_id, world, f"State: {json.dumps(state, sort_keys=True)}. {intent(call)}", [call], verified=True, expected_state=json.dumps(after, sort_keys=True))
+
+
+def several(ex_id: int, seed: int = 42) -> tuple | None:
+    """Two or three different calls in one request that any order of execution brings to the same state."""
+    rng = _rng(seed, "several", ex_id)
+    world = WORLDS[rng.choice(sorted(WORLDS))]
+    state = reached(world, rng, rng.randint(0, 3))
+    for _ in range(TRIES):
+        calls = [c for c in (valid_call(world, state, rng) for _ in range(rng.randint(2, 3))) if c]
+        unlike = len({json.dumps(c, sort_keys=True) for c in calls}) == len(calls)
+        if len(calls) > 1 and unlike and in_any_order(world, state, calls):
+            after = state
+            for c in calls:
+                after = world.apply(after, c)[0]
+            return _row(ex_id, world, f"State: {json.dumps(state, sort_keys=True)}. " + " Also: ".join(map(intent, calls)), calls, multicall=True, verified=True, expected_state=json.dumps(after, sort_keys=True))
+    return None
+
+
+def trajectory(ex_id: int, seed: int = 42) -> list[dict]:
+    """Steps of two to four executed calls: world, goal, state before, gold (None where one has to ask), fault, kind.
+
+    A plan that ends where it began is drawn again. A fault repeats its call; a recovery ends with a request that
+    the state forbids.
+    """
+    rng = _rng(seed, "trajectory", ex_id)
+    world, share = WORLDS[rng.choice(sorted(WORLDS))], rng.random()
+    kind = "recovery" if share < RECOVERY else "fault" if share < FAULT else "clean"
+    for _ in range(TRIES):
+        state, plan = world.blank, []
+        for _ in range(rng.randint(2, 4)):
+            call = valid_call(world, state, rng)
+            if call is None:
+                break
+            plan.append((state, call))
+            state = world.apply(state, call)[0]
+        if len(plan) > 1 and state != world.blank:
+            break
+    steps = [{"world": world, "state": s, "gold": c, "fault": False, "kind": kind} for s, c in plan]
+    if kind == "fault":
+        at = rng.randrange(len(steps))
+        steps.insert(at, steps[at] | {"fault": True})
+    asked = [c for _, c in plan]
+    if kind == "recovery" and (call := impossible(world, state, rng)):
+        steps.append({"world": world, "state": state, "gold": None, "fault": False, "kind": kind})
+        asked.append(call)
+    goal = " Then: ".join(map(intent, asked))
+    return [s | {"goal": goal} for s in steps]
+
+
+def steps(ex_id: int, seed: int = 42) -> list[tuple]:
+    """A trajectory as one example a step; what was called and seen before is its history."""
+    rows, history = [], []
+    made = trajectory(ex_id, seed)
+    for i, s in enumerate(made):
+        world, gold = s["world"], s["gold"]
+        meta = {"pair_id": f"traj_{ex_id}", "step": i, "n_steps": len(made), "traj_kind": s["kind"], "verified": True}
+        rows.append(_row(ex_id * 16 + i, world, s["goal"], [gold] if gold else None, "" if gold else "The state doesn't allow that. What should I do instead?", list(history) or None, **meta))
+        if gold:
+            after, ok, why = world.apply(s["state"], gold)
+            seen = "ERROR: timeout" if s["fault"] else observed(after, ok, why)
+            history = [*history, {"role": "assistant", "content": json.dumps({"action": "call", "calls": [gold]}, sort_keys=True)}, {"role": "tool", "content": seen}]
+    return rows
+
+
+def pairs(ex_id: int, seed: int = 42) -> list[tuple[str, str, str]]:
+    """(prompt, chosen, rejected) for each step of a trajectory with a call: the gold call, and one that its state forbids."""
+    rng, out = _rng(seed, "pairs", ex_id), []
+    for s in trajectory(ex_id, seed):
+        bad = s["gold"] and impossible(s["world"], s["state"], rng)
+        if bad:
+            wire = lambda c: json.dumps({"action": "call", "calls": [c]}, sort_keys=True)
+            out.append((f"Tools:\n{json.dumps(s['world'].tools)}\n\nState: {json.dumps(s['state'], sort_keys=True)}\n\nUser request:\n{s['goal']}", wire(s["gold"]), wire(bad)))
+    return out
+
+
+def _frame(spark: SparkSession, n: int, make, schema: str) -> DataFrame:
+    names = [p.strip().split()[0] for p in schema.split(", ") if " " in p.strip()] if "<" not in schema else ["ex_id", "tools", "query", "answer", "history", "meta"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([r for i in batch["id"] for r in make(int(i))], columns=names)
+
+    return spark.range(n).mapInPandas(run, schema)
+
+
+def examples(spark: SparkSession, n: int, multicall: float = 0.0, seed: int = 42) -> DataFrame:
+    """Executed examples for n ids in the readers' layout, a share of them with several calls; ids without one are gone."""
+    make = lambda i: [r for r in [(several if _rng(seed, "kind", i).random() < multicall else single)(i, seed)] if r]
+    return _frame(spark, n, make, _EXAMPLE)
+
+
+def trajectory_examples(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """Steps of n trajectories in the readers' layout; those of one share a pair id."""
+    return _frame(spark, n, lambda i: steps(i, seed), _EXAMPLE)
+
+
+def preference_pairs(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """(prompt, chosen, rejected) from n trajectories; what is rejected was seen to fail."""
+    return _frame(spark, n, lambda i: pairs(i, seed), "prompt string, chosen string, rejected string")

@@ -1,0 +1,67 @@
+"""Executed examples: what they call works, what they reject fails, and orders don't matter where they say so."""
+
+import json
+
+from loomstead.functions import parsing
+from loomstead.operators import examples as ex, worlds
+from loomstead.operators.rollout import WORLDS
+
+
+def calls_of(row):
+    return [{"name": c["name"], "arguments": json.loads(c["arguments"])} for c in row[3]["calls"]]
+
+
+def state_of(row):
+    return json.JSONDecoder().raw_decode(row[2].removeprefix("State: "))[0]
+
+
+def test_single_and_several_calls_were_executed():
+    kinds = set()
+    for i in range(200):
+        for make in (worlds.single, worlds.several):
+            row = make(i)
+            if row is None:
+                continue
+            world, state, calls = WORLDS[row[5]["env"]], state_of(row), calls_of(row)
+            assert all(not parsing.call_errors(c, world.tools) for c in calls) and worlds.in_any_order(world, state, calls)
+            for c in calls:
+                state = world.apply(state, c)[0]
+            assert json.loads(row[5]["expected_state"]) == state
+            kinds.add((make.__name__, world.name, len(calls)))
+    assert kinds >= {("single", "cart", 1), ("single", "calendar", 1), ("several", "cart", 2), ("several", "calendar", 3)}
+    assert worlds.single(7) == worlds.single(7) != worlds.single(8)
+
+
+def test_trajectories():
+    kinds = set()
+    for i in range(150):
+        steps = worlds.trajectory(i)
+        world, state = steps[0]["world"], steps[0]["world"].blank
+        kinds.add(steps[0]["kind"])
+        for s in steps:
+            assert s["state"] == state
+            if s["gold"] and not s["fault"]:
+                state, ok, _ = world.apply(state, s["gold"])
+                assert ok
+        assert state != world.blank and sum(s["fault"] for s in steps) == (steps[0]["kind"] == "fault") and all(s["gold"] for s in steps[:-1])
+        rows = worlds.steps(i)
+        assert [len(r[4] or []) for r in rows] == [2 * k for k in range(len(rows))] and len({r[5]["pair_id"] for r in rows}) == 1
+    assert kinds == {"recovery", "fault", "clean"}
+
+
+def test_rejected_calls_fail():
+    n = 0
+    for i in range(60):
+        for prompt, chosen, rejected in worlds.pairs(i):
+            state = json.loads(prompt.split("\n\nState: ")[1].split("\n\nUser request:")[0])
+            world = WORLDS["cart" if "items" in state else "calendar"]
+            assert world.apply(state, json.loads(chosen)["calls"][0])[1] and not world.apply(state, json.loads(rejected)["calls"][0])[1]
+            n += 1
+    assert n > 100
+
+
+def test_tables(spark):
+    made = worlds.examples(spark, 40, 0.3)
+    typed = ex.typed(made)
+    assert made.count() > 30 and ex.curated(typed).count() == typed.count()
+    assert worlds.trajectory_examples(spark, 10).count() > 20 and worlds.preference_pairs(spark, 10).columns == ["prompt", "chosen", "rejected"]
