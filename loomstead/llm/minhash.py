@@ -16,7 +16,7 @@ of m members need not be expanded into m * m pairs:
 
 Every pair of a bucket with such signatures is therefore verified or already
 connected; no bucket is capped. Verification compares full sets. A pair at similarity
-0.8 is missed with a probability of about 3e-5. Large clusters are cut into blocks by rows
+0.8 is missed with a probability of about 3e-6, by the bands. Large clusters are cut into blocks by rows
 and by shingles, so a task's memory is bounded for long texts too, and pairs of blocks are
 separate groups; groups return spanning links, not pairs. A band key or a set that a large
 share of the documents has is joined where the rows are.
@@ -43,7 +43,7 @@ from .textbytes import Texts, lowered, mix, ragged, runs, shingle_hashes, span_h
 ROWS, BANDS = 4, 24
 COORDINATES = ROWS * BANDS
 #: Least number of equal coordinates of a pair that is verified (0.8 gives 76.8 on average).
-MATCH = 61
+MATCH = 57
 #: Rows and shingles of one block of a cluster, about.
 BLOCK, BLOCK_ITEMS = 4096, 1 << 21
 #: Clusters of one block share groups of about so many shingles.

@@ -58,6 +58,28 @@ def test_bradley_terry_prefers_winners():
     assert model.weights[0] > 0 > model.weights[1] and np.mean((model.scores(x) >= pairwise_quality.CUT) == y) > 0.95
 
 
+def test_bradley_terry_weights_are_the_optimum():
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal((120, 4)), rng.integers(0, 2, 120)
+    model, l2 = pairwise_quality.fit(x, y, seed=3), 1e-3
+    # The same pairs by hand: every row against PAIRS_EACH of the other mark.
+    draw, each = np.random.default_rng(3), pairwise_quality.PAIRS_EACH
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    losers = [b for b in bad for _ in range(each)] + draw.choice(bad, len(good) * each).tolist()
+    winners = draw.choice(good, len(bad) * each).tolist() + [g for g in good for _ in range(each)]
+    z = [[(v - m) / s for v, m, s in zip(row, x.mean(0), x.std(0), strict=True)] for row in x]
+    # choice() is drawn for losers first.
+    gradient = [l2 * w for w in model.weights]
+    for a, b in zip(winners, losers, strict=True):
+        d = [p - q for p, q in zip(z[a], z[b], strict=True)]
+        p = 1 / (1 + math.exp(sum(w * v for w, v in zip(model.weights, d, strict=True))))
+        gradient = [g - p * v / len(winners) for g, v in zip(gradient, d, strict=True)]
+    assert max(map(abs, gradient)) < 1e-6
+    strength = sorted(sum(w * v for w, v in zip(model.weights, row, strict=True)) for row in z)
+    at = (len(strength) - 1) * len(bad) / len(y)
+    assert model.threshold == pytest.approx(strength[int(at)] + (at - int(at)) * (strength[min(int(at) + 1, 119)] - strength[int(at)]))
+
+
 def test_pieces_equal_library():
     sentencepiece = pytest.importorskip("sentencepiece")
     raw = queries.piece_model()
