@@ -104,8 +104,9 @@ def neardup_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _NEAR
-    + """, s2 AS (SELECT lang, id, n, list_sort(list(g)) AS s FROM x GROUP BY lang, id, n), c2 AS (SELECT lang, s, min(id) AS rep, count(*) AS copies FROM s2 GROUP BY lang, s)
-SELECT rep AS doc_id, copies::BIGINT AS copies, (SELECT count(*) FROM p JOIN c2 o ON o.lang = p.lang AND o.rep = CASE WHEN p.i = c2.rep THEN p.j ELSE p.i END WHERE p.lang = c2.lang AND (p.i = c2.rep OR p.j = c2.rep))::BIGINT AS near_classes FROM c2"""
+    + """, s2 AS (SELECT lang, id, md5(string_agg(g, '|' ORDER BY g)) AS s FROM x GROUP BY lang, id), c2 AS (SELECT lang, s, min(id) AS rep, count(*) AS copies FROM s2 GROUP BY lang, s),
+pr AS (SELECT p.i, p.j FROM p JOIN c2 a ON a.rep = p.i JOIN c2 b ON b.rep = p.j), ends AS (SELECT rep, count(*) AS n FROM (SELECT i AS rep FROM pr UNION ALL SELECT j FROM pr) GROUP BY rep)
+SELECT c2.rep AS doc_id, copies::BIGINT AS copies, coalesce(ends.n, 0)::BIGINT AS near_classes FROM c2 LEFT JOIN ends USING (rep)"""
 )
 def neardup_minhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of equal shingle sets, and how many others of the language each is near to: MinHash candidates, verified exactly."""
