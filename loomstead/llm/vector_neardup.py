@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -185,7 +186,7 @@ def _codes(rows: DataFrame) -> DataFrame:
 def _unpack(code: pa.Array, scale: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(dimension, rows, vectors) of packed vectors."""
     code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-    sizes = np.asarray(pa.compute.binary_length(code)) // 2
+    sizes = np.asarray(pc.binary_length(code)) // 2
     out = []
     for dim in np.unique(sizes):
         rows = np.flatnonzero(sizes == dim)
@@ -219,7 +220,7 @@ def _deal(shape: tuple[int, int, int], cut: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, copies, scale, error, code = batch.columns
-            hashes = mix(np.asarray(pa.compute.cast(rep, pa.int64())).astype(np.uint64) + np.uint64(99))
+            hashes = mix(np.asarray(pc.cast(rep, pa.int64())).astype(np.uint64) + np.uint64(99))
             for dim, rows, x in _unpack(code, scale.to_numpy()):
                 cells = _cells(x.astype(np.float32), *shape)
                 packed = [k.tobytes() for k in np.ascontiguousarray(cells)]
