@@ -50,7 +50,14 @@ ANCHOR = 20
 #: Text in one block; a task needs about 40 bytes of memory for each.
 BLOCK_BYTES = 4 << 20
 LEAST_BLOCKS = 64
+#: Blocks in a bundle at most. A task sends each part one row for a bundle, so rows are few where blocks are many.
+BUNDLE = 4
+LEAST_BUNDLES = 64
+#: Blocks' worth of text in one part.
+PART_BLOCKS = 2
 PIECE = 1 << 19
+#: Spans whose bytes are gathered at a time.
+SPANS = 1 << 12
 #: Bits of an anchor's hash that choose its part.
 PART_BITS = 24
 _POS = np.uint64((1 << 24) - 1)
@@ -130,6 +137,21 @@ class Block:
         return tuple(np.concatenate(x) for x in (starts, counts, rows, anchors, spots))
 
 
+def layout(total: int) -> tuple[int, int, int]:
+    """Blocks, blocks in a bundle, and parts for ``total`` bytes of text."""
+    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
+    return blocks, max(1, min(BUNDLE, blocks // LEAST_BUNDLES)), min(max(LEAST_BLOCKS, blocks // PART_BLOCKS), 1 << PART_BITS)
+
+
+def blocks_of(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+    """The blocks of a bundle in ascending order, each with the number of rows in those before it."""
+    table = table.combine_chunks()
+    number = table.column("block").to_numpy()
+    order = np.argsort(number, kind="stable")
+    for a, b in runs(number[order]) or [(0, 0)]:
+        yield a, table.take(pa.array(order[a:b]))
+
+
 def part_of(anchors: np.ndarray, parts: int) -> np.ndarray:
     """Parts by the low bits of an anchor's hash; its key within a part is the high 40 bits."""
     return ((anchors & np.uint64((1 << PART_BITS) - 1)) * np.uint64(parts) >> np.uint64(PART_BITS)).astype(np.int64)
@@ -150,6 +172,11 @@ def keys_of(raw: bytes) -> np.ndarray:
     return wide.view(np.uint64)[:, 0]
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans end to end, with indices for a few thousand spans at a time."""
+    return np.concatenate([data[:0], *(data[ragged(starts[k : k + SPANS], sizes[k : k + SPANS])] for k in range(0, len(starts), SPANS))])
+
+
 def alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A number for each span, equal where all bytes are equal: hashes, each confirmed against the first span that has it."""
     same = span_hashes(data, starts, starts + sizes)
@@ -165,36 +192,45 @@ def alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return same
 
 
+def _row_anchors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending anchors of one block, and whether two of its rows have them."""
+    _, _, rows, anchors, _ = Block(table).segments()
+    order = np.lexsort((rows, anchors))
+    rows, anchors = rows[order], anchors[order]
+    first = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1])]) if len(anchors) else np.zeros(0, np.int64)
+    last = np.r_[first[1:], len(anchors)] - 1
+    return anchors[first], rows[first] != rows[last] if len(first) else np.zeros(0, bool)
+
+
 def _find_anchors(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        number = table.column("block")[0].as_py()
-        block = Block(table)
-        _, _, rows, anchors, _ = block.segments()
-        # Once for each row and anchor; an anchor of two rows of the block is known to be shared.
-        order = np.lexsort((rows, anchors))
-        rows, anchors = rows[order], anchors[order]
-        new = np.r_[True, (anchors[1:] != anchors[:-1])] if len(anchors) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(anchors)] - 1
-        twice = rows[first] != rows[last] if len(first) else np.zeros(0, bool)
+        number = table.column("bundle")[0].as_py()
+        each = [_row_anchors(block) for _, block in blocks_of(table)]
+        # Once for each anchor; one of two rows of the bundle is known to be shared.
+        anchors, twice = (np.concatenate(x) for x in zip(*each, strict=True))
+        order = np.argsort(anchors, kind="stable")
+        anchors, twice = anchors[order], twice[order]
+        first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]]) if len(anchors) else order
+        times = np.diff(np.r_[first, len(anchors)])
+        twice = (times > 1) | twice[first]
         anchors = anchors[first]
         part = part_of(anchors, parts)
-        out: dict[str, list] = {"part": [], "block": [], "hashes": [], "twice": []}
+        out: dict[str, list] = {"part": [], "bundle": [], "hashes": [], "twice": []}
         order = np.argsort(part, kind="stable")
         part, anchors, twice = part[order], anchors[order], twice[order]
         for a, b in runs(part):
             out["part"].append(int(part[a]))
-            out["block"].append(number)
+            out["bundle"].append(number)
             out["hashes"].append(key_bytes(anchors[a:b]))
             out["twice"].append(np.packbits(twice[a:b]).tobytes())
-        return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "hashes": pa.array(out["hashes"], pa.binary()), "twice": pa.array(out["twice"], pa.binary())})
+        return pa.table({"part": pa.array(out["part"], pa.int32()), "bundle": pa.array(out["bundle"], pa.int32()), "hashes": pa.array(out["hashes"], pa.binary()), "twice": pa.array(out["twice"], pa.binary())})
 
     return run
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
-    """For one part of the anchors: to each block those of its anchors that another row also has."""
-    blocks = table.column("block").to_pylist()
+    """For one part of the anchors: to each bundle those of its anchors that another row also has."""
+    bundles = table.column("bundle").to_pylist()
     each = [keys_of(x) for x in table.column("hashes").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(h)].astype(bool) for x, h in zip(table.column("twice").to_pylist(), each, strict=True)]
     every = np.sort(np.concatenate(each))
@@ -205,52 +241,67 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(several, h), max(len(several) - 1, 0))
         found.append(h[several[at] == h].view(np.uint64).tobytes() if len(several) else b"")
     keep = [i for i, f in enumerate(found) if f]
-    return pa.table({"block": pa.array([blocks[i] for i in keep], pa.int32()), "hashes": pa.array([found[i] for i in keep], pa.binary())})
+    return pa.table({"bundle": pa.array([bundles[i] for i in keep], pa.int32()), "hashes": pa.array([found[i] for i in keep], pa.binary())})
+
 
+_SENT = "part int, bundle int, bytes binary, sizes binary, spots binary, ids binary, rows binary, n_places binary, places binary"
 
-_SENT = "part int, block int, bytes binary, sizes binary, spots binary, ids binary, rows binary, n_places binary, places binary"
+
+def _block_segments(table: pa.Table, before: int, shared: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """What one block sends (bytes, then sizes, spots, ids, rows, number of places, anchors of its segments, then
+    the places), and the (row, start, size) that an earlier document of the block decides. Rows count from ``before``.
+    """
+    block = Block(table)
+    starts, counts, rows, anchors, spots = block.segments()
+    # Keys of different parts can be equal; keeping a few segments too many changes nothing.
+    key = anchors >> np.uint64(24)
+    at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
+    good = shared[at] == key
+    starts, counts, rows, anchors, spots = starts[good], counts[good], rows[good], anchors[good], spots[good]
+    sizes = counts + LENGTH - 1
+    same = alike(block.data, starts, sizes)
+    order = np.lexsort((starts, same))  # rows ascend with starts, and ids with rows
+    starts, sizes, rows, anchors, spots, same = starts[order], sizes[order], rows[order], anchors[order], spots[order], same[order]
+    first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(same)]))
+    ids = block.ids[rows]
+    later = ids > ids[first][group] if len(first) else np.zeros(0, bool)
+    inside = starts - block.offsets[rows]
+    # An earlier document of this block has the same segment.
+    done = np.stack([rows[later] + before, inside[later], sizes[later]]).T.astype(np.int32)
+    # The earliest document's places, one segment each row of it.
+    own = np.flatnonzero(~later)
+    lead = np.flatnonzero(np.r_[True, (group[own][1:] != group[own][:-1]) | (rows[own][1:] != rows[own][:-1])]) if len(own) else own
+    seg = own[lead]
+    sent = [
+        gathered(block.data, starts[seg], sizes[seg]), sizes[seg].astype(np.uint8), spots[seg].astype(np.uint8), ids[seg].astype(np.int64), (rows[seg] + before).astype(np.int32),
+        np.diff(np.r_[lead, len(own)]).astype(np.int32), anchors[seg], inside[own].astype(np.int32),
+    ]
+    return sent, done
 
 
 def _cut_segments(parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["part", "block", "bytes", "sizes", "spots", "ids", "rows", "n_places", "places"]
+        names = ["part", "bundle", "bytes", "sizes", "spots", "ids", "rows", "n_places", "places"]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         out: list[list] = [[] for _ in names]
         if left.num_rows and right.num_rows:
-            number = left.column("block")[0].as_py()
+            number = left.column("bundle")[0].as_py()
             shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]))
-            block = Block(left)
-            starts, counts, rows, anchors, spots = block.segments()
-            # Keys of different parts can be equal; keeping a few segments too many changes nothing.
-            key = anchors >> np.uint64(24)
-            at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-            good = shared[at] == key
-            starts, counts, rows, anchors, spots = starts[good], counts[good], rows[good], anchors[good], spots[good]
-            sizes = counts + LENGTH - 1
-            same = alike(block.data, starts, sizes)
-            order = np.lexsort((starts, same))  # rows ascend with starts, and ids with rows
-            starts, sizes, rows, anchors, spots, same = starts[order], sizes[order], rows[order], anchors[order], spots[order], same[order]
-            first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
-            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(same)]))
-            ids = block.ids[rows]
-            later = ids > ids[first][group] if len(first) else np.zeros(0, bool)
-            inside = starts - block.offsets[rows]
-            if later.any():  # an earlier document of this block has the same segment
-                done = np.stack([rows[later], inside[later], sizes[later]]).astype(np.int32)
-                for k, v in enumerate([-1 - number, number, b"", b"", b"", b"", b"", b"", np.ascontiguousarray(done.T).tobytes()]):
+            each = [_block_segments(block, before, shared) for before, block in blocks_of(left)]
+            done = np.concatenate([d for _, d in each])
+            if len(done):
+                for k, v in enumerate([-1 - number, number, b"", b"", b"", b"", b"", b"", done.tobytes()]):
                     out[k].append(v)
-            # The earliest document's places, one segment each row of it.
-            own = np.flatnonzero(~later)
-            lead = np.flatnonzero(np.r_[True, (group[own][1:] != group[own][:-1]) | (rows[own][1:] != rows[own][:-1])]) if len(own) else own
-            n_places = np.diff(np.r_[lead, len(own)])
-            seg = own[lead]
-            part = part_of(anchors[seg], parts)
+            data, sizes, spots, ids, rows, n_places, anchors, places = (np.concatenate(x) for x in zip(*(s for s, _ in each), strict=True))
+            del each
+            lengths, times = sizes.astype(np.int64), n_places.astype(np.int64)
+            starts, lead = np.cumsum(lengths) - lengths, np.cumsum(times) - times
+            part = part_of(anchors, parts)
             deal = np.argsort(part, kind="stable")
             for a, b in runs(part[deal]):
                 s = deal[a:b]
-                chosen = seg[s]
-                where = own[ragged(lead[s], n_places[s])]
-                row = [int(part[s[0]]), number, block.data[ragged(starts[chosen], sizes[chosen])].tobytes(), sizes[chosen].astype(np.uint8).tobytes(), spots[chosen].astype(np.uint8).tobytes(), ids[chosen].astype(np.int64).tobytes(), rows[chosen].astype(np.int32).tobytes(), n_places[s].astype(np.int32).tobytes(), inside[where].astype(np.int32).tobytes()]
+                row = [int(part[s[0]]), number, data[ragged(starts[s], lengths[s])].tobytes(), *(x[s].tobytes() for x in (sizes, spots, ids, rows, n_places)), places[ragged(lead[s], times[s])].tobytes()]
                 for k, v in enumerate(row):
                     out[k].append(v)
         return pa.table({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
@@ -282,7 +333,8 @@ class ColumnwiseTransform:
 
     Symbols are codes below ``width``; 0 ends a segment. Entry k of the second file is the length that suffix k
     has in common with the one before it. A round reads both files once in sequence for ranks and common prefixes,
-    and writes both once in sequence.
+    and writes both once in sequence. It writes over the files of two rounds before, which are shorter: emptying a
+    file costs the file system more than the round's work.
     """
 
     CHUNK = 1 << 18
@@ -359,7 +411,8 @@ class ColumnwiseTransform:
         self.round += 1
         done, gone, older, next_ = 0, 0, places - np.arange(len(places)), -1
         paths, self.paths, nothing = self.paths, self._names(), np.zeros(0, np.uint8)
-        with open(self.paths[0], "wb") as to, open(self.paths[1], "wb") as common_to:
+        mode = "r+b" if self.round > 1 else "wb"
+        with open(self.paths[0], mode) as to, open(self.paths[1], mode) as common_to:
             for _, chunk, common in itertools.chain(self._chunks(paths), [(0, nothing, nothing)]):
                 # New symbols that stand before or among the old ones of this chunk; all that are left after the last.
                 upto = done + int(np.searchsorted(older[done:], gone + len(chunk), "left")) if len(chunk) else len(places)
@@ -452,29 +505,29 @@ def _may_match(data: np.ndarray, sizes: np.ndarray, spots: np.ndarray) -> np.nda
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """One part: removed ranges (row, start, size) for each block."""
+    """One part: removed ranges (row, start, size) for each bundle."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
-    ready = [(b, p) for b, s, p in zip(cols["block"], cols["sizes"], cols["places"], strict=True) if not s]
+    ready = [(b, p) for b, s, p in zip(cols["bundle"], cols["sizes"], cols["places"], strict=True) if not s]
     use = [i for i, s in enumerate(cols["sizes"]) if s]
     out: list[tuple[int, bytes]] = list(ready)
     if use:
         join = lambda c, t: np.concatenate([np.frombuffer(cols[c][i], t) for i in use])
         data, sizes, ids = join("bytes", np.uint8), join("sizes", np.uint8).astype(np.int64), join("ids", np.int64)
         rows, n_places, places = join("rows", np.int32), join("n_places", np.int32).astype(np.int64), join("places", np.int32)
-        block = np.repeat([cols["block"][i] for i in use], [len(cols["sizes"][i]) for i in use])
+        bundle = np.repeat([cols["bundle"][i] for i in use], [len(cols["sizes"][i]) for i in use])
         offsets = np.cumsum(sizes) - sizes
         _, first, which = np.unique(alike(data, offsets, sizes), return_index=True, return_inverse=True)
         least = np.full(len(first), _LAST)
         np.minimum.at(least, which, ids)
         d_sizes = sizes[first]
-        d_data = data[ragged(offsets[first], d_sizes)]
+        d_data = gathered(data, offsets[first], d_sizes)
         counts = d_sizes - LENGTH + 1
         base = np.cumsum(counts) - counts
         earliest = np.repeat(least, counts)  # equal segments are one; the rest is found among distinct ones
         some = np.flatnonzero(_may_match(d_data, d_sizes, join("spots", np.uint8).astype(np.int64)[first]))
         if len(some):
             ends = np.cumsum(d_sizes)
-            seg, win, klass = equal_windows(d_data[ragged(ends[some] - d_sizes[some], d_sizes[some])], d_sizes[some])
+            seg, win, klass = equal_windows(gathered(d_data, ends[some] - d_sizes[some], d_sizes[some]), d_sizes[some])
             seg = some[seg]
             best = np.full(int(klass.max()) + 1, _LAST)
             np.minimum.at(best, klass, least[seg])
@@ -491,22 +544,20 @@ def _judge(table: pa.Table) -> pa.Table:
         times = n_places[run_owner]
         spot = places[ragged((np.cumsum(n_places) - n_places)[run_owner], times)]
         result = np.stack([np.repeat(rows[run_owner], times), spot + np.repeat(run_start, times), np.repeat(run_size, times)]).T.astype(np.int32)
-        to = np.repeat(block[run_owner], times)
+        to = np.repeat(bundle[run_owner], times)
         order = np.argsort(to, kind="stable")
         result, to = result[order], to[order]
         out += [(int(to[a]), np.ascontiguousarray(result[a:b]).tobytes()) for a, b in runs(to)]
-    return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "ranges": pa.array([r for _, r in out], pa.binary())})
+    return pa.table({"bundle": pa.array([b for b, _ in out], pa.int32()), "ranges": pa.array([r for _, r in out], pa.binary())})
 
 
 def _assemble(kind: pa.DataType, with_text: bool, carry: tuple[str, ...] = ()):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def one(left: pa.Table, r: np.ndarray) -> pa.Table:
         block = Block(left)
         change = np.zeros(len(block.data) + 1, np.int32)
-        for x in right.column("ranges").to_pylist():
-            r = np.frombuffer(x, np.int32).reshape(-1, 3).astype(np.int64)
-            at = block.offsets[r[:, 0]] + r[:, 1]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + r[:, 2], -1)
+        at = block.offsets[r[:, 0]] + r[:, 1]
+        np.add.at(change, at, 1)
+        np.add.at(change, at + r[:, 2], -1)
         gone = np.cumsum(change[:-1]) > 0
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -528,24 +579,33 @@ def _assemble(kind: pa.DataType, with_text: bool, carry: tuple[str, ...] = ()):
             columns[name] = left.column(name).take(pa.array(block.order))
         return pa.table(columns)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(right.column("ranges").to_pylist()), np.int32).reshape(-1, 3)
+        r = r[np.argsort(r[:, 0], kind="stable")].astype(np.int64)
+        done = []
+        for before, block in blocks_of(left):
+            a, b = np.searchsorted(r[:, 0], [before, before + block.num_rows])
+            done.append(one(block, r[a:b] - [before, 0, 0]))
+        return pa.concat_tables(done)
+
     return run
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary], carried columns) for every row."""
     total = docs.select(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
+    blocks, bundle, parts = layout(total)
     kind = docs.schema["doc_id"].dataType
-    parts = min(blocks, 1 << PART_BITS)
     # The length spreads rows that share an id, or have none.
     dealt = docs.select("doc_id", "text", *carry, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"))
-    anchors = dealt.groupBy("block").applyInArrow(_find_anchors(parts), "part int, block int, hashes binary, twice binary")
-    shared = anchors.groupBy("part").applyInArrow(_shared_anchors, "block int, hashes binary")
-    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_segments(parts), _SENT)
-    ranges = sent.groupBy("part").applyInArrow(_judge, "block int, ranges binary")
+    dealt = dealt.withColumn("bundle", F.expr(f"cast(block div {bundle} as int)"))
+    anchors = dealt.groupBy("bundle").applyInArrow(_find_anchors(parts), "part int, bundle int, hashes binary, twice binary")
+    shared = anchors.groupBy("part").applyInArrow(_shared_anchors, "bundle int, hashes binary")
+    sent = dealt.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(_cut_segments(parts), _SENT)
+    ranges = sent.groupBy("part").applyInArrow(_judge, "bundle int, ranges binary")
     fields = ["doc_id " + kind.simpleString(), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"]
     fields += ["kept binary"] * with_text + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return dealt.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_assemble(to_arrow_type(kind), with_text, carry), ", ".join(fields))
+    return dealt.groupBy("bundle").cogroup(ranges.groupBy("bundle")).applyInArrow(_assemble(to_arrow_type(kind), with_text, carry), ", ".join(fields))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

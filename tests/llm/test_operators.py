@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomstead.llm.staging import Stage
@@ -209,6 +210,35 @@ def test_repeats(spark, tables, monkeypatch):
     assert got == repeats_by_hand(rows)
 
 
+def test_repeats_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abc ") for _ in range(300)) for _ in range(20)]
+    rows = [(i, "".join(rng.choice(pool)[at : at + 90] + str(i) for at in rng.sample(range(200), 3))) for i in range(1500)] + [(None, pool[0]), (7000, None)]
+    total = sum(len(t or "") for _, t in rows)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", total // 600)
+    blocks, bundle, parts = substring_dedup.layout(total)
+    assert blocks >= 600 and bundle == substring_dedup.BUNDLE > 1 and parts == blocks // 2
+    df = spark.createDataFrame([(i, t, f"tag {i}") for i, t in rows], "doc_id long, text string, tag string")
+    got = substring_dedup.remove_repeats(df, carry=("tag",)).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == repeats_by_hand(rows) and all(r.tag == f"tag {r.doc_id}" for r in got)
+    # Rows between the steps: one for a bundle and part, not one for each block and part.
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows]), "block": pa.array([i % 8 for i in range(len(rows))], pa.int32()), "bundle": pa.array([0] * len(rows), pa.int32())})
+    anchors = substring_dedup._find_anchors(5)(table)
+    assert sorted(anchors.column("part").to_pylist()) == [0, 1, 2, 3, 4]
+    shared = pa.concat_tables([substring_dedup._shared_anchors(anchors.slice(k, 1)) for k in range(5)])
+    sent = substring_dedup._cut_segments(5)(table, shared)
+    assert sorted(sent.column("part").to_pylist()) == [-1, 0, 1, 2, 3, 4]
+
+
+def test_transform_files_are_written_over(monkeypatch, tmp_path):
+    opened = []
+    monkeypatch.setattr(substring_dedup, "open", lambda path, mode: opened.append((path, mode)) or open(path, mode), raising=False)
+    parts = [b"abcabcabc", b"bcabca", b"cab"]
+    substring_dedup.transformed(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), str(tmp_path))
+    emptied = [path for path, mode in opened if mode == "wb"]
+    assert len(opened) > 20 and len(emptied) == len(set(emptied))
+
+
 @pytest.mark.parametrize("chunk", [1, 5, 64, 1 << 18])
 def test_transform_and_common_prefixes(monkeypatch, tmp_path, chunk):
     monkeypatch.setattr(substring_dedup.ColumnwiseTransform, "CHUNK", chunk)
