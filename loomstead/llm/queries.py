@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, mixing, pairwise_quality, piece_bpe, pitman_yor, quality_rules, sharding, simhash, substring_dedup, url_rules, vector_neardup
+from . import conversation_repair, minhash, mixing, pairwise_quality, piece_bpe, pitman_yor, quality_rules, sharding, simhash, substring_dedup, url_rules, vector_neardup
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -80,4 +80,9 @@ def op12_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
-QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op3_pitman_yor, op4_url_rules, op5_collision_counting, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash, op12_isolation_rules)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.summary(conversation_repair.repair(conversation_repair.damage(conversations), conversations))
+
+
+QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op3_pitman_yor, op4_url_rules, op5_collision_counting, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash, op12_isolation_rules, op13_conversation_repair)}
