@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_repair, minhash, mixing, pairwise_quality, piece_bpe, pitman_yor, quality_rules, sharding, simhash, substring_dedup, url_rules, vector_neardup
+from . import conversation_repair, hard_negatives, minhash, mixing, pairwise_quality, piece_bpe, pitman_yor, quality_rules, sharding, simhash, substring_dedup, url_rules, vector_neardup
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -75,6 +75,12 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", moved.alias("label")))
+
+
 def op12_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.filter_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
@@ -85,4 +91,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.summary(conversation_repair.repair(conversation_repair.damage(conversations), conversations))
 
 
-QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op3_pitman_yor, op4_url_rules, op5_collision_counting, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash, op12_isolation_rules, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_pairwise_quality, op2_sentencepiece, op3_pitman_yor, op4_url_rules, op5_collision_counting, op6_columnwise_bwt, op7_vector_packing, op8_simhash, op9_systematic_mix, op10_circulant_minhash, op11_vantage_negatives, op12_isolation_rules, op13_conversation_repair)}
