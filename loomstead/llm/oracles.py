@@ -75,4 +75,56 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 5
 QUALIFY rank <= 3
 """
 
-ORACLES = {"op4_url_rules": OP4, "op9_systematic_mix": OP9, "op11_vantage_negatives": OP11}
+OP13 = r"""
+WITH RECURSIVE bits(n, k, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT n, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), summed AS (
+  SELECT k.*, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS what
+  FROM keyed k, crc
+), harmed AS (
+  SELECT conv_id, coalesce('c' || conv_id::VARCHAR, 'null') AS g, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed WHERE what <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, substr(sha256(length(role) || ':' || role || text), 1, 32), copy) AS i FROM harmed
+), faulty AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS short,
+         left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS before
+  FROM ordered
+), told AS (
+  SELECT g, i, role, text, c, blank OR again AS gone, (short AND NOT blank AND NOT again)::INT AS extra FROM faulty
+), counts AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (short AND NOT blank AND NOT again) AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulty GROUP BY g
+), ins(q, k, q2, put) AS (
+  VALUES (0, 0, 0, []::VARCHAR[]), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (3, 1, 2, ['user:']), (2, 1, 3, ['assistant:']),
+         (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (3, 2, 3, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:'])
+), arcs(letter, role, q, q2, cost) AS (
+  VALUES ('D', NULL, 0, 0, 3), ('D', NULL, 1, 1, 3), ('D', NULL, 2, 2, 3), ('D', NULL, 3, 3, 3), ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'a', 2, 3, 0), ('K', 'u', 3, 2, 0),
+         ('R', 'user', 0, 2, 2), ('R', 'user', 1, 2, 2), ('R', 'assistant', 2, 3, 2), ('R', 'user', 3, 2, 2)
+), best AS (
+  SELECT g, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'put': []::VARCHAR[]} AS b FROM counts
+  UNION ALL
+  SELECT g, i, q, arg_min(b, lpad(b.cost::VARCHAR, 12, '0') || b.audit) FROM (
+    SELECT p.g, t.i, a.q2 AS q, {
+      'cost': p.b.cost + 2 * n.k + a.cost + CASE WHEN a.letter = 'D' THEN 0 ELSE t.extra END,
+      'audit': p.b.audit || repeat('I', n.k) || a.letter,
+      'put': p.b.put || n.put || CASE a.letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [a.role || ':' || t.text] END} AS b
+    FROM best p JOIN told t ON t.g = p.g AND t.i = p.i + 1 JOIN ins n ON n.q = p.q JOIN arcs a ON a.q = n.q2 AND (a.letter = 'D' OR NOT t.gone AND (a.letter = 'R' OR a.role = t.c))
+  ) GROUP BY g, i, q
+), ended AS (
+  SELECT p.g, arg_min({'cost': p.b.cost + 2 * n.k, 'audit': p.b.audit || repeat('I', n.k), 'put': p.b.put || n.put}, lpad((p.b.cost + 2 * n.k)::VARCHAR, 12, '0') || p.b.audit || repeat('I', n.k)) AS b
+  FROM best p JOIN counts c ON c.g = p.g AND c.n = p.i JOIN ins n ON n.q = p.q WHERE n.q2 IN (0, 3) GROUP BY p.g
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.put, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('c' || conv_id::VARCHAR, 'null') AS g FROM conversations) o LEFT JOIN counts USING (g) LEFT JOIN ended USING (g)
+"""
+
+ORACLES = {"op4_url_rules": OP4, "op9_systematic_mix": OP9, "op11_vantage_negatives": OP11, "op13_conversation_repair": OP13}
