@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .functions.text import draw, tokens
-from .operators import examples as ex, generators as gen, preference, shaping, similarity
+from .operators import examples as ex, generators as gen, preference, shaping, similarity, vectors
 from .operators.ordering import ordered
 from .sources.scratch import Scratch
 
@@ -21,8 +21,10 @@ DEFAULTS: dict[str, Any] = {
         "hard_negative": {"no_tool": 0.4, "over_refusal": 0.2, "partial_parallel": 0.1, "missing_arg": 0.2, "ambiguous": 0.1},
         "multiturn": {"miss_param": 0.4, "miss_func": 0.3, "long_context": 0.3}, "schema_drift": {"add_required": 0.34, "retype_enum": 0.33, "rename": 0.33},
     },
-    "near_threshold": 0.85, "format_twin_sources": 0, "masked_twin_examples": 0, "multilingual_examples": 0, "decontam_threshold": 0.6, "splits": {"train": 0.8, "val": 0.1}, "leak_threshold": 0.9,
+    "near_threshold": 0.85, "semantic_threshold": 0.9, "format_twin_sources": 0, "masked_twin_examples": 0, "multilingual_examples": 0, "decontam_threshold": 0.6, "decontam_cosine": 0.92, "splits": {"train": 0.8, "val": 0.1}, "leak_threshold": 0.9,
 }
+#: Dropped rows that a report names.
+SHOWN = 50
 #: Shares between which the share of no_tool rows should lie, and how many miss_param rows there should be.
 NO_TOOL_SHARE, LEAST_MISS_PARAM = (0.06, 0.14), 10
 
@@ -107,9 +109,15 @@ def build(positives: DataFrame, config: dict[str, Any] | None = None, probes: Da
         parts.append(gen.schema_drift(spark, pool, sizes["schema_drift"], cfg["kinds"]["schema_drift"]))
     combined = scratch.cut(_union(parts))
     stats["combined"] = combined.count()
-    signed = combined.select(F.col("ex_id").alias("id"), ex.group_of(F.col("meta")).alias("grp"), ex.signature(F.col("tools"), F.col("query"), F.col("answer"), F.col("meta")).alias("text"))
-    kept = similarity.keep_first(combined.select(F.col("ex_id").alias("id")), similarity.near_links(signed, cfg["near_threshold"])).where("kept").select(F.col("id").alias("ex_id"))
-    combined = scratch.cut(combined.join(kept, "ex_id"))
+    passes = (("minhash", "near_threshold", similarity.near_classes), ("semantic", "semantic_threshold", lambda texts, at: vectors.vector_classes(vectors.text_vectors(texts), at)))
+    for name, threshold, classes in passes:
+        signed = combined.select(F.col("ex_id").alias("id"), ex.group_of(F.col("meta")).alias("grp"), ex.signature(F.col("tools"), F.col("query"), F.col("answer"), F.col("meta")).alias("text"))
+        members, pairs = classes(signed, cfg[threshold])
+        kept = scratch.cut(similarity.keep_first_classes(combined.select(F.col("ex_id").alias("id")), members, pairs))
+        drops = similarity.drop_partners(kept, members, pairs)
+        combined = scratch.cut(combined.join(kept.where("kept").select(F.col("id").alias("ex_id")), "ex_id"))
+        stats[f"{name}_dropped"] = kept.where("NOT kept").count()
+        stats[f"{name}_drops"] = [[r["id"], r["partner"]] for r in drops.orderBy("id").limit(SHOWN).collect()]
     stats["deduplicated"] = combined.count()
     # Twins share their source's request, so they come after deduplication.
     later = []
@@ -122,11 +130,15 @@ def build(positives: DataFrame, config: dict[str, Any] | None = None, probes: Da
             combined = scratch.cut(sources)
     combined = scratch.cut(_union([combined, *later]))
     if probes is not None:
-        scored = similarity.decontaminate(combined.select(F.col("ex_id").alias("id"), F.col("query").alias("text")), probes.select(F.col("probe").alias("id"), "text"))
-        clean = scored.where(F.col("score") < cfg["decontam_threshold"]).select(F.col("id").alias("ex_id"))
+        asked, held = combined.select(F.col("ex_id").alias("id"), F.col("query").alias("text")), probes.select(F.col("probe").alias("id"), "text")
+        scored = scratch.cut(vectors.decontaminate(asked, held, cfg["decontam_threshold"], cfg["decontam_cosine"]))
         before = combined.count()
-        combined = scratch.cut(combined.join(clean, "ex_id"))
-        stats["contamination"] = {"before": before, "after": combined.count(), "threshold": cfg["decontam_threshold"]}
+        combined = scratch.cut(combined.join(scored.where("NOT dropped").select(F.col("id").alias("ex_id")), "ex_id"))
+        shown = scored.where("dropped").orderBy("id").limit(SHOWN).collect()
+        stats["contamination"] = {
+            "before": before, "after": combined.count(), "threshold": cfg["decontam_threshold"], "cosine": cfg["decontam_cosine"],
+            "dropped": [{"ex_id": r["id"], "ngram": round(r["score"], 3), "cos": round(r["cosine"], 3), "probe": r["probe"], "near": r["near"]} for r in shown],
+        }
     before = combined.count()
     combined = scratch.cut(ex.guarded(combined)[0])
     stats["schema_invalid_dropped"] = before - combined.count()
@@ -135,7 +147,8 @@ def build(positives: DataFrame, config: dict[str, Any] | None = None, probes: Da
     divided = scratch.cut(keyed.join(split, "_key").drop("_key"))
     near = similarity.near_classes(divided.select(F.col("ex_id").alias("id"), F.lit(0).alias("grp"), F.col("query").alias("text")), cfg["leak_threshold"])
     side = divided.select(F.col("ex_id").alias("id"), "split")
-    leaks = _leaks(near, side)
+    asked = vectors.text_vectors(divided.select(F.col("ex_id").alias("id"), F.col("query").alias("text"), (F.col("split") != "train").alias("held")))
+    leaks = _leaks(near, side).unionByName(vectors.near_held(asked, cfg["leak_threshold"])).distinct()
     out = scratch.cut(divided.join(leaks.withColumnRenamed("id", "ex_id"), "ex_id", "left_anti"))
     stats["leaks_dropped"] = divided.count() - out.count()
     stats |= counts(out)

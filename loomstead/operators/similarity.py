@@ -1,4 +1,4 @@
-"""Decontamination, near-duplicate pairs, greedy keep-first selection, cosine joins."""
+"""Decontamination, near-duplicate pairs, greedy keep-first selection."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from ..sources.scratch import Scratch
 
 #: Tables up to this many rows may be sent to every executor.
 BROADCAST_ROWS = 200_000
-#: Vectors of one dense block.
-BLOCK = 1024
 #: Tables of rounds that are read side by side; then they are written as one.
 GONE_TABLES = 32
 
@@ -114,45 +112,6 @@ def near_pairs(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
     return apart.unionByName(equal)
 
 
-def near_links(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
-    """(i, j): links from which keep-first decides as from all pairs: those between classes, and from a class's first row to its others.
-
-    A row similar to one of a class is similar to all of it, so the rows after the first always go.
-    """
-    members, pairs = near_classes(docs, threshold, k)
-    return pairs.select("i", "j").unionByName(members.where("rep <> id").select(F.col("rep").alias("i"), F.col("id").alias("j")))
-
-
-def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(grp, i, j, cosine): pairs i < j of one group; dense blocks against blocks, never rows against rows.
-
-    ``vectors`` has id, grp and vector. A group is dealt to blocks, and each pair of
-    blocks is one task, so a large group is spread over many.
-    """
-    n_blocks = vectors.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = vectors.join(n_blocks, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "vector")
-    kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("grp", "id")}
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        x = np.array(table.column("vector").to_pylist(), float).reshape(len(ids), -1)
-        norm = np.linalg.norm(x, axis=1)
-        x = x / np.where(norm == 0, 1, norm)[:, None]
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        sim = x[a] @ x[b].T
-        u, v = np.nonzero(sim >= threshold)
-        left, right, value = ids[a[u]], ids[b[v]], sim[u, v]
-        keep = left < right if p == q else np.ones(len(left), bool)
-        left, right, value = left[keep], right[keep], value[keep]
-        return pa.table({"grp": pa.array([table.column("grp")[0].as_py()] * len(left), table.schema.field("grp").type), "i": np.minimum(left, right), "j": np.maximum(left, right), "cosine": value})
-
-    return dealt.groupBy("grp", "p", "q").applyInArrow(run, f"grp {kinds['grp']}, i {kinds['id']}, j {kinds['id']}, cosine double")
-
-
 def keep_first(nodes: DataFrame, edges: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
     """(id, kept): a node goes if an earlier node that stays is similar to it.
 
@@ -186,33 +145,22 @@ def keep_first(nodes: DataFrame, edges: DataFrame, few: int = BROADCAST_ROWS) ->
     return nodes.select("id").join(gone.withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("kept"))
 
 
-def leak_free(train: DataFrame, holdout: DataFrame, threshold: float) -> DataFrame:
-    """Rows of ``train`` (id, vector) whose largest cosine with any row of ``holdout`` is below the threshold.
+def keep_first_classes(nodes: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, kept) as from all pairs of rows, from classes of equal rows (rep, id) and pairs (i, j) of their first rows.
 
-    The holdout is a stated query set: it is cut into blocks, and blocks of train rows are
-    multiplied with one holdout block each.
+    A row after the first of its class always goes: either the first stays, or the earlier row that took the first
+    is near all of the class.
     """
-    both = train.select("id", "vector", F.lit(0).alias("grp")).unionByName(holdout.select("id", "vector", F.lit(1).alias("grp")))
-    n = holdout.count()
-    blocks = max(1, -(-n // BLOCK))
-    rows = both.withColumn("b", F.when(F.col("grp") == 1, F.array(F.pmod(F.xxhash64("id"), F.lit(blocks)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    parts = max(1, -(-train.count() // (8 * BLOCK)))
-    rows = rows.withColumn("b", F.explode_outer("b")).withColumn("s", F.when(F.col("grp") == 0, F.array(F.pmod(F.xxhash64("id"), F.lit(parts)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    rows = rows.withColumn("s", F.explode_outer("s"))
-    kind = train.schema["id"].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, side = table.column("id").to_numpy(), table.column("grp").to_numpy()
-        x = np.array(table.column("vector").to_pylist(), float).reshape(len(ids), -1)
-        norm = np.linalg.norm(x, axis=1)
-        x = x / np.where(norm == 0, 1, norm)[:, None]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        hit = (x[a] @ x[b].T >= threshold).any(1) if len(b) else np.zeros(len(a), bool)
-        return pa.table({"id": ids[a[hit]]})
-
-    leaked = rows.groupBy("b", "s").applyInArrow(run, f"id {kind}").distinct()
-    return train.join(leaked, "id", "left_anti")
+    later = members.where("rep <> id").select("id", F.lit(True).alias("_later"))
+    return keep_first(nodes, pairs).join(later, "id", "left").select("id", (F.col("kept") & F.col("_later").isNull()).alias("kept"))
+
+
+def drop_partners(kept: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, partner) of every row that keep-first drops: the first row that stays and is near it, or an equal one."""
+    stays = kept.where("kept").select(F.col("id").alias("i"))
+    taker = pairs.join(stays, "i").groupBy(F.col("j").alias("rep")).agg(F.min("i").alias("taker"))
+    gone = kept.where("NOT kept").select("id").join(members.select("id", "rep"), "id")
+    return gone.join(taker, "rep", "left").select("id", F.coalesce("taker", "rep").alias("partner"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import collapsed, shingles, tokens
-from ..operators import similarity as sim
+from ..functions.text import collapsed, draw, shingles, tokens
+from ..operators import similarity as sim, vectors as vec
 from . import query, table
 
 #: Jaccard at which the decontamination queries drop; long documents and short probes make symmetric Jaccard small.
 DROP = 0.05
 NEAR = 0.85
-COSINE = 0.3
 
 _SHINGLES = r"""
 t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents
@@ -131,51 +130,92 @@ def minhash_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep-first near-duplicate removal within a language."""
     nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text")
-    return sim.keep_first(nodes, sim.near_links(docs, NEAR)).select(F.col("id").alias("doc_id"), "kept")
+    return sim.keep_first_classes(nodes, *sim.near_classes(docs, NEAR)).select(F.col("id").alias("doc_id"), "kept")
 
 
-_PAIRS = """
-p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine
-      FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-      WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3)
+#: Cosine of near texts, and of a text that repeats a probe (a long text and a short probe share little of the former).
+COSINE = 0.9
+PROBE_COSINE = 0.4
+
+_VECTORS = r"""
+wv AS (SELECT side, id, lang, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: ('0x' || substr(md5('v|' || x), 1, 8))::BIGINT) AS h
+       FROM (SELECT 'd' AS side, doc_id AS id, lang, text FROM documents UNION ALL SELECT 'p', item_id, NULL, text FROM benchmark)),
+gv AS (SELECT side, id, lang, unnest(list_distinct(list_concat(list_transform(h, lambda x: (x * 7919 + 1) % 2147483647), list_transform(range(1, len(h)), lambda i: (h[i] * 1000003 + h[i + 1]) % 2147483647)))) AS g FROM wv),
+cv AS (SELECT side, id, lang, g % 128 AS d, sum(1 - 2 * (g // 128 % 2)) AS x FROM gv GROUP BY ALL),
+iv AS (SELECT side, id, lang FROM cv GROUP BY ALL HAVING max(abs(x)) > 0),
+vec AS (SELECT iv.side, iv.id, iv.lang, list(coalesce(cv.x, 0)::DOUBLE ORDER BY r.d) AS v FROM iv CROSS JOIN range(128) r(d) LEFT JOIN cv ON cv.side = iv.side AND cv.id = iv.id AND cv.d = r.d GROUP BY ALL)
+"""
+_PAIRS = f"""{_VECTORS},
+p AS (SELECT a.lang, a.id AS i, b.id AS j, a.v = b.v AS same, list_cosine_similarity(a.v, b.v) AS cosine
+      FROM vec a JOIN vec b ON a.side = 'd' AND b.side = 'd' AND a.lang IS NOT DISTINCT FROM b.lang AND a.id < b.id
+      WHERE list_cosine_similarity(a.v, b.v) >= {COSINE} - 1e-12)
 """
 
 
+@query(
+    f"""WITH {_SHINGLES}, {_VECTORS}, c AS (SELECT d.id, p.id AS probe, round(list_cosine_similarity(d.v, p.v), 12) AS cosine FROM vec d JOIN vec p ON d.side = 'd' AND p.side = 'p'),
+bc AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, probe) = 1)
+SELECT r.doc_id, r.item_id, round(r.raw, 6) AS score, bc.probe AS near_item, round(coalesce(bc.cosine, 0), 6) AS cosine, r.raw >= {DROP} OR coalesce(bc.cosine, 0) >= {PROBE_COSINE} AS dropped
+FROM r LEFT JOIN bc ON bc.id = r.doc_id"""
+)
+def decontam_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its nearest probes by shared shingles and by vectors; one of the two is enough to drop it."""
+    found = vec.decontaminate(_queries(spark, sf_dir), _probes(spark, sf_dir), DROP, PROBE_COSINE)
+    return found.select(F.col("id").alias("doc_id"), F.col("probe").alias("item_id"), F.round("score", 6).alias("score"), F.col("near").alias("near_item"), F.round("cosine", 6).alias("cosine"), "dropped")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
+    return vec.text_vectors(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text"))
 
 
-@query(f"WITH {_PAIRS} SELECT label, i, j, round(cosine, 6) AS cosine FROM p")
+@query(
+    f"""WITH {_PAIRS}, m AS (SELECT id, min(id) OVER (PARTITION BY lang, v) AS rep, count(*) OVER (PARTITION BY lang, v) AS copies FROM vec WHERE side = 'd'),
+reps AS (SELECT p.* FROM p WHERE i IN (SELECT rep FROM m) AND j IN (SELECT rep FROM m))
+SELECT lang, i, j, round(cosine, 6) AS cosine FROM reps"""
+)
 def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sim.cosine_pairs(_vectors(spark, sf_dir), COSINE).select(F.col("grp").alias("label"), "i", "j", F.round("cosine", 6).alias("cosine"))
+    """Near pairs of a language, between the first documents of each class of equal vectors; ``semantic_classes`` has the members."""
+    pairs = vec.vector_classes(_vectors(spark, sf_dir), COSINE)[1]
+    return pairs.select(F.col("grp").alias("lang"), "i", "j", F.round("cosine", 6).alias("cosine"))
 
 
 @query(
-    f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
-g(label, k, kept) AS (
-  SELECT DISTINCT label, 0::BIGINT, []::BIGINT[] FROM o
+    f"""WITH {_PAIRS}, m AS (SELECT id, min(id) OVER (PARTITION BY lang, v) AS rep, count(*) OVER (PARTITION BY lang, v) AS copies FROM vec WHERE side = 'd'),
+n AS (SELECT id, count(*) AS n FROM (SELECT i AS id FROM p UNION ALL SELECT j FROM p) GROUP BY id)
+SELECT m.id AS doc_id, m.rep AS class_id, m.copies::BIGINT AS copies, coalesce(n.n, 0)::BIGINT AS n_links FROM m LEFT JOIN n USING (id)"""
+)
+def semantic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with words: its class of equal vectors, and how many documents of its language are near it."""
+    found = vec.class_links(*vec.vector_classes(_vectors(spark, sf_dir), COSINE))
+    return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), "copies", "n_links")
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY id) AS k FROM (SELECT DISTINCT unnest([i, j]) AS id, lang FROM p)),
+g(lang, k, kept) AS (
+  SELECT DISTINCT lang, 0::BIGINT, []::BIGINT[] FROM o
   UNION ALL
-  SELECT g.label, o.k, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.j = o.id AND list_contains(g.kept, p.i)) THEN g.kept ELSE list_append(g.kept, o.id) END
-  FROM g JOIN o ON o.label = g.label AND o.k = g.k + 1
-), f AS (SELECT label, kept FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC) = 1)
-SELECT e.vec_id, list_contains(f.kept, e.vec_id) AS kept FROM embeddings e JOIN f ON f.label = e.label"""
+  SELECT g.lang, o.k, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.j = o.id AND list_contains(g.kept, p.i)) THEN g.kept ELSE list_append(g.kept, o.id) END
+  FROM g JOIN o ON o.lang = g.lang AND o.k = g.k + 1
+), f AS (SELECT lang, kept FROM g QUALIFY row_number() OVER (PARTITION BY lang ORDER BY k DESC) = 1)
+SELECT d.doc_id, (d.doc_id NOT IN (SELECT id FROM o) OR coalesce(list_contains(f.kept, d.doc_id), false)) AS kept FROM documents d LEFT JOIN f ON f.lang = d.lang"""
 )
 def semantic_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep-first removal of similar vectors within a slice group."""
-    v = _vectors(spark, sf_dir)
-    return sim.keep_first(v, sim.cosine_pairs(v, COSINE)).select(F.col("id").alias("vec_id"), "kept")
+    """Keep-first removal of documents whose vectors are near, within a language."""
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return sim.keep_first_classes(nodes, *vec.vector_classes(_vectors(spark, sf_dir), COSINE)).select(F.col("id").alias("doc_id"), "kept")
 
 
-_SPLIT = "('0x' || substr(md5('leak|' || vec_id), 1, 8))::BIGINT % 10"
+_SPLIT = "('0x' || substr(md5('leak|' || {0}), 1, 8))::BIGINT % 10"
 
 
 @query(
-    f"""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS x, {_SPLIT} AS k FROM embeddings)
-SELECT vec_id FROM t a WHERE k < 8 AND NOT EXISTS (SELECT 1 FROM t b WHERE b.k >= 8 AND list_cosine_similarity(a.x, b.x) >= {COSINE})"""
+    f"""WITH {_VECTORS}, h AS (SELECT id, v FROM vec WHERE side = 'd' AND {_SPLIT.format('id')} >= 8)
+SELECT doc_id FROM documents WHERE {_SPLIT.format('doc_id')} < 8 AND doc_id NOT IN (SELECT a.id FROM vec a JOIN h ON a.side = 'd' AND list_cosine_similarity(a.v, h.v) >= {COSINE} - 1e-12)"""
 )
 def cross_split_leak_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train vectors that resemble no validation or test vector."""
-    from ..functions.text import draw
-
-    v = _vectors(spark, sf_dir).withColumn("k", draw("leak", F.col("id")) % 10)
-    return sim.leak_free(v.where("k < 8").select("id", "vector"), v.where("k >= 8").select("id", "vector"), COSINE).select(F.col("id").alias("vec_id"))
+    """Train documents that resemble no validation or test document."""
+    split = draw("leak", F.col("id")) % 10
+    docs = _vectors(spark, sf_dir).select("id", "vector", (split >= 8).alias("held"))
+    train = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).where(split < 8)
+    return train.join(vec.near_held(docs, COSINE), "id", "left_anti").select(F.col("id").alias("doc_id"))
