@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import parsing
+from . import checks
 
 PROP = "struct<name:string,type:string,required:boolean,options:array<string>>"
 TOOL = f"struct<name:string,description:string,props:array<{PROP}>>"
@@ -108,13 +108,8 @@ def callable_(answer: Column, tools: Column, query: Column) -> Column:
 
 
 def valid(rows: DataFrame) -> Column:
-    """Whether the answer fits the schemas of the tools (refusals and questions always do).
-
-    Marked as not deterministic, so that the optimizer leaves the function where it stands.
-    """
-    errors = parsing.validation_errors.func
-    check = F.pandas_udf(errors, "array<string>").asNondeterministic()
-    return F.size(check(answer_json(rows["answer"]), tools_json(rows["tools"]))) == 0
+    """Whether the answer fits the schemas of the tools (refusals and questions always do)."""
+    return checks.answer_fits(rows["answer"], rows["tools"])
 
 
 def curated(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parsing
 from ..functions.text import draw
-from ..operators import examples as ex, generators as gen, preference
+from ..operators import checks, examples as ex, generators as gen, preference
 from ..operators.ordering import ordered
 from ..operators.similarity import small
 from . import query, table
@@ -295,7 +295,7 @@ def _graded(spark: SparkSession, d: str) -> DataFrame:
         F.when(kind == 0, gold).when(kind == 1, F.concat(F.lit("```json\n"), gold, F.lit("\n```\nDone."))).when(kind == 2, F.lit('{"action":"refuse","message":"no"}')).when(kind == 3, F.lit("I would rather not {say"))
         .when(kind == 4, F.lit('{"action":"call","calls":[{"name":"unknown_tool","arguments":{}}]}')).otherwise(F.concat(F.lit("<think>one {tool} fits</think>"), gold))
     )
-    graded = rows.withColumn("v", parsing.verdicts(ex.answer_json(F.col("answer")), ex.tools_json(F.col("tools")), output))
+    graded = checks.judged(rows.withColumn("output", output), "output")
     return graded.select("ex_id", F.col("answer.type").alias("type"), F.size("answer.calls").alias("n_calls"), F.size("tools").alias("n_tools"), "v.parsed_ok", F.col("v.pred_action").alias("action"), "v.correct", F.col("v.hallucinated_call").alias("hallucinated"))
 
 
