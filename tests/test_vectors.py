@@ -31,7 +31,7 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, spread, cosine):
     x = clustered(n, 8, seed, spread)
     grp = [None if i % 4 == 3 else i % 4 if i % 4 < 2 else 0 for i in range(n)]
     rows = spark.createDataFrame([(i, grp[i], x[i].tolist()) for i in range(n)], "id long, grp int, vector array<double>")
-    members, pairs = vec.vector_classes(rows, cosine)
+    members, pairs = vec.vector_classes(rows, cosine, None)
     rep = {r.id: r.rep for r in members.collect()}
     key = {}
     for i in range(n):
@@ -44,7 +44,7 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, spread, cosine):
     links = {r.id: r.n_links for r in vec.class_links(members, pairs).collect()}
     assert links == {i: sum(j != i and grp[i] == grp[j] and (sims[i, j] >= cosine or tuple(x[i]) == tuple(x[j])) for j in range(n)) for i in range(n)}
     held = rows.select("id", "vector", (rows.id % 5 == 0).alias("held"))
-    leaked = {r.id for r in vec.near_held(held, cosine).collect()}
+    leaked = {r.id for r in vec.near_held(held, cosine, None).collect()}
     assert leaked == {i for i in range(n) if i % 5 and any(sims[i, j] >= cosine for j in range(0, n, 5))}
     kept = {r.id: r.kept for r in similarity.keep_first_classes(rows.select("id"), members, pairs).collect()}
     stays = []
@@ -56,17 +56,37 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, spread, cosine):
     assert set(partner) == {i for i in range(n) if not kept[i]} and all(kept[p] and grp[p] == grp[i] for i, p in partner.items())
 
 
-def test_cells_spare_visits():
-    """Rows of clusters visit few cells, and every near pair still meets."""
+@pytest.mark.parametrize("many", [1, 5])
+def test_cells_spare_visits(many):
+    """Rows of clusters visit few cells, with parts and without, and every near pair still meets."""
     x = clustered(3000, 16, 7, 0.15)
     x = x / np.linalg.norm(x, axis=1)[:, None]
     middle = vec.centroids(x, 24)
-    home, row, cell = vec.visits(x, middle, (2 - 2 * 0.9) ** 0.5)
-    assert len(row) < 0.2 * len(x) * 24
+    parts = vec.centroids(x - middle[vec._nearest(x, middle).argmin(1)], many) if many > 1 else np.zeros((1, 16))
+    home, row, cell = vec.visits(x, middle, parts, (2 - 2 * 0.9) ** 0.5, None)
+    assert len(row) < 0.25 * len(x) * 24 * many
     seen = set(zip(row.tolist(), cell.tolist()))
     for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1))):
-        a, b = sorted((i, j), key=lambda r: home[r])
-        assert home[a] == home[b] or (a, home[b]) in seen
+        assert home[i] == home[j] or (i, home[j]) in seen and (j, home[i]) in seen
+    few = vec.visits(x, middle, parts, 2.0, 3)
+    assert np.bincount(few[1]).max() <= 4 * min(many, vec.PARTS) and set(zip(few[1].tolist(), few[2].tolist())) & seen
+
+
+def test_recall_of_the_default_probes(spark, monkeypatch):
+    """Pairs at cosines of 0.9 to 0.93 among vectors without any structure, which visit 8 of 40 cells."""
+    monkeypatch.setattr(vec, "CELL", 100)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.standard_normal((400, 64))
+    noise -= (noise * x[:400]).sum(1)[:, None] * x[:400]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    c = rng.uniform(0.9, 0.93, 400)[:, None]
+    x[400:800] = c * x[:400] + np.sqrt(1 - c * c) * noise
+    rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, grp int, vector array<double>")
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)))}
+    got = {(r.i, r.j) for r in vec.vector_classes(rows, 0.9)[1].collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 390
 
 
 def test_odd_vectors(spark):
