@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import draw
 
+#: Terms that an exact test sums up at most, and the variance up to which a binomial draw walks its distribution.
+EXACT_TERMS, WALKED = 10_000, 100
 
 #: What each category weighs in an overall score; ``live`` is never measured offline.
 CATEGORY_WEIGHTS = {"agentic": 0.40, "multi_turn": 0.30, "simple": 0.0333, "multiple": 0.0333, "parallel": 0.0334, "irrelevance": 0.05, "clarify": 0.05, "live": 0.10}
@@ -18,17 +22,28 @@ def weighted(accuracies: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHTS
     return both.agg((F.sum(F.col("weight") * F.col("accuracy")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("weighted"))
 
 
+def _upper_tail(x: Column) -> Column:
+    """erfc of x >= 0: its Taylor series below 2.5, else its continued fraction from the 60th term back."""
+    square = x * x
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), lambda acc, k: F.struct((-acc["t"] * square / k).alias("t"), (acc["s"] - acc["t"] * square / k / (2 * k + 1)).alias("s")))["s"]
+    under = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / F.lit(2.0) / acc)
+    root = math.sqrt(math.pi)
+    return F.when(x < 2.5, 1 - series * (2 / root)).otherwise(F.exp(-square) / under / root)
+
+
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c discordant pairs; 1 without any.
+    """Two-sided p of b against c discordant pairs; 1 without any.
 
-    One pass over the smaller count: each binomial term follows from the one before, as a logarithm.
+    Exact up to ``EXACT_TERMS`` of the rarer kind, in one pass in which each binomial term follows from the one before,
+    as a logarithm; beyond, the normal tail with continuity correction, whose error is below 1e-4 there.
     """
     n, low = (b + c).cast("double"), F.least(b, c).cast("long")
     none = -n * F.log(F.lit(2.0))
     step = lambda acc, i: F.struct((acc["t"] + F.log((n - i + 1) / i)).alias("t"), (acc["s"] + F.exp(acc["t"] + F.log((n - i + 1) / i))).alias("s"))
-    some = F.when(low > 0, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>"))
+    some = F.when((low > 0) & (low <= EXACT_TERMS), F.sequence(F.lit(1).cast("long"), F.least(low, F.lit(EXACT_TERMS).cast("long")))).otherwise(F.array().cast("array<bigint>"))
     terms = F.aggregate(some, F.struct(none.alias("t"), F.exp(none).alias("s")), step)["s"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * terms))
+    normal = _upper_tail(F.greatest(F.abs(b - c) - 1, F.lit(0)).cast("double") / F.sqrt(2 * n))
+    return F.when(n == 0, 1.0).when(low > EXACT_TERMS, F.least(F.lit(1.0), normal)).otherwise(F.least(F.lit(1.0), 2 * terms))
 
 
 def pass_hat_k(n: Column, c: Column, k: int) -> Column:
@@ -37,21 +52,55 @@ def pass_hat_k(n: Column, c: Column, k: int) -> Column:
     return F.when(n >= k, product)
 
 
+def uniform(*parts: Column | str | int) -> Column:
+    """A number between 0 and 1, never either, from a counter-like key."""
+    return (draw(*parts) + F.lit(0.5)) / F.lit(2.0**32)
+
+
+def binomial(n: Column, p: Column, u: Column, w: Column) -> Column:
+    """A binomial draw by the inverse distribution function at ``u``; p is between 0 and 1 and neither.
+
+    With a variance up to ``WALKED`` the distribution is summed up (to 12 deviations beyond the mean); with a larger one
+    it is the normal quantile (``u`` and ``w`` by Box and Muller) with a correction for skew, within 1 of the exact one.
+    """
+    few = F.least(p, 1 - p)
+    rare, spread = n * few, F.sqrt(n * p * (1 - p))
+    at = F.when(p > 0.5, 1 - u).otherwise(u)
+    last = F.least(n, F.ceil(rare + 12 * F.least(spread, F.lit(math.sqrt(WALKED))) + 30)).cast("int")
+    zero = F.struct(F.exp(n * F.log(1 - few)).alias("t"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("k"))
+    step = lambda acc, k: F.struct((acc["t"] * (n - k) / (k + 1) * few / (1 - few)).alias("t"), (acc["s"] + acc["t"]).alias("s"), (acc["k"] + (acc["s"] + acc["t"] < at).cast("long")).alias("k"))
+    walked = F.when(n * p * (1 - p) <= WALKED, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    exact = F.least(F.aggregate(walked, zero, step)["k"], n.cast("long"))
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * w)
+    near = F.greatest(F.lit(0.0), F.least(n.cast("double"), F.floor(n * p + spread * z + (1 - 2 * p) * (z * z - 1) / 6 + 0.5))).cast("long")
+    return F.when(n * p * (1 - p) > WALKED, near).when(p > 0.5, n.cast("long") - exact).otherwise(exact)
+
+
 def resampled(bits: DataFrame, group: str, columns: list[str], rounds: int, seed: str) -> DataFrame:
-    """(group, round, columns...): means over ``rounds`` resamples of each group, indices drawn from a digest.
+    """(group, round, columns...): means over ``rounds`` resamples of each group.
 
-    Bits take few distinct values, so a group is kept as runs of equal rows (one row a
-    distinct combination, with its first index and its size), and the draws meet
-    runs, never rows: rounds * n draws of which each falls in one run.
+    Bits take few distinct values, so a group is a handful of cells (one a distinct combination, with its size), and a
+    resample is how often each cell is drawn: a multinomial, as a chain of binomials, each among what earlier cells
+    left. The cost is rounds by cells, whatever the number of rows.
     """
-    runs = bits.groupBy(group, *columns).agg(F.count("*").alias("size"))
-    order = Window.partitionBy(group).orderBy(*columns)
-    runs = runs.withColumn("first", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("size").over(Window.partitionBy(group)))
-    table = runs.groupBy(group, "n").agg(F.array_sort(F.collect_list(F.struct("first", "size", *columns))).alias("runs"))
-    each = table.withColumn("round", F.explode_outer(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("k", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = draw(seed, F.col(group), F.col("round"), F.col("k")) % F.col("n")
-    hit = F.element_at(F.filter("runs", lambda r: (r["first"] <= F.col("at")) & (F.col("at") < r["first"] + r["size"])), 1)
-    return each.withColumn("at", at).withColumn("hit", hit).groupBy(group, "round").agg(*[F.avg(F.col(f"hit.{c}").cast("double")).alias(c) for c in columns])
+    cells = bits.groupBy(group, *columns).agg(F.count("*").alias("size"))
+    table = cells.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*columns, "size"))).alias("cells"), F.sum("size").alias("n"))
+    return resampled_cells(table, group, columns, rounds, seed)
+
+
+def resampled_cells(table: DataFrame, group: str, columns: list[str], rounds: int, seed: str) -> DataFrame:
+    """``resampled`` of groups given as (group, cells: array of (columns..., size), n)."""
+    each = table.withColumn("round", F.explode_outer(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    numbered = F.transform("cells", lambda c, i: F.struct(i.alias("i"), c["size"].alias("size"), *[c[x].cast("double").alias(x) for x in columns]))
+    zero = F.struct(F.col("n").alias("draws"), F.col("n").alias("rows"), *[F.lit(0.0).alias(x) for x in columns])
+
+    def step(acc: Column, c: Column) -> Column:
+        key = (F.coalesce(F.col(group).cast("string"), F.lit("")), F.col("round"), c["i"])
+        some = binomial(acc["draws"], c["size"] / acc["rows"], uniform(seed, *key), uniform(f"{seed}'", *key))
+        taken = F.when(c["size"] == acc["rows"], acc["draws"]).when(acc["draws"] == 0, 0).otherwise(some)
+        return F.struct((acc["draws"] - taken).alias("draws"), (acc["rows"] - c["size"]).alias("rows"), *[(acc[x] + taken * c[x]).alias(x) for x in columns])
+
+    return each.withColumn("_s", F.aggregate(numbered, zero, step)).select(group, "round", *[(F.col(f"_s.{x}") / F.col("n")).alias(x) for x in columns])
 
 
 def interval(means: DataFrame, group: str, column: str, rounds: int, alpha: float = 0.05) -> DataFrame:

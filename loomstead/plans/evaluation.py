@@ -1,7 +1,7 @@
-"""Accuracy families, decompositions and significance over predictions.
+"""Accuracy families, decompositions and significance over the verdicts on two systems' outputs.
 
-The tables play predictions: ``labels.quality`` is the gold action, ``labels.toxic``
-the other system's bit, language the category and source the format.
+Orders are examples (see ``examples``); their outputs are texts that are parsed and judged. Order priorities play the
+conditions (formats, tasks); everything else is what it is called.
 """
 
 from __future__ import annotations
@@ -9,29 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import statistics as stats
-from . import query, table
+from . import examples, query, table
 
 ROUNDS = 200
 
-_P = """
-p AS (SELECT d.doc_id, d.lang, d.source, l.quality AS base, 1 - l.toxic AS ft,
-  CASE WHEN d.doc_id % 3 = 0 THEN 'tool_call' WHEN d.doc_id % 3 = 1 THEN 'refuse' ELSE 'clarify' END AS gold,
-  CASE WHEN l.quality = 0 THEN NULL WHEN l.toxic = 1 THEN 'call' WHEN d.doc_id % 3 = 0 THEN 'call' WHEN d.doc_id % 3 = 1 THEN 'refuse' ELSE 'clarify' END AS pred
-  FROM documents d JOIN labels l USING (doc_id)),
-v AS (SELECT *, coalesce((gold = 'tool_call' AND pred = 'call') OR gold = pred, false) AS correct, pred IS NULL AS failed, coalesce(gold <> 'tool_call' AND pred = 'call', false) AS hallucinated FROM p)
+_P = f"""
+{examples._E}, {examples.SYSTEMS},
+v AS (SELECT *, NOT parsed_ok AS failed FROM base),
+p AS (SELECT b.ex_id, b.category, b.condition, b.correct::INT AS base, t.correct::INT AS ft FROM base b JOIN tuned t USING (ex_id))
 """
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    rows = docs.join(table(spark, d, "labels"), "doc_id")
-    k = F.col("doc_id") % 3
-    said = F.when(k == 0, "call").when(k == 1, "refuse").otherwise("clarify")
-    gold = F.when(k == 0, "tool_call").when(k == 1, "refuse").otherwise("clarify")
-    pred = F.when(F.col("quality") == 0, F.lit(None)).when(F.col("toxic") == 1, "call").otherwise(said)
-    rows = rows.select("doc_id", "lang", "source", F.col("quality").alias("base"), (1 - F.col("toxic")).alias("ft"), gold.alias("gold"), pred.alias("pred"))
-    right = F.coalesce(((F.col("gold") == "tool_call") & (F.col("pred") == "call")) | (F.col("gold") == F.col("pred")), F.lit(False))
-    return rows.select("*", right.alias("correct"), F.col("pred").isNull().alias("failed"), F.coalesce((F.col("gold") != "tool_call") & (F.col("pred") == "call"), F.lit(False)).alias("hallucinated"))
+    """The base system's verdicts."""
+    return examples.systems(spark, d)[0].withColumn("failed", ~F.col("parsed_ok"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(ex_id, category, condition, base, ft) of the examples that both systems answered; the base side names the category."""
+    base, tuned = examples.systems(spark, d)
+    bit = lambda name: F.col("correct").cast("int").alias(name)
+    return base.select("ex_id", "category", "condition", bit("base")).join(tuned.select("ex_id", bit("ft")), "ex_id")
 
 
 def _share(flag, among=None):
@@ -56,46 +54,46 @@ def accuracy_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_P} SELECT {_AVG("pred IN ('refuse', 'clarify')", "gold = 'tool_call'").replace("(pred IN ('refuse', 'clarify'))", "(coalesce(pred IN ('refuse', 'clarify'), false))")} AS over_refusal,
-{_AVG("gold <> 'tool_call'", "pred IN ('refuse', 'clarify')")} AS abstention_precision, {_AVG("coalesce(pred IN ('refuse', 'clarify'), false)", "gold <> 'tool_call'")} AS abstention_recall FROM v"""
+    f"""WITH {_P} SELECT {_AVG("action IN ('refuse', 'clarify')", "gold = 'tool_call'").replace("(action IN ('refuse', 'clarify'))", "(coalesce(action IN ('refuse', 'clarify'), false))")} AS over_refusal,
+{_AVG("gold <> 'tool_call'", "action IN ('refuse', 'clarify')")} AS abstention_precision, {_AVG("coalesce(action IN ('refuse', 'clarify'), false)", "gold <> 'tool_call'")} AS abstention_recall FROM v"""
 )
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abstains = F.coalesce(F.col("pred").isin("refuse", "clarify"), F.lit(False))
+    abstains = F.coalesce(F.col("action").isin("refuse", "clarify"), F.lit(False))
     positive = F.col("gold") == "tool_call"
     return _rows(spark, sf_dir).agg(_share(abstains, positive).alias("over_refusal"), _share(~positive, abstains).alias("abstention_precision"), _share(abstains, ~positive).alias("abstention_recall"))
 
 
-_CELL = "count(*) FILTER (WHERE coalesce(pred, 'parse_fail') = '{0}')::BIGINT AS \"{0}\""
+_CELL = "count(*) FILTER (WHERE coalesce(action, 'parse_fail') = '{0}')::BIGINT AS \"{0}\""
 
 
 @query(f"WITH {_P} SELECT gold, {', '.join(_CELL.format(x) for x in ('call', 'refuse', 'clarify', 'parse_fail'))} FROM v GROUP BY gold")
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold action against predicted action, all cells present."""
     kinds = ["call", "refuse", "clarify", "parse_fail"]
-    rows = _rows(spark, sf_dir).select("gold", F.coalesce("pred", F.lit("parse_fail")).alias("p"))
+    rows = _rows(spark, sf_dir).select("gold", F.coalesce("action", F.lit("parse_fail")).alias("p"))
     return rows.groupBy("gold").pivot("p", kinds).count().select("gold", *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in kinds])
 
 
-@query(f"WITH {_P} SELECT lang AS category, source AS format, {_AVG('correct')} AS accuracy, count(*)::BIGINT AS n, {_AVG('hallucinated')} AS hallucination FROM v GROUP BY GROUPING SETS ((lang), (source), ())")
+@query(f"WITH {_P} SELECT category, condition AS format, {_AVG('correct')} AS accuracy, count(*)::BIGINT AS n, {_AVG('hallucinated')} AS hallucination FROM v GROUP BY GROUPING SETS ((category), (condition), ())")
 def bfcl_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).select(F.col("lang").alias("category"), F.col("source").alias("format"), "correct", "hallucinated")
+    rows = _rows(spark, sf_dir).select("category", F.col("condition").alias("format"), "correct", "hallucinated")
     return rows.groupingSets([["category"], ["format"], []], "category", "format").agg(_share(F.col("correct")).alias("accuracy"), F.count("*").alias("n"), _share(F.col("hallucinated")).alias("hallucination"))
 
 
-@query(
-    f"""WITH {_P}, a AS (SELECT lang, avg(correct::INT) AS a FROM v GROUP BY lang), w(lang, w) AS (VALUES ('en', 0.4::DOUBLE), ('fr', 0.3), ('de', 0.2), ('xx', 0.1))
-SELECT round(sum(w * a) / nullif(sum(w), 0), 6) AS weighted FROM a JOIN w USING (lang)"""
-)
+_WEIGHTS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in stats.CATEGORY_WEIGHTS.items())
+
+
+@query(f"WITH {_P}, a AS (SELECT category, avg(correct::INT) AS a FROM v GROUP BY category), w(category, w) AS (VALUES {_WEIGHTS}) SELECT round(sum(w * a) / nullif(sum(w), 0), 6) AS weighted FROM a JOIN w USING (category)")
 def bfcl_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy by fixed weights, renormalised over the categories present; null if none is."""
-    acc = _rows(spark, sf_dir).groupBy(F.col("lang").alias("category")).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
-    return stats.weighted(acc, {"en": 0.4, "fr": 0.3, "de": 0.2, "xx": 0.1}).select(F.round("weighted", 6).alias("weighted"))
+    acc = _rows(spark, sf_dir).groupBy("category").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    return stats.weighted(acc).select(F.round("weighted", 6).alias("weighted"))
 
 
-@query(f"WITH {_P}, f AS (SELECT source, avg(correct::INT) AS a FROM v GROUP BY source) SELECT round(CASE WHEN count(*) >= 2 THEN max(a) - min(a) END, 6) AS format_delta, count(*)::BIGINT AS formats FROM f")
+@query(f"WITH {_P}, f AS (SELECT condition, avg(correct::INT) AS a FROM v GROUP BY condition) SELECT round(CASE WHEN count(*) >= 2 THEN max(a) - min(a) END, 6) AS format_delta, count(*)::BIGINT AS formats FROM f")
 def format_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of accuracy over formats; null with fewer than two."""
-    acc = _rows(spark, sf_dir).groupBy("source").agg(F.avg(F.col("correct").cast("double")).alias("a"))
+    acc = _rows(spark, sf_dir).groupBy("condition").agg(F.avg(F.col("correct").cast("double")).alias("a"))
     return acc.agg(F.round(F.when(F.count("*") >= 2, F.max("a") - F.min("a")), 6).alias("format_delta"), F.count("*").alias("formats"))
 
 
@@ -106,75 +104,69 @@ def _reason():
     return F.when(F.col("failed"), "parse_failure").when(F.col("hallucinated"), "hallucinated_call").otherwise("wrong_call_or_args")
 
 
-@query(f"WITH {_P} SELECT lang AS category, {_REASON} AS reason, count(*)::BIGINT AS failures FROM v WHERE NOT correct GROUP BY ALL")
+@query(f"WITH {_P} SELECT category, {_REASON} AS reason, count(*)::BIGINT AS failures FROM v WHERE NOT correct GROUP BY ALL")
 def error_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).where("NOT correct").groupBy(F.col("lang").alias("category"), _reason().alias("reason")).agg(F.count("*").alias("failures"))
+    return _rows(spark, sf_dir).where("NOT correct").groupBy("category", _reason().alias("reason")).agg(F.count("*").alias("failures"))
 
 
-@query(f"WITH {_P} SELECT lang AS category, doc_id, {_REASON} AS reason FROM v WHERE NOT correct QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 3")
+@query(f"WITH {_P} SELECT category, ex_id, {_REASON} AS reason FROM v WHERE NOT correct QUALIFY row_number() OVER (PARTITION BY category ORDER BY ex_id) <= 3")
 def error_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three failures of each category, for a report."""
-    w = Window.partitionBy("lang").orderBy("doc_id")
+    w = Window.partitionBy("category").orderBy("ex_id")
     rows = _rows(spark, sf_dir).where("NOT correct").withColumn("k", F.row_number().over(w)).where("k <= 3")
-    return rows.select(F.col("lang").alias("category"), "doc_id", _reason().alias("reason"))
+    return rows.select("category", "ex_id", _reason().alias("reason"))
 
 
-@query(f"WITH {_P} SELECT b.doc_id AS ord, b.lang AS category, b.base, f.ft FROM p b JOIN p f ON b.doc_id = f.doc_id")
+@query(f"WITH {_P} SELECT ex_id AS ord, category, base, ft FROM p")
 def align_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two systems' rows side by side by explicit position; the base side names the category."""
-    rows = _rows(spark, sf_dir)
-    return rows.select(F.col("doc_id").alias("ord"), F.col("lang").alias("category"), "base").join(rows.select(F.col("doc_id").alias("ord"), "ft"), "ord")
+    """Two systems' rows side by side by example; rows that one of them lacks have no partner."""
+    return _pairs(spark, sf_dir).select(F.col("ex_id").alias("ord"), "category", "base", "ft")
 
 
 @query(
-    f"""WITH {_P}, g AS (SELECT lang, count(*)::DOUBLE / sum(count(*)) OVER () AS w, avg(base) AS b, avg(ft) AS f FROM p GROUP BY lang), t AS (SELECT *, sum(w * (f - b)) OVER () AS gap FROM g)
-SELECT lang AS category, round(w, 6) AS weight, round(b, 6) AS base, round(f, 6) AS ft, round(f - b, 6) AS gap, round(w * (f - b), 6) AS contribution, CASE WHEN abs(gap) > 1e-12 THEN round(w * (f - b) / gap, 6) END AS share FROM t"""
+    f"""WITH {_P}, g AS (SELECT category, count(*)::DOUBLE / sum(count(*)) OVER () AS w, avg(base) AS b, avg(ft) AS f FROM p GROUP BY category), t AS (SELECT *, sum(w * (f - b)) OVER () AS gap FROM g)
+SELECT category, round(w, 6) AS weight, round(b, 6) AS base, round(f, 6) AS ft, round(f - b, 6) AS gap, round(w * (f - b), 6) AS contribution, CASE WHEN abs(gap) > 1e-12 THEN round(w * (f - b) / gap, 6) END AS share FROM t"""
 )
 def gap_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each category adds to the overall gap; contributions sum to it."""
-    g = _rows(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.avg("base").alias("b"), F.avg("ft").alias("f"))
+    g = _pairs(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.avg("base").alias("b"), F.avg("ft").alias("f"))
     every = Window.partitionBy()
     g = g.withColumn("w", F.col("n") / F.sum("n").over(every)).withColumn("c", F.col("w") * (F.col("f") - F.col("b")))
     g = g.withColumn("total", F.sum("c").over(every))
     r = lambda c, name: F.round(c, 6).alias(name)
-    return g.select(F.col("lang").alias("category"), r(F.col("w"), "weight"), r(F.col("b"), "base"), r(F.col("f"), "ft"), r(F.col("f") - F.col("b"), "gap"), r(F.col("c"), "contribution"), F.when(F.abs("total") > 1e-12, F.round(F.col("c") / F.col("total"), 6)).alias("share"))
+    return g.select("category", r(F.col("w"), "weight"), r(F.col("b"), "base"), r(F.col("f"), "ft"), r(F.col("f") - F.col("b"), "gap"), r(F.col("c"), "contribution"), F.when(F.abs("total") > 1e-12, F.round(F.col("c") / F.col("total"), 6)).alias("share"))
 
 
 @query(
-    f"""WITH {_P}, g AS (SELECT lang, avg(base) AS b, avg(ft) AS f FROM p GROUP BY lang), s AS (SELECT b AS sb, f AS sf FROM g WHERE lang = 'en')
-SELECT lang AS condition, round(b, 6) AS base, round(f, 6) AS ft, round(sb - b, 6) AS base_drop, round(sf - f, 6) AS ft_drop FROM g, s"""
+    f"""WITH {_P}, g AS (SELECT category, avg(base) AS b, avg(ft) AS f FROM p GROUP BY category), s AS (SELECT b AS sb, f AS sf FROM g WHERE category = 'simple')
+SELECT category AS condition, round(b, 6) AS base, round(f, 6) AS ft, round(sb - b, 6) AS base_drop, round(sf - f, 6) AS ft_drop FROM g, s"""
 )
 def robustness_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each condition's drop from the simple one."""
-    g = _rows(spark, sf_dir).groupBy(F.col("lang").alias("condition")).agg(F.avg("base").alias("b"), F.avg("ft").alias("f"))
-    simple = g.where("condition = 'en'").select(F.col("b").alias("sb"), F.col("f").alias("sf"))
+    g = _pairs(spark, sf_dir).groupBy(F.col("category").alias("condition")).agg(F.avg("base").alias("b"), F.avg("ft").alias("f"))
+    simple = g.where("condition = 'simple'").select(F.col("b").alias("sb"), F.col("f").alias("sf"))
     r = lambda c, name: F.round(c, 6).alias(name)
     return g.join(F.broadcast(simple)).select("condition", r(F.col("b"), "base"), r(F.col("f"), "ft"), r(F.col("sb") - F.col("b"), "base_drop"), r(F.col("sf") - F.col("f"), "ft_drop"))
 
 
 @query(
-    f"""WITH {_P}, x AS (SELECT lang, avg(base) AS b FROM p GROUP BY lang), y AS (SELECT lang, avg(ft) AS f FROM p GROUP BY lang)
-SELECT coalesce(x.lang, y.lang) AS condition, round(b, 6) AS base, round(f, 6) AS ft, round(f - b, 6) AS delta FROM x FULL OUTER JOIN y ON x.lang = y.lang"""
+    f"""WITH {_P}, cb AS (SELECT category, avg(correct::INT) AS b FROM base GROUP BY category), ct AS (SELECT category, avg(correct::INT) AS f FROM tuned GROUP BY category)
+SELECT coalesce(cb.category, ct.category) AS condition, round(b, 6) AS base, round(f, 6) AS ft, round(f - b, 6) AS delta FROM cb FULL OUTER JOIN ct ON cb.category = ct.category"""
 )
 def conditions_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of the two systems' conditions, each over all its rows; a missing side is null."""
-    rows = _rows(spark, sf_dir)
-    return _outer(rows.select("lang", "base"), rows.select("lang", "ft"))
-
-
-def _outer(base: DataFrame, ft: DataFrame) -> DataFrame:
-    x, y = base.groupBy("lang").agg(F.avg("base").alias("b")), ft.groupBy("lang").agg(F.avg("ft").alias("f"))
-    return x.join(y, "lang", "full_outer").select(F.col("lang").alias("condition"), F.round("b", 6).alias("base"), F.round("f", 6).alias("ft"), F.round(F.col("f") - F.col("b"), 6).alias("delta"))
+    base, tuned = (side.groupBy("category").agg(F.avg(F.col("correct").cast("int")).alias(name)) for side, name in zip(examples.systems(spark, sf_dir), "bf", strict=True))
+    return base.join(tuned, "category", "full_outer").select(F.col("category").alias("condition"), F.round("b", 6).alias("base"), F.round("f", 6).alias("ft"), F.round(F.col("f") - F.col("b"), 6).alias("delta"))
 
 
 @query(
-    f"""WITH {_P}, s AS (SELECT doc_id % 5 AS seed, lang, avg(ft) - avg(base) AS gap FROM p GROUP BY ALL)
-SELECT lang AS category, round(avg(gap), 6) AS mean, round(stddev_pop(gap), 6) AS std, round(min(gap), 6) AS worst, arg_min(seed, gap + seed * 1e-12) AS worst_seed FROM s GROUP BY lang"""
+    f"""WITH {_P}, s AS (SELECT ex_id % 5 AS seed, category, avg(ft) - avg(base) AS gap FROM p GROUP BY ALL)
+SELECT category, round(avg(gap), 6) AS mean, round(stddev_pop(gap), 6) AS std, round(min(gap), 6) AS worst, arg_min(seed, gap + seed * 1e-12) AS worst_seed FROM s GROUP BY category"""
 )
 def seed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and population deviation over seeds, and the worst one."""
-    s = _rows(spark, sf_dir).groupBy((F.col("doc_id") % 5).alias("seed"), "lang").agg((F.avg("ft") - F.avg("base")).alias("gap"))
-    return s.groupBy(F.col("lang").alias("category")).agg(F.round(F.avg("gap"), 6).alias("mean"), F.round(F.stddev_pop("gap"), 6).alias("std"), F.round(F.min("gap"), 6).alias("worst"), F.min_by("seed", F.col("gap") + F.col("seed") * 1e-12).alias("worst_seed"))
+    s = _pairs(spark, sf_dir).groupBy((F.col("ex_id") % 5).alias("seed"), "category").agg((F.avg("ft") - F.avg("base")).alias("gap"))
+    return s.groupBy("category").agg(F.round(F.avg("gap"), 6).alias("mean"), F.round(F.stddev_pop("gap"), 6).alias("std"), F.round(F.min("gap"), 6).alias("worst"), F.min_by("seed", F.col("gap") + F.col("seed") * 1e-12).alias("worst_seed"))
 
 
 @query(
@@ -189,44 +181,63 @@ def matched_pair_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("event_type").alias("lang")).agg(F.count("*").alias("pairs"), F.round(F.avg("bit"), 6).alias("accuracy"), F.round(F.avg(F.col("bit") - F.col("b")), 6).alias("delta"))
 
 
-_BOOT = """
-q AS (SELECT lang, base, ft, row_number() OVER (PARTITION BY lang ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM p),
-s AS (SELECT DISTINCT lang, n FROM q),
-d AS (SELECT s.lang, r.round, ('0x' || substr(md5('{seed}|' || s.lang || '|' || r.round || '|' || k.k), 1, 8))::BIGINT % s.n AS i FROM s, range(200) r(round), (SELECT unnest(range(100000)) AS k) k WHERE k.k < s.n),
-m AS (SELECT d.lang, d.round, {mean} AS x FROM d JOIN q ON q.lang = d.lang AND q.i = d.i GROUP BY ALL)
+_U = "((('0x' || substr(md5('{seed}|' || h.category || '|' || h.round || '|' || h.i), 1, 8))::BIGINT + 0.5) / 4294967296)"
+_BINOMIAL = """CASE WHEN n * p * (1 - p) > 100 THEN
+    greatest(0, least(n, floor(n * p + sqrt(n * p * (1 - p)) * sqrt(-2 * ln(u)) * cos(2 * pi() * w) + (1 - 2 * p) * (-2 * ln(u) * cos(2 * pi() * w) ** 2 - 1) / 6 + 0.5)))::BIGINT
+  ELSE abs((p > 0.5)::BIGINT * n - least(n, len(list_filter(range(0, least(n, ceil(n * least(p, 1 - p) + 12 * sqrt(n * p * (1 - p)) + 30)::BIGINT) + 1), lambda k:
+    list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(least(p, 1 - p)) + (n - j) * ln(greatest(p, 1 - p))))) < CASE WHEN p > 0.5 THEN 1 - u ELSE u END))::BIGINT)) END"""
+
+
+def _boot(seed: str, columns: str, mean: str) -> str:
+    """Resampled means (category, round, x): cells of equal bits, and a chain of binomial draws."""
+    one, two = _U.format(seed=seed), _U.format(seed=seed + "''")
+    return f"""
+c AS (SELECT category, {columns}, count(*) AS size, row_number() OVER (PARTITION BY category ORDER BY {columns}) - 1 AS i FROM {{table}} GROUP BY category, {columns}),
+t AS (SELECT category, sum(size)::BIGINT AS n, count(*) AS cells FROM c GROUP BY category),
+h AS (
+  SELECT category, round, 0::BIGINT AS i, n AS draws, n AS rest, 0::BIGINT AS b, 0::BIGINT AS f FROM t, range(200) r(round)
+  UNION ALL
+  SELECT category, round, i + 1, draws - take, rest - size, b + take * base, f + take * ft
+  FROM (SELECT *, CASE WHEN size = rest THEN draws WHEN draws = 0 THEN 0 ELSE {_BINOMIAL} END AS take
+        FROM (SELECT h.*, c.size, c.base, {'c.ft' if 'ft' in columns else '0'} AS ft, h.draws AS n, c.size / h.rest AS p, {one} AS u, {two} AS w FROM h JOIN c ON c.category = h.category AND c.i = h.i))
+),
+m AS (SELECT h.category, round, {mean} AS x FROM h JOIN t ON t.category = h.category AND h.i = t.cells)
 """
 
 
-@query(f"WITH {_P}, {_BOOT.format(order='base', seed='boot', mean='avg(base)')}, o AS (SELECT lang, list_sort(list(x)) AS x, stddev_pop(x) AS se FROM m GROUP BY lang) SELECT o.lang, round(x[6], 6) AS lo, round(x[196], 6) AS hi, round(se, 6) AS se FROM o")
+_BITS = "bb AS (SELECT category, correct::INT AS base FROM base)"
+
+
+@query(f"WITH RECURSIVE {_P}, {_BITS}, {_boot('boot', 'base', 'b / n').format(table='bb')}, o AS (SELECT category, list_sort(list(x)) AS x, stddev_pop(x) AS se FROM m GROUP BY category) SELECT category, round(x[6], 6) AS lo, round(x[196], 6) AS hi, round(se, 6) AS se FROM o")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile interval and standard error of accuracy by language."""
-    means = stats.resampled(_rows(spark, sf_dir).select("lang", "base"), "lang", ["base"], ROUNDS, "boot")
-    return stats.interval(means, "lang", "base", ROUNDS).select("lang", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("se", 6).alias("se"))
+    """Percentile interval and standard error of accuracy by category."""
+    means = stats.resampled(_rows(spark, sf_dir).select("category", F.col("correct").cast("int").alias("base")), "category", ["base"], ROUNDS, "boot")
+    return stats.interval(means, "category", "base", ROUNDS).select("category", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("se", 6).alias("se"))
 
 
-@query(f"WITH {_P}, {_BOOT.format(order='base, ft', seed='gap', mean='avg(ft) - avg(base)')}, o AS (SELECT lang, list_sort(list(x)) AS x, avg((x <= 0)::INT) AS p FROM m GROUP BY lang) SELECT o.lang, round(x[6], 6) AS lo, round(x[196], 6) AS hi, round(p, 6) AS p FROM o")
+@query(f"WITH RECURSIVE {_P}, {_boot('gap', 'base, ft', 'f / n - b / n').format(table='p')}, o AS (SELECT category, list_sort(list(x)) AS x, avg((x <= 0)::INT) AS p FROM m GROUP BY category) SELECT category, round(x[6], 6) AS lo, round(x[196], 6) AS hi, round(p, 6) AS p FROM o")
 def paired_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the gap between two systems, the same rows drawn for both; p is the share of gaps not above 0."""
-    means = stats.resampled(_rows(spark, sf_dir).select("lang", "base", "ft"), "lang", ["base", "ft"], ROUNDS, "gap")
+    means = stats.resampled(_pairs(spark, sf_dir).select("category", "base", "ft"), "category", ["base", "ft"], ROUNDS, "gap")
     gaps = means.withColumn("gap", F.col("ft") - F.col("base"))
-    return stats.interval(gaps, "lang", "gap", ROUNDS).select("lang", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("p", 6).alias("p"))
+    return stats.interval(gaps, "category", "gap", ROUNDS).select("category", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("p", 6).alias("p"))
 
 
 @query(
-    f"""WITH {_P}, c AS (SELECT lang, count(*) FILTER (WHERE base = 1 AND ft = 0) AS b, count(*) FILTER (WHERE base = 0 AND ft = 1) AS c FROM p GROUP BY lang)
-SELECT lang, b::BIGINT AS base_only, c::BIGINT AS ft_only, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS p FROM c"""
+    f"""WITH {_P}, c AS (SELECT category, count(*) FILTER (WHERE base = 1 AND ft = 0) AS b, count(*) FILTER (WHERE base = 0 AND ft = 1) AS c FROM p GROUP BY category)
+SELECT category, b::BIGINT AS base_only, c::BIGINT AS ft_only, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS p FROM c"""
 )
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _rows(spark, sf_dir).groupBy("lang").agg(F.count_if((F.col("base") == 1) & (F.col("ft") == 0)).alias("base_only"), F.count_if((F.col("base") == 0) & (F.col("ft") == 1)).alias("ft_only"))
-    return g.select("lang", "base_only", "ft_only", F.round(stats.mcnemar(F.col("base_only"), F.col("ft_only")), 6).alias("p"))
+    g = _pairs(spark, sf_dir).groupBy("category").agg(F.count_if((F.col("base") == 1) & (F.col("ft") == 0)).alias("base_only"), F.count_if((F.col("base") == 0) & (F.col("ft") == 1)).alias("ft_only"))
+    return g.select("category", "base_only", "ft_only", F.round(stats.mcnemar(F.col("base_only"), F.col("ft_only")), 6).alias("p"))
 
 
 @query(
-    f"""WITH {_P}, g AS (SELECT source, count(*) AS n, sum(base) AS c FROM p GROUP BY source)
-SELECT source AS task, n::BIGINT AS n, c::BIGINT AS c, CASE WHEN n >= 3 THEN round((greatest(c, 0)::DOUBLE / n) * (greatest(c - 1, 0)::DOUBLE / (n - 1)) * (greatest(c - 2, 0)::DOUBLE / (n - 2)), 6) END AS pass_3 FROM g"""
+    f"""WITH {_P}, g AS (SELECT condition, count(*) AS n, sum(correct::INT) AS c FROM base GROUP BY condition)
+SELECT condition AS task, n::BIGINT AS n, c::BIGINT AS c, CASE WHEN n >= 3 THEN round((greatest(c, 0)::DOUBLE / n) * (greatest(c - 1, 0)::DOUBLE / (n - 1)) * (greatest(c - 2, 0)::DOUBLE / (n - 2)), 6) END AS pass_3 FROM g"""
 )
 def pass_hat_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _rows(spark, sf_dir).groupBy(F.col("source").alias("task")).agg(F.count("*").alias("n"), F.sum("base").alias("c"))
+    g = _rows(spark, sf_dir).groupBy(F.col("condition").alias("task")).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("int")).alias("c"))
     return g.select("task", "n", "c", F.round(stats.pass_hat_k(F.col("n"), F.col("c"), 3), 6).alias("pass_3"))
 
 

@@ -15,6 +15,7 @@ from ..operators import checks, examples as ex, generators as gen, preference
 from ..operators.ordering import ordered
 from ..operators.similarity import small
 from . import query, table
+from .conversations import category
 
 _FLAGS = ("A", "N", "R")
 
@@ -281,24 +282,59 @@ def pref_example_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.pairs(_rows(spark, sf_dir)).select("ex_id", "chosen", "rejected")
 
 
+def _verdict_sql(kind: str) -> str:
+    """Columns of the verdict on an output of the kind in a column."""
+    return f"""{kind} <> 3 AS parsed_ok, CASE WHEN {kind} = 3 THEN NULL WHEN {kind} = 2 THEN 'refuse' WHEN {kind} = 4 THEN 'call' WHEN type = 'tool_call' THEN 'call' ELSE type END AS action,
+  CASE WHEN {kind} NOT IN (2, 3, 4) THEN type <> 'tool_call' OR NOT broken WHEN {kind} = 2 THEN type = 'refuse' ELSE false END AS correct, {kind} = 4 AND type <> 'tool_call' AS hallucinated"""
+
+
 _GRADED = f"""
 o AS (SELECT *, {_u('pred', 'ex_id')} % 6 AS m FROM x),
-v AS (SELECT ex_id, type, len(calls) AS n_calls, len(tools) AS n_tools, m <> 3 AS parsed_ok, CASE WHEN m = 3 THEN NULL WHEN m = 2 THEN 'refuse' WHEN m = 4 THEN 'call' WHEN type = 'tool_call' THEN 'call' ELSE type END AS action,
-  CASE WHEN m IN (0, 1, 5) THEN type <> 'tool_call' OR NOT broken WHEN m = 2 THEN type = 'refuse' ELSE false END AS correct, m = 4 AND type <> 'tool_call' AS hallucinated FROM o)
+v AS (SELECT ex_id, type, len(calls) AS n_calls, len(tools) AS n_tools, {_verdict_sql('m')} FROM o)
 """
 
 
-def _graded(spark: SparkSession, d: str) -> DataFrame:
-    """Examples with a model's output of one of six kinds, and its verdict: right, right in prose, a refusal, no JSON, an unknown tool, right after reasoning."""
-    rows, kind, gold = _rows(spark, d), draw("pred", F.col("ex_id")) % 6, _gold()
-    output = (
-        F.when(kind == 0, gold).when(kind == 1, F.concat(F.lit("```json\n"), gold, F.lit("\n```\nDone."))).when(kind == 2, F.lit('{"action":"refuse","message":"no"}')).when(kind == 3, F.lit("I would rather not {say"))
-        .when(kind == 4, F.lit('{"action":"call","calls":[{"name":"unknown_tool","arguments":{}}]}')).otherwise(F.concat(F.lit("<think>one {tool} fits</think>"), gold))
+def _said(kind, gold):
+    """A model's output of a kind: right in prose (1), a refusal (2), no JSON (3), an unknown tool (4), right after reasoning (5), else right."""
+    return (
+        F.when(kind == 1, F.concat(F.lit("```json\n"), gold, F.lit("\n```\nDone."))).when(kind == 2, F.lit('{"action":"refuse","message":"no"}')).when(kind == 3, F.lit("I would rather not {say"))
+        .when(kind == 4, F.lit('{"action":"call","calls":[{"name":"unknown_tool","arguments":{}}]}')).when(kind == 5, F.concat(F.lit("<think>one {tool} fits</think>"), gold)).otherwise(gold)
     )
-    graded = checks.judged(rows.withColumn("output", output), "output")
+
+
+def _told(rows: DataFrame, seed: str, kinds: int) -> DataFrame:
+    """``rows`` with the verdict ``v`` on an output of a drawn kind."""
+    return checks.judged(rows.withColumn("output", _said(draw(seed, F.col("ex_id")) % kinds, _gold())), "output")
+
+
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    """Examples with the verdict on a model's output."""
+    graded = _told(_rows(spark, d), "pred", 6)
     return graded.select("ex_id", F.col("answer.type").alias("type"), F.size("answer.calls").alias("n_calls"), F.size("tools").alias("n_tools"), "v.parsed_ok", F.col("v.pred_action").alias("action"), "v.correct", F.col("v.hallucinated_call").alias("hallucinated"))
 
 
+#: Two systems' verdicts on the same examples: the tuned one is right more often, and a tenth of its rows is missing.
+SYSTEMS = f"""
+k AS (SELECT *, CASE type WHEN 'refuse' THEN 'irrelevance' WHEN 'clarify' THEN 'clarify' ELSE CASE WHEN len(calls) > 1 THEN 'parallel' WHEN len(tools) > 1 THEN 'multiple' ELSE 'simple' END END AS category, {_u('pred', 'ex_id')} % 6 AS m, {_u('tuned', 'ex_id')} % 9 AS t FROM x),
+base AS (SELECT ex_id, category, pri AS condition, type AS gold, {_verdict_sql('m')} FROM k),
+tuned AS (SELECT ex_id, category, pri AS condition, type AS gold, {_verdict_sql('t')} FROM k WHERE {_u('lost', 'ex_id')} % 10 <> 0)
+"""
+
+
+def systems(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(base, tuned): (ex_id, category, condition, gold, parsed_ok, action, correct, hallucinated) of two systems' outputs."""
+    rows = _rows(spark, d)
+    kind = F.col("answer.type")
+    label = category(F.lit(False), F.lit(False), kind, F.size("answer.calls") > 1, F.size("tools") > 1)
+    rows = rows.withColumns({"category": label, "condition": F.substring_index("query", ": ", 1)})
+
+    def verdicts(of: DataFrame, seed: str, kinds: int) -> DataFrame:
+        v = _told(of, seed, kinds)
+        return v.select("ex_id", "category", "condition", kind.alias("gold"), "v.parsed_ok", F.col("v.pred_action").alias("action"), "v.correct", F.col("v.hallucinated_call").alias("hallucinated"))
+
+    return verdicts(rows, "pred", 6), verdicts(rows.where(draw("lost", F.col("ex_id")) % 10 != 0), "tuned", 9)
+
+
 @query(f"WITH {_E}, {_GRADED} SELECT ex_id, parsed_ok, action, correct, hallucinated FROM v")
 def graded_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of JSON text outputs against gold answers."""
