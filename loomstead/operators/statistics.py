@@ -37,7 +37,8 @@ def mcnemar(b: Column, c: Column) -> Column:
     Exact up to ``EXACT_TERMS`` of the rarer kind, in one pass in which each binomial term follows from the one before,
     as a logarithm; beyond, the normal tail with continuity correction, whose error is below 1e-4 there.
     """
-    n, low = (b + c).cast("double"), F.least(b, c).cast("long")
+    b, c = b.cast("long"), c.cast("long")
+    n, low = (b + c).cast("double"), F.least(b, c)
     none = -n * F.log(F.lit(2.0))
     step = lambda acc, i: F.struct((acc["t"] + F.log((n - i + 1) / i)).alias("t"), (acc["s"] + F.exp(acc["t"] + F.log((n - i + 1) / i))).alias("s"))
     some = F.when((low > 0) & (low <= EXACT_TERMS), F.sequence(F.lit(1).cast("long"), F.least(low, F.lit(EXACT_TERMS).cast("long")))).otherwise(F.array().cast("array<bigint>"))

@@ -6,12 +6,11 @@ Choices are counter draws, so every row is made on its own and SQL can check it.
 
 from __future__ import annotations
 
-import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import draw
-from ..operators import environments as env, rollout
+from ..operators import agentic, environments as env
 from ..operators.similarity import small
 from . import query, table
 
@@ -250,34 +249,25 @@ def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("ord", "kind", "i", env.describe_cart(F.col("s")).alias("state"), F.element_at("calls", F.col("i"))["name"].alias("call"), ((F.col("kind") == "fault") & (F.col("i") == 1)).alias("repeated"))
 
 
-def _steps(row: dict) -> list[dict]:
-    """Gold steps of a planned trajectory: a fault loses the first call once; a recovery ends with a request that can't be met."""
-    steps = []
-    for i, c in enumerate(row["calls"]):
-        call = {"name": c["name"], "arguments": {} if c["name"] == "checkout" else {"item": c["item"], "quantity": int(c["quantity"])}}
-        step = {"gold": {"action": "call", "calls": [call]}, "ord": row["id"], "i": i}
-        steps += [step | {"fault": True}, step] if row["kind"] == "fault" and not i else [step]
-    if row["kind"] == "recovery":
-        steps.append({"gold": {"action": "clarify", "message": "The cart is checked out."}, "ord": row["id"], "i": len(row["calls"])})
-    return steps
+def _plans(spark: SparkSession, d: str) -> DataFrame:
+    """(id, world, kind, steps) to play: a fault loses the first call once, a recovery ends with a request that can't be met."""
+    call = lambda c: F.struct(c["name"].alias("name"), c["item"].alias("item"), c["quantity"].alias("quantity"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("day"))
+    step = lambda action, c, lost, at: F.struct(F.struct(F.lit(action).alias("action"), c.alias("call")).alias("gold"), F.lit(lost).alias("lost"), at.alias("at"))
+    each = F.transform("calls", lambda c, i: step("call", call(c), False, i))
+    first = F.array(step("call", call(F.element_at("calls", 1)), True, F.lit(0)))
+    end = F.array(step("clarify", F.lit(None).cast(agentic.CALL), False, F.size("calls")))
+    steps = F.when(F.col("kind") == "fault", F.concat(first, each)).when(F.col("kind") == "recovery", F.concat(each, end)).otherwise(each)
+    return _trajectories(spark, d).select(F.col("ord").alias("id"), F.lit("cart").alias("world"), "kind", steps.alias("steps"))
 
 
-def _care(step: dict) -> bool:
-    return int(hashlib.md5(f"care|{step['ord']}|{step['i']}".encode()).hexdigest()[:8], 16) % 5 > 0
-
-
-def _oracle(step: dict, history: list[dict], sample: int) -> dict:
-    return step["gold"]
-
-
-def _eager(step: dict, history: list[dict], sample: int) -> dict:
-    """Always calls, also where nothing can be done."""
-    return step["gold"] if step["gold"]["action"] == "call" else {"action": "call", "calls": [{"name": "add_item", "arguments": {"item": "apples", "quantity": 1}}]}
-
-
-def _careless(step: dict, history: list[dict], sample: int) -> dict:
-    """Refuses one step in five, by a draw; a second sample is right."""
-    return step["gold"] if sample or _care(step) else {"action": "refuse", "message": "no"}
+def _policies() -> dict:
+    """One that knows, one that always calls, also where nothing can be done, and one that refuses one call in five, by a draw."""
+    apples = F.struct(F.lit("add_item").alias("name"), F.lit("apples").alias("item"), F.lit(1).cast("long").alias("quantity"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("day"))
+    call = F.struct(F.lit("call").alias("action"), apples.alias("call"))
+    refuse = F.struct(F.lit("refuse").alias("action"), F.lit(None).cast(agentic.CALL).alias("call"))
+    eager = F.when(F.col("gold.action") == "call", F.col("gold")).otherwise(call)
+    careless = F.when(draw("care", F.col("id.ord"), F.col("at")) % 5 > 0, F.col("gold")).otherwise(refuse)
+    return {"oracle": F.col("gold"), "eager": eager, "careless": careless}
 
 
 @query(
@@ -288,7 +278,10 @@ SELECT kind, policy, count(*)::BIGINT AS n, round(avg(ok::INT), 6) AS success, r
 )
 def rollout_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three policies over all trajectories, played against the cart: one that knows, one that always calls, one that refuses at times."""
-    rows = _trajectories(spark, sf_dir).select(F.col("ord").alias("id"), "kind", F.lit("cart").alias("env"), "calls")
-    played = rollout.rollouts(rows, {"oracle": _oracle, "eager": _eager, "careless": _careless}, _steps)
-    both = played.join(rows.select("id", "kind"), "id")
-    return both.groupBy("kind", "policy").agg(F.count("*").alias("n"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success"), F.round(F.avg(F.col("matched") / F.col("steps")), 6).alias("step_accuracy"))
+    policies = _policies()
+    plans = _plans(spark, sf_dir).withColumn("policy", F.explode_outer(F.array(*map(F.lit, policies))))
+    plans = plans.withColumn("id", F.struct(F.col("id").alias("ord"), "policy"))
+    choose = F.coalesce(*[F.when(F.col("id.policy") == name, action) for name, action in policies.items()])
+    played = agentic.rollout(plans, lambda rows: rows.withColumn("actions", F.array(choose)))
+    both = played.join(plans.select("id", "kind"), "id")
+    return both.groupBy("kind", F.col("id.policy").alias("policy")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success"), F.round(F.avg(F.col("matched") / F.col("steps")), 6).alias("step_accuracy"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead import build as builder, cli, release
 from loomstead.functions import parsing
-from loomstead.operators import examples as ex, generators as gen, preference, probes, rollout
+from loomstead.operators import examples as ex, generators as gen, preference, probes
 from loomstead.operators.ordering import ordered
 from loomstead.sources import readers, writers
 
@@ -191,22 +191,6 @@ def test_configuration(tmp_path):
 CALL = {"action": "call", "calls": [{"name": "add_item", "arguments": {"item": "apples", "quantity": 2}}]}
 
 
-def test_rollouts():
-    cart = rollout.WORLDS["cart"]
-    wrong = {"action": "call", "calls": [{"name": "remove_item", "arguments": {"item": "apples", "quantity": 1}}]}
-    steps = [{"gold": CALL, "fault": True}, {"gold": CALL}, {"gold": {"action": "clarify"}}]
-    assert rollout.play(steps, cart, lambda s, h, k: s["gold"]) == {"success": True, "matched": 3, "steps": 3, "retries": 0}
-    assert not rollout.play(steps, cart, lambda s, h, k: CALL)["success"] and not rollout.play(steps, cart, lambda s, h, k: None)["success"]
-    assert rollout.play(steps[1:2], cart, lambda s, h, k: CALL if k else wrong, samples=2)["success"] and not rollout.play(steps[1:2], cart, lambda s, h, k: wrong)["success"]
-    assert rollout.play(steps[1:2], cart, lambda s, h, k: CALL if h else wrong, retries=1) == {"success": True, "matched": 1, "steps": 1, "retries": 1}
-    state, ok, why = cart.apply({"items": {}, "checked_out": False}, {"name": "checkout"})
-    assert not ok and why == "cannot check out empty cart" and state["items"] == {}
-    calendar = rollout.WORLDS["calendar"]
-    state = calendar.apply(calendar.blank, {"name": "create_event", "arguments": {"title": "Demo", "day": "Monday"}})[0]
-    assert state == {"events": {"Demo": "Monday"}} and calendar.blank == {"events": {}} and not calendar.apply(state, {"name": "move_event", "arguments": {"title": "Demo", "day": "Never"}})[1]
-    assert rollout.intent(CALL["calls"][0]) == "Put 2 apples into my cart." and all(not parsing.call_errors(c, cart.tools) for c in CALL["calls"])
-
-
 def test_probe_cases(spark):
     cases = probes.cases(spark)
     assert cases.count() == 18 and probes.score(cases.withColumn("output", F.col("gold"))).where("passed").count() == 18
