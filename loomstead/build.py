@@ -109,15 +109,12 @@ def build(positives: DataFrame, config: dict[str, Any] | None = None, probes: Da
         parts.append(gen.schema_drift(spark, pool, sizes["schema_drift"], cfg["kinds"]["schema_drift"]))
     combined = scratch.cut(_union(parts))
     stats["combined"] = combined.count()
-    passes = (("minhash", "near_threshold", similarity.near_classes), ("semantic", "semantic_threshold", lambda texts, at: vectors.vector_classes(vectors.text_vectors(texts), at)))
-    for name, threshold, classes in passes:
+    for name, threshold, gone_of in (("minhash", "near_threshold", similarity.near_gone), ("semantic", "semantic_threshold", lambda texts, at: vectors.keep_first(vectors.text_vectors(texts), at))):
         signed = combined.select(F.col("ex_id").alias("id"), ex.group_of(F.col("meta")).alias("grp"), ex.signature(F.col("tools"), F.col("query"), F.col("answer"), F.col("meta")).alias("text"))
-        members, pairs = classes(signed, cfg[threshold])
-        kept = scratch.cut(similarity.keep_first_classes(combined.select(F.col("ex_id").alias("id")), members, pairs))
-        drops = similarity.drop_partners(kept, members, pairs)
-        combined = scratch.cut(combined.join(kept.where("kept").select(F.col("id").alias("ex_id")), "ex_id"))
-        stats[f"{name}_dropped"] = kept.where("NOT kept").count()
-        stats[f"{name}_drops"] = [[r["id"], r["partner"]] for r in drops.orderBy("id").limit(SHOWN).collect()]
+        gone = scratch.cut(gone_of(signed, cfg[threshold]))
+        combined = scratch.cut(combined.join(gone.select(F.col("id").alias("ex_id")), "ex_id", "left_anti"))
+        stats[f"{name}_dropped"] = gone.count()
+        stats[f"{name}_drops"] = [[r["id"], r["partner"]] for r in gone.orderBy("id").limit(SHOWN).collect()]
     stats["deduplicated"] = combined.count()
     # Twins share their source's request, so they come after deduplication.
     later = []

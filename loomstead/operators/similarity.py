@@ -163,6 +163,12 @@ def drop_partners(kept: DataFrame, members: DataFrame, pairs: DataFrame) -> Data
     return gone.join(taker, "rep", "left").select("id", F.coalesce("taker", "rep").alias("partner"))
 
 
+def near_gone(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
+    """(id, partner) of the rows of ``docs`` (id, grp, text) that keep-first drops by their shingles."""
+    members, pairs = near_classes(docs, threshold, k)
+    return drop_partners(keep_first_classes(docs.select("id"), members, pairs), members, pairs)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

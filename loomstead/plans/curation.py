@@ -186,7 +186,7 @@ SELECT m.id AS doc_id, m.rep AS class_id, m.copies::BIGINT AS copies, coalesce(n
 )
 def semantic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with words: its class of equal vectors, and how many documents of its language are near it."""
-    found = vec.class_links(*vec.vector_classes(_vectors(spark, sf_dir), COSINE))
+    found = vec.class_links(_vectors(spark, sf_dir), COSINE)
     return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), "copies", "n_links")
 
 
@@ -203,7 +203,8 @@ SELECT d.doc_id, (d.doc_id NOT IN (SELECT id FROM o) OR coalesce(list_contains(f
 def semantic_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep-first removal of documents whose vectors are near, within a language."""
     nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return sim.keep_first_classes(nodes, *vec.vector_classes(_vectors(spark, sf_dir), COSINE)).select(F.col("id").alias("doc_id"), "kept")
+    gone = vec.keep_first(_vectors(spark, sf_dir), COSINE)
+    return nodes.join(gone, "id", "left").select(F.col("id").alias("doc_id"), F.col("partner").isNull().alias("kept"))
 
 
 _SPLIT = "('0x' || substr(md5('leak|' || {0}), 1, 8))::BIGINT % 10"

@@ -27,6 +27,7 @@ def clustered(n, dim, seed, spread):
 def test_links_equal_all_pairs(spark, monkeypatch, seed, spread, cosine):
     monkeypatch.setattr(vec, "CELL", 16)
     monkeypatch.setattr(vec, "BLOCK", 16)
+    monkeypatch.setattr(vec, "GUESTS", 24)
     n = 400
     x = clustered(n, 8, seed, spread)
     grp = [None if i % 4 == 3 else i % 4 if i % 4 < 2 else 0 for i in range(n)]
@@ -41,18 +42,20 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, spread, cosine):
     want = {(i, j) for i in reps for j in reps if i < j and grp[i] == grp[j] and sims[i, j] >= cosine}
     got = [(r.i, r.j) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
-    links = {r.id: r.n_links for r in vec.class_links(members, pairs).collect()}
+    links = {r.id: r.n_links for r in vec.class_links(rows, cosine, None).collect()}
     assert links == {i: sum(j != i and grp[i] == grp[j] and (sims[i, j] >= cosine or tuple(x[i]) == tuple(x[j])) for j in range(n)) for i in range(n)}
     held = rows.select("id", "vector", (rows.id % 5 == 0).alias("held"))
     leaked = {r.id for r in vec.near_held(held, cosine, None).collect()}
     assert leaked == {i for i in range(n) if i % 5 and any(sims[i, j] >= cosine for j in range(0, n, 5))}
     kept = {r.id: r.kept for r in similarity.keep_first_classes(rows.select("id"), members, pairs).collect()}
+    gone = {r.id: r.partner for r in vec.keep_first(rows, cosine, None).collect()}
     stays = []
     for i in range(n):
         if not any(grp[i] == grp[j] and (sims[i, j] >= cosine or tuple(x[i]) == tuple(x[j])) for j in stays):
             stays.append(i)
     assert [i for i in range(n) if kept[i]] == stays
     partner = {r.id: r.partner for r in similarity.drop_partners(spark.createDataFrame(list(kept.items()), "id long, kept boolean"), members, pairs).collect()}
+    assert set(gone) == set(partner) and all(kept[p] and p < i and (sims[i, p] >= cosine or rep[i] == p) for i, p in gone.items())
     assert set(partner) == {i for i in range(n) if not kept[i]} and all(kept[p] and grp[p] == grp[i] for i, p in partner.items())
 
 
@@ -86,6 +89,8 @@ def test_recall_of_the_default_probes(spark, monkeypatch):
     rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, grp int, vector array<double>")
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)))}
     got = {(r.i, r.j) for r in vec.vector_classes(rows, 0.9)[1].collect()}
+    links = {r.id: r.n_links for r in vec.class_links(rows, 0.9).collect()}
+    assert sum(links.values()) == 2 * len(got)  # a pair that meets twice counts once
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 390
 
 
