@@ -38,6 +38,36 @@ def tfidf_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(_scores(spark, sf_dir), 5).select("query", "tool", "place", F.round("score", 6).alias("score"))
 
 
+_HYBRID = f"""
+tools AS (SELECT row_number() OVER (ORDER BY name, kind) AS tool, name, kind FROM (SELECT DISTINCT replace(p_name, ' ', '_') AS name, p_type AS kind FROM part)),
+q AS (SELECT row_number() OVER (ORDER BY text) AS query, text FROM (SELECT DISTINCT p_brand || ' ' || p_type AS text FROM part)),
+ta AS (SELECT tool, list_filter(regexp_extract_all(lower(name || ' ' || replace(name, '_', ' ') || ' ' || kind || ' quantity note'), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS w FROM tools),
+tt AS (SELECT tool, term, count(*) AS tf FROM (SELECT tool, unnest(w) AS term FROM ta) GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM tools) + 1) / (count(*) + 0.5)) + 1 AS idf FROM tt GROUP BY term),
+qt AS (SELECT query, term, count(*) AS times FROM (SELECT query, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP}))) AS term FROM q) GROUP BY ALL),
+s AS (SELECT query, tool, sum(times * tf * idf) AS score FROM qt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
+wv AS (SELECT side, id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: ('0x' || substr(md5('v|' || x), 1, 8))::BIGINT) AS h FROM (SELECT 'q' AS side, query AS id, text FROM q UNION ALL SELECT 't', tool, name || '. ' || kind || '. params: quantity, note' FROM tools)),
+gv AS (SELECT side, id, unnest(list_distinct(list_concat(list_transform(h, lambda x: (x * 7919 + 1) % 2147483647), list_transform(range(1, len(h)), lambda i: (h[i] * 1000003 + h[i + 1]) % 2147483647)))) AS g FROM wv),
+cv AS (SELECT side, id, g % 128 AS d, sum(1 - 2 * (g // 128 % 2)) AS x FROM gv GROUP BY ALL),
+vec AS (SELECT i.side, i.id, list(coalesce(cv.x, 0)::DOUBLE ORDER BY r.d) AS v FROM (SELECT DISTINCT side, id FROM cv) i CROSS JOIN range(128) r(d) LEFT JOIN cv ON cv.side = i.side AND cv.id = i.id AND cv.d = r.d GROUP BY ALL),
+b AS (SELECT a.id AS query, t.id AS tool, coalesce(s.score, 0) AS l, list_cosine_similarity(a.v, t.v) AS d FROM vec a JOIN vec t ON a.side = 'q' AND t.side = 't' LEFT JOIN s ON s.query = a.id AND s.tool = t.id),
+m AS (SELECT *, min(l) OVER w AS ll, max(l) OVER w AS lh, min(d) OVER w AS dl, max(d) OVER w AS dh FROM b WINDOW w AS (PARTITION BY query)),
+f AS (SELECT w.weight, query, tool, round((1 - weight) * CASE WHEN lh - ll >= 1e-12 THEN (l - ll) / (lh - ll) ELSE 0 END + weight * CASE WHEN dh - dl >= 1e-12 THEN (d - dl) / (dh - dl) ELSE 0 END, 9) AS score FROM m, (VALUES (0.3::DOUBLE), (0.7)) w(weight))
+"""
+
+
+@query(f"WITH {_HYBRID} SELECT weight, query, tool, row_number() OVER (PARTITION BY weight, query ORDER BY score DESC, tool) AS place, round(score, 6) AS score FROM f QUALIFY place <= 5")
+def hybrid_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best tools of every query by lexical and dense scores, at two weights of the latter."""
+    part = table(spark, sf_dir, "part")
+    params = F.array(F.lit("quantity"), F.lit("note"))
+    tools = ordered(part.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.col("p_type").alias("kind")).distinct(), [], ["name", "kind"], "tool")
+    tools = tools.select((F.col("tool") + 1).alias("tool"), ranking.tool_text(F.col("name"), F.col("kind"), params).alias("text"), ranking.dense_text(F.col("name"), F.col("kind"), params).alias("dense"))
+    queries = ordered(part.select(F.concat_ws(" ", "p_brand", "p_type").alias("text")).distinct(), [], ["text"], "query").withColumn("query", F.col("query") + 1)
+    one, two = (ranking.hybrid(queries, tools, 5, w).withColumn("weight", F.lit(w)) for w in (0.3, 0.7))
+    return one.unionByName(two).select("weight", "query", "tool", "place", F.round("score", 6).alias("score"))
+
+
 @query(
     f"""WITH {_T}, g AS (SELECT q.query, min(t.tool) AS gold FROM q JOIN tools t ON ends_with(t.name, regexp_extract(q.text, '^[^ ]+ (.*)$', 1)) GROUP BY 1),
 h AS (SELECT g.query, bool_or(coalesce(k.tool = g.gold, false)) AS hit FROM g LEFT JOIN k ON k.query = g.query AND k.place <= 5 GROUP BY 1) SELECT count(*)::BIGINT AS queries, round(avg(hit::INT), 6) AS recall_at_5 FROM h"""
