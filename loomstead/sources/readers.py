@@ -72,18 +72,83 @@ def dialog_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
+def _variant(raw: DataFrame, names: tuple[str, ...]) -> Column:
+    """The first of some columns that is there and not null, as VARIANT; texts are JSON, anything else is taken as it is."""
+    kinds = {c.lower(): (c, kind) for c, kind in raw.dtypes}
+
+    def one(name: str, kind: str) -> Column:
+        column = F.col(f"`{name}`")
+        return column if kind == "variant" else F.try_parse_json(column if kind == "string" else F.to_json(column))
+
+    found = [one(*kinds[n]) for n in names if n in kinds]
+    return F.coalesce(*found, F.lit(None).cast("variant"))
+
+
 def message_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows with JSON text ``tools`` and ``messages`` (OpenAI layout): first user turn, first assistant turn with calls."""
-    message = "array<struct<role:string,content:string,tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>"
-    turns = F.from_json("messages", message)
-    query = F.element_at(F.filter(turns, lambda t: t["role"] == "user"), 1)["content"]
-    called = F.element_at(F.filter(turns, lambda t: (t["role"] == "assistant") & (F.size(F.coalesce(t["tool_calls"], F.array())) > 0)), 1)["tool_calls"]
-    calls = F.transform(called, lambda c: F.struct(c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments")))
-    rows = raw.select(parsing.normalized_tools(F.col("tools")).alias("tools"), query.alias("query"), calls.alias("calls")).where((F.size("calls") > 0) & F.col("query").isNotNull() & (F.col("tools") != "[]"))
+    """Rows of tools and messages, as JSON text, arrays of structs or VARIANT: the first assistant turn with calls, after the last user turn before it.
+
+    Tools may be ``tools``, ``available_tools`` or ``functions``; messages ``messages`` or ``conversations`` with role or from,
+    content or value; calls ``tool_calls`` or a JSON list as content, wrapped in ``function`` or not. Other rows go.
+    """
+    text = lambda v, *paths: F.coalesce(*[F.try_variant_get(v, p, "string") for p in paths])
+    items = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.array(v)))
+
+    def called(turn: Column) -> Column:
+        listed = F.coalesce(items(F.try_variant_get(turn, "$.tool_calls", "variant")), items(F.try_parse_json(text(turn, "$.content", "$.value"))), F.array().cast("array<variant>"))
+
+        def call(c: Column) -> Column:
+            f = F.coalesce(F.when(F.startswith(F.schema_of_variant(F.try_variant_get(c, "$.function", "variant")), F.lit("OBJECT")), F.try_variant_get(c, "$.function", "variant")), c)
+            given = F.coalesce(F.try_variant_get(f, "$.arguments", "variant"), F.try_variant_get(f, "$.parameters", "variant"))
+            told = F.when(F.schema_of_variant(given) == "STRING", F.to_json(F.try_parse_json(F.try_variant_get(given, "$", "string")))).otherwise(F.to_json(given))
+            return F.struct(text(f, "$.name").alias("name"), F.coalesce(told, F.lit("{}")).alias("arguments"))
+
+        return F.filter(F.transform(listed, call), lambda c: F.length(c["name"]) > 0)
+
+    turn = lambda t: F.struct(F.lower(text(t, "$.role", "$.from")).alias("role"), text(t, "$.content", "$.value").alias("said"), called(t).alias("calls"))
+    told = raw.select(F.to_json(_variant(raw, ("tools", "available_tools", "functions"))).alias("tools"), F.transform(F.try_variant_get(_variant(raw, ("messages", "conversations")), "$", "array<variant>"), turn).alias("turns"))
+    # Names of the two sides in either layout.
+    asks = lambda t: t["role"].isin("user", "human") & (F.length(t["said"]) > 0)
+    zero = F.struct(F.lit(None).cast("string").alias("query"), F.lit(None).cast("array<struct<name:string,arguments:string>>").alias("calls"))
+    step = lambda acc, t: F.when(acc["calls"].isNotNull(), acc).when(asks(t), F.struct(t["said"].alias("query"), acc["calls"].alias("calls"))).when(t["role"].isin("assistant", "gpt") & (F.size(t["calls"]) > 0) & acc["query"].isNotNull(), F.struct(acc["query"].alias("query"), t["calls"].alias("calls"))).otherwise(acc)
+    rows = told.withColumn("f", F.aggregate("turns", zero, step)).where(F.col("f.calls").isNotNull())
+    rows = rows.select(parsing.normalized_tools(F.col("tools")).alias("tools"), "f.query", "f.calls").where("tools <> '[]'")
     rows = rows.select("tools", "query", F.struct(F.lit("tool_call").alias("type"), "calls", F.lit("").alias("content")).alias("answer"), F.lit(None).cast("array<struct<role:string,content:string>>").alias("history"))
     return rows if limit is None else rows.limit(limit)
 
 
+#: Images above this many bytes are left out: a row holds its image whole.
+IMAGE_BYTES = 32 << 20
+
+
+def image_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
+    """(image, question, answer, chart_type, qa_kind, lang) of rows with an ``image`` (bytes, text, or a struct of bytes and path).
+
+    Images become data URIs, their kind told by their first bytes; paths and addresses stay. Question and answer may be
+    ``query`` and ``label``. Rows without an image, or without question or answer, go. The source types nothing, so its
+    rows are charts of another kind, asked to reason about, in English.
+    """
+    from .writers import image_of
+
+    kinds = dict(raw.dtypes)
+    kind = kinds["image"]
+    none = {"string": F.lit(None).cast("string"), "binary": F.lit(None).cast("binary")}
+    fields = {f.name for f in raw.schema["image"].dataType.fields} if kind.startswith("struct") else set()
+    path = F.col("image.path") if "path" in fields else F.col("image") if kind == "string" else none["string"]
+    data = F.col("image.bytes") if "bytes" in fields else F.col("image") if kind == "binary" else none["binary"]
+    said = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in kinds], F.lit(None).cast("string"))
+    fits = F.coalesce(F.octet_length(data), F.lit(0)) <= IMAGE_BYTES
+    uri = F.coalesce(F.when(F.octet_length(data) > 0, image_of(none["string"], data, none["binary"])), image_of(path, none["binary"], none["binary"]))
+    rows = raw.where(fits).select(uri.alias("image"), said("question", "query").alias("question"), said("answer", "label").alias("answer"), F.lit("other").alias("chart_type"), F.lit("reasoning").alias("qa_kind"), F.lit("en").alias("lang"))
+    rows = rows.where("image IS NOT NULL AND question IS NOT NULL AND answer IS NOT NULL")
+    return rows if limit is None else rows.limit(limit)
+
+
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, image) of the image files below a folder, as rows that ``image_rows`` takes beside questions."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") <= IMAGE_BYTES)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("content").alias("image"))
+
+
 def enhanced_rows(raw: DataFrame) -> DataFrame:
     """Prompt and completion, the enhanced ones where they are there; incomplete rows go."""
     best = lambda name: F.coalesce(F.nullif(F.col(f"enhanced_{name}"), F.lit("")), F.nullif(F.col(name), F.lit("")))

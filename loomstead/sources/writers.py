@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.ordering import ordered
+from . import manifests
 
 
 def json_lines(df: DataFrame, path: str, order: str = "ord") -> None:
@@ -77,13 +75,13 @@ def chat_row(image: Column, question: Column, answer: Column, system: str) -> Co
 
 
 def manifest(folder: str, seed: int, config: dict[str, Any]) -> dict[str, Any]:
-    """Digests of a folder's files, with seed and config digest; for artifacts on the driver."""
-    files = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(Path(folder).iterdir()) if p.is_file() and p.name != "manifest.json"}
-    return {"seed": seed, "config_sha256": hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest(), "files": files}
+    """Digests of a folder's files, with seed, config digest, commit and versions; tasks read the files."""
+    found = manifests.digests(SparkSession.builder.getOrCreate(), folder).orderBy("path").collect()  # a row a file
+    return manifests.facts(seed, config) | {"files": {r["path"]: r["digest"] for r in found}}
 
 
 def manifest_errors(folder: str, kept: dict[str, Any]) -> list[str]:
     """Files that changed, vanished or are new since the manifest was made."""
-    now = manifest(folder, kept["seed"], {})["files"]
-    changed = [f"changed: {n}" for n in kept["files"] if n in now and now[n] != kept["files"][n]]
-    return changed + [f"vanished: {n}" for n in kept["files"] if n not in now] + [f"new: {n}" for n in now if n not in kept["files"]]
+    spark = SparkSession.builder.getOrCreate()
+    before = spark.createDataFrame(list(kept["files"].items()), "path string, digest string")
+    return [f"{r['status']}: {r['path']}" for r in manifests.compared(before, manifests.digests(spark, folder)).orderBy("status", "path").collect()]
