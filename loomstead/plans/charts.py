@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import chart_maker, charts
+from ..operators import chart_maker, chart_tables, charts
 from ..operators.similarity import small
 from . import query, table
 
@@ -235,3 +235,69 @@ def scorer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "orders").select("o_orderkey", charts.verdicts(gold, said, F.when(k.isin(2, 3), "trend").when(k == 6, "proportion").otherwise("")).alias("v"))
     return rows.select("o_orderkey", "v.correct", "v.strict", "v.parsed_ok")
+
+
+_D = lambda seed, *parts: f"('0x' || substr(md5('{seed}|' || " + " || '|' || ".join(parts) + "), 1, 8))::BIGINT"
+_TYPES = "[" + ", ".join(f"'{t}'" for t in chart_maker.KINDS) + "]"
+_KINDS = "CASE type " + " ".join(f"WHEN '{t}' THEN [" + ", ".join(f"'{k}'" for k in kinds) + "]" for t, kinds in chart_maker.KINDS.items()) + " END"
+_THEME = lambda i: "CASE theme " + " ".join(f"WHEN {k} THEN " + (str(list(t[i])) if isinstance(t[i], tuple) else repr(t[i])) for k, t in enumerate(chart_tables.THEMES)) + " END"
+_CHARTS = f"""
+g0 AS (SELECT c_custkey AS chart, ({_TYPES})[{_D('type', 'c_custkey')} % 9 + 1] AS type FROM customer),
+g1 AS (SELECT *, CASE WHEN type IN ('line', 'multiline', 'area') THEN 0 ELSE {_D('theme', 'chart')} % 3 + 1 END AS theme, CASE WHEN type = 'scatter' THEN {_D('points', 'chart')} % 7 + 8 ELSE {_D('cats', 'chart')} % 3 + 4 END AS nc,
+  CASE WHEN type IN ('grouped_bar', 'stacked_bar', 'multiline') THEN {_D('series', 'chart')} % 2 + 2 ELSE 1 END AS ns FROM g0),
+g2 AS (SELECT *, CASE WHEN type = 'scatter' THEN list_transform(range(nc), lambda i: i * 7 + {_D('x', 'chart', 'i')} % 7) END AS xs FROM g1),
+g AS (SELECT chart, type, {_THEME(1)} AS x, {_THEME(2)} AS y, CASE WHEN type = 'scatter' THEN 0 ELSE {_THEME(3)} END AS dec, nc, ns, xs, ['North', 'South', 'East'][1:ns] AS names,
+  CASE WHEN type = 'scatter' THEN list_transform(range(nc), lambda i: (i + 1)::VARCHAR) ELSE ({_THEME(4)})[1:nc] END AS cats,
+  CASE WHEN type = 'scatter' THEN [list_transform(range(nc), lambda i: 120 + ({_D('sign', 'chart')} % 2 * 2 - 1) * xs[i + 1] + {_D('y', 'chart', 'i')} % 31 - 15)]
+    ELSE list_transform(range(ns), lambda s: list_transform(range(nc), lambda c: ({_D('value', 'chart', 's', 'c')} % 90 + 10) * 10 + c)) END AS q FROM g2)
+"""
+
+
+def _charts(spark: SparkSession, d: str) -> DataFrame:
+    """A drawn chart for each customer."""
+    return chart_tables.tables(table(spark, d, "customer").select(F.col("c_custkey").alias("chart")))
+
+
+@query(
+    f"""WITH {_CHARTS}, r AS (SELECT chart, type, names, cats, xs, unnest(q) AS row, generate_subscripts(q, 1) AS s FROM g), v AS (SELECT *, unnest(row) AS quanta, generate_subscripts(row, 1) AS p FROM r)
+SELECT chart, type, names[s] AS series, (p - 1)::INT AS pos, cats[p] AS category, quanta, xs[p] AS x FROM v"""
+)
+def chart_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of nine types, one row a value, in whole quanta."""
+    return chart_tables.long(_charts(spark, sf_dir))
+
+
+_N = lambda v, dec="dec": f"CASE WHEN {dec} = 0 THEN ({v})::BIGINT::VARCHAR WHEN ({v}) % 10 = 0 THEN (({v}) // 10)::BIGINT::VARCHAR ELSE (({v}) // 10)::BIGINT || '.' || (({v}) % 10)::BIGINT END"
+
+
+@query(
+    f"""WITH {_CHARTS},
+h0 AS (SELECT *, type = 'stacked_bar' AS st, CASE WHEN type = 'stacked_bar' THEN 0 ELSE {_D('of_series', 'chart')} % ns END + 1 AS s, {_D('of_category', 'chart')} % nc AS c1 FROM g),
+h1 AS (SELECT *, (c1 + 1 + {_D('beside', 'chart')} % (nc - 1)) % nc AS c2, q[s] AS r, list_transform(range(nc), lambda c: list_sum(list_transform(q, lambda z: z[c + 1]))::BIGINT) AS tot FROM h0),
+h2 AS (SELECT *, CASE WHEN st THEN tot ELSE r END AS tall, list_sort(r) AS k, r[c1 + 1] AS a, r[c2 + 1] AS b, cats[c1 + 1] AS one, cats[c2 + 1] AS two, list_sum(r)::BIGINT AS sy,
+  CASE WHEN ns > 1 AND NOT st THEN ' of ' || names[s] WHEN st THEN ' of all together' ELSE '' END AS o, CASE WHEN ns > 1 THEN ' of ' || names[s] ELSE '' END AS bo FROM h1),
+h3 AS (SELECT *, list_max(tall) AS top, list_min(tall) AS low, list_sum(tall)::BIGINT AS every, list_filter(range(1, nc), lambda i: k[i + 1] - k[i] >= 2) AS gaps,
+  list_sum(list_transform(range(nc), lambda i: (2 * i - (nc - 1)) * r[i + 1]))::BIGINT AS slope, list_sum(list_transform(range(nc), lambda i: (2 * i - (nc - 1)) ** 2))::BIGINT AS sq, list_max(r) - list_min(r) AS span,
+  (nc * list_sum(list_transform(range(nc), lambda i: xs[i + 1] * r[i + 1])) - list_sum(xs) * list_sum(r))::BIGINT AS tg,
+  ((nc * list_sum(list_transform(xs, lambda v: v * v)) - list_sum(xs) * list_sum(xs)) * (nc * list_sum(list_transform(r, lambda v: v * v)) - list_sum(r) * list_sum(r)))::BIGINT AS sp FROM h2),
+h4 AS (SELECT *, gaps[{_D('gap', 'chart')} % greatest(len(gaps), 1) + 1] AS gp, len(list_filter(tall, lambda v: v = top)) = 1 AS ot, len(list_filter(tall, lambda v: v = low)) = 1 AS ol FROM h3),
+h5 AS (SELECT *, k[gp] + (k[gp + 1] - k[gp]) // 2 AS bar FROM h4),
+qa AS (SELECT chart, type, unnest([
+  {{'kind': 'value_lookup', 'question': 'What is the ' || y || bo || ' for ' || one || '?', 'answer': {_N('a')}}},
+  {{'kind': 'max', 'question': 'Which ' || x || ' has the highest ' || y || o || '?', 'answer': CASE WHEN ot THEN cats[list_position(tall, top)] END}},
+  {{'kind': 'min', 'question': 'Which ' || x || ' has the lowest ' || y || o || '?', 'answer': CASE WHEN ol THEN cats[list_position(tall, low)] END}},
+  {{'kind': 'compare', 'question': 'Is the ' || y || bo || ' for ' || one || ' above that for ' || two || '?', 'answer': CASE WHEN a > b THEN 'Yes' ELSE 'No' END}},
+  {{'kind': 'difference', 'question': 'By how much do ' || one || ' and ' || two || ' differ in ' || y || bo || '?', 'answer': {_N('abs(a - b)')}}},
+  {{'kind': 'sum', 'question': CASE WHEN st THEN 'What is the ' || y || ' of all together for ' || one || '?' ELSE 'What is the total ' || y || '?' END, 'answer': {_N('CASE WHEN st THEN tot[c1 + 1] ELSE sy END')}}},
+  {{'kind': 'mean', 'question': 'What is the mean ' || y || o || ' of a ' || x || '?', 'answer': {_N('(2 * every + nc) // (2 * nc)')}}},
+  {{'kind': 'count', 'question': 'In how many places (' || x || ') is the ' || y || bo || ' above ' || {_N('bar')} || '?', 'answer': CASE WHEN bar IS NOT NULL THEN len(list_filter(r, lambda v: v > bar))::VARCHAR END}},
+  {{'kind': 'compare_then_compute', 'question': 'By how much does the highest ' || y || o || ' exceed the lowest?', 'answer': CASE WHEN ot AND ol THEN {_N('top - low')} END}},
+  {{'kind': 'trend', 'question': 'Does the ' || y || bo || ' increase or decrease?', 'answer': CASE WHEN 10 * abs(2 * slope) * (nc - 1) > sq * span THEN CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END END}},
+  {{'kind': 'proportion', 'question': 'What percentage of the total is ' || one || '?', 'answer': {_N('(2000 * a + sy) // (2 * sy)', '1')}}},
+  {{'kind': 'correlation', 'question': 'Is the correlation of both axes positive or negative?', 'answer': CASE WHEN sp > 0 AND 100 * tg * tg >= 9 * sp THEN CASE WHEN tg > 0 THEN 'positive' ELSE 'negative' END END}}]) AS z, {_KINDS} AS fits FROM h5)
+SELECT chart, type, z.kind AS kind, z.question AS question, z.answer AS answer FROM qa WHERE list_contains(fits, z.kind) AND z.answer IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY chart ORDER BY {_D('ask', 'chart', 'z.kind')}, z.kind) <= 2"""
+)
+def chart_table_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to two questions a drawn chart, of kinds that suit its type, with answers that leave no doubt."""
+    return chart_tables.questions(_charts(spark, sf_dir))
