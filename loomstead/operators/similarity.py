@@ -46,25 +46,49 @@ def decontaminate(queries: DataFrame, probes: DataFrame, k: int = 3) -> DataFram
     return queries.select("id").join(best, "id", "left").select("id", F.col("b.probe").alias("probe"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
-def _minhash(hashes_of: int, rows: int):
+#: Shingles that are signed at a time.
+SIGNED_AT_ONCE = 1 << 16
+
+
+def _bands(flat: np.ndarray, sizes: np.ndarray, hashes: int, rows: int) -> np.ndarray:
+    """[set, band] of the MinHash bands of sets end to end, none of them empty."""
     rng = np.random.default_rng(23)
-    a = rng.integers(1, 2**63, hashes_of, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, hashes_of, dtype=np.uint64)
+    a = rng.integers(1, 2**63, hashes, dtype=np.uint64) | np.uint64(1)
+    b = rng.integers(0, 2**63, hashes, dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    mixed = np.array([1, 1000003, 998244353, 19260817], np.uint64)[:rows]
+    out = np.zeros((len(sizes), hashes // rows), np.int64)
+    lo = 0
+    while lo < len(sizes):
+        begin = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + SIGNED_AT_ONCE, "right")))
+        if hi == lo + 1:  # one set, however large
+            mine = flat[begin : int(ends[lo]), None]
+            sign = np.minimum.reduce([(mine[p : p + SIGNED_AT_ONCE] * a + b >> np.uint64(32)).min(0) for p in range(0, len(mine), SIGNED_AT_ONCE)])[None, :]
+        else:
+            starts = np.r_[0, ends[lo : hi - 1] - begin]
+            sign = np.minimum.reduceat(flat[begin : int(ends[hi - 1]), None] * a + b >> np.uint64(32), starts, axis=0)
+        out[lo:hi] = (sign.reshape(hi - lo, -1, rows) * mixed).sum(2, dtype=np.uint64).view(np.int64) * 64 + np.arange(hashes // rows)
+        lo = hi
+    return out
+
+
+def _signed(sets: DataFrame, hashes: int = 128, rows: int = 4) -> DataFrame:
+    """``sets`` with ``bands`` in place of ``h``: the MinHash bands of every set, none of an empty one."""
+    others = [c for c in sets.columns if c != "h"]
 
     def run(batches):
         for batch in batches:
-            sets, out = batch.column(1), []
-            flat = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            offsets = np.asarray(sets.offsets) - np.asarray(sets.offsets)[0]
-            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-                if hi == lo:
-                    out.append([])
-                    continue
-                sign = (flat[lo:hi, None] * a + b >> np.uint64(32)).min(0).reshape(-1, rows)
-                out.append([int(x) for x in (sign * np.array([1, 1000003, 998244353, 19260817], np.uint64)[:rows]).sum(1).view(np.int64) * 64 + np.arange(len(sign))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "bands"])
+            held = batch.column(len(others))
+            sizes = np.asarray(held.value_lengths().fill_null(0), np.int64)
+            full = np.flatnonzero(sizes)
+            found = _bands(held.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes[full], hashes, rows)
+            ends = np.cumsum(np.where(sizes > 0, hashes // rows, 0))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), lists], [*others, "bands"])
 
-    return run
+    kept = sets.select(*others, "h")
+    return kept.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1]) + "bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -76,7 +100,7 @@ def shingle_sets(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def band_keys(sets: DataFrame, hashes: int = 128, rows: int = 4) -> DataFrame:
     """(id, band): MinHash bands of sets (id, h)."""
-    return exploded(sets.select("id", "h").mapInArrow(_minhash(hashes, rows), f"id {sets.schema['id'].dataType.simpleString()}, bands array<bigint>"), "bands", "band")
+    return exploded(_signed(sets.select("id", "h"), hashes, rows), "bands", "band")
 
 
 def near_classes(docs: DataFrame, threshold: float, k: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -164,9 +188,39 @@ def drop_partners(kept: DataFrame, members: DataFrame, pairs: DataFrame) -> Data
 
 
 def near_gone(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
-    """(id, partner) of the rows of ``docs`` (id, grp, text) that keep-first drops by their shingles."""
-    members, pairs = near_classes(docs, threshold, k)
-    return drop_partners(keep_first_classes(docs.select("id"), members, pairs), members, pairs)
+    """(id, partner) of the rows of ``docs`` (id, grp, text) that keep-first drops by their shingles; partners stay.
+
+    Rounds over MinHash buckets, without pairs among their rows: a class of equal sets that is first in all of its
+    buckets stays, and the others of those buckets are compared with it, exactly. A round decides at least the first
+    undecided class; chains as long as a table are not for this operator (``keep_first`` walks links). Sets are written
+    only of classes that share a bucket. Texts without words are near nothing.
+    """
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.cut(_signed(shingle_sets(docs.select("id", "grp", "text"), k).where("n > 0")))
+    classes = scratch.cut(signed.groupBy("grp", "n", "d1", "d2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
+    keys = exploded(classes.select("id", "grp", "bands"), "bands", "band").select("id", F.xxhash64("grp", "band").alias("b"))
+    shared = keys.groupBy("b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("b")
+    open_ = scratch.cut(keys.join(shared, "b").select("id", "b"))
+    sets = scratch.cut(shingle_sets(docs.select("id", "text").join(open_.select("id").distinct(), "id"), k).select("id", "n", "h"))
+    gone = None
+    while True:
+        met = scratch.cut(open_.join(open_.groupBy("b").agg(F.min("id").alias("first")), "b").select("id", "first").distinct())
+        stays = met.groupBy("id").agg(F.min("first").alias("f")).where("f = id").select("id")
+        pairs = met.where("first < id").join(stays.select(F.col("id").alias("first")), "first", "left_semi")
+        one = sets.select(F.col("id").alias("first"), F.col("n").alias("m"), F.col("h").alias("g"))
+        both = pairs.join(sets, "id").join(one, "first").where(F.least("n", "m") >= threshold * F.greatest("n", "m"))
+        common = F.size(F.array_intersect("h", "g"))
+        out = scratch.cut(both.where(common / (F.col("n") + F.col("m") - common) >= threshold).groupBy("id").agg(F.min("first").alias("partner")))
+        gone = out if gone is None else scratch.cut(gone.unionByName(out))
+        decided = stays.unionByName(out.select("id"))
+        open_ = scratch.cut(open_.join(decided, "id", "left_anti"))
+        if open_.isEmpty():
+            break
+    named = classes.select(F.col("grp").alias("_g"), F.col("n").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.col("id").alias("rep"))
+    same = F.col("grp").eqNullSafe(F.col("_g")) & (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))
+    members = signed.select("id", "grp", "n", "d1", "d2").join(named, same).select("id", "rep")
+    told = members.join(gone.withColumnRenamed("id", "rep"), "rep", "left")
+    return told.where("partner IS NOT NULL OR rep <> id").select("id", F.coalesce("partner", "rep").alias("partner"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

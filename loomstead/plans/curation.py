@@ -130,7 +130,8 @@ def minhash_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep-first near-duplicate removal within a language."""
     nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text")
-    return sim.keep_first_classes(nodes, *sim.near_classes(docs, NEAR)).select(F.col("id").alias("doc_id"), "kept")
+    gone = sim.near_gone(docs, NEAR)
+    return nodes.join(gone, "id", "left").select(F.col("id").alias("doc_id"), F.col("partner").isNull().alias("kept"))
 
 
 #: Cosine of near texts, and of a text that repeats a probe (a long text and a short probe share little of the former).

@@ -24,3 +24,9 @@ class Scratch:
         self.count += 1
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete all tables of this object; nothing still to be computed may read them."""
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(self.root)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
