@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import build as builder, release, report
 from .functions import parsing
-from .operators import examples as ex, preference, probes
+from .operators import evaluations, examples as ex, preference, probes, statistics
 from .sources import readers, writers
 
 
@@ -36,7 +36,9 @@ def _graded(spark: SparkSession, path: str) -> DataFrame:
 
 def build(a: argparse.Namespace) -> int:
     spark = _session()
-    probed = readers.probes(spark, a.probes).select(F.xxhash64("text").alias("probe"), "text") if a.probes else None
+    # "default" stands for the library's own probes.
+    path = None if a.probes == "default" else a.probes
+    probed = readers.probes(spark, path).select(F.xxhash64("text").alias("probe"), "text") if a.probes else None
     built = builder.build(_examples(spark, a.input), builder.configured(a.config), probed)
     builder.write(built, a.out)
     print(json.dumps(built.stats, indent=2, sort_keys=True))
@@ -58,19 +60,39 @@ def evaluate(a: argparse.Namespace) -> int:
     return 0
 
 
+#: Resamples behind the intervals that are printed.
+ROUNDS = 1000
+
+
 def decompose(a: argparse.Namespace) -> int:
     spark = _session()
     base, tuned = (_graded(spark, p).select("id", "category", F.col("v.correct").cast("int").alias(n)) for p, n in ((a.base, "base"), (a.tuned, "tuned")))
-    both = base.join(tuned.select("id", "tuned"), "id").groupBy("category").agg(F.count("*").alias("n"), F.avg("base").alias("base"), F.avg("tuned").alias("tuned"))
-    print(report.markdown(both.withColumn("gap", F.round(F.col("tuned") - F.col("base"), 6)).orderBy("category")))
+    both = base.join(tuned.select("id", "tuned"), "id")
+    by = both.groupBy("category").agg(F.count("*").alias("n"), F.avg("base").alias("base"), F.avg("tuned").alias("tuned"))
+    print(report.markdown(by.withColumn("gap", F.round(F.col("tuned") - F.col("base"), 6)).orderBy(*evaluations.display_order(F.col("category")))))
+    print(_significance(both))
     return 0
 
 
+def _significance(both: DataFrame) -> str:
+    """The line that compares two systems' bits (base, tuned) on the same rows."""
+    every = both.select(F.lit(0).alias("g"), "base", "tuned")
+    one, two = (evaluations.shares(every, "g", c, ROUNDS, c).select("g", *[F.col(x).alias(f"{c}_{x}") for x in ("accuracy", "lo", "hi")]) for c in ("base", "tuned"))
+    means = statistics.resampled(every, "g", ["base", "tuned"], ROUNDS, "pair").withColumn("gap", F.col("tuned") - F.col("base"))
+    gap = statistics.interval(means, "g", "gap", ROUNDS).select("g", "lo", "hi", "p")
+    lost = every.groupBy("g").agg(F.count_if((F.col("base") == 1) & (F.col("tuned") == 0)).alias("b"), F.count_if((F.col("base") == 0) & (F.col("tuned") == 1)).alias("c"))
+    row = one.join(two, "g").join(gap, "g").join(lost, "g")
+    shown = [F.col(f"{c}_{x}") for c in ("base", "tuned") for x in ("accuracy", "lo", "hi")]
+    found = row.select(evaluations.significance(*shown, F.col("tuned_accuracy") - F.col("base_accuracy"), F.col("lo"), F.col("hi"), F.col("p"), statistics.mcnemar(F.col("b"), F.col("c"))).alias("line")).first()
+    return found["line"] if found else "no rows in common"
+
+
 def multilingual(a: argparse.Namespace) -> int:
-    rows = _graded(_session(), a.input).where("pair_id IS NOT NULL AND lang IS NOT NULL").select("pair_id", "lang", F.col("v.correct").cast("int").alias("ok"))
-    base = rows.where("lang = 'en'").select("pair_id", F.col("ok").alias("en"))
-    table = rows.where("lang <> 'en'").join(base, "pair_id").groupBy("lang").agg(F.count("*").alias("pairs"), F.round(F.avg("ok"), 6).alias("accuracy"), F.round(F.avg(F.col("ok") - F.col("en")), 6).alias("delta"))
-    print(report.markdown(table.orderBy("lang")))
+    rows = _graded(_session(), a.input).where("pair_id IS NOT NULL AND lang IS NOT NULL")
+    order = ["id"] if "id" in rows.columns else ["output"]
+    bits = evaluations.last_bits(rows.select("pair_id", "lang", F.col("v.correct").cast("int").alias("ok"), *order), order)
+    print(report.markdown(evaluations.shares(bits, "lang", "ok", ROUNDS, "lang").orderBy("lang"), "Languages"))
+    print(report.markdown(evaluations.matched_deltas(bits, ROUNDS, "delta").orderBy("lang"), "Against English, matched pairs"))
     return 0
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: Tools as typed rows: name, description, props (name, type, required), in property order.
 TOOL = "struct<name:string,description:string,props:array<struct<name:string,type:string,required:boolean>>>"
@@ -13,6 +16,12 @@ def history(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.upper(t["role"]), F.lit(": "), t["content"])), "\n")
 
 
+@F.pandas_udf(T.StringType())
+def indented(tools: pd.Series) -> pd.Series:
+    """A tool list (JSON text) as JSON with sorted keys, indented by two."""
+    return tools.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, sort_keys=True, ensure_ascii=False))
+
+
 def compact(tools: Column) -> Column:
     one = lambda t: F.concat(t["name"], F.lit("("), F.array_join(F.transform(t["props"], lambda p: F.concat(p["name"], F.when(p["required"], "").otherwise("?"), F.lit(":"), p["type"])), ", "), F.lit(")"))
     return F.array_join(F.transform(tools, one), "\n")

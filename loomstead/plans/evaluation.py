@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import statistics as stats
+from ..functions.text import draw
+from ..operators import checks, evaluations as ev, examples as ex, generators as gen, statistics as stats
 from . import examples, query, table
 
 ROUNDS = 200
@@ -251,3 +252,65 @@ def agentic_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.withColumn("env", F.col("user_id") % 2)
     r = lambda c, name: F.round(F.avg(c), 6).alias(name)
     return t.groupingSets([["env"], []], "env").agg(r((F.col("final") != "error").cast("int"), "success"), r("ok", "step_accuracy"), r("steps", "steps"), r("retries", "retries"))
+
+
+#: Languages of the drawn twins, and how each asks for a part.
+ASKS = {"en": "Order one {0}.", "fr": "Commandez un {0}.", "hi": "एक {0} मंगाइए."}
+
+
+def _twins(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on multilingual twins, as many as there are orders: (pair_id, lang, ok)."""
+    pool = examples._pool(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, ("call", "refuse", "clarify"))), (F.col("k") % 3 + 1).cast("int"))
+    arg = lambda name, value: F.struct(F.lit(name).alias("name"), F.lit(value).alias("value"))
+    call = F.struct(F.col("tool.name").alias("name"), F.array(arg("quantity", "2"), arg("flag", '"A"')).alias("args"))
+    answer = F.struct(F.when(kind == "call", "tool_call").otherwise(kind).alias("type"), F.when(kind == "call", F.array(call)).otherwise(F.array().cast(f"array<{ex.CALL}>")).alias("calls"), F.lit("Which one?").alias("content")).cast(ex.ANSWER)
+    words = F.replace("tool.name", F.lit("_"), F.lit(" "))
+    asked = F.create_map(*[x for lang, text in ASKS.items() for x in (F.lit(lang), F.replace(F.lit(text), F.lit("{0}"), words))])
+    templates = pool.select(F.floor(F.col("k") / 3).alias("number"), kind.alias("kind"), F.array("tool").alias("tools"), answer.alias("answer"), asked.alias("queries"))
+    rows = ev.twins_only(gen.multilingual(spark, templates, table(spark, d, "orders").count()))
+    drawn = draw("ml_pred", F.col("ex_id"), F.col("meta")["lang"]) % 6
+    judged = checks.judged(rows.withColumn("output", examples._said(drawn, examples._gold())), "output")
+    bits = judged.select(F.col("meta")["pair_id"].alias("pair_id"), F.col("meta")["lang"].alias("lang"), F.col("v.correct").cast("int").alias("ok"))
+    return ev.last_bits(bits, ["ok"])
+
+
+_TWINS = f"""
+tw AS (SELECT i AS pair_id, (['tool_call', 'tool_call', 'refuse', 'clarify'])[{examples._u('ml_kind', 'i')} % 4 + 1] AS type, lang, {examples._u('ml_pred', 'i', 'lang')} % 6 AS m
+       FROM (SELECT unnest(range(1, (count(*) + {len(ASKS) - 1}) // {len(ASKS)} + 1)) AS i FROM orders), (VALUES {', '.join(f"('{k}')" for k in ASKS)}) l(lang)),
+bits AS (SELECT pair_id, lang, (m NOT IN (2, 3, 4) OR (m = 2 AND type = 'refuse'))::INT AS ok FROM tw)
+"""
+
+
+@query(
+    f"""WITH RECURSIVE {_TWINS}, bb AS (SELECT lang AS category, ok AS base FROM bits), {_boot('lang', 'base', 'b / n').format(table='bb')}, o AS (SELECT category, list_sort(list(x)) AS x FROM m GROUP BY category)
+SELECT lang, count(*)::BIGINT AS n, round(avg(ok), 6) AS accuracy, round(any_value(o.x)[6], 6) AS lo, round(any_value(o.x)[196], 6) AS hi FROM bits JOIN o ON o.category = lang GROUP BY lang"""
+)
+def multilingual_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of each language on twins that ask the same, with its interval."""
+    found = ev.shares(_twins(spark, sf_dir), "lang", "ok", ROUNDS, "lang")
+    return found.select("lang", "n", F.round("accuracy", 6).alias("accuracy"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query(
+    f"""WITH RECURSIVE {_TWINS}, pr AS (SELECT x.lang AS category, e.ok AS base, x.ok AS ft FROM bits x JOIN bits e ON e.pair_id = x.pair_id AND e.lang = 'en' AND x.lang <> 'en'),
+{_boot('delta', 'base, ft', 'f / n - b / n').format(table='pr')}, o AS (SELECT category, list_sort(list(x)) AS x, avg((x <= 0)::INT) AS p FROM m GROUP BY category)
+SELECT pr.category AS lang, count(*)::BIGINT AS pairs, round(avg(ft) - avg(base), 6) AS delta, round(any_value(o.x)[6], 6) AS lo, round(any_value(o.x)[196], 6) AS hi, round(any_value(o.p), 6) AS p FROM pr JOIN o USING (category) GROUP BY pr.category"""
+)
+def multilingual_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's accuracy less that of English on the same pairs, with interval and p value."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return ev.matched_deltas(_twins(spark, sf_dir), ROUNDS, "delta").select("lang", "pairs", r("delta"), r("lo"), r("hi"), r("p"))
+
+
+@query(
+    f"""WITH RECURSIVE {_P}, bb AS (SELECT CASE (len(calls) > 1 AND type = 'tool_call')::INT + (len(tools) > 2)::INT WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS category, v.correct::INT AS base FROM v JOIN x USING (ex_id)),
+{_boot('band', 'base', 'b / n').format(table='bb')}, o AS (SELECT category, stddev_pop(x) AS se FROM m GROUP BY category)
+SELECT bb.category AS band, count(*)::BIGINT AS n, round(avg(base), 6) AS accuracy, round(any_value(o.se), 6) AS se FROM bb JOIN o USING (category) GROUP BY bb.category"""
+)
+def graded_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by difficulty band (several calls, many tools, both), with its resampled error."""
+    graded = examples._graded(spark, sf_dir)
+    hard = ((F.col("type") == "tool_call") & (F.col("n_calls") > 1)).cast("int") + (F.col("n_tools") > 2).cast("int")
+    rows = graded.select(F.when(hard == 0, "easy").when(hard == 1, "medium").otherwise("hard").alias("band"), F.col("correct").cast("int").alias("ok"))
+    return ev.shares(rows, "band", "ok", ROUNDS, "band").select("band", "n", F.round("accuracy", 6).alias("accuracy"), F.round("se", 6).alias("se"))
