@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,13 +99,14 @@ def _run_of(id_col: str, cuts: list[int]) -> Column:
     return F.coalesce(which * step + F.size(F.filter(F.element_at(inner, which + 1), lambda c: c <= F.coalesce(value, F.lit(2**63 - 1)))), F.lit(0)).cast("int")
 
 
-def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with ``next``: a struct of the columns of the next document by id, after the last the first.
 
     Ids are cut into runs at approximate quantiles; a run is ordered by itself, and
     each run gets the first document of the run after it, one extra row a run.
     ``ids`` holds the same ids; the order is planned on it alone, so nothing
-    ``docs`` computes is computed for that.
+    ``docs`` computes is computed for that. ``of`` gives the rows of ``docs`` with the ids
+    (``_head``) of a small table, where that costs less than looking through all of them.
     """
     count = ids.count()
     n_cuts = min(FAN * FAN, count // RUN_ROWS)
@@ -121,7 +122,7 @@ def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], id_col: str =
     before = {heads[(i + 1) % len(heads)][1]: heads[i][0] for i in range(len(heads))}
     spark = docs.sparkSession
     table = spark.createDataFrame([(i, r) for i, r in before.items()], f"_head {docs.schema[id_col].dataType.simpleString()}, _to int")
-    extra = docs.join(F.broadcast(table), F.col(id_col).eqNullSafe(F.col("_head"))).drop("_head").withColumnRenamed("_to", "_run").withColumn("_extra", F.lit(1))
+    extra = (of(table) if of else docs).join(F.broadcast(table), F.col(id_col).eqNullSafe(F.col("_head"))).drop("_head").withColumnRenamed("_to", "_run").withColumn("_extra", F.lit(1))
     every = runs.unionByName(extra)
     order = Window.partitionBy("_run").orderBy("_extra", F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
     return every.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("_extra = 0").drop("_run", "_extra")
@@ -163,8 +164,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
                 lo, held, edited, n_chars = k + 1, 0, [], []
 
-    marked = docs.select(id_col, text_col).mapInArrow(first, f"`{id_col}` {kind}, packed binary, size bigint, fp bigint")
-    paired = with_next(marked, docs.select(id_col), ["packed", "size", "fp"], id_col, "packed")
+    marked = lambda rows: rows.select(id_col, text_col).mapInArrow(first, f"`{id_col}` {kind}, packed binary, size bigint, fp bigint")
+    heads = lambda table: marked(docs.join(F.broadcast(table), F.col(id_col).eqNullSafe(F.col("_head")), "left_semi"))
+    paired = with_next(marked(docs), docs.select(id_col), ["packed", "size", "fp"], id_col, "packed", heads)
     flat = paired.select(id_col, "packed", "size", "fp", "next.packed", "next.size", F.col("next.fp").alias("next_fp")).toDF(id_col, "packed", "size", "fp", "np", "ns", "next_fp")
     return flat.mapInArrow(second, f"`{id_col}` {kind}, n_chars bigint, fp bigint, next_fp bigint, edited_sha256 string, edited_fp bigint")
 
