@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import parsing
+from ..functions.parsing import call_errors
 from ..sources.scratch import Scratch
 from .similarity import small
 
@@ -152,7 +153,7 @@ def follows(value: Column, plan: Column) -> Column:
 @F.pandas_udf(T.BooleanType())
 def _function_fits(name: pd.Series, arguments: pd.Series, schema: pd.Series) -> pd.Series:
     """What columns can't decide; rows that they do decide come as nulls."""
-    one = lambda n, a, s: None if n is None else not parsing.call_errors({"name": n, "arguments": a}, [{"name": n, "parameters": json.loads(s) if s else {}}])
+    one = lambda n, a, s: None if n is None else not call_errors({"name": n, "arguments": a}, [{"name": n, "parameters": json.loads(s) if s else {}}])
     return pd.Series([one(*x) for x in zip(name, arguments, schema, strict=True)], dtype="boolean")
 
 

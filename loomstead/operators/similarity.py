@@ -11,6 +11,8 @@ from ..sources.scratch import Scratch
 
 #: Tables up to this many rows may be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Classes whose pairs are made at once where rounds end.
+FEW = 2000
 #: Tables of rounds that are read side by side; then they are written as one.
 GONE_TABLES = 32
 
@@ -47,7 +49,7 @@ def decontaminate(queries: DataFrame, probes: DataFrame, k: int = 3) -> DataFram
 
 
 #: Shingles that are signed at a time.
-SIGNED_AT_ONCE = 1 << 16
+SIGNED_AT_ONCE = 1 << 11
 
 
 def _bands(flat: np.ndarray, sizes: np.ndarray, hashes: int, rows: int) -> np.ndarray:
@@ -192,7 +194,7 @@ def near_gone(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
 
     Rounds over MinHash buckets, without pairs among their rows: a class of equal sets that is first in all of its
     buckets stays, and the others of those buckets are compared with it, exactly. A round decides at least the first
-    undecided class; chains as long as a table are not for this operator (``keep_first`` walks links). Sets are written
+    undecided class; once no more than ``FEW`` are undecided, their links are made and walked in order. Sets are written
     only of classes that share a bucket. Texts without words are near nothing.
     """
     scratch = Scratch(docs.sparkSession)
@@ -202,20 +204,28 @@ def near_gone(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
     shared = keys.groupBy("b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("b")
     open_ = scratch.cut(keys.join(shared, "b").select("id", "b"))
     sets = scratch.cut(shingle_sets(docs.select("id", "text").join(open_.select("id").distinct(), "id"), k).select("id", "n", "h"))
-    gone = None
-    while True:
+    one = sets.select(F.col("id").alias("first"), F.col("n").alias("m"), F.col("h").alias("g"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets, "id").join(one, "first").where(F.least("n", "m") >= threshold * F.greatest("n", "m"))
+        common = F.size(F.array_intersect("h", "g"))
+        return both.where(common / (F.col("n") + F.col("m") - common) >= threshold).select("id", "first")
+
+    gone = scratch.cut(open_.limit(0).select("id", F.col("id").alias("partner")))
+    while open_.select("id").distinct().limit(FEW + 1).count() > FEW:
         met = scratch.cut(open_.join(open_.groupBy("b").agg(F.min("id").alias("first")), "b").select("id", "first").distinct())
         stays = met.groupBy("id").agg(F.min("first").alias("f")).where("f = id").select("id")
         pairs = met.where("first < id").join(stays.select(F.col("id").alias("first")), "first", "left_semi")
-        one = sets.select(F.col("id").alias("first"), F.col("n").alias("m"), F.col("h").alias("g"))
-        both = pairs.join(sets, "id").join(one, "first").where(F.least("n", "m") >= threshold * F.greatest("n", "m"))
-        common = F.size(F.array_intersect("h", "g"))
-        out = scratch.cut(both.where(common / (F.col("n") + F.col("m") - common) >= threshold).groupBy("id").agg(F.min("first").alias("partner")))
-        gone = out if gone is None else scratch.cut(gone.unionByName(out))
-        decided = stays.unionByName(out.select("id"))
-        open_ = scratch.cut(open_.join(decided, "id", "left_anti"))
-        if open_.isEmpty():
-            break
+        out = scratch.cut(near(pairs).groupBy("id").agg(F.min("first").alias("partner")))
+        gone = scratch.cut(gone.unionByName(out))
+        open_ = scratch.cut(open_.join(stays.unionByName(out.select("id")), "id", "left_anti"))
+    # At most FEW classes: all their pairs, then the walk.
+    met = open_.join(open_.select(F.col("id").alias("first"), "b"), "b").where("first < id").select("id", "first").distinct()
+    links = scratch.cut(near(met))
+    left = scratch.cut(keep_first(open_.select("id").distinct(), links.select(F.col("first").alias("i"), F.col("id").alias("j"))))
+    stays = left.where("kept").select(F.col("id").alias("first"))
+    last = links.join(left.where("NOT kept").select("id"), "id", "left_semi").join(stays, "first").groupBy("id").agg(F.min("first").alias("partner"))
+    gone = gone.unionByName(last)
     named = classes.select(F.col("grp").alias("_g"), F.col("n").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.col("id").alias("rep"))
     same = F.col("grp").eqNullSafe(F.col("_g")) & (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))
     members = signed.select("id", "grp", "n", "d1", "d2").join(named, same).select("id", "rep")

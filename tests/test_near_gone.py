@@ -29,8 +29,9 @@ def shingles(text):
     return {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else set(w)
 
 
-@pytest.mark.parametrize("seed,threshold", [(1, 0.8), (2, 0.85), (3, 0.7)])
-def test_equals_keep_first_from_all_pairs(spark, seed, threshold):
+@pytest.mark.parametrize("seed,threshold,few", [(1, 0.8, 2000), (2, 0.85, 0), (3, 0.7, 0), (3, 0.7, 20)])
+def test_equals_keep_first_from_all_pairs(spark, monkeypatch, seed, threshold, few):
+    monkeypatch.setattr(sim, "FEW", few)
     rows = corpus(seed)
     sets = {i: shingles(t) for i, _, t in rows}
     grp = {i: g for i, g, _ in rows}
