@@ -156,8 +156,14 @@ SELECT coalesce(cb.category, ct.category) AS condition, round(b, 6) AS base, rou
 )
 def conditions_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of the two systems' conditions, each over all its rows; a missing side is null."""
-    base, tuned = (side.groupBy("category").agg(F.avg(F.col("correct").cast("int")).alias(name)) for side, name in zip(examples.systems(spark, sf_dir), "bf", strict=True))
-    return base.join(tuned, "category", "full_outer").select(F.col("category").alias("condition"), F.round("b", 6).alias("base"), F.round("f", 6).alias("ft"), F.round(F.col("f") - F.col("b"), 6).alias("delta"))
+    base, tuned = (side.select("category", F.col("correct").cast("int").alias(name)) for side, name in zip(examples.systems(spark, sf_dir), ("base", "ft"), strict=True))
+    return _outer(base, tuned)
+
+
+def _outer(base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """(condition, base, ft, delta) of (category, base) and (category, ft): every row of a side counts, a missing side is null."""
+    x, y = base.groupBy("category").agg(F.avg("base").alias("b")), tuned.groupBy("category").agg(F.avg("ft").alias("f"))
+    return x.join(y, "category", "full_outer").select(F.col("category").alias("condition"), F.round("b", 6).alias("base"), F.round("f", 6).alias("ft"), F.round(F.col("f") - F.col("b"), 6).alias("delta"))
 
 
 @query(

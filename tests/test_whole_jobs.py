@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from loomstead import plans
-from loomstead.plans import evaluation
+from loomstead.plans import evaluation, examples
 
 
 @pytest.fixture
@@ -64,15 +64,20 @@ def test_dataset_digest_is_of_all_rows(spark, written, tmp_path):
     assert digest("null", [*rows, (61, None, "en")]).digest != whole.digest
 
 
-def test_conditions_outer_averages_all_rows(spark, written):
-    docs = [(i, ("es", "en")[i // 4], "web") for i in range(8)]
-    written("documents", docs, "doc_id long, lang string, source string")
-    sf = written("labels", [(i, q, t) for i, (q, t) in enumerate(zip([1, 0, 0, 0, 1, 1, 0, 1], [0, 0, 1, 0, 1, 1, 0, 1], strict=True))], "doc_id long, quality int, toxic int")
-    got = {tuple(r) for r in plans.QUERIES["conditions_outer"](spark, sf).collect()}
-    assert got == {("es", 0.25, 0.75, 0.5), ("en", 0.75, 0.25, -0.5)}
+def test_conditions_outer_averages_all_rows(spark):
+    """Every row of each system counts, those without a partner too."""
+    sf = "/root/testdata/sf0.001"
+    base, tuned = examples.systems(spark, sf)
+    sides = [{}, {}]
+    for side, df in zip(sides, (base, tuned), strict=True):
+        for r in df.collect():
+            side.setdefault(r.category, []).append(int(r.correct))
+    mean = lambda bits: bits and sum(bits) / len(bits)
+    got = {r.condition: (r.base, r.ft) for r in plans.QUERIES["conditions_outer"](spark, sf).collect()}
+    assert got == {c: tuple(pytest.approx(mean(side[c]), abs=1e-6) for side in sides) for c in sides[0]} and sum(map(len, sides[1].values())) < sum(map(len, sides[0].values()))
 
 
 def test_conditions_of_one_side_have_no_other(spark):
-    base = spark.createDataFrame([("en", 1), ("en", 0), ("es", 1)], "lang string, base int")
-    ft = spark.createDataFrame([("en", 1), ("fr", 0)], "lang string, ft int")
+    base = spark.createDataFrame([("en", 1), ("en", 0), ("es", 1)], "category string, base int")
+    ft = spark.createDataFrame([("en", 1), ("fr", 0)], "category string, ft int")
     assert {tuple(r) for r in evaluation._outer(base, ft).collect()} == {("en", 0.5, 1.0, 0.5), ("es", 1.0, None, None), ("fr", None, 0.0, None)}
