@@ -93,6 +93,39 @@ def _signed(sets: DataFrame, hashes: int = 128, rows: int = 4) -> DataFrame:
     return kept.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1]) + "bands array<bigint>")
 
 
+def _spread_bits(x: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit numbers, every bit of which depends on all of the given ones."""
+    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def signatures(docs: DataFrame, k: int = 3, hashes: int = 128, rows: int = 4) -> DataFrame:
+    """(id, grp, n, d1, d2, bands) of the rows of ``docs`` (id, grp, text) with words: size, digests and MinHash bands of the shingle set.
+
+    Shingles are computed once: what is made of them is made in the function that gets them.
+    """
+    hashed = spread(docs).select("id", "grp", F.transform(shingles(tokens(F.col("text")), k), lambda x: F.xxhash64(x)).alias("h"))
+    kinds = {c: hashed.schema[c].dataType.simpleString() for c in ("id", "grp")}
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.asarray(batch.column(2).value_lengths().fill_null(0), np.int64)
+            full = np.flatnonzero(sizes)
+            if not len(full):
+                continue
+            flat, mine = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes[full]
+            starts = np.cumsum(mine) - mine
+            digests = [np.add.reduceat(_spread_bits(flat, salt), starts).view(np.int64) for salt in (0x51ED27, 0xC0FFEE)]
+            found = _bands(flat, mine, hashes, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+            take = pa.array(full)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(mine), *map(pa.array, digests), lists], ["id", "grp", "n", "d1", "d2", "bands"])
+
+    return hashed.mapInArrow(run, f"id {kinds['id']}, grp {kinds['grp']}, n bigint, d1 bigint, d2 bigint, bands array<bigint>")
+
+
 def shingle_sets(docs: DataFrame, k: int = 3) -> DataFrame:
     """(id, n, d1, d2, h) beside the other columns of ``docs`` (id, text, ...): size, digests and sorted hashes of each text's shingle set."""
     others = [c for c in docs.columns if c != "text"]
@@ -198,7 +231,7 @@ def near_gone(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
     only of classes that share a bucket. Texts without words are near nothing.
     """
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.cut(_signed(shingle_sets(docs.select("id", "grp", "text"), k).where("n > 0")))
+    signed = scratch.cut(signatures(docs.select("id", "grp", "text"), k))
     classes = scratch.cut(signed.groupBy("grp", "n", "d1", "d2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     keys = exploded(classes.select("id", "grp", "bands"), "bands", "band").select("id", F.xxhash64("grp", "band").alias("b"))
     shared = keys.groupBy("b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("b")
