@@ -240,7 +240,10 @@ def near_gone(docs: DataFrame, threshold: float, k: int = 3) -> DataFrame:
     one = sets.select(F.col("id").alias("first"), F.col("n").alias("m"), F.col("h").alias("g"))
 
     def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets, "id").join(one, "first").where(F.least("n", "m") >= threshold * F.greatest("n", "m"))
+        # The sets that pairs ask for are picked before they travel.
+        told = scratch.cut(pairs)
+        asked = sets.join(small(told), "id")
+        both = asked.join(one.join(small(told.select("first").distinct()), "first"), "first").where(F.least("n", "m") >= threshold * F.greatest("n", "m"))
         common = F.size(F.array_intersect("h", "g"))
         return both.where(common / (F.col("n") + F.col("m") - common) >= threshold).select("id", "first")
 
