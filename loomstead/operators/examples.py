@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import kept
 from . import checks
 
 PROP = "struct<name:string,type:string,required:boolean,options:array<string>>"
@@ -53,9 +54,9 @@ def tools_json(tools: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A text as a JSON string."""
+    """A text as a JSON string; most texts have nothing to escape and need no JSON writer."""
     packed = F.to_json(F.array(text))
-    return F.substr(packed, F.lit(2), F.length(packed) - 2)
+    return F.when(text.rlike(r"^[ !#-\[\]-~]*$") & ~F.contains(text, F.lit("\n")), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.substr(packed, F.lit(2), F.length(packed) - 2))
 
 
 def call_json(call: Column) -> Column:
@@ -114,7 +115,7 @@ def valid(rows: DataFrame) -> Column:
 
 def curated(rows: DataFrame) -> DataFrame:
     """Examples with tools and a valid answer."""
-    return rows.where(F.size("tools") > 0).withColumn("_valid", valid(rows)).where("_valid").drop("_valid")
+    return kept(rows.where(F.size("tools") > 0), valid(rows))
 
 
 def guarded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
