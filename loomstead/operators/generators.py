@@ -10,10 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import draw
+from ..functions.text import draw, kept
 from . import examples as ex
 from .ordering import ordered
-from .similarity import small
+from .similarity import BROADCAST_ROWS, small
 
 #: Tools that a row draws from the pool before it chooses the least similar ones.
 CANDIDATES = 8
@@ -36,15 +36,24 @@ def pool_of(rows: DataFrame) -> DataFrame:
     return ordered(first, [], ["name"], "k").select("k", "tool")
 
 
-def with_drawn(rows: DataFrame, pool: DataFrame, picks: Column, name: str) -> DataFrame:
-    """``rows`` with the tools of the numbers ``picks``, in that order, the first of each name; rows without any are gone."""
-    wanted = rows.select("ex_id", F.posexplode_outer(picks).alias("_pos", "k"))
-    met = wanted.join(small(pool), "k").groupBy("ex_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "tool"))).alias("_t"))
-    return rows.join(met, "ex_id").withColumn(name, ex.first_of_names(F.transform("_t", lambda x: x["tool"]))).drop("_t")
+def with_drawn(rows: DataFrame, pool: DataFrame, picks: list[Column], name: str) -> DataFrame:
+    """``rows`` with the tools of the numbers ``picks`` (nulls pick none), in that order, the first of each name; rows without any are gone.
+
+    A small pool comes to the rows, once a pick, and no row travels; rows go to a large one and meet again by ex_id.
+    """
+    if pool.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        wanted = rows.select("ex_id", F.posexplode_outer(F.array(*picks)).alias("_pos", "k"))
+        met = wanted.join(pool, "k").groupBy("ex_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "tool"))).alias("_t"))
+        return rows.join(met, "ex_id").withColumn(name, ex.first_of_names(F.transform("_t", lambda x: x["tool"]))).drop("_t")
+    met = rows.where("ex_id IS NOT NULL").withColumns({f"_k{i}": k.cast("long") for i, k in enumerate(picks)})
+    for i in range(len(picks)):
+        met = met.join(F.broadcast(pool.select(F.col("k").cast("long").alias(f"_k{i}"), F.col("tool").alias(f"_t{i}"))), f"_k{i}", "left")
+    found = met.select(*rows.columns, F.array_compact(F.array(*[f"_t{i}" for i in range(len(picks))])).alias("_t")).where(F.size("_t") > 0)
+    return found.withColumn(name, ex.first_of_names(F.col("_t"))).drop("_t")
 
 
-def _numbers(seed: str, n: int, many: int) -> Column:
-    return F.array(*[draw(seed, F.col("ex_id"), i) % n for i in range(many)])
+def _numbers(seed: str, n: int, many: int) -> list[Column]:
+    return [draw(seed, F.col("ex_id"), i) % n for i in range(many)]
 
 
 def _one(seed: str, choices: tuple[str, ...]) -> Column:
@@ -106,7 +115,8 @@ def no_tool(rows: DataFrame, pool: DataFrame, n_pool: int) -> DataFrame:
     other = F.filter("_tools", lambda t: ~F.array_contains("_gold", t["name"]))
     ranked = F.transform(other, lambda t, i: F.struct(F.size(F.array_intersect("_asked", ex.topics(F.concat_ws(" ", t["name"], t["description"])))).alias("o"), i.alias("i"), t.alias("t")))
     keep = (draw("no_tool_size", F.col("ex_id")) % 3 + 2).cast("int")
-    fit = asked.withColumn("_few", F.transform(F.slice(F.array_sort(F.transform(ranked, lambda r: F.struct(r["o"], r["i"]))), F.lit(1), keep), lambda r: r["i"])).withColumn("_other", other).where(F.size("_few") > 1)
+    fit = asked.withColumn("_few", F.transform(F.slice(F.array_sort(F.transform(ranked, lambda r: F.struct(r["o"], r["i"]))), F.lit(1), keep), lambda r: r["i"])).withColumn("_other", other)
+    fit = kept(fit, F.size("_few") > 1)
     offered = F.transform("_few", lambda i: F.element_at("_other", i + 1))
     return _made(fit, offered, F.col("query"), "refuse", None, refusal(offered), source="hard_negative", hn_kind="no_tool", removed_tool=F.array_min("_gold"))
 
@@ -114,7 +124,7 @@ def no_tool(rows: DataFrame, pool: DataFrame, n_pool: int) -> DataFrame:
 def no_tool_off_domain(seeds: DataFrame, pool: DataFrame, n_pool: int) -> DataFrame:
     """A request that none of two to four drawn tools covers: of a row's order of requests the first with under two words in common."""
     size = (draw("off_size", F.col("ex_id")) % 3 + 2).cast("int")
-    drawn = with_drawn(seeds.select("ex_id"), pool, F.slice(_numbers("off", n_pool, 4), F.lit(1), size), "_tools")
+    drawn = with_drawn(seeds.select("ex_id"), pool, [F.when(size > i, k) for i, k in enumerate(_numbers("off", n_pool, 4))], "_tools")
     words = F.array_distinct(F.flatten(F.transform("_tools", lambda t: ex.topics(F.concat_ws(" ", t["name"], t["description"])))))
     turned = F.array_sort(F.array(*[F.struct(draw("off_order", F.col("ex_id"), i).alias("d"), F.lit(q).alias("q")) for i, q in enumerate(OFF_DOMAIN)]))
     able = F.filter("_turned", lambda r: F.size(F.array_intersect(ex.topics(r["q"]), F.col("_words"))) < 2)
@@ -359,7 +369,7 @@ def masked_twins(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     tools, answer = masked(F.col("_source_tools"), F.col("_source_answer"))
     fit = rows.where(ex.twinnable(rows, single_turn=True)).withColumn("_source_tools", F.col("tools")).withColumn("_source_answer", F.col("answer"))
     hidden = fit.withColumn("tools", tools).withColumn("answer", answer)
-    good = hidden.withColumn("_valid", ex.valid(hidden)).where("_valid").drop("_valid", "_source_tools", "_source_answer")
+    good = kept(hidden, ex.valid(hidden)).drop("_source_tools", "_source_answer")
     chosen = _chosen(good, n, "mask", "mask-", F.lit(True))
     meta = _with_meta(F.col("meta"), source="masked_twin", pair_id=F.col("_pair"), mask_of=F.col("meta")["source"])
     return chosen.withColumn("meta", meta).select(*ex.COLUMNS), _paired(rows, chosen)

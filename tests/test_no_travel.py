@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import kept
-from loomstead.operators import examples as ex, preference
+from loomstead.operators import examples as ex, generators as gen, preference
 
 TOOL = ("t{}", "Does a thing", [("size", "integer", True, None), ("flag", "string", True, ["A", "N"])])
 
@@ -33,6 +33,22 @@ def test_pairs_stay_in_their_rows(spark):
     }
 
 
+def test_a_small_pool_comes_to_the_rows(spark, monkeypatch):
+    pool = spark.createDataFrame([(i, _tool(i)) for i in range(5)], f"k bigint, tool {ex.TOOL}")
+    picks = [F.lit(3), F.when(F.col("ex_id") % 2 == 0, F.lit(1)), F.lit(3), F.lit(9)]
+    rows = _rows(spark).select("ex_id")
+
+    def names():
+        return {r.ex_id: r.n for r in gen.with_drawn(rows, pool, picks, "_tools").select("ex_id", ex.names(F.col("_tools")).alias("n")).collect()}
+
+    small = gen.with_drawn(rows, pool, picks, "_tools")
+    assert "Exchange hashpartitioning" not in _plan(small)
+    here = names()
+    assert here == {i: ["t3", "t1"] if i % 2 == 0 else ["t3"] for i in range(20)}
+    monkeypatch.setattr(gen, "BROADCAST_ROWS", 2)
+    assert names() == here
+
+
 def test_conditions_stay_above_what_they_need(spark):
     rows = _rows(spark).select("ex_id").withColumn("a", F.transform(F.array("ex_id", "ex_id"), lambda x: x + 1)).withColumn("b", F.array_max("a") + F.array_min("a"))
     plan = _plan(kept(rows, F.col("b") > 10))
