@@ -297,7 +297,8 @@ class Index:
     def _answers(self, requests: DataFrame, k: int) -> DataFrame:
         most = self.cells.most
         asked = requests.groupBy("cell").agg(F.count("*").alias("asked"))
-        info = self.sizes.join(asked, "cell").select("cell", F.ceil(F.col("size") / BLOCK).alias("pieces"), F.ceil(F.col("asked") / CHUNK).alias("chunks"))
+        # One row a cell. Requests repeat a vector for every cell, so their files are small and would be broadcast by size.
+        info = F.broadcast(self.sizes.join(asked.hint("merge"), "cell").select("cell", F.ceil(F.col("size") / BLOCK).alias("pieces"), F.ceil(F.col("asked") / CHUNK).alias("chunks")))
         here = self.dealt.join(info, "cell").select(
             "cell", F.pmod(F.xxhash64("id", F.lit(1)), "pieces").alias("piece"), F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "label", "q", "n2",
         )
@@ -324,7 +325,7 @@ class Index:
         found = self.stage.cut(self._answers(self._requests(units, True), k), narrow=True)
         if any(t.leaves > 1 for t in self.cells.trees.values()):
             enough = found.groupBy("a", "p").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("a", "p", "kth")
-            bounded = units.join(enough, ["a", "p"], "left").withColumn("least", F.coalesce("kth", "least")).drop("kth")
+            bounded = units.join(enough.hint("merge"), ["a", "p"], "left").withColumn("least", F.coalesce("kth", "least")).drop("kth")
             found = found.union(self._answers(self._requests(bounded, False), k))
         rank = F.row_number().over(_first_of())
         return self.stage.cut(found.withColumn("rank", rank).where(F.col("rank") <= k), narrow=True)
@@ -356,8 +357,8 @@ def mine(
     pairs = same.select("a", F.col("id").alias("p"), F.col("score").alias("positive_score")).where("positive_score >= 0")
     # Below 0 the window has its ends crossed and holds nothing.
     window = [F.expr(f"({low} * positive_score + 99) DIV 100").alias("lo"), F.expr(f"({high} * positive_score) DIV 100").alias("hi"), F.lit(NONE).alias("least")]
-    units = stage.cut(pairs.join(asking, "a").select("a", "p", "label", F.lit(False).alias("same"), *window, "q").where("lo <= hi"))
+    units = stage.cut(pairs.join(asking.hint("merge"), "a").select("a", "p", "label", F.lit(False).alias("same"), *window, "q").where("lo <= hi"))
     other = index.search(units, negatives)
-    return other.join(pairs, ["a", "p"]).select(
+    return other.join(pairs.hint("merge"), ["a", "p"]).select(
         F.col("a").alias("anchor_id"), F.col("p").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"),
     )

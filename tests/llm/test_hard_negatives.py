@@ -83,3 +83,17 @@ def test_trees_prune(monkeypatch):
     for leaf, members in enumerate(tree.members):
         assert (near[:, leaf] <= true[:, members].min(1) + 1e-6).all() and (far[:, leaf] >= true[:, members].max(1) - 1e-6).all()
     assert near.max() > 0 and (near > np.sort(true, 1)[:, 5:6]).mean() > 0.2
+
+
+def test_only_cells_are_broadcast(spark, monkeypatch, tmp_path):
+    """Files of requests are small where they repeat a vector for every cell; neither they nor rows go through the driver by that."""
+    monkeypatch.setattr(hn, "A_CELL", 8)
+    monkeypatch.setattr(hn, "BLOCK", 64)
+    stage = hn.Stage(spark, "plan")
+    frame = spark.createDataFrame(clustered(300, 6, 5), COLUMNS).selectExpr("vec_id", "label::bigint", "embedding")
+    index = hn.Index(stage.cut(hn.as_integers(frame, 256.0)), stage)
+    wide = [hn.F.lit(x).alias(c) for c, x in (("lo", hn.NONE), ("hi", -hn.NONE), ("least", hn.NONE))]
+    units = index.rows.select(hn.F.col("id").alias("a"), hn.F.col("id").alias("p"), "label", hn.F.lit(True).alias("same"), *wide, "q")
+    plan = index._answers(index._requests(units, True), 3)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(joins) == 2 and all("BuildRight" in line for line in joins)
