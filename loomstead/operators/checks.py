@@ -219,8 +219,8 @@ def normal_form(json_text: Column, forgiving: bool) -> Column:
 
 
 def _call_form(name: Column, args: Column, forgiving: bool) -> Column:
-    each = F.array_sort(F.transform(args, lambda a: F.to_json(F.struct(a["name"].alias("k"), normal_form(a["value"], forgiving).alias("v")))))
-    return F.to_json(F.struct(name.alias("n"), each.alias("a")))
+    each = F.array_sort(F.transform(args, lambda a: F.struct(a["name"].alias("k"), normal_form(a["value"], forgiving).alias("v"))))
+    return F.struct(name.alias("n"), each.alias("a"))
 
 
 def judged(rows: DataFrame, output: str, forgiving: bool = True) -> DataFrame:
