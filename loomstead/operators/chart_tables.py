@@ -23,6 +23,8 @@ SERIES = ("North", "South", "East")
 IN_TIME, MANY = ("line", "multiline", "area"), ("grouped_bar", "stacked_bar", "multiline")
 #: A trend is told from this share of the span on, in tenths; a correlation from this square of r on, in hundredths.
 LEAST_TREND, LEAST_SQUARE = 1, 9
+#: Parts a core that charts are dealt to.
+PARTS = 4
 
 
 def _upto(n: Column, make: Callable[[Column], Column]) -> Column:
@@ -33,6 +35,8 @@ def tables(ids: DataFrame) -> DataFrame:
     """(chart, type, title, x, y, dec, cats, names, q, xs) for each of ``ids`` (chart): quanta by series and category; xs of a scatter."""
     chart, kind = F.col("chart"), F.col("type")
     pick = lambda i: F.coalesce(*[F.when(F.col("theme") == k, F.lit(t[i]) if not isinstance(t[i], tuple) else F.array(*map(F.lit, t[i]))) for k, t in enumerate(THEMES)])
+    # Ids are a few bytes a chart and lie in one small file; a chart is a lot of work, which all cores share.
+    ids = ids.select("chart").repartition(PARTS * ids.sparkSession.sparkContext.defaultParallelism)
     rows = ids.select("chart", type_of(chart).alias("type"))
     rows = rows.withColumn("theme", F.when(kind.isin(*IN_TIME), 0).otherwise(draw("theme", chart) % 3 + 1))
     rows = rows.withColumn("nc", F.when(kind == "scatter", draw("points", chart) % 7 + 8).otherwise(draw("cats", chart) % 3 + 4)).withColumn("ns", F.when(kind.isin(*MANY), draw("series", chart) % 2 + 2).otherwise(1).cast("long"))
@@ -74,7 +78,15 @@ def asked(made: DataFrame) -> DataFrame:
     rows = rows.withColumn("_tall", F.when(stacked, F.col("_total")).otherwise(F.col("_row")))
     a, b = F.get("_row", F.col("_1")), F.get("_row", F.col("_2"))
     one, two = F.get("cats", F.col("_1")), F.get("cats", F.col("_2"))
-    tall, top, low = F.col("_tall"), F.array_max("_tall"), F.array_min("_tall")
+    # What several answers or a lambda need is a column of its own, computed once a chart: written out inside a lambda it
+    # would be computed again for every element, and sorts within sorts.
+    rows = rows.withColumns({"_top": F.array_max("_tall"), "_low": F.array_min("_tall"), "_ranked": F.array_sort("_row")})
+    tall, top, low, ranked = F.col("_tall"), F.col("_top"), F.col("_low"), F.col("_ranked")
+    rows = rows.withColumn("_gaps", F.filter(_upto(nc - 1, lambda i: i), lambda i: F.get(ranked, (i + 1).cast("int")) - F.get(ranked, i.cast("int")) >= 2))
+    rows = rows.withColumn("_gap", F.get("_gaps", (draw("gap", chart) % F.greatest(F.size("_gaps"), F.lit(1))).cast("int")))
+    floor_, ceil_ = F.get(ranked, F.col("_gap").cast("int")), F.get(ranked, (F.col("_gap") + 1).cast("int"))
+    rows = rows.withColumn("_bar", floor_ + F.floor((ceil_ - floor_) / 2))
+    bar = F.col("_bar")
     only = lambda v: F.size(F.filter(tall, lambda x: x == v)) == 1
     at = lambda v: F.get("cats", (F.array_position(tall, v) - 1).cast("int"))
     of = F.when((ns > 1) & ~stacked, F.concat(F.lit(" of "), F.get("names", F.col("_s")))).when(stacked, F.lit(" of all together")).otherwise("")
@@ -83,11 +95,6 @@ def asked(made: DataFrame) -> DataFrame:
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     total = F.when(stacked, F.get("_total", F.col("_1"))).otherwise(_sum("_row"))
     every = _sum("_tall")
-    ranked = F.array_sort("_row")
-    gaps = F.filter(_upto(nc - 1, lambda i: i), lambda i: F.get(ranked, (i + 1).cast("int")) - F.get(ranked, i.cast("int")) >= 2)
-    gap = F.get(gaps, (draw("gap", chart) % F.greatest(F.size(gaps), F.lit(1))).cast("int"))
-    floor_, ceil_ = F.get(ranked, gap.cast("int")), F.get(ranked, (gap + 1).cast("int"))
-    bar = floor_ + F.floor((ceil_ - floor_) / 2)
     z = lambda i: 2 * i - (nc - 1)
     slope, square = _sum(_upto(nc, lambda i: z(i) * F.get("_row", i.cast("int")))), _sum(_upto(nc, lambda i: z(i) * z(i)))
     span = F.array_max("_row") - F.array_min("_row")
@@ -110,9 +117,9 @@ def asked(made: DataFrame) -> DataFrame:
         "proportion": (text("What percentage of the total is ", one, "?"), shown(tenths, F.lit(1))),
         "correlation": (F.lit("Is the correlation of both axes positive or negative?"), F.when(strong, F.when(together > 0, "positive").otherwise("negative"))),
     }
-    qa = F.array(*[F.struct(F.lit(k).alias("kind"), q.alias("question"), v.cast("string").alias("answer")) for k, (q, v) in found.items()])
-    fits = F.coalesce(*[F.when(kind == t, F.array(*map(F.lit, k))) for t, k in KINDS.items()])
-    return rows.withColumn("_fits", fits).withColumn("qa", F.filter(qa, lambda q: F.array_contains(F.col("_fits"), q["kind"]))).select(*made.columns, "qa")
+    suits = lambda k: kind.isin(*[t for t, kinds in KINDS.items() if k in kinds])
+    qa = F.array(*[F.when(suits(k), F.struct(F.lit(k).alias("kind"), q.alias("question"), v.cast("string").alias("answer"))) for k, (q, v) in found.items()])
+    return rows.withColumn("qa", F.array_compact(qa)).select(*made.columns, "qa")
 
 
 def questions(made: DataFrame, most: int = PER_CHART) -> DataFrame:

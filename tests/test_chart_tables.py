@@ -66,3 +66,10 @@ def test_rows_and_none(spark):
     none = ct.tables(spark.range(0).withColumnRenamed("id", "chart"))
     assert ct.questions(none).collect() == [] and ct.long(none).collect() == []
     assert len(ct.questions(made, 1).collect()) <= 50
+
+
+def test_charts_are_dealt_to_all_cores_and_sorted_once(spark):
+    made = ct.tables(spark.range(0, 50, 1, 1).withColumnRenamed("id", "chart"))
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = ct.questions(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(_row") == 1
