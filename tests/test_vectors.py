@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomstead.operators import similarity, vectors as vec
@@ -141,3 +142,21 @@ def test_decontamination_by_either_branch(spark):
     assert got[0].score == 1.0 and got[0].cosine > 0.999 and got[0].dropped and got[0].near == 7
     assert got[1].score == 0.0 and got[1].dropped == (got[1].cosine >= 0.5) and not got[2].dropped and not got[3].dropped
     assert {r.id for r in vec.decontaminate(queries, probes, 0.6, 0.3).collect() if r.dropped} == {0, 1}
+
+
+def test_a_block_of_near_rows_is_compared_by_stretches(monkeypatch):
+    """All of a block's pairs are near: only a stretch's are held at once, and none is lost or told twice."""
+    x = np.random.default_rng(2).standard_normal((1, 16)) + np.random.default_rng(3).standard_normal((300, 16)) / 100
+    guest = np.arange(300) >= 100
+    code = [b"\x08" + r.tobytes() for r in x]
+
+    def block(i, j, guests):
+        at = np.flatnonzero(~guest | guests)
+        table = {"cell": pa.array([0] * len(at)), "i": pa.array([i] * len(at)), "j": pa.array([j] * len(at)), "guest": pa.array(guest[at]), "piece": pa.array([0] * len(at)), "home": pa.array(guest[at].astype(int)), "seen": pa.array([[]] * len(at), pa.list_(pa.int32()))}
+        return pa.table(table | {"code": pa.array([code[k] for k in at], pa.binary())})
+
+    monkeypatch.setattr(vec, "MET", 1000)
+    for table, want in ((block(0, 0, False), {(u, v) for u in range(100) for v in range(u + 1, 100)}), (block(0, -1, True), {(u, v) for u in range(100) for v in range(100, 300)})):
+        found = [(u, v) for u, v, _ in vec._close(table, 0.9)]
+        pairs = [p for u, v in found for p in zip(u.tolist(), v.tolist())]
+        assert len(found) > 1 and max(len(u) for u, _ in found) <= 1000 and len(pairs) == len(set(pairs)) and set(pairs) == want
