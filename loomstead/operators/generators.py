@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import draw, kept
+from ..sources.scratch import Scratch
 from . import examples as ex
 from .ordering import ordered
 from .similarity import BROADCAST_ROWS, small
@@ -323,9 +324,16 @@ FORMATS = ("python", "xml", "compact")
 
 
 def _chosen(rows: DataFrame, n: int, seed: str, prefix: str, fit: Column) -> DataFrame:
-    """The first n fitting rows in the order of a draw, with the id of their pair."""
-    placed = ordered(rows.where(fit).withColumn("_d", draw(seed, F.col("ex_id"))), [], ["_d", "ex_id"], "_place").where(F.col("_place") < n)
-    return placed.withColumn("_pair", F.concat(F.lit(prefix), F.col("_place").cast("string"))).drop("_d", "_place")
+    """The first n fitting rows in the order of a draw, with the id of their pair.
+
+    Rows are written once, and only ids are dealt and numbered: the ranges of an order are sampled, which would make
+    every row twice, and tools and answers wouldn't travel to be sorted. Rows of one id are numbered apart by ``_row``.
+    """
+    held = Scratch(rows.sparkSession).cut(rows.where(fit).withColumn("_row", F.monotonically_increasing_id()))
+    ids = held.select("ex_id", "_row", draw(seed, F.col("ex_id")).alias("_d"))
+    placed = ordered(ids, [], ["_d", "ex_id", "_row"], "_place").where(F.col("_place") < n)
+    pairs = placed.select("_row", F.concat(F.lit(prefix), F.col("_place").cast("string")).alias("_pair"))
+    return held.join(pairs, "_row").select(*rows.columns, "_pair")
 
 
 def _with_meta(meta: Column, **entries: Column | str) -> Column:

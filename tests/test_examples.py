@@ -263,3 +263,12 @@ def test_ordered_numbers_follow_the_order(spark):
         for key in {tuple(r[g] for g in groups) for r in got}:
             mine = sorted((r for r in got if tuple(r[g] for g in groups) == key), key=lambda r: r.n)
             assert [r.n for r in mine] == list(range(len(mine))) and [r.x for r in mine] == sorted(r.x for r in mine)
+
+
+def test_twins_are_numbered_by_their_ids_alone(spark):
+    """Wide rows are neither sampled nor dealt by range: what is sorted has ids only, and rows of one id keep a place each."""
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "ex_id long, query string")
+    chosen = gen._chosen(rows, 10, "fmt", "fmt-", F.lit(True))
+    assert sorted((r.ex_id, r.query) for r in chosen.collect()) == [(1, "a"), (1, "b"), (2, "c")] and {r._pair for r in chosen.collect()} == {"fmt-0", "fmt-1", "fmt-2"}
+    windows = [line for line in chosen._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line or "_inside" in line]
+    assert windows and not any("query" in line for line in windows)
