@@ -60,3 +60,15 @@ def test_bands_of_sets_together_are_those_of_each(monkeypatch):
 def test_nothing(spark):
     none = spark.createDataFrame([], "id long, grp string, text string")
     assert sim.near_gone(none, 0.8).collect() == []
+
+
+def test_sizes_decide_before_sets_travel(spark, monkeypatch):
+    """Pairs are cut down by their sizes as a table without sets; the pairs found are the exact ones."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(0, "en", " ".join(words)), (1, "en", " ".join(words[:58])), (2, "en", " ".join(words[:20])), (3, "en", " ".join(words))], "id long, grp string, text string")
+    seen = []
+    cut = sim.Scratch.cut
+    monkeypatch.setattr(sim.Scratch, "cut", lambda self, df: (seen.append(set(df.columns)), cut(self, df))[1])
+    members, pairs = sim.near_classes(docs, 0.85)
+    assert {"grp", "i", "j", "ni", "nj"} in seen
+    assert [(r.i, r.j, round(r.jaccard, 6)) for r in pairs.collect()] == [(0, 1, round(56 / 58, 6))] and members.count() == 4
