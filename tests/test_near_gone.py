@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from loomstead.functions import hashing
 from loomstead.operators import similarity as sim
 
 
@@ -72,3 +74,29 @@ def test_sizes_decide_before_sets_travel(spark, monkeypatch):
     members, pairs = sim.near_classes(docs, 0.85)
     assert {"grp", "i", "j", "ni", "nj"} in seen
     assert [(r.i, r.j, round(r.jaccard, 6)) for r in pairs.collect()] == [(0, 1, round(56 / 58, 6))] and members.count() == 4
+
+
+def test_chains_of_buckets_take_few_stretches(spark, monkeypatch):
+    """Each text shares words with the next ones only, so each waits for those before it; what is written doesn't grow with the chain."""
+    monkeypatch.setattr(sim, "FEW", 32)
+    rows = [(i, "a", " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(256)]
+    written = []
+    cut = sim.Scratch.cut
+    monkeypatch.setattr(sim.Scratch, "cut", lambda self, df: (written.append(1), cut(self, df))[1])
+    got = {r.id: r.partner for r in sim.near_gone(spark.createDataFrame(rows, "id long, grp string, text string"), 0.85).collect()}
+    assert got == {i: i - i % 4 for i in range(256) if i % 4}  # 35 of 41 shingles are common at a distance of 3, 34 of 42 at 4
+    assert len(written) < 60
+
+
+def test_hashed_shingles_are_those_of_the_texts(monkeypatch):
+    rng = random.Random(5)
+    texts = [None, "", "a", "a b", "a b a", "é", "éa bé c"] + [" ".join(rng.choice(["ab", "b", "c1", "é", "x-y", "longer"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    for sizes in ((1 << 20, 1 << 17), (50, 7), (1, 1)):
+        monkeypatch.setattr(hashing, "CHUNK_BYTES", sizes[0])
+        monkeypatch.setattr(hashing, "HASH_BYTES", sizes[1])
+        got = []
+        for lo, flat, n in hashing.hashed_shingles(pa.array(["x", *texts]).slice(1), 3):
+            assert lo == len(got)
+            got += [set(flat[e - m : e].tolist()) for e, m in zip(np.cumsum(n), n)]
+        held = [shingles(t) for t in texts]
+        assert all(len(got[i] & got[j]) == len(held[i] & held[j]) for i in range(len(texts)) for j in range(len(texts)))
