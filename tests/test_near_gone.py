@@ -100,3 +100,19 @@ def test_hashed_shingles_are_those_of_the_texts(monkeypatch):
             got += [set(flat[e - m : e].tolist()) for e, m in zip(np.cumsum(n), n)]
         held = [shingles(t) for t in texts]
         assert all(len(got[i] & got[j]) == len(held[i] & held[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_few_pairs_of_a_late_group_are_made(spark, monkeypatch):
+    """A group of near texts that comes last shares its buckets; pairs grow with the rows of buckets, not with its square."""
+    monkeypatch.setattr(sim, "FEW", 16)
+    rng = random.Random(7)
+    base = words(rng, 120)
+    alone = [(i, "a", " ".join(words(rng, 30)) + f" {i}") for i in range(150)]
+    pairs = [(150 + i, "a", alone[i][2] + " and more") for i in range(150)]
+    group = [(300 + i, "a", " ".join([*base[:60], f"x{i}", *base[60:]])) for i in range(300)]
+    made = []
+    cut = sim.Scratch.cut
+    monkeypatch.setattr(sim.Scratch, "cut", lambda self, df: (lambda out: (made.append(out.count() if df.columns == ["i", "j"] else 0), out)[1])(cut(self, df)))
+    got = {r.id: r.partner for r in sim.near_gone(spark.createDataFrame(alone + pairs + group, "id long, grp string, text string"), 0.85).collect()}
+    assert got == {150 + i: i for i in range(150)} | {300 + i: 300 for i in range(1, 300)}
+    assert max(made) < 5_000  # a stretch with 212 of the group would make 22,366
