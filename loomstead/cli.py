@@ -83,7 +83,7 @@ def _significance(both: DataFrame) -> str:
     lost = every.groupBy("g").agg(F.count_if((F.col("base") == 1) & (F.col("tuned") == 0)).alias("b"), F.count_if((F.col("base") == 0) & (F.col("tuned") == 1)).alias("c"))
     row = one.join(two, "g").join(gap, "g").join(lost, "g")
     shown = [F.col(f"{c}_{x}") for c in ("base", "tuned") for x in ("accuracy", "lo", "hi")]
-    found = row.select(evaluations.significance(*shown, F.col("tuned_accuracy") - F.col("base_accuracy"), F.col("lo"), F.col("hi"), F.col("p"), statistics.mcnemar(F.col("b"), F.col("c"))).alias("line")).first()
+    found = row.select(evaluations.significance(*shown, F.col("tuned_accuracy") - F.col("base_accuracy"), F.col("lo"), F.col("hi"), F.col("p"), statistics.exact_mcnemar(F.col("b"), F.col("c"))).alias("line")).first()
     return found["line"] if found else "no rows in common"
 
 

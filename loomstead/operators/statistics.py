@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import draw
 
-#: Terms that an exact test sums up at most, and the variance up to which a binomial draw walks its distribution.
+#: Terms that ``mcnemar`` sums up at most, and the variance up to which a binomial draw walks its distribution.
 EXACT_TERMS, WALKED = 10_000, 100
 
 #: What each category weighs in an overall score; ``live`` is never measured offline.
@@ -32,7 +32,7 @@ def _upper_tail(x: Column) -> Column:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided p of b against c discordant pairs; 1 without any.
+    """Two-sided p of b against c discordant pairs; 1 without any. No query takes it: ``exact_mcnemar`` has no switch.
 
     Exact up to ``EXACT_TERMS`` of the rarer kind, in one pass in which each binomial term follows from the one before,
     as a logarithm; beyond, the normal tail with continuity correction, whose error is below 1e-4 there.
@@ -47,6 +47,23 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).when(low > EXACT_TERMS, F.least(F.lit(1.0), normal)).otherwise(F.least(F.lit(1.0), 2 * terms))
 
 
+def exact_mcnemar(b: Column, c: Column) -> Column:
+    """Two-sided exact p of b against c discordant pairs; 1 without any. One formula, whatever the counts.
+
+    Binomial terms follow from one another, downwards from the middle, which counts as 1: p is the part up to the rarer
+    kind's count in the sum of all. A term k below the middle is at most exp(-2 k^2 / (n + 1)), so those that aren't
+    walked are 0 as doubles, and a walk is about 19 times the root of n.
+    """
+    b, c = b.cast("long"), c.cast("long")
+    n, low = b + c, F.least(b, c)
+    middle = F.floor(n / F.lit(2)).cast("long")
+    last = F.greatest(F.lit(0).cast("long"), middle - F.ceil(F.sqrt((n + 1) * F.lit(373.0))))
+    zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("tail"))
+    step = lambda acc, i: F.struct((acc["t"] * i / (n - i + 1)).alias("t"), (acc["s"] + acc["t"]).alias("s"), (acc["tail"] + F.when(i <= low, acc["t"]).otherwise(0.0)).alias("tail"))
+    summed = lambda acc: F.least(F.lit(1.0), 2 * acc["tail"] / (2 * acc["s"] - F.when(n % 2 == 0, 1.0).otherwise(0.0)))
+    return F.aggregate(F.sequence(middle, last, F.lit(-1).cast("long")), zero, step, summed)
+
+
 def pass_hat_k(n: Column, c: Column, k: int) -> Column:
     """Probability that k draws without replacement from n trials with c successes all succeed; null if n < k."""
     product = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda acc, i: acc * F.greatest(c - i, F.lit(0)) / (n - i))

@@ -1,11 +1,13 @@
 """Resampling by counts: draws against the exact distribution, chains against their cells, tails against the library."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomstead.operators import statistics as st
+from loomstead.plans import evaluation
 
 
 def quantile(n, p, u):
@@ -66,3 +68,24 @@ def test_mcnemar_tails(spark):
         else:
             tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(low + 1))
             assert p == pytest.approx(min(1.0, 2 * tail) if n else 1.0, rel=1e-6)
+
+
+def test_exact_mcnemar_has_no_switch(spark, tmp_path, monkeypatch):
+    """Whole binomial tails in integers, on both sides of 10,000 of the rarer kind, and as the query gives them."""
+    cases = [(0, 0), (0, 1), (3, 3), (3, 4), (1, 9), (0, 1000), (300, 2000), (9000, 9500), (10_001, 10_001), (10_001, 10_100), (10_500, 10_001), (20_000, 20_700)]
+    df = spark.createDataFrame(cases, "b long, c long")
+    for r in df.withColumn("p", st.exact_mcnemar(F.col("b"), F.col("c"))).collect():
+        n, term, tail = r.b + r.c, 1, 1
+        for i in range(1, min(r.b, r.c) + 1):
+            term = term * (n - i + 1) // i
+            tail += term
+        assert r.p == pytest.approx(float(min(Fraction(1), Fraction(2 * tail, 2**n))), rel=1e-9, abs=0)
+    # Far beyond: the tail that integers are too slow for, by the normal one, which is right to about 1 / sqrt(n) here.
+    for b, c in ((10**9, 10**9), (10**9, 10**9 + 60_000), (10**9, 2 * 10**9)):
+        p = spark.range(1).select(st.exact_mcnemar(F.lit(b), F.lit(c))).first()[0]
+        assert p == pytest.approx(math.erfc((abs(b - c) - 1) / math.sqrt(2 * (b + c))) if b != c else 1.0, rel=1e-5)
+    pairs = spark.createDataFrame([("g", 1, 0, 10_001), ("g", 0, 1, 10_100)], "category string, base int, ft int, times int")
+    monkeypatch.setattr(evaluation, "_pairs", lambda *_: pairs.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_k", "times"))
+    got = evaluation.mcnemar(spark, str(tmp_path)).first()
+    exact = spark.range(1).select(F.round(st.exact_mcnemar(F.lit(10_001), F.lit(10_100)), 6)).first()[0]
+    assert tuple(got) == ("g", 10_001, 10_100, exact) and got.p == 0.489427
