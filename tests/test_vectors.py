@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from loomstead.operators import similarity, vectors as vec
+from loomstead.plans import curation
 
 
 def cosines(x):
@@ -160,3 +161,43 @@ def test_a_block_of_near_rows_is_compared_by_stretches(monkeypatch):
         found = [(u, v) for u, v, _ in vec._close(table, 0.9)]
         pairs = [p for u, v in found for p in zip(u.tolist(), v.tolist())]
         assert len(found) > 1 and max(len(u) for u, _ in found) <= 1000 and len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_semantic_pairs_lose_no_link(spark, monkeypatch):
+    """Vectors without any structure in 200 cells, one of them dealt in pieces: every pair that reaches the cosine, each once."""
+    monkeypatch.setattr(vec, "CELL", 20)
+    monkeypatch.setattr(vec, "BLOCK", 150)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 64))
+    x[3200:] = x[3199] + rng.standard_normal((800, 64)) * 0.45  # a heavy cell, near and not near
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.standard_normal((1500, 64))
+    noise -= (noise * x[:1500]).sum(1)[:, None] * x[:1500]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    c = rng.uniform(0.9, 0.92, 1500)[:, None]
+    x[1500:3000] = c * x[:1500] + np.sqrt(1 - c * c) * noise
+    rows = spark.createDataFrame([(i, "b" if i % 10 == 9 else "a", v.tolist()) for i, v in enumerate(x)], "id long, grp string, vector array<double>")
+    monkeypatch.setattr(curation, "_vectors", lambda *_: rows)
+    grp = np.arange(4000) % 10 == 9
+    sims = x @ x.T
+    want = {(int(i), int(j)): sims[i, j] for i, j in zip(*np.nonzero(np.triu((sims >= 0.9) & (grp[:, None] == grp), 1)))}
+    got = curation.semantic_pairs(spark, "").collect()
+    assert len(got) == len(want) > 1500 and all(r.cosine == pytest.approx(want[r.i, r.j], abs=1e-6) and r.lang == ("b" if grp[r.i] else "a") for r in got)
+
+
+@pytest.mark.parametrize("cosine", [0.95, 0.5, -0.9])
+def test_blocks_of_cells_meet_whole(cosine):
+    """Two blocks with cells in common, equal centroids, and vectors of another length, against all pairs."""
+    rng = np.random.default_rng(5)
+    middle = np.repeat(rng.standard_normal((3, 8)), [1, 2, 1], 0) / 3
+    cell = np.r_[rng.integers(4, size=180), np.full(20, -3)]
+    x = [(middle[c] + rng.standard_normal(8) / 8 if c >= 0 else rng.standard_normal(3)) for c in cell]
+    block = rng.integers(2, size=200)
+    unit = [v / np.linalg.norm(v) for v in x]
+    near = lambda u, v: len(x[u]) == len(x[v]) and unit[u] @ unit[v] >= cosine
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        at = [k for k in range(200) if block[k] in (i, j)]
+        table = pa.table({"i": pa.array([i] * len(at)), "j": pa.array([j] * len(at)), "block": pa.array(block[at]), "cell": pa.array(cell[at]), "code": pa.array([b"\x08" + x[k].tobytes() for k in at], pa.binary())})
+        got = [tuple(sorted((at[p], at[q]))) for u, v, _ in vec._within(table, cosine, middle) for p, q in zip(u.tolist(), v.tolist())]
+        want = {(u, v) for u in at for v in at if u < v and {block[u], block[v]} == {i, j} and near(u, v)}
+        assert len(got) == len(set(got)) and set(got) == want and want
